@@ -29,6 +29,44 @@ def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Rules of the url query: host, path, whether it allows.
+URL_RULES = [("net", "/", False), ("example.net", "/en/", True), ("example.com", "/de/", False), ("org", "/fr/", True)]
+
+
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import filter_urls
+
+    rules = spark.createDataFrame(URL_RULES, "rule_host string, rule_path string, allow boolean")
+    return filter_urls(table(spark, sf_dir, "pages"), rules)
+
+
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .dedup import exact_groups
+
+    return exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("_row")
+
+
+#: A conversation whose texts hold the template's own marks and escapes.
+HARD_CHAT = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_chats, loss_text, read_back
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.union(spark.createDataFrame(HARD_CHAT, rows.schema))
+    read = read_back(format_chats(rows)).withColumn("loss", loss_text())
+    told = F.array_join(F.transform("read_turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("read_turns").cast("long").alias("n_turns"),
+        F.sha2(told, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -39,5 +77,56 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
+#: By query; texts of the conversations and rules of the urls are repeated here as plain SQL.
+ORACLE = {
+    "op7_exact_dedup": """
+        with d as (select doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as text_sha256 from documents)
+        select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, text_sha256
+        from d window w as (partition by text_sha256)
+    """,
+    "op8_chat": r"""
+        with c as (
+            select conv_id, turn, role, coalesce(text, '') as text from conversations
+            union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'
+        )
+        select conv_id, count(*) as n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+            coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+            sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+            sum(length('### ' || role || ':' || chr(10) || '</turn>' || chr(10))
+                + length(replace(replace(replace(replace(text, '\', '\b'), '###', '\h'), '</turn>', '\e'), ':' || chr(10), '\c')))::bigint as formatted_chars
+        from c group by conv_id
+    """,
+    "op2_urls": r"""
+        with recursive rules(rule_host, rule_path, allow) as (values ('net', '/', false), ('example.net', '/en/', true), ('example.com', '/de/', false), ('org', '/fr/', true)),
+        p as (
+            select page_id, url, coalesce(html, '') as html,
+                translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+                regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') as path
+            from pages
+        ),
+        nodes as (select distinct url, split_part(url, '#', 1) as node, host, path from p where contains(url, '://')),
+        links as (
+            select split_part(url, '#', 1) as src, split_part(x, '#', 1) as dst from (
+                select url, unnest(regexp_extract_all(html, '<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1, 'is')) as x from p)
+            where contains(x, '://') and contains(url, '://')
+        ),
+        sym as (select src, dst from links union select dst, src from links),
+        reach(a, b) as (select src, src from sym union select r.a, s.dst from reach r join sym s on r.b = s.src),
+        fits as (
+            select n.host, n.path, arg_max(r.rule_host || r.rule_path, length(r.rule_host || r.rule_path)) as rule, arg_max(r.allow, length(r.rule_host || r.rule_path)) as allow
+            from (select distinct host, path from nodes) n join rules r on (n.host = r.rule_host or ends_with(n.host, '.' || r.rule_host)) and starts_with(n.path, r.rule_path)
+            group by n.host, n.path
+        ),
+        passed as (
+            select r.a as node, bool_or(f.allow) as allow from reach r join nodes n on n.node = r.b join fits f on f.host = n.host and f.path = n.path group by r.a
+        )
+        select p.page_id, p.host, p.path, f.rule,
+            case when coalesce(f.allow, g.allow, true) then 'allow' else 'block' end as verdict
+        from p left join fits f on f.host = p.host and f.path = p.path left join passed g on g.node = split_part(p.url, '#', 1)
+    """,
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
