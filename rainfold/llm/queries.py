@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import crc_fold, table
 
 
 def _tokenizer(name: str) -> str:
@@ -74,6 +74,16 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.coalesce(crc_fold(F.col("doc_id"), 3), F.lit(0))
+    labels = table(spark, sf_dir, "labels").where(crc_fold(F.col("doc_id"), 3) != 1).groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    model = fit(docs.join(labels, "doc_id"))
+    return score(docs, model).select("doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
