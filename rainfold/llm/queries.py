@@ -53,6 +53,15 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_model import score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(crc_fold(F.col("doc_id"), 7) == 2, F.lit(False))
+    scored = score(docs, docs.where(~held_out).select("text"))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .dedup import exact_groups
 
