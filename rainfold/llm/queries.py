@@ -90,12 +90,12 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .toxicity import fit, score
+    from .toxicity import fit, labelled, score
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     fold = F.coalesce(crc_fold(F.col("doc_id"), 3), F.lit(0))
-    labels = table(spark, sf_dir, "labels").where(crc_fold(F.col("doc_id"), 3) != 1).groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    model = fit(docs.join(labels, "doc_id"))
+    labels = table(spark, sf_dir, "labels").where(crc_fold(F.col("doc_id"), 3) != 1).select("doc_id", F.col("toxic").alias("label"))
+    model = fit(labelled(docs, labels))
     return score(docs, model).select("doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 

@@ -81,6 +81,17 @@ def evidence(text: str | None, model: Model) -> tuple[float, list[tuple[int, int
     return total, out
 
 
+def labelled(df: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "label", text: str = "text", most: int = 20_000) -> DataFrame:
+    """Texts of ``df`` with labels 0 or 1: those of the ``most`` labelled keys that come first by hash.
+
+    The bound keeps the labels small enough to broadcast, so no text is shuffled. A key with
+    several labels has the largest; null keys and labels are left out.
+    """
+    wanted = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias(label))
+    sample = wanted.orderBy(F.xxhash64(key), key).limit(most)
+    return df.select(key, text).join(F.broadcast(sample), key).select(label, text)
+
+
 def fit(df: DataFrame, label: str = "label", text: str = "text", max_terms: int = 20_000, least_z: float = 3.0, prior: float = 0.05) -> Model:
     """The model of labelled rows (label 0 or 1; rows with another label or a null are left out).
 
