@@ -30,8 +30,8 @@ def crc_fold(c: Column, folds: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % folds
 
 
-def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
-    """Adds a number that tells equal rows apart.
+def numbered(df: DataFrame, name: str = "_rf_row") -> DataFrame:
+    """Adds a number that tells equal rows apart; the column name is reserved for this subpackage.
 
     It depends on the order of the input splits alone, so it is the same in
     every scan of the same files; columns may differ between the scans.

@@ -120,7 +120,7 @@ GROUPS = pa.schema([("text_sha256", pa.string()), ("best", pa.int64()), ("best_r
 
 
 def exact_groups(df: DataFrame, text: str = "text", key: str = "doc_id", fit: int = 64_000_000) -> DataFrame:
-    """One row for each input row: key, keep_id, group_size, kept, text_sha256, and _row, the row's number by ``numbered``.
+    """One row for each input row: key, keep_id, group_size, kept, text_sha256, and _rf_row, the row's number by ``numbered``.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of
     equal texts the row with the largest integer key stays; among equal keys the one
@@ -129,7 +129,7 @@ def exact_groups(df: DataFrame, text: str = "text", key: str = "doc_id", fit: in
     bytes of contents that a task holds at once; a group's size doesn't matter, since
     equal contents are one table row. A single text larger than that is held whole.
     """
-    rows = (df if "_row" in df.columns else numbered(df)).select("_row", F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
+    rows = (df if "_rf_row" in df.columns else numbered(df)).select("_rf_row", F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table()
@@ -139,7 +139,7 @@ def exact_groups(df: DataFrame, text: str = "text", key: str = "doc_id", fit: in
             return pa.record_batch([pa.array([h - (1 << 63) for h, *_ in found], pa.int64()), pa.array([c for _, c, _, _ in found], pa.binary()), pa.array([b[0] for _, _, b, _ in found], pa.int64()), pa.array([b[1] for _, _, b, _ in found], pa.int64()), pa.array([n for *_, n in found], pa.int64())], schema=PARTS)
 
         for batch in slices(batches, "_text"):
-            for row, k, x in zip(*(batch.column(c).to_pylist() for c in ("_row", "_key", "_text")), strict=True):
+            for row, k, x in zip(*(batch.column(c).to_pylist() for c in ("_rf_row", "_key", "_text")), strict=True):
                 content = (x or "").encode().lower()
                 table.add(content_hash(content), content, (NONE if k is None else k, row), 1)
             if table.bytes > fit // 4:
@@ -161,19 +161,19 @@ def exact_groups(df: DataFrame, text: str = "text", key: str = "doc_id", fit: in
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
             got = [hashlib.sha256((x or "").encode().lower()).hexdigest() for x in batch.column("_text").to_pylist()]
-            yield pa.record_batch([batch.column("_row"), batch.column("_key"), pa.array(got, pa.string())], names=["_row", "_key", "text_sha256"])
+            yield pa.record_batch([batch.column("_rf_row"), batch.column("_key"), pa.array(got, pa.string())], names=["_rf_row", "_key", "text_sha256"])
 
     parts = rows.mapInArrow(combine, "bucket long, content binary, best long, best_row long, n long")
     groups = parts.repartition("bucket").mapInArrow(meet, "text_sha256 string, best long, best_row long, n long")
-    all_rows = rows.mapInArrow(digest, "_row long, _key long, text_sha256 string")
+    all_rows = rows.mapInArrow(digest, "_rf_row long, _key long, text_sha256 string")
     alone = F.col("n").isNull()
     keep = F.when(alone, F.col("_key")).otherwise(F.nullif("best", F.lit(NONE)))
     return all_rows.join(groups, "text_sha256", "left").select(
-        "_row",
+        "_rf_row",
         F.col("_key").alias(key),
         keep.alias("keep_id"),
         F.coalesce("n", F.lit(1).cast("long")).alias("group_size"),
-        (alone | (F.col("best_row") == F.col("_row"))).alias("kept"),
+        (alone | (F.col("best_row") == F.col("_rf_row"))).alias("kept"),
         "text_sha256",
     )
 
@@ -181,5 +181,5 @@ def exact_groups(df: DataFrame, text: str = "text", key: str = "doc_id", fit: in
 def drop_copies(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows that ``exact_groups`` keeps, with their own columns."""
     rows = numbered(df)
-    lost = exact_groups(rows, text, key).where(~F.col("kept")).select("_row")
-    return rows.join(lost, "_row", "left_anti").select(*df.columns)
+    lost = exact_groups(rows, text, key).where(~F.col("kept")).select("_rf_row")
+    return rows.join(lost, "_rf_row", "left_anti").select(*df.columns)

@@ -64,7 +64,7 @@ def _least(n):
 
 
 def _shingled(df: DataFrame, whole: bool) -> DataFrame:
-    """_row, doc, n, key (a 128-bit hash of the set) and tokens: the whole set, or its shortest prefix."""
+    """_rf_row, doc, n, key (a 128-bit hash of the set) and tokens: the whole set, or its shortest prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
@@ -75,9 +75,9 @@ def _shingled(df: DataFrame, whole: bool) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64()))
             keys = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("doc"), pa.array(sizes, pa.int32()), keys, tokens], names=["_row", "doc", "n", "key", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("_rf_row"), batch.column("doc"), pa.array(sizes, pa.int32()), keys, tokens], names=["_rf_row", "doc", "n", "key", "tokens"])
 
-    return df.mapInArrow(run, "_row long, doc long, n int, key binary, tokens array<long>")
+    return df.mapInArrow(run, "_rf_row long, doc long, n int, key binary, tokens array<long>")
 
 
 def _need(a: str, b: str) -> Column:
@@ -95,8 +95,8 @@ def _lower(n: Column) -> Column:
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets have a Jaccard similarity of 0.8 or more."""
-    left = sets.select(F.col("_row").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("_row").alias("b"), F.col("tokens").alias("tb"))
+    left = sets.select(F.col("_rf_row").alias("a"), F.col("tokens").alias("ta"))
+    right = sets.select(F.col("_rf_row").alias("b"), F.col("tokens").alias("tb"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("ta", "tb"))
     return both.where(9 * shared >= 4 * (F.size("ta") + F.size("tb"))).select("a", "b")
@@ -113,9 +113,9 @@ def _candidates(postings: DataFrame, cheap: DataFrame, prefix: Column, left_out:
 
     prefix and left_out: of a set of n, the length of its prefix and how many of its most frequent prefix shingles aren't in ``postings``.
     """
-    rows = postings.join(cheap.select("_row", F.lit(True).alias("cheap")), "_row", "left").select("token", "_row", "n", F.coalesce("cheap", F.lit(False)).alias("cheap"))
-    own = rows.where("cheap").select("token", F.col("_row").alias("x"), F.col("n").alias("nx"))
-    other = rows.select("token", F.col("_row").alias("y"), F.col("n").alias("ny"), F.col("cheap").alias("cy"))
+    rows = postings.join(cheap.select("_rf_row", F.lit(True).alias("cheap")), "_rf_row", "left").select("token", "_rf_row", "n", F.coalesce("cheap", F.lit(False)).alias("cheap"))
+    own = rows.where("cheap").select("token", F.col("_rf_row").alias("x"), F.col("n").alias("nx"))
+    other = rows.select("token", F.col("_rf_row").alias("y"), F.col("n").alias("ny"), F.col("cheap").alias("cy"))
     met = own.join(other, "token").where((F.col("x") != F.col("y")) & (~F.col("cy") | (F.col("x") < F.col("y"))) & _sizes_fit("nx", "ny"))
     shared = met.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("k"))
     at = lambda e, n: F.expr(e.replace("{n}", n))
@@ -131,7 +131,7 @@ LONG, LEFT_OUT = "least({n}, {n} - ceil({n} * 4 / 5) + 1 + floor({n} / 8))", "fl
 
 def _cost(postings: DataFrame, factor: int) -> tuple[DataFrame, DataFrame]:
     """Documents by what their candidates cost: (cheap ones, costly ones)."""
-    cost = postings.groupBy("_row", "n").agg(F.sum(F.col("cnt") - 1).alias("cost"))
+    cost = postings.groupBy("_rf_row", "n").agg(F.sum(F.col("cnt") - 1).alias("cost"))
     limit = 64 + factor * F.expr(SHORT.replace("{n}", "n"))
     return cost.where(F.col("cost") <= limit), cost.where(F.col("cost") > limit)
 
@@ -140,22 +140,22 @@ def _by_pivots(postings: DataFrame, sets: DataFrame, rounds: int = 8) -> DataFra
     """Links among costly documents, enough for their components."""
     spark = postings.sparkSession
     links = spark.createDataFrame([], "a long, b long")
-    open_ = stored(postings.select("token", "_row", "n", F.col("_row").alias("comp")))
+    open_ = stored(postings.select("token", "_rf_row", "n", F.col("_rf_row").alias("comp")))
     for turn in range(rounds + 1):
-        mixed = open_.groupBy("token").agg(F.min(F.struct("_row", "n", "comp")).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token", "p")
+        mixed = open_.groupBy("token").agg(F.min(F.struct("_rf_row", "n", "comp")).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token", "p")
         near = open_.join(mixed, "token")
         if turn < rounds:
-            pairs = near.where("_row != p._row and comp != p.comp").select(F.col("p._row").alias("a"), F.col("_row").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"))
+            pairs = near.where("_rf_row != p._rf_row and comp != p.comp").select(F.col("p._rf_row").alias("a"), F.col("_rf_row").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"))
         else:  # all that is still open at once
             x, y = near.alias("x"), near.alias("y")
-            pairs = x.join(y, "token").where("x._row < y._row and x.comp != y.comp").select(F.col("x._row").alias("a"), F.col("y._row").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+            pairs = x.join(y, "token").where("x._rf_row < y._rf_row and x.comp != y.comp").select(F.col("x._rf_row").alias("a"), F.col("y._rf_row").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
         pairs = pairs.where(_sizes_fit("na", "nb")).select("a", "b").distinct()
         links = stored(links.union(_similar(pairs, sets)))
         if turn == rounds:
             return links
         comps = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        left = near.where("_row != p._row").drop("p", "comp").join(comps.withColumnRenamed("node", "_row").withColumnRenamed("component", "comp"), "_row", "left")
-        old, open_ = open_, stored(left.select("token", "_row", "n", F.coalesce("comp", "_row").alias("comp")))
+        left = near.where("_rf_row != p._rf_row").drop("p", "comp").join(comps.withColumnRenamed("node", "_rf_row").withColumnRenamed("component", "comp"), "_rf_row", "left")
+        old, open_ = open_, stored(left.select("token", "_rf_row", "n", F.coalesce("comp", "_rf_row").alias("comp")))
         dropped(spark, old)
         if open_.isEmpty():
             return links
@@ -163,7 +163,7 @@ def _by_pivots(postings: DataFrame, sets: DataFrame, rounds: int = 8) -> DataFra
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", factor: int = 4) -> DataFrame:
-    """One row for each input row: _row, key, n_shingles, component_id, and first, whether the row stands for its component.
+    """One row for each input row: _rf_row, key, n_shingles, component_id, and first, whether the row stands for its component.
 
     Documents are linked if their sets of 5-word shingles have a Jaccard similarity of
     0.8 or more (100 * intersection >= 80 * union); component_id is the smallest key that links reach.
@@ -172,51 +172,51 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", fact
     The first row of a component (smallest key, then row number) stands for it. Sets are of 64-bit
     hashes. ``factor``: what candidates may cost, in shingles of the prefix.
     """
-    rows = (df if "_row" in df.columns else numbered(df)).select("_row", F.col(key).cast("long").alias("doc"), F.col(text).alias("_text"))
+    rows = (df if "_rf_row" in df.columns else numbered(df)).select("_rf_row", F.col(key).cast("long").alias("doc"), F.col(text).alias("_text"))
     first = stored(_shingled(rows, whole=False))
-    light = first.select("_row", "doc", "n", "key")
-    classes = stored(light.where("n > 0").groupBy("key").agg(F.min("_row").alias("node"), F.min(F.struct(F.col("doc").isNull(), "doc", "_row")).alias("head"), F.count("*").alias("rows")))
-    copies = light.join(classes.where("rows > 1").select("key", "node"), "key").where("_row != node").select("_row")
-    heads = first.where("n > 0").join(copies, "_row", "left_anti")
-    postings = stored(_counted(heads.select("_row", "n", F.explode("tokens").alias("token"))))
+    light = first.select("_rf_row", "doc", "n", "key")
+    classes = stored(light.where("n > 0").groupBy("key").agg(F.min("_rf_row").alias("node"), F.min(F.struct(F.col("doc").isNull(), "doc", "_rf_row")).alias("head"), F.count("*").alias("rows")))
+    copies = light.join(classes.where("rows > 1").select("key", "node"), "key").where("_rf_row != node").select("_rf_row")
+    heads = first.where("n > 0").join(copies, "_rf_row", "left_anti")
+    postings = stored(_counted(heads.select("_rf_row", "n", F.explode("tokens").alias("token"))))
     cheap, costly = _cost(postings, factor)
-    cheap, costly = cheap.select("_row"), stored(costly.select("_row"))
+    cheap, costly = cheap.select("_rf_row"), stored(costly.select("_rf_row"))
     pairs = stored(_candidates(postings, cheap, SHORT, NONE))
-    wanted = pairs.select(F.col("a").alias("_row")).union(pairs.select("b")).union(costly).distinct()
-    sets = stored(_shingled(rows.join(wanted, "_row", "left_semi"), whole=True).select("_row", "n", "tokens"))
+    wanted = pairs.select(F.col("a").alias("_rf_row")).union(pairs.select("b")).union(costly).distinct()
+    sets = stored(_shingled(rows.join(wanted, "_rf_row", "left_semi"), whole=True).select("_rf_row", "n", "tokens"))
     links = stored(_similar(pairs, sets))
     if not costly.isEmpty():
         longer = F.expr(LONG.replace("{n}", "n"))
-        own = sets.join(costly, "_row", "left_semi").select("_row", "n", F.explode(F.slice("tokens", F.lit(1), longer.cast("int"))).alias("token"))
+        own = sets.join(costly, "_rf_row", "left_semi").select("_rf_row", "n", F.explode(F.slice("tokens", F.lit(1), longer.cast("int"))).alias("token"))
         several = _counted(own)
         single = longer - F.count("*").over(_rows())  # of these none is frequent
         rank = F.row_number().over(_rows().orderBy("cnt", "token")) + single
         kept = stored(several.withColumn("rank", rank).where(F.col("rank") <= longer - F.expr(LEFT_OUT.replace("{n}", "n"))).drop("rank"))
         settled, rest = _cost(kept, factor)
-        more = _candidates(kept, settled.select("_row"), LONG, LEFT_OUT)
-        open_ = kept.join(rest.select("_row"), "_row", "left_semi").drop("cnt")
+        more = _candidates(kept, settled.select("_rf_row"), LONG, LEFT_OUT)
+        open_ = kept.join(rest.select("_rf_row"), "_rf_row", "left_semi").drop("cnt")
         links = stored(links.union(_similar(more, sets)).union(_by_pivots(open_, sets)))
     groups = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     joined = classes.join(groups, "node", "left").withColumn("comp", F.coalesce("component", "node"))
     heads_of = joined.where("component is not null").groupBy("comp").agg(F.min("head").alias("first"))
     known = joined.where("rows > 1 or component is not null").join(heads_of, "comp", "left").select("key", F.coalesce("first", "head").alias("first"))
     return light.join(known, "key", "left").select(
-        "_row",
+        "_rf_row",
         F.col("doc").alias(key),
         F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("first").isNull(), F.col("doc")).otherwise(F.col("first.doc")).alias("component_id"),
-        F.coalesce(F.col("first._row") == F.col("_row"), F.lit(True)).alias("first"),
+        F.coalesce(F.col("first._rf_row") == F.col("_rf_row"), F.lit(True)).alias("first"),
     )
 
 
 def _rows():
     from pyspark.sql import Window
 
-    return Window.partitionBy("_row")
+    return Window.partitionBy("_rf_row")
 
 
 def drop_near_copies(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row of each component of ``near_duplicates``, with its own columns."""
     rows = numbered(df)
-    lost = near_duplicates(rows, text, key).where(~F.col("first")).select("_row")
-    return rows.join(lost, "_row", "left_anti").select(*df.columns)
+    lost = near_duplicates(rows, text, key).where(~F.col("first")).select("_rf_row")
+    return rows.join(lost, "_rf_row", "left_anti").select(*df.columns)

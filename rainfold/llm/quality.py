@@ -207,5 +207,5 @@ def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
 def drop_poor(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows that ``judge`` keeps, with their own columns. Only the numbers of the rejected rows are joined."""
     rows = numbered(df)
-    lost = judge(rows.select("_row", text, lang, source), text, lang, source).where(~F.col("kept")).select("_row")
-    return rows.join(lost, "_row", "left_anti").select(*df.columns)
+    lost = judge(rows.select("_rf_row", text, lang, source), text, lang, source).where(~F.col("kept")).select("_rf_row")
+    return rows.join(lost, "_rf_row", "left_anti").select(*df.columns)
