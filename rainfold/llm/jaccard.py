@@ -93,11 +93,22 @@ def _lower(n: Column) -> Column:
     return F.ceil(n * 4 / 5)
 
 
+#: Rows of ids that may be broadcast, counted before: a few MB.
+FEW = 200_000
+
+
+def _only(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of these ids. A short list of ids goes to the rows, which then aren't shuffled."""
+    return df.join(F.broadcast(ids) if ids.count() <= FEW else ids, "_rf_row", "left_semi")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets have a Jaccard similarity of 0.8 or more."""
-    left = sets.select(F.col("_rf_row").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("_rf_row").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    """The pairs (a, b) whose whole sets have a Jaccard similarity of 0.8 or more. Only the sets of these pairs are shuffled."""
+    pairs = stored(pairs.select("a", "b"))
+    few = pairs.count() <= FEW
+    left = sets.select(F.col("_rf_row").alias("a"), F.col("tokens").alias("ta")).join(F.broadcast(pairs) if few else pairs, "a")
+    right = _only(sets, pairs.select(F.col("b").alias("_rf_row")).distinct())
+    both = left.join(right.select(F.col("_rf_row").alias("b"), F.col("tokens").alias("tb")), "b")
     shared = F.size(F.array_intersect("ta", "tb"))
     return both.where(9 * shared >= 4 * (F.size("ta") + F.size("tb"))).select("a", "b")
 
@@ -108,15 +119,20 @@ def _counted(postings: DataFrame) -> DataFrame:
     return postings.join(several, "token")
 
 
-def _candidates(postings: DataFrame, cheap: DataFrame, prefix: Column, left_out: Column) -> DataFrame:
-    """Pairs of a cheap document and any other that share as many prefix shingles as a similar pair must.
-
-    prefix and left_out: of a set of n, the length of its prefix and how many of its most frequent prefix shingles aren't in ``postings``.
-    """
+def _candidates(postings: DataFrame, cheap: DataFrame, prefix: str, left_out: str) -> DataFrame:
+    """Pairs of a cheap document and any other that share as many prefix shingles as a similar pair must."""
     rows = postings.join(cheap.select("_rf_row", F.lit(True).alias("cheap")), "_rf_row", "left").select("token", "_rf_row", "n", F.coalesce("cheap", F.lit(False)).alias("cheap"))
     own = rows.where("cheap").select("token", F.col("_rf_row").alias("x"), F.col("n").alias("nx"))
     other = rows.select("token", F.col("_rf_row").alias("y"), F.col("n").alias("ny"), F.col("cheap").alias("cy"))
     met = own.join(other, "token").where((F.col("x") != F.col("y")) & (~F.col("cy") | (F.col("x") < F.col("y"))) & _sizes_fit("nx", "ny"))
+    return _enough(met, prefix, left_out)
+
+
+def _enough(met: DataFrame, prefix: str, left_out: str) -> DataFrame:
+    """Pairs (a, b) among those that met at a shingle (x, y, nx, ny) which share as many as a similar pair must.
+
+    prefix and left_out: of a set of n, the length of its prefix and how many of its most frequent prefix shingles aren't posted.
+    """
     shared = met.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("k"))
     at = lambda e, n: F.expr(e.replace("{n}", n))
     beyond = F.greatest(F.col("nx") - at(prefix, "nx"), F.col("ny") - at(prefix, "ny"))
@@ -127,6 +143,8 @@ def _candidates(postings: DataFrame, cheap: DataFrame, prefix: Column, left_out:
 SHORT, NONE = "{n} - ceil({n} * 4 / 5) + 1", "0"
 #: One eighth longer; four fifths of that, for the smallest partner, pay for what is left out.
 LONG, LEFT_OUT = "least({n}, {n} - ceil({n} * 4 / 5) + 1 + floor({n} / 8))", "floor(floor({n} * 4 / 5) / 8)"
+#: The whole set: all shared shingles but one may be left out.
+WHOLE, ALL_BUT_ONE = "{n}", "ceil({n} * 4 / 5) - 1"
 
 
 def _cost(postings: DataFrame, factor: int) -> tuple[DataFrame, DataFrame]:
@@ -136,29 +154,40 @@ def _cost(postings: DataFrame, factor: int) -> tuple[DataFrame, DataFrame]:
     return cost.where(F.col("cost") <= limit), cost.where(F.col("cost") > limit)
 
 
-def _by_pivots(postings: DataFrame, sets: DataFrame, rounds: int = 8) -> DataFrame:
+def _lengthened(sets: DataFrame, prefix: str, left_out: str) -> DataFrame:
+    """Postings (token, _rf_row, n, cnt) of longer prefixes, each document's most frequent shingles left out."""
+    length = F.expr(prefix.replace("{n}", "n")).cast("int")
+    own = sets.select("_rf_row", "n", F.explode(F.slice("tokens", F.lit(1), length)).alias("token"))
+    rare = length - F.count("*").over(_rows())  # shingles that no other document has come first
+    ranked = _counted(own).withColumn("rank", F.row_number().over(_rows().orderBy("cnt", "token")) + rare)
+    return ranked.where(F.col("rank") <= length - F.expr(left_out.replace("{n}", "n"))).drop("rank")
+
+
+def _by_pivots(postings: DataFrame, sets: DataFrame, prefix: str, left_out: str, rounds: int = 3) -> DataFrame:
     """Links among costly documents, enough for their components."""
     spark = postings.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
-    open_ = stored(postings.select("token", "_rf_row", "n", F.col("_rf_row").alias("comp")))
+    links = stored(spark.createDataFrame([], "a long, b long"))
+    comps = spark.createDataFrame([], "node long, component long")
+    base = stored(postings.select("token", "_rf_row", "n"))
+    open_ = base
     for turn in range(rounds + 1):
-        mixed = open_.groupBy("token").agg(F.min(F.struct("_rf_row", "n", "comp")).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token", "p")
-        near = open_.join(mixed, "token")
-        if turn < rounds:
-            pairs = near.where("_rf_row != p._rf_row and comp != p.comp").select(F.col("p._rf_row").alias("a"), F.col("_rf_row").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"))
-        else:  # all that is still open at once
-            x, y = near.alias("x"), near.alias("y")
-            pairs = x.join(y, "token").where("x._rf_row < y._rf_row and x.comp != y.comp").select(F.col("x._rf_row").alias("a"), F.col("y._rf_row").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
-        pairs = pairs.where(_sizes_fit("na", "nb")).select("a", "b").distinct()
-        links = stored(links.union(_similar(pairs, sets)))
-        if turn == rounds:
+        known = comps.withColumnRenamed("node", "_rf_row").withColumnRenamed("component", "comp")
+        rows = (base if turn == rounds else open_).join(known, "_rf_row", "left").withColumn("comp", F.coalesce("comp", "_rf_row"))
+        mixed = rows.groupBy("token").agg(F.min(F.struct("_rf_row", "n", "comp")).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token", "p")
+        near = rows.join(mixed, "token")
+        if turn == rounds:  # all that is still open at once, with the matches that a similar pair must have
+            x = near.select("token", F.col("_rf_row").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
+            y = near.select("token", F.col("_rf_row").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
+            met = x.join(y, (x["token"] == y["token"]) & (x["x"] < y["y"]) & (x["cx"] != y["cy"]) & _sizes_fit("nx", "ny"))
+            return links.union(_similar(_enough(met, prefix, left_out), sets))
+        near = stored(near)
+        if near.isEmpty():
             return links
+        pairs = near.where((F.col("comp") != F.col("p.comp")) & _sizes_fit("n", "p.n")).select(F.col("p._rf_row").alias("a"), F.col("_rf_row").alias("b")).distinct()
+        old, links = links, stored(links.union(_similar(pairs, sets)))
         comps = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        left = near.where("_rf_row != p._rf_row").drop("p", "comp").join(comps.withColumnRenamed("node", "_rf_row").withColumnRenamed("component", "comp"), "_rf_row", "left")
-        old, open_ = open_, stored(left.select("token", "_rf_row", "n", F.coalesce("comp", "_rf_row").alias("comp")))
+        open_ = near.where("_rf_row != p._rf_row").select("token", "_rf_row", "n")
         dropped(spark, old)
-        if open_.isEmpty():
-            return links
     return links
 
 
@@ -182,20 +211,19 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", fact
     cheap, costly = _cost(postings, factor)
     cheap, costly = cheap.select("_rf_row"), stored(costly.select("_rf_row"))
     pairs = stored(_candidates(postings, cheap, SHORT, NONE))
-    wanted = pairs.select(F.col("a").alias("_rf_row")).union(pairs.select("b")).union(costly).distinct()
-    sets = stored(_shingled(rows.join(wanted, "_rf_row", "left_semi"), whole=True).select("_rf_row", "n", "tokens"))
+    wanted = stored(pairs.select(F.col("a").alias("_rf_row")).union(pairs.select("b")).union(costly).distinct())
+    sets = stored(_shingled(_only(rows, wanted), whole=True).select("_rf_row", "n", "tokens"))
     links = stored(_similar(pairs, sets))
-    if not costly.isEmpty():
-        longer = F.expr(LONG.replace("{n}", "n"))
-        own = sets.join(costly, "_rf_row", "left_semi").select("_rf_row", "n", F.explode(F.slice("tokens", F.lit(1), longer.cast("int"))).alias("token"))
-        several = _counted(own)
-        single = longer - F.count("*").over(_rows())  # of these none is frequent
-        rank = F.row_number().over(_rows().orderBy("cnt", "token")) + single
-        kept = stored(several.withColumn("rank", rank).where(F.col("rank") <= longer - F.expr(LEFT_OUT.replace("{n}", "n"))).drop("rank"))
+    for prefix, left_out in ((LONG, LEFT_OUT), (WHOLE, ALL_BUT_ONE)):
+        if costly.isEmpty():
+            break
+        kept = stored(_lengthened(_only(sets, costly), prefix, left_out))
         settled, rest = _cost(kept, factor)
-        more = _candidates(kept, settled.select("_rf_row"), LONG, LEFT_OUT)
-        open_ = kept.join(rest.select("_rf_row"), "_rf_row", "left_semi").drop("cnt")
-        links = stored(links.union(_similar(more, sets)).union(_by_pivots(open_, sets)))
+        links = stored(links.union(_similar(_candidates(kept, settled.select("_rf_row"), prefix, left_out), sets)))
+        costly = stored(rest.select("_rf_row"))
+    else:
+        if not costly.isEmpty():
+            links = stored(links.union(_by_pivots(_only(kept, costly), stored(_only(sets, costly)), prefix, left_out)))
     groups = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     joined = classes.join(groups, "node", "left").withColumn("comp", F.coalesce("component", "node"))
     heads_of = joined.where("component is not null").groupBy("comp").agg(F.min("head").alias("first"))
