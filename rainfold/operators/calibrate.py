@@ -20,7 +20,7 @@ def goodness_of_fit(df: DataFrame, by: tuple[str, ...], observed: str = "observe
         F.count("*").alias("n"),
         F.sqrt(F.avg((s - o) * (s - o))).alias("rmse"),
         (1 - F.try_divide(F.sum((s - o) * (s - o)), F.var_pop(o) * F.count("*"))).alias("nse"),
-        F.corr(o, s).alias("r"),
+        F.try_divide(F.covar_pop(o, s), F.stddev_pop(o) * F.stddev_pop(s)).alias("r"),
         mean_error.alias("mean_error"),
         F.try_divide(mean_error, F.avg(o)).alias("relative_bias"),
     )
