@@ -189,23 +189,25 @@ def _window(*cols: str):
     return Window.partitionBy(*cols)
 
 
-def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = 100.0, least: int = 100) -> DataFrame:
-    """Each row's counts of STATS, base_failed, d2, outlier and kept; the row's other columns but the text stay.
+def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", key: str = "doc_id", cutoff: float = 100.0, least: int = 100) -> DataFrame:
+    """One row for each input row: _rf_row, key, the counts of STATS, base_failed, d2, outlier and kept.
 
     base_failed: fewer than 20 words, or more than 30 % of the words in 8-word
     windows that the text repeats. The estimate is made from all rows that the base passes. A null or empty text has no words
-    and fails the base. Equal rows are judged each.
+    and fails the base. Equal rows are judged each. Other columns are not read.
     """
-    counted = with_statistics(df, text)
+    rows = df if "_rf_row" in df.columns else numbered(df)
+    counted = with_statistics(rows.select("_rf_row", F.col(key).alias("_key"), F.col(lang).alias("_lang"), F.col(source).alias("_source"), F.col(text).alias("_text")), "_text")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     marked = stored(counted.withColumn("base_failed", failed))
-    passed = robust_outliers(marked.where(~F.col("base_failed")), (lang, source), least, cutoff=cutoff)
+    passed = robust_outliers(marked.where(~F.col("base_failed")), ("_lang", "_source"), least, cutoff=cutoff)
     rest = marked.where("base_failed").withColumns({"d2": F.lit(None).cast("double"), "outlier": F.lit(False)})
-    return passed.unionByName(rest).withColumn("kept", ~F.col("base_failed") & ~F.col("outlier"))
+    both = passed.unionByName(rest).withColumn("kept", ~F.col("base_failed") & ~F.col("outlier"))
+    return both.select("_rf_row", F.col("_key").alias(key), *STATS, "base_failed", "d2", "outlier", "kept")
 
 
-def drop_poor(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+def drop_poor(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", key: str = "doc_id") -> DataFrame:
     """The rows that ``judge`` keeps, with their own columns. Only the numbers of the rejected rows are joined."""
     rows = numbered(df)
-    lost = judge(rows.select("_rf_row", text, lang, source), text, lang, source).where(~F.col("kept")).select("_rf_row")
+    lost = judge(rows, text, lang, source, key).where(~F.col("kept")).select("_rf_row")
     return rows.join(lost, "_rf_row", "left_anti").select(*df.columns)
