@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from ..functions import evapo, runoff, soil, vegetation
 from ..functions.guards import flag, ln, ratio
 from ..params import Parameters
+from .small import small
 
 
 def with_soil(cells: DataFrame, soil_attr: DataFrame) -> DataFrame:
     """Adds the soil attributes of each cell and the contents in mm: tsat, wp, fc. Class tables are small; a class without a row gives NULL."""
-    joined = cells.join(F.broadcast(soil_attr), "soil", "left")
+    joined = cells.join(small(soil_attr), "soil", "left")
     return joined.withColumns({name: soil.soil_capacity(theta, "bulk_density", "rootzone_depth") for name, theta in (("tsat", "t_sat"), ("wp", "t_wp"), ("fc", "t_fcap"))})
 
 
 def with_landuse(forcing: DataFrame, landuse_attr: DataFrame) -> DataFrame:
     """Adds the land-use attributes of each cell and month."""
-    return forcing.join(F.broadcast(landuse_attr), "landuse", "left")
+    return forcing.join(small(landuse_attr), "landuse", "left")
 
 
 def state_free(cell_months: DataFrame, p: Parameters) -> DataFrame:

@@ -7,6 +7,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .small import small
+
 
 def period(start: date, end: date, alignment: date | None = None) -> tuple[int, int, int]:
     """(first step, last step, number of steps) of a run; ValueError unless alignment <= start < end."""
@@ -34,7 +36,7 @@ def calendar(spark: SparkSession, start: date, end: date, alignment: date | None
 
 def with_rainy_days(months: DataFrame, rainy_days: DataFrame) -> DataFrame:
     """Adds ``days`` by month; the table has twelve rows."""
-    return months.join(F.broadcast(rainy_days), "month", "left")
+    return months.join(small(rainy_days), "month", "left")
 
 
 def clip_period(series: DataFrame, first: int, last: int) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def sweep(rows: DataFrame, param_sets: DataFrame) -> DataFrame:
-    """Each row with each parameter set. The sets are a list of the caller's, far fewer than rows, and are broadcast."""
-    return rows.join(F.broadcast(param_sets))
+def sweep(rows: DataFrame, param_sets: list[dict[str, float]], key: str = "param_id") -> DataFrame:
+    """Each row with each parameter set, numbered from 1 in ``key``. The sets are a list in the plan, so there is no join."""
+    sets = F.array(*[F.struct(F.lit(k).alias(key), *[F.lit(float(v)).alias(n) for n, v in s.items()]) for k, s in enumerate(param_sets, 1)])
+    return rows.select("*", F.explode(sets).alias("_set")).select(*rows.columns, "_set.*")
 
 
 def goodness_of_fit(df: DataFrame, by: tuple[str, ...], observed: str = "observed", simulated: str = "simulated") -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .small import small
+
 
 def wide_lookup(tables: dict[str, DataFrame], code: str = "code") -> DataFrame:
     """One row a class with a column for each attribute; a class that a table lacks has NULL there."""
@@ -17,7 +19,7 @@ def wide_lookup(tables: dict[str, DataFrame], code: str = "code") -> DataFrame:
 def uncovered_classes(df: DataFrame, column: str, table: DataFrame) -> DataFrame:
     """Class codes that occur in ``df`` but have no row in ``table``."""
     seen = df.select(column).where(F.col(column).isNotNull()).distinct()
-    return seen.join(F.broadcast(table.select(column)), column, "left_anti")
+    return seen.join(small(table.select(column)), column, "left_anti")
 
 
 def check_landuse_table(table: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..params import Parameters
 from .lookup import check_landuse_table, uncovered_classes
 from .series import series_lengths
+from .small import small
 
 INF = float("inf")
 #: Layer: smallest and largest value, and whether nodata, all zeroes and all ones are forbidden (fixed values).
@@ -42,7 +43,7 @@ def validate_layers(layers: DataFrame, rules: DataFrame | None = None) -> DataFr
     """
     rules = rules_table(layers.sparkSession) if rules is None else rules
     v = F.col("value")
-    ruled = layers.join(F.broadcast(rules), "layer", "left")
+    ruled = layers.join(small(rules), "layer", "left")
     facts = ruled.groupBy("layer", "step", "band").agg(
         F.max(F.coalesce((v < F.col("lo")) | (v > F.col("hi")), F.lit(False))).alias("outside"),
         F.max(v.isNull()).alias("nodata"),

@@ -111,7 +111,7 @@ def series_min_max(series: DataFrame) -> DataFrame:
 
 
 def series_lengths(series: DataFrame) -> DataFrame:
-    """(series, n_steps, consistent): whether all series have equally many maps."""
+    """(series, n_steps, consistent): whether all series have equally many maps. A row a series, of which there are few."""
     n = series.groupBy("series").agg(F.count_distinct("step").alias("n_steps"))
-    one = n.agg((F.count_distinct("n_steps") <= 1).alias("consistent"))
-    return n.join(F.broadcast(one))
+    all_ = n.agg(F.collect_list(F.struct("series", "n_steps")).alias("s"), (F.min("n_steps") == F.max("n_steps")).alias("consistent"))
+    return all_.select(F.inline("s"), "consistent")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import soil
 from ..operators.balance import state_free, water_balance, with_landuse, with_soil
-from ..operators.network import accumulate, recession_smooth
+from ..operators.network import accumulate, checkpointed, recession_smooth
+from ..operators.small import small
 from ..operators.terrain import slope
 from ..params import Parameters
 
@@ -19,7 +20,7 @@ def cell_months(cells: DataFrame, forcing: DataFrame, soil_attr: DataFrame, land
     ``cells`` has a slope; ``months`` is (step, days, days_in_month).
     """
     static = with_soil(cells, soil_attr)
-    moving = with_landuse(forcing, landuse_attr).join(F.broadcast(months.select("step", "days", "days_in_month")), "step")
+    moving = with_landuse(forcing, landuse_attr).join(small(months.select("step", "days", "days_in_month")), "step")
     return moving.join(static, "cell_id")
 
 
@@ -35,8 +36,8 @@ def run_basin(cells: DataFrame, forcing: DataFrame, soil_attr: DataFrame, landus
     """
     p.checked()
     rows = state_free(cell_months(cells, forcing, soil_attr, landuse_attr, months), p)
-    outputs = water_balance(rows, p, state)
-    days = F.broadcast(months.select("step", "days_in_month"))
+    outputs = checkpointed(water_balance(rows, p, state))  # read twice: folded once
+    days = small(months.select("step", "days_in_month"))
     flow = outputs.join(days, "step").select("cell_id", "step", soil.discharge_m3s("rnf", p.area, F.col("days_in_month").cast("double")).alias("value"))
     smooth = recession_smooth(flow, p.x).select("cell_id", "step", F.col("smooth").alias("arn"))
     return outputs.join(accumulate(drain, smooth, "arn"), ["cell_id", "step"])

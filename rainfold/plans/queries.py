@@ -111,7 +111,7 @@ def pan_and_stress(spark, sf_dir):
 
 @query("SELECT step, round(sum(q), 4) AS discharge FROM flow GROUP BY step", "flow")
 def cell_discharge(spark, sf_dir):
-    out = balance.water_balance(_free(spark, sf_dir), P).join(F.broadcast(testgrid.months(spark)), "step")
+    out = balance.water_balance(_free(spark, sf_dir), P).join(testgrid.months(spark), "step")
     mm = soil.cell_discharge_mm("srn", "lfw", "bfw")
     return out.groupBy("step").agg(_r(F.sum(soil.discharge_m3s(mm, P.area, F.col("days_in_month").cast("double")))).alias("discharge"))
 
@@ -162,7 +162,7 @@ def gauge_flow(spark, sf_dir):
 
 @query("SELECT cell_id, step, round(q, 8) AS smooth FROM smooth WHERE step > 0", "smooth")
 def recession_smooth(spark, sf_dir):
-    out = balance.water_balance(_free(spark, sf_dir), P).join(F.broadcast(testgrid.months(spark)), "step")
+    out = balance.water_balance(_free(spark, sf_dir), P).join(testgrid.months(spark), "step")
     flow = out.select("cell_id", "step", soil.discharge_m3s("rnf", P.area, F.col("days_in_month").cast("double")).alias("value"))
     return network.recession_smooth(flow, P.x).select("cell_id", "step", _r(F.col("smooth"), 8).alias("smooth"))
 
@@ -332,8 +332,7 @@ def sweep_fit(spark, sf_dir):
 
 
 def _fits(spark, sf_dir):
-    sets = spark.createDataFrame([(1, 0.5), (2, 0.8), (3, 0.9)], "param_id int, k double")
-    rows = calibrate.sweep(testgrid.forcing(spark, sf_dir), sets).select("param_id", F.expr(OBSERVED).alias("observed"), (F.col("precipitation") * F.col("k")).alias("simulated"))
+    rows = calibrate.sweep(testgrid.forcing(spark, sf_dir), [{"k": 0.5}, {"k": 0.8}, {"k": 0.9}]).select("param_id", F.expr(OBSERVED).alias("observed"), (F.col("precipitation") * F.col("k")).alias("simulated"))
     fits = calibrate.goodness_of_fit(rows, ("param_id",))
     return fits.select("param_id", "n", *[_r(F.col(c), 6).alias(c) for c in ("rmse", "nse", "r", "mean_error", "relative_bias")])
 
