@@ -163,32 +163,46 @@ def _lengthened(sets: DataFrame, prefix: str, left_out: str) -> DataFrame:
     return ranked.where(F.col("rank") <= length - F.expr(left_out.replace("{n}", "n"))).drop("rank")
 
 
-def _by_pivots(postings: DataFrame, sets: DataFrame, prefix: str, left_out: str, rounds: int = 3) -> DataFrame:
-    """Links among costly documents, enough for their components."""
+def _by_pivots(postings: DataFrame, sets: DataFrame, prefix: str, left_out: str, rounds: int = 6, spare: int = 16) -> DataFrame:
+    """Links among costly documents, enough for their components.
+
+    A round compares each document with the pivots of its shingles: the members with most postings, which
+    are closest to what a group's copies come from, and among equals one of four by hash. Rounds
+    go on while all open pairs together would meet more than ``spare`` times for each posting.
+    """
     spark = postings.sparkSession
     links = stored(spark.createDataFrame([], "a long, b long"))
     comps = spark.createDataFrame([], "node long, component long")
-    base = stored(postings.select("token", "_rf_row", "n"))
+    weight = postings.groupBy("_rf_row").agg(F.count("*").alias("m"))
+    base = stored(postings.select("token", "_rf_row", "n").join(weight, "_rf_row"))
     open_ = base
-    for turn in range(rounds + 1):
+
+    def mixed(rows: DataFrame, turn: int) -> DataFrame:
+        """The rows at shingles with several components, each with its shingle's pivot p."""
         known = comps.withColumnRenamed("node", "_rf_row").withColumnRenamed("component", "comp")
-        rows = (base if turn == rounds else open_).join(known, "_rf_row", "left").withColumn("comp", F.coalesce("comp", "_rf_row"))
-        mixed = rows.groupBy("token").agg(F.min(F.struct("_rf_row", "n", "comp")).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token", "p")
-        near = rows.join(mixed, "token")
-        if turn == rounds:  # all that is still open at once, with the matches that a similar pair must have
-            x = near.select("token", F.col("_rf_row").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-            y = near.select("token", F.col("_rf_row").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
-            met = x.join(y, (x["token"] == y["token"]) & (x["x"] < y["y"]) & (x["cx"] != y["cy"]) & _sizes_fit("nx", "ny"))
-            return links.union(_similar(_enough(met, prefix, left_out), sets))
-        near = stored(near)
-        if near.isEmpty():
+        rows = rows.join(known, "_rf_row", "left").withColumn("comp", F.coalesce("comp", "_rf_row"))
+        first = F.min(F.struct(-F.col("m"), F.xxhash64("_rf_row", F.pmod("token", F.lit(4)), F.lit(turn)), "_rf_row", "n", "comp"))
+        several = rows.groupBy("token").agg(first.alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token", "p")
+        return rows.join(several, "token")
+
+    for turn in range(rounds):
+        near = stored(mixed(open_, turn))
+        met, rows = near.groupBy("token").count().agg(F.sum(F.col("count") * F.col("count")), F.sum("count")).first()
+        if not rows:
             return links
+        if met <= spare * rows:
+            break
         pairs = near.where((F.col("comp") != F.col("p.comp")) & _sizes_fit("n", "p.n")).select(F.col("p._rf_row").alias("a"), F.col("_rf_row").alias("b")).distinct()
         old, links = links, stored(links.union(_similar(pairs, sets)))
         comps = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        open_ = near.where("_rf_row != p._rf_row").select("token", "_rf_row", "n")
+        open_ = near.where("_rf_row != p._rf_row").select("token", "_rf_row", "n", "m")
         dropped(spark, old)
-    return links
+    # all that is still open at once, with the matches that a similar pair must have
+    near = stored(mixed(base, rounds))
+    x = near.select("token", F.col("_rf_row").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
+    y = near.select("token", F.col("_rf_row").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
+    met = x.join(y, (x["token"] == y["token"]) & (x["x"] < y["y"]) & (x["cx"] != y["cy"]) & _sizes_fit("nx", "ny"))
+    return links.union(_similar(_enough(met, prefix, left_out), sets))
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", factor: int = 4) -> DataFrame:
