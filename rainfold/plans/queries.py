@@ -173,23 +173,23 @@ def run_basin(spark, sf_dir):
 
 
 @query(
-    "SELECT v.variable, step, station_id, round(CASE v.variable WHEN 'rnf' THEN rnf WHEN 'arn' THEN arn ELSE smc END, 4) AS value"
+    "SELECT v.variable, step, station_id, round(CASE v.variable WHEN 'rnf' THEN rnf WHEN 'arn' THEN arn ELSE smc END, 3) AS value"
     " FROM balance JOIN arn USING (cell_id, step) JOIN cells USING (cell_id) CROSS JOIN (VALUES ('rnf'), ('arn'), ('smc')) AS v(variable) WHERE station_id IS NOT NULL",
     "balance", "arn", "cells",
 )
 def station_series(spark, sf_dir):
     at = stations.stations_of(testgrid.cells(spark, sf_dir))
-    return stations.sample_stations(_outputs(spark, sf_dir), at, ("rnf", "arn", "smc")).withColumn("value", _r(F.col("value")))
+    return stations.sample_stations(_outputs(spark, sf_dir), at, ("rnf", "arn", "smc")).withColumn("value", _r(F.col("value"), 3))
 
 
 @query(
-    'SELECT \'smc\' AS variable, step, round(max(smc) FILTER (station_id = 5), 4) AS "5", round(max(smc) FILTER (station_id = 502), 4) AS "502", round(max(smc) FILTER (station_id = 999), 4) AS "999"'
+    'SELECT \'smc\' AS variable, step, round(max(smc) FILTER (station_id = 5), 3) AS "5", round(max(smc) FILTER (station_id = 502), 3) AS "502", round(max(smc) FILTER (station_id = 999), 3) AS "999"'
     " FROM balance JOIN cells USING (cell_id) GROUP BY step",
     "balance", "cells",
 )
 def station_report(spark, sf_dir):
     out = balance.water_balance(_free(spark, sf_dir), P)
-    long = stations.sample_stations(out, stations.stations_of(testgrid.cells(spark, sf_dir)), ("smc",)).withColumn("value", _r(F.col("value")))
+    long = stations.sample_stations(out, stations.stations_of(testgrid.cells(spark, sf_dir)), ("smc",)).withColumn("value", _r(F.col("value"), 3))
     return stations.station_report(long, [999, 5, 502])
 
 
