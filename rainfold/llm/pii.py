@@ -127,8 +127,9 @@ def protect(df: DataFrame, text: str = "text", key: str = "doc_id", width: int =
 
     ``spans`` are the base spans and one of kind ``term`` for each word that gives away an
     entity close to it, by start, then kind. A term counts as close within ``width`` words, and discloses
-    an entity if PMI >= ``alpha`` * IC in at least ``support`` different surroundings, so that copies of
-    one text prove nothing. In ``clean`` entities are generalised to their kind's
+    an entity if PMI >= ``alpha`` * IC in at least ``support`` different surroundings. With 3, copies of
+    one text prove nothing, but entities that occur once or twice get no terms; with 1, PMI alone decides
+    for every entity, as in the registered query and the pipeline. In ``clean`` entities are generalised to their kind's
     placeholder and terms are removed to theirs; overlapping spans become the first one's. A null text
     has no spans and stays null; equal rows have a result each. Nothing is collected per entity: pairs are
     at most 2 * ``width`` for each entity in a text. ``carry``: input columns to hand on, under the name _in_<column>.
@@ -188,8 +189,8 @@ def protect(df: DataFrame, text: str = "text", key: str = "doc_id", width: int =
     return joined.mapInArrow(mark, shown.schema)
 
 
-def redact(df: DataFrame, text: str = "text", key: str = "doc_id", chars: str = "n_chars") -> DataFrame:
+def redact(df: DataFrame, text: str = "text", key: str = "doc_id", chars: str = "n_chars", support: int = 3) -> DataFrame:
     """The rows with the text that ``protect`` leaves, and its length in ``chars`` where there is such a column."""
-    out = protect(df, text, key, carry=tuple(df.columns))
+    out = protect(df, text, key, support=support, carry=tuple(df.columns))
     new = {text: F.col("clean")} | ({chars: F.length("clean").cast(df.schema[chars].dataType)} if chars in df.columns else {})
     return out.select(*[new.get(c, F.col(f"_in_{c}")).alias(c) for c in df.columns])

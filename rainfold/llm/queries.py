@@ -50,7 +50,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import protect
 
-    out = protect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = protect(table(spark, sf_dir, "documents").select("doc_id", "text"), support=1)
     base = F.filter("spans", lambda x: x["kind"] != "term")
     told = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")

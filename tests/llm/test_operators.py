@@ -205,6 +205,22 @@ def test_pii_terms(spark, docs, none):
     assert got.where("doc_id = 1").first().text is None
 
 
+def test_pii_terms_of_unique_entities(spark, tmp_path):
+    """The query and the pipeline judge an entity that occurs once, too."""
+    import corpus_pipeline
+    from rainfold.llm.queries import queries
+
+    text = "plain words stand here Xylophant plain words una@example.org plain words stand here"
+    rows = [(1, text)] + [(10 + k, f"plain words stand here {words(k, 20)}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    at, mail = text.index("Xylophant"), text.index("una@")
+    got = {r.doc_id: r.spans for r in queries()["op4_pii"](spark, str(tmp_path)).collect()}
+    assert got[1] == f"term:{at}:{at + 9},email:{mail}:{mail + 15}" and all(got[10 + k] == "" for k in range(300))
+    clean = {r.doc_id: r.text for r in corpus_pipeline.personal_data(spark, docs, str(tmp_path)).collect()}
+    assert clean[1] == "plain words stand here <TERM> plain words <EMAIL> plain words stand here"
+
+
 def _brute_components(rows):
     def shingles(t):
         w = [x.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
