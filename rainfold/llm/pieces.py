@@ -232,10 +232,10 @@ class _Memo(dict):
             self.old = dict(self)
             self.clear()
         if (value := self.old.get(key)) is None:
-            for k in range(len(key) - 1, 0, -1):
-                if key[k - 1 : k + 1] not in self.borders:  # no piece spans this place
-                    value = self[key[:k]] + self.rest(key[k:])
-                    break
+            cuts = [k for k in range(1, len(key)) if key[k - 1 : k + 1] not in self.borders]  # no piece spans these places
+            if cuts:
+                rest = map(self.rest, (key[a:b] for a, b in zip(cuts, [*cuts[1:], len(key)], strict=True)))
+                value = self[key[: cuts[0]]] + tuple(chain.from_iterable(rest))
             else:
                 value = self.segment(key)
         if len(key) <= 64:

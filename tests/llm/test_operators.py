@@ -79,6 +79,20 @@ def test_pieces(spark, docs, none):
     assert pieces.encode(none, PIECES).count() == 0
 
 
+def test_pieces_of_long_runs_without_blanks():
+    """Far more places that no piece spans than Python recurses."""
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    table = pieces.PrefixTable(open(PIECES, "rb").read())
+    r = random.Random(6)
+    for letters in ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "😀日本語中文", "0123456789"):
+        text = "".join(r.choice(letters) for _ in range(100_000))
+        for t in (text, f"{text}\n {text[:5000]}"):
+            ids = table.encode(t)
+            assert ids == lib.encode(t, add_eos=True) and table.decode(ids) == lib.decode(ids)
+
+
 def test_urls(spark):
     html = '<html><link href="{}" rel="canonical"></html>'
     rows = [
