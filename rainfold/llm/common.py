@@ -33,8 +33,8 @@ def crc_fold(c: Column, folds: int) -> Column:
 def numbered(df: DataFrame, name: str = "_rf_row") -> DataFrame:
     """Adds a number that tells equal rows apart; the column name is reserved for this subpackage.
 
-    It depends on the order of the input splits alone, so it is the same in
-    every scan of the same files; columns may differ between the scans.
+    It holds within one job only: splits follow the cores that are alive, so a later scan of the same
+    files may number them otherwise. Where several jobs use the numbers, write them once with ``stored``.
     """
     return df.withColumn(name, F.monotonically_increasing_id())
 

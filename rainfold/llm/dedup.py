@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, slices
+from .common import numbered, slices, stored
 
 NONE = -(1 << 63)
 
@@ -129,7 +129,9 @@ def exact_groups(df: DataFrame, text: str = "text", key: str = "doc_id", fit: in
     bytes of contents that a task holds at once; a group's size doesn't matter, since
     equal contents are one table row. A single text larger than that is held whole.
     """
-    rows = (df if "_rf_row" in df.columns else numbered(df)).select("_rf_row", F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
+    own = ["_rf_row"] if "_rf_row" in df.columns else []
+    rows = df.select(*own, F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
+    rows = rows if own else stored(numbered(rows))
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table()
@@ -180,6 +182,6 @@ def exact_groups(df: DataFrame, text: str = "text", key: str = "doc_id", fit: in
 
 def drop_copies(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows that ``exact_groups`` keeps, with their own columns."""
-    rows = numbered(df)
+    rows = stored(numbered(df))
     lost = exact_groups(rows, text, key).where(~F.col("kept")).select("_rf_row")
     return rows.join(lost, "_rf_row", "left_anti").select(*df.columns)

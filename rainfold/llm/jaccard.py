@@ -212,10 +212,13 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", fact
     0.8 or more (100 * intersection >= 80 * union); component_id is the smallest key that links reach.
     Null keys don't count as smallest; a component of null keys has null. Null and wordless texts have
     no shingles and no links. Rows with equal sets are one class, equal rows too.
-    The first row of a component (smallest key, then row number) stands for it. Sets are of 64-bit
+    The first row of a component (smallest key, then row number) stands for it. Rows that come
+    with _rf_row must have the same one in every scan. Sets are of 64-bit
     hashes. ``factor``: what candidates may cost, in shingles of the prefix.
     """
-    rows = (df if "_rf_row" in df.columns else numbered(df)).select("_rf_row", F.col(key).cast("long").alias("doc"), F.col(text).alias("_text"))
+    own = ["_rf_row"] if "_rf_row" in df.columns else []
+    rows = df.select(*own, F.col(key).cast("long").alias("doc"), F.col(text).alias("_text"))
+    rows = rows if own else stored(numbered(rows))
     first = stored(_shingled(rows, whole=False))
     light = first.select("_rf_row", "doc", "n", "key")
     classes = stored(light.where("n > 0").groupBy("key").agg(F.min("_rf_row").alias("node"), F.min(F.struct(F.col("doc").isNull(), "doc", "_rf_row")).alias("head"), F.count("*").alias("rows")))
@@ -259,6 +262,6 @@ def _rows():
 
 def drop_near_copies(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row of each component of ``near_duplicates``, with its own columns."""
-    rows = numbered(df)
+    rows = stored(numbered(df))
     lost = near_duplicates(rows, text, key).where(~F.col("first")).select("_rf_row")
     return rows.join(lost, "_rf_row", "left_anti").select(*df.columns)

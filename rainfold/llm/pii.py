@@ -131,11 +131,22 @@ def protect(df: DataFrame, text: str = "text", key: str = "doc_id", width: int =
     one text prove nothing, but entities that occur once or twice get no terms; with 1, PMI alone decides
     for every entity, as in the registered query and the pipeline. In ``clean`` entities are generalised to their kind's
     placeholder and terms are removed to theirs; overlapping spans become the first one's. A null text
-    has no spans and stays null; equal rows have a result each. Nothing is collected per entity: pairs are
+    has no spans and stays null; equal rows have a result each. _rf_row tells the rows of one scan of the result
+    apart and is negative for those without entities. Nothing is collected per entity: pairs are
     at most 2 * ``width`` for each entity in a text. ``carry``: input columns to hand on, under the name _in_<column>.
     """
     marks = {k: f"<{k.upper()}>" for k in KINDS} | (placeholders or {})
-    rows = numbered(df).select("_rf_row", F.col(key).alias("_key"), F.col(text).alias("_text"))
+    carried = [f"_in_{c}" for c in carry]
+    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), *[F.col(c).alias(f"_in_{c}") for c in carry])
+
+    def with_entities(want: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, "_text"):
+                yield batch.filter(pa.array([bool(find(t)) is want for t in batch.column("_text").to_pylist()], pa.bool_()))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    held = stored(numbered(with_entities(True)))  # the only rows that later jobs must tell apart
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -143,17 +154,14 @@ def protect(df: DataFrame, text: str = "text", key: str = "doc_id", width: int =
         for batch in slices(batches, "_text"):
             out: list[tuple] = []
             for row, t in zip(batch.column("_rf_row").to_pylist(), batch.column("_text").to_pylist(), strict=True):
-                spans = find(t)
-                if not spans:
-                    continue
-                for entity, near in around(t, spans, width):
+                for entity, near in around(t, find(t), width):
                     place = xxhash.xxh3_64_intdigest(" ".join(x[0] for x in near).encode()) - (1 << 63)
                     out += [(row, entity, None, place, 0, 0)] + [(row, entity, w, place, a, b) for w, a, b in near]
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32())
             columns = list(zip(*out, strict=True)) if out else [()] * 6
             yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["_rf_row", "entity", "term", "place", "start", "end"])
 
-    near = stored(rows.mapInArrow(scan, "_rf_row long, entity string, term string, place long, start int, end int"))
+    near = stored(held.select("_rf_row", "_text").mapInArrow(scan, "_rf_row long, entity string, term string, place long, start int, end int"))
     own = near.where("term is null").groupBy("entity").agg(F.count_distinct("_rf_row").alias("ce"))
     met = near.where("term is not null").groupBy("entity", "term").agg(F.count_distinct("_rf_row").alias("cte"), F.count_distinct("place").alias("places")).where(F.col("places") >= support)
     suspects = stored(met.join(own, "entity"))
@@ -163,9 +171,7 @@ def protect(df: DataFrame, text: str = "text", key: str = "doc_id", width: int =
     pmi, content = F.log2(cte * n / (ct * ce)), F.log2(n / ce)
     disclosing = suspects.join(known, "term").where((pmi >= alpha * content) & (content > 0)).select("entity", "term")
     extra = near.where("term is not null").join(disclosing, ["entity", "term"]).groupBy("_rf_row").agg(F.collect_set(F.struct("start", "end")).alias("extra"))
-    carried = [f"_in_{c}" for c in carry]
-    full = numbered(df).select("_rf_row", F.col(key).alias("_key"), F.col(text).alias("_text"), *[F.col(c).alias(f"_in_{c}") for c in carry])
-    joined = full.join(extra, "_rf_row", "left")
+    joined = held.join(extra, "_rf_row", "left")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
@@ -185,8 +191,8 @@ def protect(df: DataFrame, text: str = "text", key: str = "doc_id", width: int =
             kept = [batch.column(c) for c in ("_rf_row", "_key", *carried)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(spans, pa.list_(SPAN)), pa.array(clean, pa.string())], names=["_rf_row", key, *carried, "spans", "clean"])
 
-    shown = joined.select("_rf_row", F.col("_key").alias(key), *carried).withColumn("spans", F.lit(None).cast("array<struct<kind:string,start:int,end:int>>")).withColumn("clean", F.lit(None).cast("string"))
-    return joined.mapInArrow(mark, shown.schema)
+    free = with_entities(False).select((-1 - F.monotonically_increasing_id()).alias("_rf_row"), F.col("_key").alias(key), *carried, F.array().cast("array<struct<kind:string,start:int,end:int>>").alias("spans"), F.col("_text").cast("string").alias("clean"))
+    return joined.mapInArrow(mark, free.schema).union(free)
 
 
 def redact(df: DataFrame, text: str = "text", key: str = "doc_id", chars: str = "n_chars", support: int = 3) -> DataFrame:

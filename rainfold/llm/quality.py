@@ -208,6 +208,6 @@ def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
 
 def drop_poor(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", key: str = "doc_id") -> DataFrame:
     """The rows that ``judge`` keeps, with their own columns. Only the numbers of the rejected rows are joined."""
-    rows = numbered(df)
+    rows = stored(numbered(df))
     lost = judge(rows, text, lang, source, key).where(~F.col("kept")).select("_rf_row")
     return rows.join(lost, "_rf_row", "left_anti").select(*df.columns)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from rainfold.llm import chat, components, dedup, jaccard, language_model, packing, pieces, pii, quality, toxicity, urls  # noqa: E402
+from rainfold.llm import chat, common, components, dedup, jaccard, language_model, packing, pieces, pii, quality, toxicity, urls  # noqa: E402
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -235,6 +235,38 @@ def test_pii_terms_of_unique_entities(spark, tmp_path):
     assert clean[1] == "plain words stand here <TERM> plain words <EMAIL> plain words stand here"
 
 
+def test_rows_keep_their_identity_when_splits_change(spark, tmp_path, monkeypatch):
+    """Executors come and go, so each scan of the same files may have other splits."""
+    base = words(70, 60, 10_000)
+    rows = [(k, f"{words(k, 60, 10_000)} Zarquon{k} u{k}@example.org" if k % 3 == 0 else "too short" if k % 3 == 1 else f"{base} copy{k}", "en", "a", k) for k in range(60)]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, SCHEMA).repartition(12, "doc_id").write.parquet(path)
+    df = spark.read.parquet(path)
+    real, turns = common.stored, []
+
+    def stored(x):
+        out = real(x)
+        turns.append(0)
+        spark.conf.set("spark.sql.files.openCostInBytes", ("1k", "4m", "64m")[len(turns) % 3])
+        spark.conf.set("spark.sql.files.maxPartitionBytes", ("128m", "1k", "64m")[len(turns) % 3])
+        return out
+
+    for module in (dedup, jaccard, pii, quality):
+        monkeypatch.setattr(module, "stored", stored, raising=False)
+    try:
+        near = {r.doc_id: r.component_id for r in jaccard.near_duplicates(df).collect()}
+        assert near == {k: (k, 1, 2)[k % 3] for k in range(60)}
+        assert sorted(r.doc_id for r in jaccard.drop_near_copies(df).collect()) == sorted([1, 2, *range(0, 60, 3)])
+        assert sorted(r.doc_id for r in quality.drop_poor(df).collect()) == [k for k in range(60) if k % 3 != 1]
+        assert sorted(r.doc_id for r in dedup.drop_copies(df).collect()) == [k for k in range(60) if k % 3 != 1 or k == 58]
+        for r in pii.protect(df, support=1).collect():
+            found = [rows[r.doc_id][1][s.start : s.end] for s in r.spans]
+            assert (f"Zarquon{r.doc_id}" in found and f"u{r.doc_id}@example.org" in found) if r.doc_id % 3 == 0 else not found
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def _brute_components(rows):
     def shingles(t):
         w = [x.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
