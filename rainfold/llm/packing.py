@@ -1,10 +1,10 @@
 """Packing of documents into training windows by lexical retrieval.
 
-Documents lie in shards of bounded size, each with its own BM25 inverted index
-over token ids. A seed document opens a window; the unused documents that score
-best against it fill the rest. A document that a window cuts goes on in the next
-one, as its seed. A shard is a run of rows of one input partition, so packing is
-a map without a shuffle, and the window that a shard leaves open is filled
+Document frequencies and the mean length are those of the whole corpus. Documents
+are dealt to shards of bounded size by content: vectors of their BM25 weights meet clusters
+that lie in an order of similarity, and then their strongest terms. A seed document opens a window; the unused
+documents of its shard that score best against it, by all its terms, fill the rest. A document that
+a window cuts goes on in the next one, as its seed. The window that a shard leaves open is filled
 by the next shard of the same partition.
 """
 
@@ -13,14 +13,17 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, stored
 
 SPECIAL = "<|endoftext|>"
 #: How byte-level tokenizers split texts before their merges (fixed value).
@@ -109,36 +112,91 @@ def tokenizer(spec: str) -> ByteBPE:
     return _TOKENIZERS[spec]
 
 
-class Index:
-    """BM25 over the token ids of a shard's documents."""
-
-    def __init__(self, docs: list[np.ndarray], terms: int, k1: float = 1.2, b: float = 0.75):
-        n, lengths = len(docs), np.array([max(1, len(d)) for d in docs], np.float64)
-        owner = np.repeat(np.arange(n), [len(d) for d in docs])
-        key = (np.concatenate(docs).astype(np.int64) if docs else np.zeros(0, np.int64)) * n + owner
-        key, tf = np.unique(key, return_counts=True)
-        self.term, self.doc = key // max(n, 1), key % max(n, 1)
-        names, first, df = np.unique(self.term, return_index=True, return_counts=True)
-        self.start = dict(zip(names.tolist(), zip(first.tolist(), (first + df).tolist(), strict=True), strict=True))
-        idf = np.repeat(np.log1p((n - df + 0.5) / (df + 0.5)), df)
-        self.weight = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[self.doc] / lengths.mean()))
-        places = np.argsort(self.doc * 1e6 - self.weight, kind="stable")  # a document's strongest terms first
-        first_of = np.searchsorted(self.doc[places], np.arange(n + 1))
-        self.query = [self.term[places[a : min(b, a + terms)]].tolist() for a, b in zip(first_of, first_of[1:], strict=False)]
-        self.n = n
+@dataclass(frozen=True)
+class Corpus:
+    """Number and mean length of all documents, and in how many each token id occurs."""
 
-    def scores(self, doc: int) -> np.ndarray:
-        """The scores of all documents against this one's strongest terms."""
-        score = np.zeros(self.n)
-        for t in self.query[doc]:
-            a, b = self.start[t]
-            score[self.doc[a:b]] += self.weight[a:b]
-        return score
+    docs: int
+    mean: float
+    df: np.ndarray
+
+    def weights(self, term: np.ndarray, tf: np.ndarray, length: np.ndarray | int, k1: float = 1.2, b: float = 0.75) -> np.ndarray:
+        idf = np.log1p((self.docs - self.df[term] + 0.5) / (self.df[term] + 0.5))
+        return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / self.mean))
 
 
-def order(docs: list[np.ndarray], window: int, filled: int, terms: int) -> Iterator[int]:
+def corpus_of(docs: list[np.ndarray]) -> Corpus:
+    """The figures of documents that are at hand."""
+    flat = np.concatenate([np.unique(d) for d in docs]) if docs else np.zeros(0, np.int64)
+    return Corpus(len(docs), float(np.mean([max(1, len(d)) for d in docs])) if docs else 1.0, np.bincount(flat.astype(np.int64)))
+
+
+class Index:
+    """BM25 over the token ids of a shard's documents, by the figures of the corpus; ``terms``: of a query's strongest ones, None for all."""
+
+    def __init__(self, docs: list[np.ndarray], terms: int | None = None, corpus: Corpus | None = None):
+        corpus, self.n, self.terms = corpus or corpus_of(docs), len(docs), terms
+        lengths = np.array([max(1, len(d)) for d in docs], np.float64)
+        parts = [np.unique(d, return_counts=True) for d in docs]
+        sizes = [len(u) for u, _ in parts]
+        self.doc, self.first = np.repeat(np.arange(self.n), sizes), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        term = np.concatenate([u for u, _ in parts]).astype(np.int64) if docs else np.zeros(0, np.int64)
+        tf = np.concatenate([c for _, c in parts]) if docs else np.zeros(0)
+        self.weight = corpus.weights(term, tf, lengths[self.doc])
+        names, self.term = np.unique(term, return_inverse=True)
+        self.names = len(names)
+
+    def scores(self, doc: int) -> np.ndarray:
+        """The scores of all documents against this one's terms."""
+        a, b = self.first[doc], self.first[doc + 1]
+        asked = self.term[a:b]
+        if self.terms is not None:
+            asked = asked[np.argsort(-self.weight[a:b], kind="stable")[: self.terms]]
+        query = np.zeros(self.names)
+        query[asked] = 1
+        return np.bincount(self.doc, self.weight * query[self.term], self.n)
+
+
+@lru_cache(maxsize=1)
+def _directions(terms: int, size: int = 128) -> np.ndarray:
+    return np.random.default_rng(7).standard_normal((terms, size), np.float32)
+
+
+def vectors(docs: list[np.ndarray], corpus: Corpus, shard_docs: int) -> tuple[np.ndarray, list[int]]:
+    """Of each document a random projection of its BM25 weights, of length 1, and its strongest term that several shards don't share."""
+    of, strongest = _directions(len(corpus.df)), []
+    out = np.zeros((len(docs), of.shape[1]), np.float32)
+    for k, d in enumerate(docs):
+        term, tf = np.unique(d, return_counts=True)
+        w = corpus.weights(term, tf, len(d))
+        out[k] = w.astype(np.float32) @ of[term]
+        df = corpus.df[term]
+        own = np.where((df > 1) & (df <= shard_docs), w, -1.0)
+        strongest.append(int(term[np.argmax(own)]) if own.max() > 0 else -1)
+    return out / (np.linalg.norm(out, axis=1, keepdims=True) + 1e-9), strongest
+
+
+def centres(sample: np.ndarray, clusters: int, rounds: int = 8) -> np.ndarray:
+    """Spherical k-means; each centre is followed by the one most similar to it that isn't placed."""
+    if not len(sample):
+        return np.zeros((1, sample.shape[1]), np.float32)
+    found = sample[np.random.default_rng(3).choice(len(sample), min(clusters, len(sample)), replace=False)]
+    for _ in range(rounds):
+        near = (sample @ found.T).argmax(1)
+        sums = np.zeros_like(found)
+        np.add.at(sums, near, sample)
+        found = sums / (np.linalg.norm(sums, axis=1, keepdims=True) + 1e-9)
+    left, at, placed = np.ones(len(found), bool), 0, []
+    for _ in found:
+        left[at] = False
+        placed.append(at)
+        at = int(np.argmax(np.where(left, found @ found[at], -2.0)))
+    return found[placed]
+
+
+def order(docs: list[np.ndarray], window: int, filled: int, terms: int | None = None, corpus: Corpus | None = None) -> Iterator[int]:
     """Documents of a shard in the order in which they fill windows; ``filled``: tokens that the open window has."""
-    index = Index(docs, terms)
+    index = Index(docs, terms, corpus)
     unused = np.ones(len(docs), bool)
     next_seed, left = 0, window - filled
     score: np.ndarray | None = None
@@ -167,7 +225,61 @@ def order(docs: list[np.ndarray], window: int, filled: int, terms: int) -> Itera
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(df: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc_id", end_id: int = 1, window: int = 2048, shard_docs: int = 1024, shard_tokens: int = 4_000_000, terms: int = 16, ids: bool = False) -> DataFrame:
+def _ids(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u4") for x in batch.column("_ids").to_pylist()]
+
+
+def _figures(coded: DataFrame) -> Corpus:
+    """One number for each token id of the vocabulary, whatever the corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, docs, tokens = np.zeros(0, np.int64), 0, 0
+        for batch in slices(batches, "_ids"):
+            got = _ids(batch)
+            new = np.bincount(np.concatenate([np.unique(d) for d in got]))
+            found = np.pad(found, (0, max(0, len(new) - len(found))))
+            found[: len(new)] += new
+            docs, tokens = docs + len(got), tokens + sum(map(len, got))
+        term = np.flatnonzero(found)
+        yield pa.record_batch([pa.array(np.concatenate([[-2, -1], term])), pa.array(np.concatenate([[docs, tokens], found[term]]))], names=["term", "n"])
+
+    rows = {r["term"]: r["n"] for r in coded.select("_ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    docs, tokens = rows.pop(-2, 0) or 0, rows.pop(-1, 0) or 0
+    df = np.zeros(max(rows, default=0) + 1, np.int64)
+    df[list(rows)] = list(rows.values())
+    return Corpus(docs, tokens / docs if docs else 1.0, df)
+
+
+def routed(coded: DataFrame, corpus: Corpus, shard_docs: int, sample: int = 10_000) -> DataFrame:
+    """The coded rows, those alike close to each other: dealt and sorted by cluster and strongest term.
+
+    Centres come from about ``sample`` documents (fixed size); every document meets all centres. The hash
+    in the order lets any number of equal documents go to several partitions.
+    """
+    spark = coded.sparkSession
+    known = spark.sparkContext.broadcast(corpus)
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_ids"):
+            yield pa.record_batch([pa.array([v.tobytes() for v in vectors(_ids(batch), known.value, shard_docs)[0]], pa.binary())], names=["v"])
+
+    taken = coded.select("_ids").where(F.pmod(F.xxhash64("_key", "_ids"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(1, corpus.docs))) + 1)
+    got = sorted(r["v"] for r in taken.mapInArrow(project, "v binary").collect())
+    points = np.frombuffer(b"".join(got), np.float32).reshape(-1, 128)
+    found = spark.sparkContext.broadcast(centres(points, min(1024, max(1, corpus.docs // 64))))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_ids"):
+            v, strongest = vectors(_ids(batch), known.value, shard_docs)
+            near = (v @ found.value.T).argmax(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.int32()), pa.array(strongest, pa.int32())], names=[*batch.schema.names, "_cluster", "_strongest"])
+
+    placed = coded.mapInArrow(place, coded.withColumns({"_cluster": F.lit(0).cast("int"), "_strongest": F.lit(0).cast("int")}).schema)
+    by = ["_cluster", "_strongest", "_salt"]
+    return placed.withColumn("_salt", F.xxhash64("_key")).repartitionByRange(*by).sortWithinPartitions(*by).select("_key", "_ids")
+
+
+def pack(df: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc_id", end_id: int = 1, window: int = 2048, shard_docs: int = 1024, shard_tokens: int = 4_000_000, terms: int | None = None, ids: bool = False) -> DataFrame:
     """Pieces of documents in windows: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with ``ids`` the ids.
 
     Each document's ids, followed by ``end_id``, are cut into pieces; a piece lies in
@@ -175,14 +287,20 @@ def pack(df: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc
     last are full. A null or empty text is its end id alone; equal rows are packed each;
     other columns are not read. Memory is bounded by a shard: it closes at ``shard_docs``
     documents or ``shard_tokens`` tokens. ``terms`` is how many of a seed's strongest
-    terms query the index. The tokenizer file (fixed size, 1.5 MB) is broadcast.
+    terms query the index, None for all. Texts are coded once and written. The tokenizer file (fixed size, 1.5 MB) is broadcast.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = df.sparkSession.sparkContext.broadcast(f.read())
     names = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if ids else [])]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokenizer(spec.value)
+        for batch in slices(batches, "_text", 2_000_000):
+            got = [np.array([*x, end_id], "<u4").tobytes() for x in map(coder.encode, batch.column("_text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array(got, pa.binary())], names=["_key", "_ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        corpus = figures.value
         state = {"sequence": TaskContext.get().partitionId() << 33, "filled": 0}
         keys: list = []
         docs: list[np.ndarray] = []
@@ -190,7 +308,7 @@ def pack(df: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc
 
         def shard() -> pa.RecordBatch:
             rows: list[tuple] = []
-            for k in order(docs, window, state["filled"], terms):
+            for k in order(docs, window, state["filled"], terms, corpus):
                 doc, start = docs[k], 0
                 while start < len(doc):
                     n = min(len(doc) - start, window - state["filled"])
@@ -205,12 +323,11 @@ def pack(df: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc
             columns = list(zip(*rows, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-        for batch in slices(batches, text, 2_000_000):
-            kind = batch.column(key).type
-            for k, got in zip(batch.column(key).to_pylist(), map(coder.encode, batch.column(text).to_pylist()), strict=True):
-                got.append(end_id)
+        for batch in slices(batches, "_ids", 2_000_000):
+            kind = batch.column("_key").type
+            for k, got in zip(batch.column("_key").to_pylist(), _ids(batch), strict=True):
                 keys.append(k)
-                docs.append(np.array(got, np.uint16 if end_id < 65536 and max(got) < 65536 else np.uint32))
+                docs.append(got)
                 tokens += len(got)
                 if len(docs) >= shard_docs or tokens >= shard_tokens:
                     yield shard()
@@ -218,6 +335,9 @@ def pack(df: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc
         if docs:
             yield shard()
 
-    read = df.select(key, text)
-    kind = read.schema[key].dataType.simpleString()
-    return read.mapInArrow(run, f"`{key}` {kind}, {PIECES}" + (", ids array<int>" if ids else ""))
+    read = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    kind = read.schema["_key"].dataType.simpleString()
+    coded = stored(read.mapInArrow(code, f"_key {kind}, _ids binary"))
+    corpus = _figures(coded)
+    figures = df.sparkSession.sparkContext.broadcast(corpus)
+    return routed(coded, corpus, shard_docs).mapInArrow(run, f"`{key}` {kind}, {PIECES}" + (", ids array<int>" if ids else ""))

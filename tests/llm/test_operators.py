@@ -459,3 +459,21 @@ def test_packing_prefers_neighbours():
     mixed = [x for pair in zip(a, b, strict=True) for x in pair]
     got = list(packing.order(mixed, 160, 0, 16))
     assert {k % 2 for k in got[:4]} == {0} and {k % 2 for k in got[4:]} == {1} and sorted(got) == list(range(8))
+
+
+def test_packing_finds_neighbours_across_partitions(spark):
+    """Topics lie as far apart as the input allows; figures are those of the corpus and windows hold one topic."""
+    import numpy as np
+
+    rows = [(k, " ".join(f"{'alpha beta gamma delta'.split()[k % 4]}{w}" for w in words(k, 60, 30).split())) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    windows = {}
+    for r in packing.pack(df, BYTES, shard_docs=100).collect():
+        windows.setdefault(r.sequence_id, []).append((r.length, r.doc_id % 4))
+    tokens = sum(n for w in windows.values() for n, _ in w)
+    assert sum(max(sum(n for n, t in w if t == topic) for topic in range(4)) for w in windows.values()) > 0.9 * tokens
+    docs = [np.array([1, 2, 3]), np.array([1, 2, 4])]
+    rare, common = packing.Corpus(100, 3.0, np.array([0, 99, 1, 5, 5])), packing.Corpus(100, 3.0, np.array([0, 1, 99, 5, 5]))
+    assert packing.Index(docs, corpus=rare).weight[1] > packing.Index(docs, corpus=common).weight[1]
+    every = [np.arange(k, k + 40) for k in (0, 20)]  # half of the terms are shared, not only the first ones
+    assert packing.Index(every, corpus=packing.Corpus(100, 40.0, np.ones(60))).scores(0)[1] == pytest.approx(20 * packing.Index(every, corpus=packing.Corpus(100, 40.0, np.ones(60))).weight[0])
