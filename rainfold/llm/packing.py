@@ -19,6 +19,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,28 +31,31 @@ SPECIAL = "<|endoftext|>"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The Unicode property White_Space, as the split pattern of the tokenizer has it.
 SPACES = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: What makes a text more than words parted by single blanks or single line feeds.
-ODD = ("  ", " \n", "\n ", "\n\n", *"\t\r\x0b\x0c\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+#: What makes a text more than words parted by single blanks or single line feeds, or may hold the special token (RE2).
+ODD = r"  | \n|\n |\n\n|^\n|[ \n]\z|\x00|" + SPECIAL.replace("|", r"\|") + r"|[\t\r\x0b\x0c\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: A comma or full stop behind a word, which the pattern parts from it (RE2).
+MARK = r"([\pL\pN])([.,])( |\z)"
 CUTS = re.compile(f"(?= [^{SPACES}])")
-LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz")
 
 
 class ByteBPE:
     """Ids of texts by a tokenizers file of the byte-level kind.
 
     The split pattern never joins what stands on both sides of a blank before a word,
-    so chunks between those places are independent and their ids are remembered.
+    so chunks between those places are independent. Each chunk is coded once and its ids
+    lie in one table; texts are lists of places in that table, which numpy gathers.
     The merges of a chunk run in tiktoken, with the ranks that the file gives; a file
-    whose ids aren't in the order of its merges raises ValueError.
+    whose ids aren't in the order of its merges raises ValueError. ``memo``: chunks that the table
+    holds before it is begun anew.
     """
 
-    def __init__(self, spec: str, memo: int = 600_000):
+    def __init__(self, spec: str, memo: int = 1_000_000):
         import json
 
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(spec)
+        self.tokenizer, self.memo = Tokenizer.from_str(spec), memo
         model, pre = json.loads(spec)["model"], json.loads(spec)["pre_tokenizer"]
         merges = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
         if any(model["vocab"][m.replace(" ", "", 1)] != 256 + k for k, m in enumerate(merges)) or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space"):
@@ -60,46 +64,71 @@ class ByteBPE:
         byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
         ranks = {bytes(byte[c] for c in x): i for x, i in model["vocab"].items() if i < 256 + len(merges)}
         self.coder = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.feed = tuple(self.coder.encode_ordinary("\n"))
-        self.words = _Chunks(self._word, memo)
-
-    def _word(self, key: str) -> tuple[int, ...]:
-        """Ids of a blank and a word, or of a line feed and a word."""
-        if len(key) > 2 and key[-1] in ".," and key[-2] in LETTERS:  # the pattern parts a word from what follows it
-            return self.words[key[:-1]] + self.words["\0" + key[-1]]
-        if key[:1] == "\n":
-            return self.feed + tuple(self.coder.encode_ordinary(key[1:]))
-        return tuple(self.coder.encode_ordinary(key[1:] if key[:1] == "\0" else " " + key))
+        self.feed = self.coder.encode_single_token("\n")
+        self.chunks = _Chunks()
+
+    def _places(self, keys: list[str]) -> np.ndarray:
+        """Where the chunks lie in the table: a blank and a word, a line feed and a word, or, behind a zero character, what no blank precedes.
+
+        New ones are coded in one call, each in a line of its own, which no chunk shares with another.
+        """
+        at = self.chunks
+        new = [k for k in keys if k not in at]
+        if new:
+            lines = [k[1:] if k[0] in "\0\n" else " " + k for k in new]
+            ids = np.array(self.coder.encode_ordinary("".join([f"{x}\n" for x in lines])), np.uint32)
+            close = np.flatnonzero(ids == self.feed)
+            at.add(new, ids, close)
+        return np.fromiter(map(at.__getitem__, keys), np.int64, len(keys))
+
+    def _odd(self, text: str) -> list[int]:
+        if SPECIAL in text or "\0" in text:  # the special token's string is a token by itself, wherever it stands
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return list(chain.from_iterable(self.coder.encode_ordinary_batch(CUTS.split(text), num_threads=1)))
+
+    def encode_all(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one behind the other, each followed by ``end_id``, and where each text ends. Null counts as empty."""
+        if len(self.chunks) > self.memo:
+            self.chunks = _Chunks()
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        odd = pc.match_substring_regex(texts, ODD)
+        plain = pc.replace_substring(pc.binary_join_element_wise("\0", pc.if_else(odd, "", texts), ""), "\n", " \n")
+        words = pc.split_pattern(pc.replace_substring_regex(plain, MARK, "\\1 \0\\2\\3"), " ")
+        known = words.flatten().dictionary_encode()
+        place = self._places(known.dictionary.to_pylist())[known.indices.to_numpy()]
+        upto = words.offsets.to_numpy() - words.offsets[0].as_py()
+        own = [np.array(self._odd(t), np.uint32) if o else None for t, o in zip(texts.to_pylist(), odd.to_pylist(), strict=True)] if pc.any(odd).as_py() else []
+        flat, start, sizes = self.chunks.ids, self.chunks.start, self.chunks.size[place]
+        after = np.concatenate([[0], np.cumsum(sizes)])
+        ids = flat[np.repeat(start[place] - after[:-1], sizes) + np.arange(after[-1])]
+        cuts = after[upto]
+        parts, close = [], np.array([end_id], np.uint32)
+        for k in range(len(texts)):
+            parts += [own[k] if own and own[k] is not None else ids[cuts[k] : cuts[k + 1]], close]
+        out = np.concatenate([np.zeros(0, np.uint32), *parts])
+        return out, np.cumsum([len(a) + 1 for a in parts[::2]], dtype=np.int64)
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text, without special tokens added; null counts as empty."""
-        if not text:
-            return []
-        if SPECIAL in text or "\0" in text:  # the special token's string is a token by itself, wherever it stands
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        if text[0] == "\n" or text[-1] in " \n" or any(x in text for x in ODD):
-            return list(chain.from_iterable(self.coder.encode_ordinary_batch(CUTS.split(text), num_threads=1)))
-        head, *rest = text.replace("\n", " \n").split(" ")
-        ids = self.coder.encode_ordinary(head)
-        ids.extend(chain.from_iterable(map(self.words.__getitem__, rest)))
-        return ids
+        return self.encode_all(pa.array([text], pa.string()), 0)[0][:-1].tolist()
 
 
 class _Chunks(dict):
-    """Ids by chunk. Two generations of bounded size, so that what is frequent stays."""
+    """Place of each chunk in a table of ids; the empty text's is 0."""
 
-    def __init__(self, encode, bound: int):
-        self.encode, self.bound, self.old = encode, bound // 2, {}
+    def __init__(self):
+        super().__init__({"\0": 0})
+        self.ids, self.start, self.size = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
-    def __missing__(self, key: str) -> tuple[int, ...]:
-        if len(self) >= self.bound:
-            self.old = dict(self)
-            self.clear()
-        if (value := self.old.get(key)) is None:
-            value = self.encode(key)
-        if len(key) <= 64:
-            self[key] = value
-        return value
+    def add(self, keys: list[str], ids: np.ndarray, close: np.ndarray) -> None:
+        """Chunks whose ids end before the line feeds at ``close``; that of a key with a line feed begins with the one before it."""
+        start = np.concatenate([[0], close[:-1] + 1])
+        own = np.array([k[0] == "\n" for k in keys])
+        feed = np.full(1, ids[close[0]], ids.dtype)
+        self.update(zip(keys, range(len(self), len(self) + len(keys)), strict=True))
+        self.start = np.concatenate([self.start, len(self.ids) + start + 1 - own])
+        self.size = np.concatenate([self.size, close - start + own])
+        self.ids = np.concatenate([self.ids, feed, ids])
 
 
 _TOKENIZERS: dict[str, ByteBPE] = {}
@@ -125,36 +154,58 @@ class Corpus:
         return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / self.mean))
 
 
+def terms_of(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, how often) for the distinct terms of each document, in this order."""
+    if not docs:
+        return (np.zeros(0, np.int64),) * 3
+    sizes = [len(d) for d in docs]
+    keys = (np.repeat(np.arange(len(docs), dtype=np.int64), sizes) << 32) | np.concatenate(docs)
+    keys.sort()
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first] >> 32, keys[first] & 0xFFFFFFFF, np.diff(np.append(first, len(keys)))
+
+
 def corpus_of(docs: list[np.ndarray]) -> Corpus:
     """The figures of documents that are at hand."""
-    flat = np.concatenate([np.unique(d) for d in docs]) if docs else np.zeros(0, np.int64)
-    return Corpus(len(docs), float(np.mean([max(1, len(d)) for d in docs])) if docs else 1.0, np.bincount(flat.astype(np.int64)))
+    return Corpus(len(docs), float(np.mean([max(1, len(d)) for d in docs])) if docs else 1.0, np.bincount(terms_of(docs)[1]))
 
 
 class Index:
-    """BM25 over the token ids of a shard's documents, by the figures of the corpus; ``terms``: of a query's strongest ones, None for all."""
-
-    def __init__(self, docs: list[np.ndarray], terms: int | None = None, corpus: Corpus | None = None):
-        corpus, self.n, self.terms = corpus or corpus_of(docs), len(docs), terms
-        lengths = np.array([max(1, len(d)) for d in docs], np.float64)
-        parts = [np.unique(d, return_counts=True) for d in docs]
-        sizes = [len(u) for u, _ in parts]
-        self.doc, self.first = np.repeat(np.arange(self.n), sizes), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        term = np.concatenate([u for u, _ in parts]).astype(np.int64) if docs else np.zeros(0, np.int64)
-        tf = np.concatenate([c for _, c in parts]) if docs else np.zeros(0)
-        self.weight = corpus.weights(term, tf, lengths[self.doc])
-        names, self.term = np.unique(term, return_inverse=True)
-        self.names = len(names)
+    """BM25 over the token ids of a shard's documents, by the figures of the corpus.
+
+    Terms that many of the documents have are rows of a matrix, all others are inverted lists; a query reads its own terms alone.
+    """
+
+    def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None):
+        corpus, self.n = corpus or corpus_of(docs), len(docs)
+        doc, term, tf = terms_of(docs)
+        self.first = np.searchsorted(doc, np.arange(self.n + 1))
+        self.weight = corpus.weights(term, tf, np.array([max(1, len(d)) for d in docs], np.float64)[doc])
+        of = np.full(int(term.max(initial=-1)) + 1, -1, np.int64)
+        names = np.flatnonzero(np.bincount(term)) if len(term) else np.zeros(0, np.int64)
+        of[names] = np.arange(len(names))
+        self.term = of[term]
+        self.size = np.bincount(self.term, minlength=len(names))
+        order = np.argsort(self.term, kind="stable")
+        self.docs, self.weights, self.start = doc[order], self.weight[order], np.cumsum(self.size) - self.size
+        wide = np.flatnonzero(self.size > max(8, self.n // 8))
+        self.row = np.full(len(names), -1, np.int64)
+        self.row[wide] = np.arange(len(wide))
+        self.matrix = np.zeros((len(wide), self.n))
+        inside = self.row[self.term] >= 0
+        self.matrix[self.row[self.term[inside]], doc[inside]] = self.weight[inside]
 
     def scores(self, doc: int) -> np.ndarray:
-        """The scores of all documents against this one's terms."""
-        a, b = self.first[doc], self.first[doc + 1]
-        asked = self.term[a:b]
-        if self.terms is not None:
-            asked = asked[np.argsort(-self.weight[a:b], kind="stable")[: self.terms]]
-        query = np.zeros(self.names)
-        query[asked] = 1
-        return np.bincount(self.doc, self.weight * query[self.term], self.n)
+        """The scores of all documents against this one's terms, all of them."""
+        asked = self.term[self.first[doc] : self.first[doc + 1]]
+        row = self.row[asked]
+        mask = np.zeros(len(self.matrix))
+        mask[row[row >= 0]] = 1
+        lists = asked[row < 0]
+        sizes = self.size[lists]
+        upto = np.cumsum(sizes)
+        at = np.repeat(self.start[lists] - (upto - sizes), sizes) + np.arange(upto[-1] if len(upto) else 0)
+        return mask @ self.matrix + np.bincount(self.docs[at], self.weights[at], self.n)
 
 
 @lru_cache(maxsize=1)
@@ -162,17 +213,22 @@ def _directions(terms: int, size: int = 128) -> np.ndarray:
     return np.random.default_rng(7).standard_normal((terms, size), np.float32)
 
 
-def vectors(docs: list[np.ndarray], corpus: Corpus, shard_docs: int) -> tuple[np.ndarray, list[int]]:
+def vectors(docs: list[np.ndarray], corpus: Corpus, shard_docs: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each document a random projection of its BM25 weights, of length 1, and its strongest term that several shards don't share."""
-    of, strongest = _directions(len(corpus.df)), []
-    out = np.zeros((len(docs), of.shape[1]), np.float32)
-    for k, d in enumerate(docs):
-        term, tf = np.unique(d, return_counts=True)
-        w = corpus.weights(term, tf, len(d))
-        out[k] = w.astype(np.float32) @ of[term]
-        df = corpus.df[term]
-        own = np.where((df > 1) & (df <= shard_docs), w, -1.0)
-        strongest.append(int(term[np.argmax(own)]) if own.max() > 0 else -1)
+    of, n = _directions(len(corpus.df)), len(docs)
+    doc, term, tf = terms_of(docs)
+    weight = corpus.weights(term, tf, np.array([len(d) for d in docs], np.float64)[doc])
+    first = np.searchsorted(doc, np.arange(n + 1))
+    light = weight.astype(np.float32)
+    out = np.zeros((n, of.shape[1]), np.float32)
+    for k in range(n):
+        a, b = first[k], first[k + 1]
+        out[k] = light[a:b] @ of[term[a:b]]
+    df = corpus.df[term]
+    own = (df > 1) & (df <= shard_docs)
+    strongest = np.full(n, -1, np.int64)
+    rank = np.lexsort((-term[own], weight[own], doc[own]))  # a document's last one is its strongest, of equal ones the smallest id
+    strongest[doc[own][rank]] = term[own][rank]
     return out / (np.linalg.norm(out, axis=1, keepdims=True) + 1e-9), strongest
 
 
@@ -194,9 +250,9 @@ def centres(sample: np.ndarray, clusters: int, rounds: int = 8) -> np.ndarray:
     return found[placed]
 
 
-def order(docs: list[np.ndarray], window: int, filled: int, terms: int | None = None, corpus: Corpus | None = None) -> Iterator[int]:
+def order(docs: list[np.ndarray], window: int, filled: int, corpus: Corpus | None = None) -> Iterator[int]:
     """Documents of a shard in the order in which they fill windows; ``filled``: tokens that the open window has."""
-    index = Index(docs, terms, corpus)
+    index = Index(docs, corpus)
     unused = np.ones(len(docs), bool)
     next_seed, left = 0, window - filled
     score: np.ndarray | None = None
@@ -226,7 +282,9 @@ PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id
 
 
 def _ids(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [np.frombuffer(x, "<u4") for x in batch.column("_ids").to_pylist()]
+    """The ids of each document; they are stored in two bytes each if the vocabulary allows it, else in four."""
+    wide = batch.column("_wide")[0].as_py()
+    return [np.frombuffer(x, "<u4" if wide else "<u2") for x in batch.column("_ids").to_pylist()]
 
 
 def _figures(coded: DataFrame) -> Corpus:
@@ -236,14 +294,14 @@ def _figures(coded: DataFrame) -> Corpus:
         found, docs, tokens = np.zeros(0, np.int64), 0, 0
         for batch in slices(batches, "_ids"):
             got = _ids(batch)
-            new = np.bincount(np.concatenate([np.unique(d) for d in got]))
+            new = np.bincount(terms_of(got)[1])
             found = np.pad(found, (0, max(0, len(new) - len(found))))
             found[: len(new)] += new
             docs, tokens = docs + len(got), tokens + sum(map(len, got))
         term = np.flatnonzero(found)
         yield pa.record_batch([pa.array(np.concatenate([[-2, -1], term])), pa.array(np.concatenate([[docs, tokens], found[term]]))], names=["term", "n"])
 
-    rows = {r["term"]: r["n"] for r in coded.select("_ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    rows = {r["term"]: r["n"] for r in coded.select("_ids", "_wide").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     docs, tokens = rows.pop(-2, 0) or 0, rows.pop(-1, 0) or 0
     df = np.zeros(max(rows, default=0) + 1, np.int64)
     df[list(rows)] = list(rows.values())
@@ -263,7 +321,7 @@ def routed(coded: DataFrame, corpus: Corpus, shard_docs: int, sample: int = 10_0
         for batch in slices(batches, "_ids"):
             yield pa.record_batch([pa.array([v.tobytes() for v in vectors(_ids(batch), known.value, shard_docs)[0]], pa.binary())], names=["v"])
 
-    taken = coded.select("_ids").where(F.pmod(F.xxhash64("_key", "_ids"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(1, corpus.docs))) + 1)
+    taken = coded.select("_ids", "_wide").where(F.pmod(F.xxhash64("_key", "_ids"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(1, corpus.docs))) + 1)
     got = sorted(r["v"] for r in taken.mapInArrow(project, "v binary").collect())
     points = np.frombuffer(b"".join(got), np.float32).reshape(-1, 128)
     found = spark.sparkContext.broadcast(centres(points, min(1024, max(1, corpus.docs // 64))))
@@ -276,18 +334,18 @@ def routed(coded: DataFrame, corpus: Corpus, shard_docs: int, sample: int = 10_0
 
     placed = coded.mapInArrow(place, coded.withColumns({"_cluster": F.lit(0).cast("int"), "_strongest": F.lit(0).cast("int")}).schema)
     by = ["_cluster", "_strongest", "_salt"]
-    return placed.withColumn("_salt", F.xxhash64("_key")).repartitionByRange(*by).sortWithinPartitions(*by).select("_key", "_ids")
+    return placed.withColumn("_salt", F.xxhash64("_key")).repartitionByRange(*by).sortWithinPartitions(*by).select("_key", "_ids", "_wide")
 
 
-def pack(df: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc_id", end_id: int = 1, window: int = 2048, shard_docs: int = 1024, shard_tokens: int = 4_000_000, terms: int | None = None, ids: bool = False) -> DataFrame:
+def pack(df: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc_id", end_id: int = 1, window: int = 2048, shard_docs: int = 1024, shard_tokens: int = 4_000_000, ids: bool = False) -> DataFrame:
     """Pieces of documents in windows: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with ``ids`` the ids.
 
     Each document's ids, followed by ``end_id``, are cut into pieces; a piece lies in
     one sequence, without gaps between the pieces. All sequences of a partition but the
     last are full. A null or empty text is its end id alone; equal rows are packed each;
     other columns are not read. Memory is bounded by a shard: it closes at ``shard_docs``
-    documents or ``shard_tokens`` tokens. ``terms`` is how many of a seed's strongest
-    terms query the index, None for all. Texts are coded once and written. The tokenizer file (fixed size, 1.5 MB) is broadcast.
+    documents or ``shard_tokens`` tokens. All terms of a seed query the index. Texts
+    are coded once and written. The tokenizer file (fixed size, 1.5 MB) is broadcast.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = df.sparkSession.sparkContext.broadcast(f.read())
@@ -295,9 +353,13 @@ def pack(df: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokenizer(spec.value)
-        for batch in slices(batches, "_text", 2_000_000):
-            got = [np.array([*x, end_id], "<u4").tobytes() for x in map(coder.encode, batch.column("_text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array(got, pa.binary())], names=["_key", "_ids"])
+        for batch in slices(batches, "_text", 8_000_000):
+            flat, ends = coder.encode_all(batch.column("_text"), end_id)
+            wide = max(end_id, coder.coder.max_token_value, coder.tokenizer.get_vocab_size()) > 0xFFFF
+            flat = flat.astype("<u4" if wide else "<u2")
+            offsets = np.concatenate([[0], ends * flat.itemsize]).astype(np.int32)
+            got = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), got, pa.array([wide] * len(ends))], names=["_key", "_ids", "_wide"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         corpus = figures.value
@@ -308,7 +370,7 @@ def pack(df: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc
 
         def shard() -> pa.RecordBatch:
             rows: list[tuple] = []
-            for k in order(docs, window, state["filled"], terms, corpus):
+            for k in order(docs, window, state["filled"], corpus):
                 doc, start = docs[k], 0
                 while start < len(doc):
                     n = min(len(doc) - start, window - state["filled"])
@@ -337,7 +399,7 @@ def pack(df: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc
 
     read = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     kind = read.schema["_key"].dataType.simpleString()
-    coded = stored(read.mapInArrow(code, f"_key {kind}, _ids binary"))
+    coded = stored(read.mapInArrow(code, f"_key {kind}, _ids binary, _wide boolean"))
     corpus = _figures(coded)
     figures = df.sparkSession.sparkContext.broadcast(corpus)
     return routed(coded, corpus, shard_docs).mapInArrow(run, f"`{key}` {kind}, {PIECES}" + (", ids array<int>" if ids else ""))

@@ -457,7 +457,7 @@ def test_packing_prefers_neighbours():
 
     a, b = [np.array([1, 2, 3, k + 50] * 10, np.uint16) for k in range(4)], [np.array([7, 8, 9, k + 80] * 10, np.uint16) for k in range(4)]
     mixed = [x for pair in zip(a, b, strict=True) for x in pair]
-    got = list(packing.order(mixed, 160, 0, 16))
+    got = list(packing.order(mixed, 160, 0))
     assert {k % 2 for k in got[:4]} == {0} and {k % 2 for k in got[4:]} == {1} and sorted(got) == list(range(8))
 
 
