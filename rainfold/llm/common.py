@@ -54,28 +54,47 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: i
             at = to
 
 
+def named(df: DataFrame, *without: str) -> list[Column]:
+    """The columns of a frame, whatever characters their names have."""
+    return [F.col(quoted(c)) for c in df.columns if c not in without]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; set only where the session has none, as in tests."""
+    """The folder that all executors share. Where the session has none, a local master gets one of its own, as in tests; a cluster gets an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="rainfold-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Writes the rows to the shared folder and reads them again: this cuts the lineage and survives lost executors."""
+def stored(df: DataFrame, files: int | None = None) -> DataFrame:
+    """Writes the rows to the shared folder and reads them again: this cuts the lineage and survives lost executors. ``files``: at most so many."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/rainfold-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df if files is None else df.coalesce(files)).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.rainfold_path = path
+    return out
 
 
-def dropped(spark: SparkSession, *frames: DataFrame) -> None:
+def dropped(*frames: DataFrame) -> None:
     """Deletes tables of ``stored`` that nothing needs any more."""
     for frame in frames:
-        for file in frame.inputFiles()[:1]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        spark = frame.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(frame.rainfold_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def held(df: DataFrame) -> DataFrame:
+    """A checkpoint for small results: they no longer need the tables that they come from, and Spark deletes it when nothing refers to it."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -8,11 +8,15 @@ matches that a pair must have follow from both sizes and both prefixes.
 First every document has the shortest prefix. Posting counts tell exactly what a
 document's candidates would cost; where that is too much, its prefix is lengthened,
 and it may then leave out as many of its most frequent prefix shingles as the longer prefix
-pays for. Documents that stay costly (large groups of near copies, or of texts that
+pays for. The longest prefix is the whole set, rarest shingles first: there a
+place tells how many shingles can still be shared from it on, so pairs that can't
+be similar don't even meet. Documents that stay costly (large groups of near copies, or of texts that
 share most of what they have) are compared with one pivot for each shingle at a
-time, and pairs that are already connected are left out; rounds go on until
-no pair is open. So a group of copies costs a few comparisons a member, and no
-link between different components is ever skipped.
+time, and pairs that are already connected are left out; rounds go on as long as they
+halve what is open, and all that is left is compared then. So a group of copies costs a few
+comparisons a member, and no link between different components is ever skipped.
+
+A document's identity between two scans is its key and a hash of its text, never a row number.
 """
 
 from __future__ import annotations
@@ -21,41 +25,46 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import dropped, numbered, slices, stored
+from .common import dropped, held, named, numbered, quoted, slices, stored
 from .components import connected_components
 
 SIZE = 5
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_WORDS = _Words()
-
-
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes (int64) of the 5-word shingles, A-Z in lower case; of fewer words the whole sequence."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.int64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    k = min(SIZE, len(words))
-    out = np.full(len(h) - k + 1, k, np.uint64)
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k words."""
+    out = np.full(max(0, len(h) - k + 1), k, np.uint64)
     for j in range(k):
         out = out * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - k + 1 + j]
     out ^= out >> np.uint64(29)
     out *= np.uint64(0xBF58476D1CE4E5B9)
     out ^= out >> np.uint64(32)
-    return np.unique(out.view(np.int64))
+    return out.view(np.int64)
+
+
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    """Of each text the sorted distinct hashes (int64) of its 5-word shingles, A-Z in lower case; of fewer words the whole sequence."""
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    known = words.flatten().dictionary_encode()
+    names = known.dictionary.to_pylist()
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in names), np.uint64, len(names))
+    real, place = np.fromiter((w != "" for w in names), bool, len(names)), known.indices.to_numpy()
+    before = np.concatenate([[0], np.cumsum(real[place])])
+    ends = before[words.offsets.to_numpy() - words.offsets[0].as_py()]
+    h = hashes[place[real[place]]]
+    runs = _mixed(h, SIZE)
+    return [np.unique(runs[a : b - SIZE + 1] if b - a >= SIZE else _mixed(h[a:b], b - a)) if b > a else np.zeros(0, np.int64) for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The set of one text."""
+    return shingle_sets(pa.array([text], pa.string()))[0]
 
 
 def _least(n):
@@ -64,20 +73,22 @@ def _least(n):
 
 
 def _shingled(df: DataFrame, whole: bool) -> DataFrame:
-    """_rf_row, doc, n, key (a 128-bit hash of the set) and tokens: the whole set, or its shortest prefix."""
+    """The other columns, n, set (a 128-bit hash of the set) and tokens: the whole set, or its shortest prefix."""
+    rest = [c for c in df.columns if c != "_text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
-            sets = [shingles(t) for t in batch.column("_text").to_pylist()]
+            sets = shingle_sets(batch.column("_text"))
             sizes = [len(s) for s in sets]
             parts = sets if whole else [s[: len(s) - _least(len(s)) + 1] for s in sets]
             flat = np.concatenate(parts)
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64()))
             keys = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("_rf_row"), batch.column("doc"), pa.array(sizes, pa.int32()), keys, tokens], names=["_rf_row", "doc", "n", "key", "tokens"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, rest), pa.array(sizes, pa.int32()), keys, tokens], names=[*rest, "n", "set", "tokens"])
 
-    return df.mapInArrow(run, "_rf_row long, doc long, n int, key binary, tokens array<long>")
+    kinds = ", ".join(f"{c} {t}" for c, t in df.drop("_text").dtypes)
+    return df.mapInArrow(run, f"{kinds}, n int, set binary, tokens array<long>")
 
 
 def _need(a: str, b: str) -> Column:
@@ -89,28 +100,29 @@ def _sizes_fit(a: str, b: str) -> Column:
     return (5 * F.col(a) >= 4 * F.col(b)) & (5 * F.col(b) >= 4 * F.col(a))
 
 
-def _lower(n: Column) -> Column:
-    return F.ceil(n * 4 / 5)
-
-
 #: Rows of ids that may be broadcast, counted before: a few MB.
 FEW = 200_000
 
 
 def _only(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of these ids. A short list of ids goes to the rows, which then aren't shuffled."""
-    return df.join(F.broadcast(ids) if ids.count() <= FEW else ids, "_rf_row", "left_semi")
+    """The rows of these nodes. A short list of nodes goes to the rows, which then aren't shuffled."""
+    return df.join(F.broadcast(ids) if ids.count() <= FEW else ids, "node", "left_semi")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets have a Jaccard similarity of 0.8 or more. Only the sets of these pairs are shuffled."""
+    """The pairs (a, b), stored, whose whole sets have a Jaccard similarity of 0.8 or more. Only the sets of these pairs are shuffled."""
     pairs = stored(pairs.select("a", "b"))
-    few = pairs.count() <= FEW
-    left = sets.select(F.col("_rf_row").alias("a"), F.col("tokens").alias("ta")).join(F.broadcast(pairs) if few else pairs, "a")
-    right = _only(sets, pairs.select(F.col("b").alias("_rf_row")).distinct())
-    both = left.join(right.select(F.col("_rf_row").alias("b"), F.col("tokens").alias("tb")), "b")
+    n = pairs.count()
+    if not n:
+        return pairs
+    few = n <= FEW
+    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")).join(F.broadcast(pairs) if few else pairs, "a")
+    right = _only(sets, stored_ends := stored(pairs.select(F.col("b").alias("node")).distinct()))
+    both = left.join(right.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
     shared = F.size(F.array_intersect("ta", "tb"))
-    return both.where(9 * shared >= 4 * (F.size("ta") + F.size("tb"))).select("a", "b")
+    out = stored(both.where(9 * shared >= 4 * (F.size("ta") + F.size("tb"))).select("a", "b"))
+    dropped(pairs, stored_ends)
+    return out
 
 
 def _counted(postings: DataFrame) -> DataFrame:
@@ -119,25 +131,32 @@ def _counted(postings: DataFrame) -> DataFrame:
     return postings.join(several, "token")
 
 
-def _candidates(postings: DataFrame, cheap: DataFrame, prefix: str, left_out: str) -> DataFrame:
-    """Pairs of a cheap document and any other that share as many prefix shingles as a similar pair must."""
-    rows = postings.join(cheap.select("_rf_row", F.lit(True).alias("cheap")), "_rf_row", "left").select("token", "_rf_row", "n", F.coalesce("cheap", F.lit(False)).alias("cheap"))
-    own = rows.where("cheap").select("token", F.col("_rf_row").alias("x"), F.col("n").alias("nx"))
-    other = rows.select("token", F.col("_rf_row").alias("y"), F.col("n").alias("ny"), F.col("cheap").alias("cy"))
-    met = own.join(other, "token").where((F.col("x") != F.col("y")) & (~F.col("cy") | (F.col("x") < F.col("y"))) & _sizes_fit("nx", "ny"))
-    return _enough(met, prefix, left_out)
+def _meet(x: DataFrame, y: DataFrame, extra: Column | None = None) -> DataFrame:
+    """Rows of x and y (columns with these letters) at one shingle whose sizes, and if they have them places, allow similarity."""
+    fits = (x["token"] == y["token"]) & _sizes_fit("nx", "ny")
+    if "ix" in x.columns:  # the places of the first shared shingle: at most what follows can be shared
+        fits = fits & (9 * (F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) + 1) >= 4 * (F.col("nx") + F.col("ny")))
+    return x.join(y, fits if extra is None else fits & extra)
 
 
-def _enough(met: DataFrame, prefix: str, left_out: str) -> DataFrame:
-    """Pairs (a, b) among those that met at a shingle (x, y, nx, ny) which share as many as a similar pair must.
+def _side(rows: DataFrame, letter: str, *more: str) -> DataFrame:
+    place = [F.col("rank").alias(f"i{letter}")] if "rank" in rows.columns else []
+    return rows.select("token", F.col("node").alias(letter), F.col("n").alias(f"n{letter}"), *place, *[F.col(c).alias(f"{c}{letter}") for c in more])
 
-    prefix and left_out: of a set of n, the length of its prefix and how many of its most frequent prefix shingles aren't posted.
-    """
+
+def _candidates(postings: DataFrame, cheap: DataFrame, prefix: str, left_out: str) -> DataFrame:
+    """Pairs (a, b) of a cheap document and any other that share as many prefix shingles as a similar pair must."""
+    rows = postings.join(cheap.select("node", F.lit(True).alias("c")), "node", "left").withColumn("c", F.coalesce("c", F.lit(False)))
+    other = (F.col("x") != F.col("y")) & (~F.col("cy") | (F.col("x") < F.col("y")))
+    met = _meet(_side(rows.where("c"), "x"), _side(rows, "y", "c"), other)
+    pair = (F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    if "rank" in rows.columns:
+        return met.select(*pair).distinct()
     shared = met.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("k"))
     at = lambda e, n: F.expr(e.replace("{n}", n))
     beyond = F.greatest(F.col("nx") - at(prefix, "nx"), F.col("ny") - at(prefix, "ny"))
     lost = F.greatest(at(left_out, "nx"), at(left_out, "ny"))
-    return shared.where(F.col("k") >= _need("nx", "ny") - beyond - lost).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return shared.where(F.col("k") >= _need("nx", "ny") - beyond - lost).select(*pair).distinct()
 
 
 SHORT, NONE = "{n} - ceil({n} * 4 / 5) + 1", "0"
@@ -149,119 +168,154 @@ WHOLE, ALL_BUT_ONE = "{n}", "ceil({n} * 4 / 5) - 1"
 
 def _cost(postings: DataFrame, factor: int) -> tuple[DataFrame, DataFrame]:
     """Documents by what their candidates cost: (cheap ones, costly ones)."""
-    cost = postings.groupBy("_rf_row", "n").agg(F.sum(F.col("cnt") - 1).alias("cost"))
+    cost = postings.groupBy("node", "n").agg(F.sum(F.col("cnt") - 1).alias("cost"))
     limit = 64 + factor * F.expr(SHORT.replace("{n}", "n"))
     return cost.where(F.col("cost") <= limit), cost.where(F.col("cost") > limit)
 
 
 def _lengthened(sets: DataFrame, prefix: str, left_out: str) -> DataFrame:
-    """Postings (token, _rf_row, n, cnt) of longer prefixes, each document's most frequent shingles left out."""
+    """Postings (token, node, n, cnt) of longer prefixes, each document's most frequent shingles left out; of whole sets also rank, the place from the rarest on."""
     length = F.expr(prefix.replace("{n}", "n")).cast("int")
-    own = sets.select("_rf_row", "n", F.explode(F.slice("tokens", F.lit(1), length)).alias("token"))
-    rare = length - F.count("*").over(_rows())  # shingles that no other document has come first
-    ranked = _counted(own).withColumn("rank", F.row_number().over(_rows().orderBy("cnt", "token")) + rare)
-    return ranked.where(F.col("rank") <= length - F.expr(left_out.replace("{n}", "n"))).drop("rank")
-
-
-def _by_pivots(postings: DataFrame, sets: DataFrame, prefix: str, left_out: str, rounds: int = 6, spare: int = 16) -> DataFrame:
-    """Links among costly documents, enough for their components.
+    own = sets.select("node", "n", F.explode(F.slice("tokens", F.lit(1), length)).alias("token"))
+    rows = W.partitionBy("node")
+    rare = length - F.count("*").over(rows)  # shingles that no other document has come first
+    ranked = _counted(own).withColumn("rank", F.row_number().over(rows.orderBy("cnt", "token")) + rare)
+    kept = ranked.where(F.col("rank") <= length - F.expr(left_out.replace("{n}", "n")))
+    return kept if prefix == WHOLE else kept.drop("rank")
+
+
+def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, component) when ``links`` (a, b) join some of them. Only components that links touch are looked at."""
+    known = comps.withColumnRenamed("component", "c")
+    edges = links
+    for end in ("a", "b"):
+        edges = edges.join(known.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
+    groups = connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    moved = known.join(groups.select(F.col("node").alias("c"), "component"), "c", "left").select("node", F.coalesce("component", "c").alias("component"))
+    out = stored(moved.unionByName(groups.join(comps.select("node"), "node", "left_anti")))
+    dropped(groups, comps)
+    return out
+
+
+def _by_pivots(postings: DataFrame, sets: DataFrame, comps: DataFrame, spare: int = 16) -> DataFrame:
+    """The components (node, component) when costly documents are linked too.
 
     A round compares each document with the pivots of its shingles: the members with most postings, which
     are closest to what a group's copies come from, and among equals one of four by hash. Rounds
-    go on while all open pairs together would meet more than ``spare`` times for each posting.
+    go on while all open pairs together would meet more than ``spare`` times for each posting, and each round halves that number.
     """
-    spark = postings.sparkSession
-    links = stored(spark.createDataFrame([], "a long, b long"))
-    comps = spark.createDataFrame([], "node long, component long")
-    weight = postings.groupBy("_rf_row").agg(F.count("*").alias("m"))
-    base = stored(postings.select("token", "_rf_row", "n").join(weight, "_rf_row"))
-    open_ = base
-
-    def mixed(rows: DataFrame, turn: int) -> DataFrame:
-        """The rows at shingles with several components, each with its shingle's pivot p."""
-        known = comps.withColumnRenamed("node", "_rf_row").withColumnRenamed("component", "comp")
-        rows = rows.join(known, "_rf_row", "left").withColumn("comp", F.coalesce("comp", "_rf_row"))
-        first = F.min(F.struct(-F.col("m"), F.xxhash64("_rf_row", F.pmod("token", F.lit(4)), F.lit(turn)), "_rf_row", "n", "comp"))
+    weight = postings.groupBy("node").agg(F.count("*").alias("m"))
+    open_ = stored(postings.select("token", "node", "n", "rank").join(weight, "node"))
+    before, turn = float("inf"), 0
+    while True:
+        known = comps.withColumnRenamed("component", "comp")
+        rows = open_.join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        first = F.min(F.struct(-F.col("m"), F.xxhash64("node", F.pmod("token", F.lit(4)), F.lit(turn)), "node", "n", "rank", "comp"))
         several = rows.groupBy("token").agg(first.alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token", "p")
-        return rows.join(several, "token")
-
-    for turn in range(rounds):
-        near = stored(mixed(open_, turn))
-        met, rows = near.groupBy("token").count().agg(F.sum(F.col("count") * F.col("count")), F.sum("count")).first()
-        if not rows:
-            return links
-        if met <= spare * rows:
+        near = stored(rows.join(several, "token"))  # what stands at shingles of several components, each with the shingle's pivot
+        dropped(open_)
+        met, n = near.groupBy("token").count().agg(F.sum(F.col("count") * F.col("count")), F.sum("count")).first()
+        if not n or met <= spare * n or met > before / 2:
             break
-        pairs = near.where((F.col("comp") != F.col("p.comp")) & _sizes_fit("n", "p.n")).select(F.col("p._rf_row").alias("a"), F.col("_rf_row").alias("b")).distinct()
-        old, links = links, stored(links.union(_similar(pairs, sets)))
-        comps = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        open_ = near.where("_rf_row != p._rf_row").select("token", "_rf_row", "n", "m")
-        dropped(spark, old)
-    # all that is still open at once, with the matches that a similar pair must have
-    near = stored(mixed(base, rounds))
-    x = near.select("token", F.col("_rf_row").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-    y = near.select("token", F.col("_rf_row").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
-    met = x.join(y, (x["token"] == y["token"]) & (x["x"] < y["y"]) & (x["cx"] != y["cy"]) & _sizes_fit("nx", "ny"))
-    return links.union(_similar(_enough(met, prefix, left_out), sets))
-
-
-def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", factor: int = 4) -> DataFrame:
-    """One row for each input row: _rf_row, key, n_shingles, component_id, and first, whether the row stands for its component.
-
-    Documents are linked if their sets of 5-word shingles have a Jaccard similarity of
-    0.8 or more (100 * intersection >= 80 * union); component_id is the smallest key that links reach.
-    Null keys don't count as smallest; a component of null keys has null. Null and wordless texts have
-    no shingles and no links. Rows with equal sets are one class, equal rows too.
-    The first row of a component (smallest key, then row number) stands for it. Rows that come
-    with _rf_row must have the same one in every scan. Sets are of 64-bit
-    hashes. ``factor``: what candidates may cost, in shingles of the prefix.
-    """
-    own = ["_rf_row"] if "_rf_row" in df.columns else []
-    rows = df.select(*own, F.col(key).cast("long").alias("doc"), F.col(text).alias("_text"))
-    rows = rows if own else stored(numbered(rows))
-    first = stored(_shingled(rows, whole=False))
-    light = first.select("_rf_row", "doc", "n", "key")
-    classes = stored(light.where("n > 0").groupBy("key").agg(F.min("_rf_row").alias("node"), F.min(F.struct(F.col("doc").isNull(), "doc", "_rf_row")).alias("head"), F.count("*").alias("rows")))
-    copies = light.join(classes.where("rows > 1").select("key", "node"), "key").where("_rf_row != node").select("_rf_row")
-    heads = first.where("n > 0").join(copies, "_rf_row", "left_anti")
-    postings = stored(_counted(heads.select("_rf_row", "n", F.explode("tokens").alias("token"))))
+        pivots = near.select("token", F.col("p.node").alias("x"), F.col("p.n").alias("nx"), F.col("p.rank").alias("ix"), F.col("p.comp").alias("cx"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("rank").alias("iy"), F.col("comp").alias("cy"))
+        fits = _sizes_fit("nx", "ny") & (9 * (F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) + 1) >= 4 * (F.col("nx") + F.col("ny")))
+        links = _similar(pivots.where((F.col("cx") != F.col("cy")) & fits).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), sets)
+        comps = _merged(comps, links)
+        open_ = stored(near.where("node != p.node").select("token", "node", "n", "rank", "m"))
+        dropped(near, links)
+        before, turn = met, turn + 1
+    if n:  # all that is still open at once
+        apart = (F.col("x") < F.col("y")) & (F.col("compx") != F.col("compy"))
+        met = _meet(_side(near, "x", "comp"), _side(near, "y", "comp"), apart)
+        links = _similar(met.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), sets)
+        comps = _merged(comps, links)
+        dropped(links)
+    dropped(near)
+    return comps
+
+
+def _text_hash(c: Column) -> Column:
+    return F.unhex(F.md5(c.cast("string")))
+
+
+def _judged(df: DataFrame, text: str, key: str, factor: int) -> DataFrame:
+    """One row for each row: doc, h (hash of the text), n, component (a doc), first."""
+    rows = df.select(F.col(quoted(key)).cast("long").alias("doc"), _text_hash(F.col(quoted(text))).alias("h"), F.col(quoted(text)).alias("_text"))
+    read = stored(_shingled(numbered(rows, "row"), whole=False))
+    light = read.select("row", "doc", "h", "n", "set")
+    classes = stored(light.where("n > 0").groupBy("set").agg(F.min(F.struct("row", "doc", "h")).alias("r"), F.min(F.struct(F.col("doc").isNull(), "doc", "row")).alias("head"), F.count("*").alias("rows")).select("set", F.col("r.row").alias("node"), "r.doc", "r.h", "head", "rows"))
+    copies = light.join(classes.where("rows > 1").select("set", "node"), "set").where("row != node").select("row")
+    heads = read.where("n > 0").join(copies, "row", "left_anti").withColumnRenamed("row", "node")
+    postings = stored(_counted(heads.select("node", "n", F.explode("tokens").alias("token"))))
     cheap, costly = _cost(postings, factor)
-    cheap, costly = cheap.select("_rf_row"), stored(costly.select("_rf_row"))
+    cheap, costly = cheap.select("node"), stored(costly.select("node"))
     pairs = stored(_candidates(postings, cheap, SHORT, NONE))
-    wanted = stored(pairs.select(F.col("a").alias("_rf_row")).union(pairs.select("b")).union(costly).distinct())
-    sets = stored(_shingled(_only(rows, wanted), whole=True).select("_rf_row", "n", "tokens"))
-    links = stored(_similar(pairs, sets))
+    dropped(postings)
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(costly).distinct()
+    wanted = stored(classes.join(nodes, "node", "left_semi").select("node", F.col("doc").alias("d"), F.col("h").alias("g")))
+    here = F.broadcast(wanted) if wanted.count() <= FEW else wanted
+    found = _shingled(rows.join(here, (F.col("h") == F.col("g")) & F.col("doc").eqNullSafe(F.col("d"))).select("node", "_text"), whole=True).select("node", "n", "tokens")
+    if not light.where("n > 0").groupBy("doc", "h").count().where("count > 1").isEmpty():
+        found = found.dropDuplicates(["node"])  # repeated rows
+    sets = stored(found)
+    links = _similar(pairs, sets)
+    dropped(pairs, wanted)
     for prefix, left_out in ((LONG, LEFT_OUT), (WHOLE, ALL_BUT_ONE)):
         if costly.isEmpty():
             break
         kept = stored(_lengthened(_only(sets, costly), prefix, left_out))
         settled, rest = _cost(kept, factor)
-        links = stored(links.union(_similar(_candidates(kept, settled.select("_rf_row"), prefix, left_out), sets)))
-        costly = stored(rest.select("_rf_row"))
-    else:
-        if not costly.isEmpty():
-            links = stored(links.union(_by_pivots(_only(kept, costly), stored(_only(sets, costly)), prefix, left_out)))
+        more = _similar(_candidates(kept, settled.select("node"), prefix, left_out), sets)
+        old, links = (links, more, costly), stored(links.union(more))
+        costly = stored(rest.select("node"))
+        dropped(*old)
+        if prefix != WHOLE:
+            dropped(kept)
     groups = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    if not costly.isEmpty():
+        groups = _by_pivots(_only(kept, costly), sets, groups)
     joined = classes.join(groups, "node", "left").withColumn("comp", F.coalesce("component", "node"))
     heads_of = joined.where("component is not null").groupBy("comp").agg(F.min("head").alias("first"))
-    known = joined.where("rows > 1 or component is not null").join(heads_of, "comp", "left").select("key", F.coalesce("first", "head").alias("first"))
-    return light.join(known, "key", "left").select(
-        "_rf_row",
-        F.col("doc").alias(key),
-        F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("first").isNull(), F.col("doc")).otherwise(F.col("first.doc")).alias("component_id"),
-        F.coalesce(F.col("first._rf_row") == F.col("_rf_row"), F.lit(True)).alias("first"),
+    known = joined.where("rows > 1 or component is not null").join(heads_of, "comp", "left").select("set", F.coalesce("first", "head").alias("first"))
+    out = held(
+        light.join(known, "set", "left").select(
+            "doc",
+            "h",
+            "n",
+            F.when(F.col("first").isNull(), F.col("doc")).otherwise(F.col("first.doc")).alias("component"),
+            F.coalesce(F.col("first.row") == F.col("row"), F.lit(True)).alias("first"),
+        )
     )
+    dropped(read, classes, sets, links, costly, groups)
+    return out
 
 
-def _rows():
-    from pyspark.sql import Window
+def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", factor: int = 4) -> DataFrame:
+    """One row for each input row: key, n_shingles, component_id, and first, whether the row stands for its component.
 
-    return Window.partitionBy("_rf_row")
+    Documents are linked if their sets of 5-word shingles have a Jaccard similarity of
+    0.8 or more (100 * intersection >= 80 * union); component_id is the smallest key that links reach.
+    Null keys don't count as smallest; a component of null keys has null. Null and wordless texts have
+    no shingles and no links. Rows with equal sets are one class, equal rows too.
+    The first row of a component (smallest key, then the order of reading) stands for it. Other columns aren't read. Sets are of 64-bit
+    hashes. ``factor``: what candidates may cost, in shingles of the prefix. The result is checkpointed; all tables
+    made on the way are deleted.
+    """
+    out = _judged(df, text, key, factor)
+    return out.select(F.col("doc").alias(key), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"), "first")
 
 
 def drop_near_copies(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row of each component of ``near_duplicates``, with its own columns."""
-    rows = stored(numbered(df))
-    lost = near_duplicates(rows, text, key).where(~F.col("first")).select("_rf_row")
-    return rows.join(lost, "_rf_row", "left_anti").select(*df.columns)
+    """One row of each component of ``near_duplicates``, with its own columns, whatever their names.
+
+    Of rows that are equal in key and text one stays. Rows without words all stay.
+    """
+    by = _judged(df, text, key, 4).groupBy("doc", "h").agg(F.max("first").alias("first"), F.max((F.col("n") > 0).cast("int") * 1).alias("n"), F.count("*").alias("rows"))
+    lost = held(by.where(~F.col("first") | (F.col("rows") > 1) & (F.col("n") > 0)).select(F.col("doc").alias("_rf_d"), F.col("h").alias("_rf_h"), F.col("first").alias("_rf_again")))
+    same = F.col(quoted(key)).cast("long").eqNullSafe(F.col("_rf_d")) & (_text_hash(F.col(quoted(text))) == F.col("_rf_h"))
+    few = F.broadcast(lost) if lost.count() <= FEW else lost
+    kept = df.join(few, same, "left_anti")
+    again = lost.where("_rf_again")
+    if not again.isEmpty():  # repeated rows that stand for a component
+        kept = kept.unionByName(df.join(F.broadcast(again) if again.count() <= FEW else again, same, "left_semi").dropDuplicates([key, text]))
+    return kept.select(*named(df))

@@ -211,7 +211,7 @@ def score(df: DataFrame, train: DataFrame, text: str = "text", key: str = "doc_i
     heads = spark.sparkContext.broadcast([w for w, _ in lexicon[: s.heads]])
     bigrams = stored(_bigrams(train, heads, s, text))
     classes, n = exchange(bigrams, s)
-    dropped(spark, bigrams)
+    dropped(bigrams)
 
     def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, found = _Units(heads.value, s), Counter()

@@ -177,7 +177,7 @@ def robust_outliers(rows: DataFrame, by: tuple[str, str] = ("lang", "source"), l
         near = _distance(fit, params).withColumn("bin", F.floor(16 * F.log2(F.col("d2") + 1e-6)))
         bins = near.groupBy("grp", "bin").agg(F.count("*").alias("n"), sums.alias("s"))
         old, params = params, stored(bins.groupBy("grp").applyInPandas(_concentrate(share), PARAMS))
-        dropped(rows.sparkSession, old)
+        dropped(old)
     known = _distance(placed.where(F.col("_size") >= least), params)
     unknown = placed.where(F.col("_size") < least).withColumn("d2", F.lit(None).cast("double"))
     return known.unionByName(unknown).withColumn("outlier", F.coalesce(F.col("d2") > cutoff, F.lit(False))).drop("x", "grp", "_size")
