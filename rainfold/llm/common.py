@@ -30,17 +30,17 @@ def crc_fold(c: Column, folds: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % folds
 
 
-def numbered(df: DataFrame, name: str = "_rf_row") -> DataFrame:
-    """Adds a number that tells equal rows apart; the column name is reserved for this subpackage.
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """Adds a number that tells equal rows apart.
 
     It holds within one job only: splits follow the cores that are alive, so a later scan of the same
-    files may number them otherwise. Where several jobs use the numbers, write them once with ``stored``.
+    files may number them otherwise. So the job that numbers rows writes them, too, with ``stored``.
     """
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Cuts Arrow batches so that the texts of a slice stay within ``max_bytes``; a longer text goes alone."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Cuts Arrow batches so that the texts of a slice stay within ``max_bytes``; a longer text goes alone. At the end Arrow's unused memory is given back."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -52,6 +52,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: i
             to = max(at + 1, int(np.searchsorted(ends, before + max_bytes, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()
 
 
 def named(df: DataFrame, *without: str) -> list[Column]:
@@ -63,6 +64,30 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+#: Rows of ids or verdicts that may be broadcast, counted before: a few MB.
+FEW = 200_000
+
+
+def text_hash(c: Column) -> Column:
+    """What tells a text again in another scan (128 bits); null for null."""
+    return F.unhex(F.md5(c.cast("string")))
+
+
+def known_again(df: DataFrame, judged: DataFrame, text: str, key: str) -> DataFrame:
+    """The rows of ``df`` that ``judged`` (doc, h, kept, linked: one row for each row) keeps, with their own columns.
+
+    Rows are known by key and text, which hold in every scan, however it is split. Of rows that are equal in both and ``linked`` one stays.
+    """
+    by = judged.groupBy("doc", "h").agg(F.max("kept").alias("kept"), F.max("linked").alias("linked"), F.count("*").alias("rows"))
+    lost = held(by.where(~F.col("kept") | (F.col("rows") > 1) & F.col("linked")).select(F.col("doc").alias("_rf_d"), F.col("h").alias("_rf_h"), F.col("kept").alias("_rf_again")))
+    same = F.col(quoted(key)).cast("long").eqNullSafe(F.col("_rf_d")) & text_hash(F.col(quoted(text))).eqNullSafe(F.col("_rf_h"))
+    kept = df.join(F.broadcast(lost) if lost.count() <= FEW else lost, same, "left_anti")
+    again = lost.where("_rf_again")
+    if not again.isEmpty():
+        kept = kept.unionByName(df.join(F.broadcast(again) if again.count() <= FEW else again, same, "left_semi").dropDuplicates([key, text]))
+    return kept.select(*named(df))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share. Where the session has none, a local master gets one of its own, as in tests; a cluster gets an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, slices, stored
+from .common import FEW, dropped, held, known_again, named, numbered, quoted, slices, stored, text_hash
 
 NONE = -(1 << 63)
 
@@ -31,11 +31,11 @@ class Table:
         self.slots = np.full(slots, -1, np.int64)
         self.hashes: list[int] = []
         self.contents: list[bytes] = []
-        self.best: list[tuple[int, int]] = []
+        self.best: list[int] = []
         self.counts: list[int] = []
         self.bytes = 0
 
-    def add(self, h: int, content: bytes, best: tuple[int, int], count: int) -> None:
+    def add(self, h: int, content: bytes, best: int, count: int) -> None:
         slots, mask = self.slots, len(self.slots) - 1
         at = (h >> 20) & mask
         while (k := int(slots[at])) >= 0:
@@ -64,7 +64,7 @@ class Table:
             slots[at] = k
         self.slots = slots
 
-    def rows(self) -> Iterator[tuple[int, bytes, tuple[int, int], int]]:
+    def rows(self) -> Iterator[tuple[int, bytes, int, int]]:
         return zip(self.hashes, self.contents, self.best, self.counts, strict=True)
 
 
@@ -72,10 +72,10 @@ def content_hash(content: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "little")
 
 
-HEAD = struct.Struct("<QqqqI")
+HEAD = struct.Struct("<QqqI")
 
 
-def grace(rows: Iterator[tuple[int, bytes, tuple[int, int], int]], fit: int, fan: int = 16, level: int = 0) -> Iterator[Table]:
+def grace(rows: Iterator[tuple[int, bytes, int, int]], fit: int, fan: int = 16, level: int = 0) -> Iterator[Table]:
     """Tables that together hold the rows, equal contents in one of them; beyond ``fit`` bytes the rows go to spill files."""
     table, spill, files = Table(), None, []
     try:
@@ -103,47 +103,36 @@ def grace(rows: Iterator[tuple[int, bytes, tuple[int, int], int]], fit: int, fan
             spill.cleanup()
 
 
-def _put(files: list, level: int, h: int, content: bytes, best: tuple[int, int], count: int) -> None:
+def _put(files: list, level: int, h: int, content: bytes, best: int, count: int) -> None:
     f = files[(h >> (56 - 4 * level)) % len(files)]
-    f.write(HEAD.pack(h, best[0], best[1], count, len(content)))
+    f.write(HEAD.pack(h, best, count, len(content)))
     f.write(content)
 
 
-def _taken(f) -> Iterator[tuple[int, bytes, tuple[int, int], int]]:
+def _taken(f) -> Iterator[tuple[int, bytes, int, int]]:
     while head := f.read(HEAD.size):
-        h, a, b, count, size = HEAD.unpack(head)
-        yield h, f.read(size), (a, b), count
+        h, best, count, size = HEAD.unpack(head)
+        yield h, f.read(size), best, count
 
 
-PARTS = pa.schema([("bucket", pa.int64()), ("content", pa.binary()), ("best", pa.int64()), ("best_row", pa.int64()), ("n", pa.int64())])
-GROUPS = pa.schema([("text_sha256", pa.string()), ("best", pa.int64()), ("best_row", pa.int64()), ("n", pa.int64())])
+PARTS = pa.schema([("bucket", pa.int64()), ("content", pa.binary()), ("best", pa.int64()), ("n", pa.int64())])
+GROUPS = pa.schema([("text_sha256", pa.string()), ("best", pa.int64()), ("n", pa.int64())])
 
 
-def exact_groups(df: DataFrame, text: str = "text", key: str = "doc_id", fit: int = 64_000_000) -> DataFrame:
-    """One row for each input row: key, keep_id, group_size, kept, text_sha256, and _rf_row, the row's number by ``numbered``.
-
-    Texts are equal when identical after lower-casing A-Z; null counts as empty. Of
-    equal texts the row with the largest integer key stays; among equal keys the one
-    that is read last, so exactly one row of a group stays; a null key is the
-    smallest, and keep_id is then null. Other columns are not read. ``fit`` bounds the
-    bytes of contents that a task holds at once; a group's size doesn't matter, since
-    equal contents are one table row. A single text larger than that is held whole.
-    """
-    own = ["_rf_row"] if "_rf_row" in df.columns else []
-    rows = df.select(*own, F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
-    rows = rows if own else stored(numbered(rows))
+def _groups(rows: DataFrame, fit: int) -> DataFrame:
+    """(text_sha256, best, n) for the contents of ``rows`` (_key, _text) that occur more than once."""
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table()
 
         def flush() -> pa.RecordBatch:
             found = list(table.rows())
-            return pa.record_batch([pa.array([h - (1 << 63) for h, *_ in found], pa.int64()), pa.array([c for _, c, _, _ in found], pa.binary()), pa.array([b[0] for _, _, b, _ in found], pa.int64()), pa.array([b[1] for _, _, b, _ in found], pa.int64()), pa.array([n for *_, n in found], pa.int64())], schema=PARTS)
+            return pa.record_batch([pa.array([h - (1 << 63) for h, *_ in found], pa.int64()), *(pa.array([r[k] for r in found], t) for k, t in ((1, pa.binary()), (2, pa.int64()), (3, pa.int64())))], schema=PARTS)
 
         for batch in slices(batches, "_text"):
-            for row, k, x in zip(*(batch.column(c).to_pylist() for c in ("_rf_row", "_key", "_text")), strict=True):
+            for k, x in zip(batch.column("_key").to_pylist(), batch.column("_text").to_pylist(), strict=True):
                 content = (x or "").encode().lower()
-                table.add(content_hash(content), content, (NONE if k is None else k, row), 1)
+                table.add(content_hash(content), content, NONE if k is None else k, 1)
             if table.bytes > fit // 4:
                 yield flush()
                 table = Table()
@@ -152,36 +141,54 @@ def exact_groups(df: DataFrame, text: str = "text", key: str = "doc_id", fit: in
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def taken():
             for batch in slices(batches, "content"):
-                for h, c, b, r, n in zip(*(batch.column(x).to_pylist() for x in PARTS.names), strict=True):
-                    yield h + (1 << 63), c, (b, r), n
+                for h, c, b, n in zip(*(batch.column(x).to_pylist() for x in PARTS.names), strict=True):
+                    yield h + (1 << 63), c, b, n
 
         for table in grace(taken(), fit):
-            found = [(hashlib.sha256(c).hexdigest(), *b, n) for _, c, b, n in table.rows() if n > 1]
+            found = [(hashlib.sha256(c).hexdigest(), b, n) for _, c, b, n in table.rows() if n > 1]
             for k in range(0, len(found), 10_000):
                 yield pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*found[k : k + 10_000], strict=True), GROUPS.types, strict=True)], schema=GROUPS)
 
+    parts = rows.mapInArrow(combine, "bucket long, content binary, best long, n long")
+    return parts.repartition("bucket").mapInArrow(meet, "text_sha256 string, best long, n long")
+
+
+def _judged(df: DataFrame, text: str, key: str, fit: int) -> DataFrame:
+    """One row for each row: _key, h (hash of the text as it is), text_sha256, best, n, kept."""
+    rows = df.select(F.col(quoted(key)).cast("long").alias("_key"), F.col(quoted(text)).alias("_text"))
+
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
             got = [hashlib.sha256((x or "").encode().lower()).hexdigest() for x in batch.column("_text").to_pylist()]
-            yield pa.record_batch([batch.column("_rf_row"), batch.column("_key"), pa.array(got, pa.string())], names=["_rf_row", "_key", "text_sha256"])
-
-    parts = rows.mapInArrow(combine, "bucket long, content binary, best long, best_row long, n long")
-    groups = parts.repartition("bucket").mapInArrow(meet, "text_sha256 string, best long, best_row long, n long")
-    all_rows = rows.mapInArrow(digest, "_rf_row long, _key long, text_sha256 string")
+            yield pa.record_batch([*map(batch.column, ("row", "_key", "h")), pa.array(got, pa.string())], names=["row", "_key", "h", "text_sha256"])
+
+    light = stored(numbered(rows.withColumn("h", text_hash(F.col("_text"))), "row").mapInArrow(digest, "row long, _key long, h binary, text_sha256 string"))
+    groups = stored(_groups(rows, fit))
+    few = F.broadcast(groups) if groups.count() <= FEW else groups
+    best = F.nullif("best", F.lit(NONE))
+    winners = light.join(few, "text_sha256").where(F.col("_key").eqNullSafe(best)).groupBy("text_sha256").agg(F.max("row").alias("winner"))
+    winners = stored(groups.join(winners, "text_sha256"))
+    few = F.broadcast(winners) if winners.count() <= FEW else winners
     alone = F.col("n").isNull()
-    keep = F.when(alone, F.col("_key")).otherwise(F.nullif("best", F.lit(NONE)))
-    return all_rows.join(groups, "text_sha256", "left").select(
-        "_rf_row",
-        F.col("_key").alias(key),
-        keep.alias("keep_id"),
-        F.coalesce("n", F.lit(1).cast("long")).alias("group_size"),
-        (alone | (F.col("best_row") == F.col("_rf_row"))).alias("kept"),
-        "text_sha256",
-    )
+    out = held(light.join(few, "text_sha256", "left").select("_key", "h", "text_sha256", F.when(alone, F.col("_key")).otherwise(best).alias("best"), F.coalesce("n", F.lit(1).cast("long")).alias("n"), (alone | (F.col("winner") == F.col("row"))).alias("kept")))
+    dropped(light, groups, winners)
+    return out
+
+
+def exact_groups(df: DataFrame, text: str = "text", key: str = "doc_id", fit: int = 64_000_000) -> DataFrame:
+    """One row for each input row: key, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal when identical after lower-casing A-Z; null counts as empty. Of
+    equal texts the row with the largest integer key stays; among equal keys the one
+    that is read last, so exactly one row of a group stays; a null key is the
+    smallest, and keep_id is then null. Other columns are not read. ``fit`` bounds the
+    bytes of contents that a task holds at once; a group's size doesn't matter, since
+    equal contents are one table row. A single text larger than that is held whole. The result
+    is checkpointed; texts are written nowhere but in the shuffle.
+    """
+    return _judged(df, text, key, fit).select(F.col("_key").alias(key), F.col("best").alias("keep_id"), F.col("n").alias("group_size"), "kept", "text_sha256")
 
 
 def drop_copies(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows that ``exact_groups`` keeps, with their own columns."""
-    rows = stored(numbered(df))
-    lost = exact_groups(rows, text, key).where(~F.col("kept")).select("_rf_row")
-    return rows.join(lost, "_rf_row", "left_anti").select(*df.columns)
+    """The rows that ``exact_groups`` keeps, with their own columns, whatever their names; of rows that are equal in key and text one."""
+    return known_again(df, _judged(df, text, key, 64_000_000).select(F.col("_key").alias("doc"), "h", "kept", F.lit(True).alias("linked")), text, key)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import dropped, held, named, numbered, quoted, slices, stored
+from .common import FEW, dropped, held, known_again, numbered, quoted, slices, stored, text_hash
 from .components import connected_components
 
 SIZE = 5
@@ -100,10 +100,6 @@ def _sizes_fit(a: str, b: str) -> Column:
     return (5 * F.col(a) >= 4 * F.col(b)) & (5 * F.col(b) >= 4 * F.col(a))
 
 
-#: Rows of ids that may be broadcast, counted before: a few MB.
-FEW = 200_000
-
-
 def _only(df: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of these nodes. A short list of nodes goes to the rows, which then aren't shuffled."""
     return df.join(F.broadcast(ids) if ids.count() <= FEW else ids, "node", "left_semi")
@@ -234,13 +230,9 @@ def _by_pivots(postings: DataFrame, sets: DataFrame, comps: DataFrame, spare: in
     return comps
 
 
-def _text_hash(c: Column) -> Column:
-    return F.unhex(F.md5(c.cast("string")))
-
-
 def _judged(df: DataFrame, text: str, key: str, factor: int) -> DataFrame:
     """One row for each row: doc, h (hash of the text), n, component (a doc), first."""
-    rows = df.select(F.col(quoted(key)).cast("long").alias("doc"), _text_hash(F.col(quoted(text))).alias("h"), F.col(quoted(text)).alias("_text"))
+    rows = df.select(F.col(quoted(key)).cast("long").alias("doc"), text_hash(F.col(quoted(text))).alias("h"), F.col(quoted(text)).alias("_text"))
     read = stored(_shingled(numbered(rows, "row"), whole=False))
     light = read.select("row", "doc", "h", "n", "set")
     classes = stored(light.where("n > 0").groupBy("set").agg(F.min(F.struct("row", "doc", "h")).alias("r"), F.min(F.struct(F.col("doc").isNull(), "doc", "row")).alias("head"), F.count("*").alias("rows")).select("set", F.col("r.row").alias("node"), "r.doc", "r.h", "head", "rows"))
@@ -310,12 +302,5 @@ def drop_near_copies(df: DataFrame, text: str = "text", key: str = "doc_id") ->
 
     Of rows that are equal in key and text one stays. Rows without words all stay.
     """
-    by = _judged(df, text, key, 4).groupBy("doc", "h").agg(F.max("first").alias("first"), F.max((F.col("n") > 0).cast("int") * 1).alias("n"), F.count("*").alias("rows"))
-    lost = held(by.where(~F.col("first") | (F.col("rows") > 1) & (F.col("n") > 0)).select(F.col("doc").alias("_rf_d"), F.col("h").alias("_rf_h"), F.col("first").alias("_rf_again")))
-    same = F.col(quoted(key)).cast("long").eqNullSafe(F.col("_rf_d")) & (_text_hash(F.col(quoted(text))) == F.col("_rf_h"))
-    few = F.broadcast(lost) if lost.count() <= FEW else lost
-    kept = df.join(few, same, "left_anti")
-    again = lost.where("_rf_again")
-    if not again.isEmpty():  # repeated rows that stand for a component
-        kept = kept.unionByName(df.join(F.broadcast(again) if again.count() <= FEW else again, same, "left_semi").dropDuplicates([key, text]))
-    return kept.select(*named(df))
+    judged = _judged(df, text, key, 4)
+    return known_again(df, judged.select("doc", "h", F.col("first").alias("kept"), (F.col("n") > 0).alias("linked")), text, key)

@@ -185,7 +185,7 @@ def exchange(bigrams: DataFrame, sizes: Sizes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def score(df: DataFrame, train: DataFrame, text: str = "text", key: str = "doc_id", sizes: Sizes | None = None) -> DataFrame:
-    """One row for each row of ``df``: _rf_row, key, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
+    """One row for each row of ``df``: _rf_row (its number in this scan), key, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
 
     Tokens are the words, A-Z in lower case, then one end. base_score is that of add-one unigrams,
     score that of the class bigrams; both are learnt from all texts of ``train``. Null and empty texts
@@ -194,7 +194,7 @@ def score(df: DataFrame, train: DataFrame, text: str = "text", key: str = "doc_i
     """
     s = sizes or Sizes()
     spark = df.sparkSession
-    rows = numbered(df).select("_rf_row", F.col(key).cast("long").alias("doc"), F.col(text).alias("_text"))
+    rows = numbered(df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("_text")), "_rf_row")
     counts = stored(word_counts(train, text))
     kinds, running = counts.agg(F.count("*"), F.sum("c")).first()
     texts = train.count()

@@ -49,7 +49,7 @@ class ByteBPE:
     holds before it is begun anew.
     """
 
-    def __init__(self, spec: str, memo: int = 1_000_000):
+    def __init__(self, spec: str, memo: int = 300_000):
         import json
 
         import tiktoken
@@ -353,7 +353,7 @@ def pack(df: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokenizer(spec.value)
-        for batch in slices(batches, "_text", 8_000_000):
+        for batch in slices(batches, "_text", 4_000_000):
             flat, ends = coder.encode_all(batch.column("_text"), end_id)
             wide = max(end_id, coder.coder.max_token_value, coder.tokenizer.get_vocab_size()) > 0xFFFF
             flat = flat.astype("<u4" if wide else "<u2")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import quoted, slices
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -258,14 +258,14 @@ def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids",
     """Adds the ids of each text (array<int>), and with ``decoded`` also the text that these ids decode to.
 
     A map over the rows, without a shuffle. Null and empty texts have the end id
-    alone; an input column that has the name of a new one is replaced. The model
+    alone; an input column that has the name of a new one, in either case, is replaced. The model
     file is read on the driver (its size is fixed: half a MB) and broadcast.
     """
     with open(model_path, "rb") as f:
         model = df.sparkSession.sparkContext.broadcast(f.read())
     new = [ids] + ([decoded] if decoded else [])
-    rest = df.drop(*new) if text not in new else df
-    keep = [c for c in rest.columns if c not in new]
+    lowered = [c.lower() for c in new]
+    keep = [c for c in df.columns if c.lower() not in lowered]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = prefix_table(model.value)
@@ -276,17 +276,15 @@ def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids",
                 out.append(pa.array([table.decode(x) for x in got], pa.string()))
             yield pa.RecordBatch.from_arrays(out, names=[*keep, *new])
 
-    schema = rest.select(*keep).withColumn(ids, F.lit(None).cast("array<int>"))
-    if decoded:
-        schema = schema.withColumn(decoded, F.lit(None).cast("string"))
-    return rest.mapInArrow(run, schema.schema)
+    kinds = [F.lit(None).cast("array<int>").alias(ids), *([F.lit(None).cast("string").alias(decoded)] if decoded else [])]
+    return df.mapInArrow(run, df.select(*[F.col(quoted(c)) for c in keep], *kinds).schema)
 
 
 def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """Adds the text of each array of ids; null ids give a null text."""
     with open(model_path, "rb") as f:
         model = df.sparkSession.sparkContext.broadcast(f.read())
-    keep = [c for c in df.columns if c != text]
+    keep = [c for c in df.columns if c.lower() != text.lower()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = prefix_table(model.value)
@@ -294,4 +292,4 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "text")
             out = [None if x is None else table.decode(x) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(out, pa.string())], names=[*keep, text])
 
-    return df.mapInArrow(run, df.select(*keep).withColumn(text, F.lit(None).cast("string")).schema)
+    return df.mapInArrow(run, df.select(*[F.col(quoted(c)) for c in keep], F.lit(None).cast("string").alias(text)).schema)

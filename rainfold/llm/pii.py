@@ -3,14 +3,14 @@
 After Sanchez and Batet's C-sanitisation (2016): a term t discloses an entity e as far as
 their pointwise mutual information reaches e's own information, PMI(t; e) >= alpha * IC(e). Both come
 from co-occurrence in the corpus: p(t) and p(e) are shares of all documents, p(t, e) is
-the share of documents in which t stands close to e. Terms beyond the threshold are
-protected too, where they stand close to that entity.
+the share of documents in which t stands close to e. A term beyond the threshold is
+protected wherever it stands in a text that has it close to the entity.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -18,12 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, slices, stored
+from .common import FEW, dropped, held, named, quoted, slices, stored, text_hash
 
 KINDS = ("email", "ip", "card", "phone", "term")
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+#: A match never starts inside a run of digits, so each run is walked once.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -64,42 +65,38 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-def around(text: str, spans: list[tuple[str, int, int]], width: int) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
-    """Each entity (as kind:value) with the words close to it: (term, start, end), at most ``width`` on each side."""
-    merged: list[list[int]] = []
-    for _, a, b in spans:
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], b)
-        else:
-            merged.append([a, b])
-    starts = [a for a, _ in merged]
+def around(text: str, spans: list[tuple[str, int, int]], width: int) -> Iterator[tuple[str, list[str]]]:
+    """Each entity (as kind:value) with the terms close to it: up to ``width`` words on each side that hold no part of an entity.
+
+    The text's words are found once, so long texts, long words and many entities cost no more than their sum.
+    """
+    if not spans:
+        return
+    words = _words(text, spans)
+    starts, ends = [a for a, _, _ in words], [b for _, b, _ in words]
     for kind, a, b in spans:
-        low = max(0, a - 40 * width)
-        left = [m for m in WORD.finditer(text, low, a) if m.start() > low or not low or not WORD.match(text, low - 1)][-width:]
-        right, at = [], b
-        while len(right) < width and (m := WORD.search(text, at)):
-            right.append(m)
-            at = m.end()
-        near = []
-        for m in (*left, *right):
-            s, e = m.start(), m.end()
-            term = m[0].strip(EDGES)
-            k = bisect_left(starts, e) - 1
-            if not term or term.isdigit() or k >= 0 and merged[k][1] > s:
-                continue
-            s += m[0].index(term)
-            near.append((_lower(term), s, s + len(term)))
+        k, j = bisect_right(ends, a), bisect_left(starts, b)
+        near = [w for *_, w in (*words[max(0, k - width) : k], *words[j : j + width]) if w]
         yield f"{kind}:{_lower(text[a:b])}", near
 
 
+def _words(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, str]]:
+    """(start, end, term) of each word; the term, without marks around it and in lower case, is empty where a part of the word is an entity's."""
+    out, k, reach = [], 0, -1
+    for m in WORD.finditer(text):
+        a, b = m.span()
+        while k < len(spans) and spans[k][1] < b:
+            reach = max(reach, spans[k][2])
+            k += 1
+        out.append((a, b, "" if reach > a else _lower(m[0].strip(EDGES))))
+    return out
+
+
 def _lower(x: str) -> str:
     return x.encode().lower().decode()
 
 
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-NEAR = pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-
-
 def document_frequency(df: DataFrame, text: str = "_text") -> DataFrame:
     """(term, docs): documents that hold each term, added up in the tasks before the shuffle."""
 
@@ -122,8 +119,11 @@ def document_frequency(df: DataFrame, text: str = "_text") -> DataFrame:
     return df.mapInArrow(run, "term string, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
 
 
-def protect(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 8, alpha: float = 0.9, support: int = 3, placeholders: dict[str, str] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each input row: _rf_row, key, spans (array<struct<kind, start, end>>) and clean, the text with placeholders.
+SPANS = "array<struct<kind:string,start:int,end:int>>"
+
+
+def protect(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 8, alpha: float = 0.9, support: int = 3, placeholders: dict[str, str] | None = None, whole: bool = False) -> DataFrame:
+    """One row for each input row: key, spans (array<struct<kind, start, end>>), clean, the text with placeholders, and with ``whole`` the row itself.
 
     ``spans`` are the base spans and one of kind ``term`` for each word that gives away an
     entity close to it, by start, then kind. A term counts as close within ``width`` words, and discloses
@@ -131,54 +131,62 @@ def protect(df: DataFrame, text: str = "text", key: str = "doc_id", width: int =
     one text prove nothing, but entities that occur once or twice get no terms; with 1, PMI alone decides
     for every entity, as in the registered query and the pipeline. In ``clean`` entities are generalised to their kind's
     placeholder and terms are removed to theirs; overlapping spans become the first one's. A null text
-    has no spans and stays null; equal rows have a result each. _rf_row tells the rows of one scan of the result
-    apart and is negative for those without entities. Nothing is collected per entity: pairs are
-    at most 2 * ``width`` for each entity in a text. ``carry``: input columns to hand on, under the name _in_<column>.
+    has no spans and stays null; equal rows have a result each. Texts are known again by their
+    hash, so none is written. Nothing is collected per entity: pairs are at most 2 * ``width`` for each entity in a
+    text. The terms of up to ``FEW`` texts are broadcast; with more, the texts that have an entity, and no others, are joined with theirs.
     """
     marks = {k: f"<{k.upper()}>" for k in KINDS} | (placeholders or {})
-    carried = [f"_in_{c}" for c in carry]
-    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), *[F.col(c).alias(f"_in_{c}") for c in carry])
-
-    def with_entities(want: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, "_text"):
-                yield batch.filter(pa.array([bool(find(t)) is want for t in batch.column("_text").to_pylist()], pa.bool_()))
-
-        return rows.mapInArrow(run, rows.schema)
-
-    held = stored(numbered(with_entities(True)))  # the only rows that later jobs must tell apart
+    own = [F.struct(*named(df)).alias("_row")] if whole else []
+    rows = df.select(F.col(quoted(key)).alias("_key"), F.col(quoted(text)).cast("string").alias("_text"), *own)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in slices(batches, "_text"):
             out: list[tuple] = []
-            for row, t in zip(batch.column("_rf_row").to_pylist(), batch.column("_text").to_pylist(), strict=True):
-                for entity, near in around(t, find(t), width):
-                    place = xxhash.xxh3_64_intdigest(" ".join(x[0] for x in near).encode()) - (1 << 63)
-                    out += [(row, entity, None, place, 0, 0)] + [(row, entity, w, place, a, b) for w, a, b in near]
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32())
-            columns = list(zip(*out, strict=True)) if out else [()] * 6
-            yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["_rf_row", "entity", "term", "place", "start", "end"])
-
-    near = stored(held.select("_rf_row", "_text").mapInArrow(scan, "_rf_row long, entity string, term string, place long, start int, end int"))
-    own = near.where("term is null").groupBy("entity").agg(F.count_distinct("_rf_row").alias("ce"))
-    met = near.where("term is not null").groupBy("entity", "term").agg(F.count_distinct("_rf_row").alias("cte"), F.count_distinct("place").alias("places")).where(F.col("places") >= support)
-    suspects = stored(met.join(own, "entity"))
+            for h, t in zip(batch.column("h").to_pylist(), batch.column("_text").to_pylist(), strict=True):
+                seen: dict[str, set] = {}  # of a document: each entity with its terms
+                for entity, near in around(t, find(t), width) if t else ():
+                    place = xxhash.xxh3_64_intdigest(" ".join(near).encode()) - (1 << 63)
+                    terms = seen.setdefault(entity, set())
+                    out += [(h, entity, None, place, 1)] * (not terms) + [(h, entity, w, place, 1) for w in dict.fromkeys(near) if w not in terms]
+                    terms.update(["", *near])
+            kinds = (pa.binary(), pa.string(), pa.string(), pa.int64(), pa.int64())
+            columns = list(zip(*out, strict=True)) if out else [()] * 5
+            yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["h", "entity", "term", "place", "n"])
+
+    near = stored(rows.select("_text", text_hash(F.col("_text")).alias("h")).mapInArrow(scan, "h binary, entity string, term string, place long, n long"))
+    ce = near.where("term is null").groupBy("entity").agg(F.sum("n").alias("ce"))
+    places = [F.count_distinct("place").alias("places")] if support > 1 else [F.lit(1).alias("places")]
+    met = near.where("term is not null").groupBy("entity", "term").agg(F.sum("n").alias("cte"), *places).where(F.col("places") >= support)
+    suspects = stored(met.join(ce, "entity"))
     total = rows.count()
     known = document_frequency(rows.select("_text"))
     n, (ct, ce, cte) = F.lit(float(total)), (F.col(c).cast("double") for c in ("docs", "ce", "cte"))
     pmi, content = F.log2(cte * n / (ct * ce)), F.log2(n / ce)
     disclosing = suspects.join(known, "term").where((pmi >= alpha * content) & (content > 0)).select("entity", "term")
-    extra = near.where("term is not null").join(disclosing, ["entity", "term"]).groupBy("_rf_row").agg(F.collect_set(F.struct("start", "end")).alias("extra"))
-    joined = held.join(extra, "_rf_row", "left")
+    extra = held(near.where("term is not null").join(disclosing, ["entity", "term"]).groupBy("h").agg(F.collect_set("term").alias("terms")))
+    dropped(near, suspects)
+
+    def with_entities(want: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, "_text"):
+                yield batch.filter(pa.array([bool(find(t)) is want for t in batch.column("_text").to_pylist()], pa.bool_()))
+
+        return rows.mapInArrow(run, rows.schema)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
             spans, clean = [], []
-            for t, terms in zip(batch.column("_text").to_pylist(), batch.column("extra").to_pylist(), strict=True):
-                own = find(t) + [("term", x["start"], x["end"]) for x in terms or ()]
-                own.sort(key=lambda x: (x[1], KINDS.index(x[0])))
+            for t, terms in zip(batch.column("_text").to_pylist(), batch.column("terms").to_pylist(), strict=True):
+                own = find(t)
+                if terms:
+                    terms = set(terms)
+                    for a, b, w in _words(t, own):
+                        if w in terms:
+                            at = a + len(t[a:b]) - len(t[a:b].lstrip(EDGES))
+                            own.append(("term", at, at + len(w)))
+                    own.sort(key=lambda x: (x[1], KINDS.index(x[0])))
                 spans.append([{"kind": k, "start": a, "end": b} for k, a, b in own])
                 if own:
                     parts, at = [], 0
@@ -188,15 +196,21 @@ def protect(df: DataFrame, text: str = "text", key: str = "doc_id", width: int =
                         at = max(at, b)
                     t = "".join([*parts, t[at:]])
                 clean.append(t)
-            kept = [batch.column(c) for c in ("_rf_row", "_key", *carried)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(spans, pa.list_(SPAN)), pa.array(clean, pa.string())], names=["_rf_row", key, *carried, "spans", "clean"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(spans, pa.list_(SPAN)), pa.array(clean, pa.string())], names=[*keep, "spans", "clean"])
 
-    free = with_entities(False).select((-1 - F.monotonically_increasing_id()).alias("_rf_row"), F.col("_key").alias(key), *carried, F.array().cast("array<struct<kind:string,start:int,end:int>>").alias("spans"), F.col("_text").cast("string").alias("clean"))
-    return joined.mapInArrow(mark, free.schema).union(free)
+    keep = ["_key", *(["_row"] if whole else [])]
+    schema = rows.drop("_text").withColumns({"spans": F.lit(None).cast(SPANS), "clean": F.lit(None).cast("string")}).schema
+    terms_of = lambda x, few: x.withColumn("h", text_hash(F.col("_text"))).join(F.broadcast(extra) if few else extra, "h", "left").drop("h").mapInArrow(mark, schema)
+    if extra.count() <= FEW:
+        out = terms_of(rows, True)
+    else:
+        free = with_entities(False).withColumns({"spans": F.array().cast(SPANS), "clean": F.col("_text")}).drop("_text")
+        out = terms_of(with_entities(True), False).unionByName(free)
+    return out.withColumnRenamed("_key", key)
 
 
 def redact(df: DataFrame, text: str = "text", key: str = "doc_id", chars: str = "n_chars", support: int = 3) -> DataFrame:
-    """The rows with the text that ``protect`` leaves, and its length in ``chars`` where there is such a column."""
-    out = protect(df, text, key, support=support, carry=tuple(df.columns))
+    """The rows, with columns of any names, with the text that ``protect`` leaves, and its length in ``chars`` where there is such a column."""
+    out = protect(df, text, key, support=support, whole=True)
     new = {text: F.col("clean")} | ({chars: F.length("clean").cast(df.schema[chars].dataType)} if chars in df.columns else {})
-    return out.select(*[new.get(c, F.col(f"_in_{c}")).alias(c) for c in df.columns])
+    return out.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in df.columns])

@@ -54,7 +54,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda x: x["kind"] != "term")
     told = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return out.select("doc_id", *map(count, ("email", "ip", "card", "phone")), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+    return out.select("doc_id", *map(count, ("email", "ip", "card", "phone")), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"), count("term"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,7 @@ def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .dedup import exact_groups
 
-    return exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("_rf_row")
+    return exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 #: A conversation whose texts hold the template's own marks and escapes.

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import quoted, slices
 
 MARKS = ".,;:!?\"'()[]{}<>«»¿¡-_*#$%&|".encode()
 
@@ -170,11 +170,11 @@ def score(df: DataFrame, model: Model, text: str = "text", passages: bool = Fals
     """Adds ``score`` (0 to 1), and with ``passages`` the toxic passages: array<struct<start, end, score>> in words.
 
     A map over whole texts; null counts as empty, and an empty text has the score of
-    a text without evidence. Columns of these names are replaced. The model, of bounded size, is broadcast.
+    a text without evidence. Columns of these names, in either case, are replaced. The model, of bounded size, is broadcast.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     new = ["score", *(["passages"] if passages else [])]
-    keep = [c for c in df.columns if c not in new]
+    keep = [c for c in df.columns if c.lower() not in new]
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +187,5 @@ def score(df: DataFrame, model: Model, text: str = "text", passages: bool = Fals
                 out.append(pa.array([[{"start": a, "end": b, "score": s} for a, b, s in x] for _, x in found], span))
             yield pa.RecordBatch.from_arrays(out, names=[*keep, *new])
 
-    schema = df.select(*keep).withColumn("score", F.lit(0.0))
-    if passages:
-        schema = schema.withColumn("passages", F.lit(None).cast("array<struct<start:int,end:int,score:double>>"))
-    return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.schema))
+    kinds = [F.lit(0.0).alias("score"), *([F.lit(None).cast("array<struct<start:int,end:int,score:double>>").alias("passages")] if passages else [])]
+    return df.mapInArrow(run, df.select(*[F.col(quoted(c)) for c in keep], *kinds).schema)
