@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import evapo, runoff, soil, vegetation
-from ..functions.guards import flag, ln, ratio
-from ..params import Parameters
+from ..functions.guards import col, flag, ln, ratio
+from ..params import ParameterColumns, Parameters
 from .small import small
 
 
@@ -22,10 +26,11 @@ def with_landuse(forcing: DataFrame, landuse_attr: DataFrame) -> DataFrame:
     return forcing.join(small(landuse_attr), "landuse", "left")
 
 
-def state_free(cell_months: DataFrame, p: Parameters) -> DataFrame:
+def state_free(cell_months: DataFrame, p: Parameters | ParameterColumns) -> DataFrame:
     """Adds all monthly terms that don't depend on the state: lai, itp, kc, et_o, et_i, runoff_coef.
 
-    ``cell_months`` has the columns of forcing, cells (with slope), both attribute tables, with_soil and rainy days (days).
+    ``cell_months`` has the columns of forcing, cells (with slope), both attribute tables, with_soil and rainy days (days);
+    with ``ParameterColumns`` also the parameters, as after ``sweep``.
     """
     sr = lambda c: vegetation.simple_ratio(c)
     rows = cell_months.withColumn("fpar", vegetation.fpar(p.fpar_min, p.fpar_max, sr("ndvi"), sr("ndvi_min"), sr("ndvi_max")))
@@ -44,87 +49,103 @@ def state_free(cell_months: DataFrame, p: Parameters) -> DataFrame:
     ).withColumn("runoff_coef", runoff.actual_runoff_coef("weighted_coef", runoff.rain_per_rainy_day("precipitation", "days"), p.rcd))
 
 
-STATE = "struct<smc:double,sat:double,bfw:double>"
-
-
-def _let(value: Column, body) -> Column:
-    """Binds a value in a lambda, which has no other way to name one."""
-    return F.transform(F.array(value), body)[0]
-
-
-def water_balance(rows: DataFrame, p: Parameters, state: DataFrame | None = None) -> DataFrame:
-    """Folds the months of each cell in order of ``step``: cell_id, step, itp, eta, srn, lfw, rec, bfw, smc, sat, rnf.
+TERMS = ("itp", "eta", "srn", "lfw", "rec", "bfw", "smc", "sat", "rnf")
+
+
+def fold_months(m: dict[str, np.ndarray], c: dict[str, np.ndarray], smooth: bool) -> dict[str, np.ndarray]:
+    """The terms of all months (cells x months) from monthly terms ``m`` and those of each cell ``c``; NaN is unknown and makes the rest of its cell unknown."""
+    n, months = m["net"].shape
+    out = {k: np.full((n, months), np.nan) for k in (*TERMS, *(["flow"] if smooth else []))}
+    smc, sat, bfw, flow = c["smc"], c["sat"], c["bfw"], np.zeros(n)
+    decay = np.exp(-c["alpha_gw"])
+    known = lambda condition, *of: np.where(sum(of[1:], of[0]) * 0 == 0, condition, np.nan)  # noqa: E731  as a number, unknown with its operands
+    for t in range(months):
+        land, net = m["land"][:, t], m["net"][:, t]
+        full = known(smc == c["tsat"], smc, c["tsat"])
+        ks = np.log(np.maximum(smc - c["wp"], 0) + 1) / c["dry"]
+        eta = m["e0"][:, t] + m["e1"][:, t] * ks
+        wet = m["r"][:, t] * (smc * c["inv"]) ** c["beta"] * land + m["spare"][:, t] * (1 - land)
+        srn = wet * (1 - full) + net * full * land + wet * (1 - land)
+        share = smc / c["tsat"]
+        drained = c["k_sat"] * share * share
+        lfw, rec = c["f"] * drained, (1 - c["f"]) * drained
+        bfw = (bfw * decay + (1 - decay) * rec) * known(sat > c["bfw_lim"], sat)
+        smc = np.minimum(np.maximum(smc + net - srn - drained - eta, 0) * land + c["tsat"] * (1 - land), c["tsat"])
+        sat = sat + rec - bfw
+        rnf = srn + lfw + bfw
+        for k, v in (("itp", m["itp"][:, t]), ("eta", eta), ("srn", srn), ("lfw", lfw), ("rec", rec), ("bfw", bfw), ("smc", smc), ("sat", sat), ("rnf", rnf)):
+            out[k][:, t] = v
+        if smooth:
+            out["flow"][:, t] = flow = c["x"] * flow + (1 - c["x"]) * rnf * m["to_flow"][:, t]
+    return out
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]]:
+    """Of each number of months, the rows that have it, and their months side by side in order of step."""
+    lists = batch.column("months")
+    sizes = np.diff(lists.offsets.to_numpy())
+    first, flat = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py(), lists.flatten()
+    values = {f.name: flat.field(f.name).to_numpy(zero_copy_only=False) for f in flat.type}
+    for n in np.unique(sizes[sizes > 0]):
+        rows = np.flatnonzero(sizes == n)
+        at = first[rows][:, None] + np.arange(n)
+        at = np.take_along_axis(at, np.argsort(values["step"][at], axis=1, kind="stable"), 1)
+        yield rows, values["step"][at], {k: v[at].astype(np.float64) for k, v in values.items() if k != "step"}
+
+
+def water_balance(rows: DataFrame, p: Parameters | ParameterColumns, state: DataFrame | None = None, by: tuple[str, ...] = (), smooth: bool = False) -> DataFrame:
+    """Folds the months of each cell in order of ``step``: *by, cell_id, step, itp, eta, srn, lfw, rec, bfw, smc, sat, rnf.
 
     ``rows`` come from ``state_free``. The state starts from the parameters, or from ``state``
-    (cell_id, smc, sat, bfw), the end of an earlier run. In a month every term reads the state at the end of
-    the month before. A NULL term makes the rest of its cell NULL. One group by cell: every cell has
-    as many rows as there are months, so no key is larger than others.
+    (*by, cell_id, smc, sat, bfw), the end of an earlier run. In a month every term reads the state at the end of
+    the month before. A NULL term makes the rest of its cell NULL. With ``smooth`` also flow, the discharge
+    [m3/s] after recession from 0 (``rows`` then have days_in_month). With ``ParameterColumns`` each row has its parameters, and
+    ``by`` names the parameter set. One group by cell: every cell has as many rows as there are months, so no key
+    is larger than others. The months of a batch of cells are folded together.
     """
     land = flag(F.col("a_o") != 1)
-    month = F.struct(
-        "step",
-        "itp",
-        (F.col("precipitation") - F.col("itp")).alias("net"),
-        (F.col("a_i") * F.col("et_i") + F.col("a_o") * F.col("et_o")).alias("e0"),
-        (F.col("etp") * (F.col("a_v") * F.col("kc") + F.col("a_s") * F.col("kc_min"))).alias("e1"),
-        (F.col("runoff_coef") * (F.col("precipitation") - F.col("itp"))).alias("r"),
-        ((F.col("precipitation") - F.col("et_o")) * flag(F.col("precipitation") > F.col("et_o"))).alias("spare"),
-        land.alias("land"),
-    )
-    static = ["tsat", "wp", "fc", "k_sat", "bulk_density", "rootzone_depth"]
-    cells = rows.groupBy("cell_id").agg(*[F.first(c).alias(c) for c in static], F.array_sort(F.collect_list(month)).alias("months"))
-    cells = cells.withColumns(
-        {
-            "inv": ratio(F.lit(1.0), F.col("bulk_density") * F.col("rootzone_depth") * 10 * F.col("tsat")),
-            "dry": ln(F.col("fc") - F.col("wp") + 1),
-        }
-    )
-    start = F.struct((F.col("tsat") * p.t_ini).alias("smc"), F.lit(p.s_sat_ini).alias("sat"), F.lit(p.bfw_ini).alias("bfw"))
+    month = {
+        "step": F.col("step").cast("int"),
+        "itp": F.col("itp"),
+        "net": F.col("precipitation") - F.col("itp"),
+        "e0": F.col("a_i") * F.col("et_i") + F.col("a_o") * F.col("et_o"),
+        "e1": F.col("etp") * (F.col("a_v") * F.col("kc") + F.col("a_s") * F.col("kc_min")),
+        "r": F.col("runoff_coef") * (F.col("precipitation") - F.col("itp")),
+        "spare": (F.col("precipitation") - F.col("et_o")) * flag(F.col("precipitation") > F.col("et_o")),
+        "land": land,
+    }
+    if smooth:
+        month["to_flow"] = soil.discharge_m3s(F.lit(1.0), col(p.area), F.col("days_in_month").cast("double"))
+    static = {c: F.col(c) for c in ("tsat", "wp", "fc", "k_sat")}
+    static["inv"] = ratio(F.lit(1.0), F.col("bulk_density") * F.col("rootzone_depth") * 10 * F.col("tsat"))
+    fixed = {k: getattr(p, k) for k in ("alpha_gw", "beta", "f", "bfw_lim", "x")}
+    static |= {k: F.col(v) for k, v in fixed.items() if isinstance(v, str)}
+    start = {"smc": F.col("tsat") * col(p.t_ini), "sat": col(p.s_sat_ini), "bfw": col(p.bfw_ini)}
+    firsts = static | (start if state is None else {})
+    packed = F.collect_list(F.struct(*[c.alias(k) for k, c in month.items()])).alias("months")
+    cells = rows.groupBy(*by, "cell_id").agg(*[F.first(c).alias(k) for k, c in firsts.items()], packed)
     if state is not None:
-        cells = cells.join(state.select("cell_id", F.struct("smc", "sat", "bfw").alias("state")), "cell_id", "left")
-        start = F.col("state")
-    decay = F.exp(F.lit(-p.alpha_gw))
-    tsat = F.col("tsat")
-    one = F.lit(1.0)
-
-    def terms(s: Column, m: Column) -> Column:
-        ks = ratio(ln((s["smc"] - F.col("wp")) * flag(s["smc"] > F.col("wp")) + 1), F.col("dry"))
-        share = ratio(s["smc"], tsat)
-        full = flag(s["smc"] == tsat)
-        wet = m["r"] * F.pow(s["smc"] * F.col("inv"), F.lit(p.beta)) * m["land"] + m["spare"] * (one - m["land"])
-        return F.struct(
-            (m["e0"] + m["e1"] * ks).alias("eta"),
-            (wet * (one - full) + m["net"] * full * m["land"] + wet * (one - m["land"])).alias("srn"),
-            (F.col("k_sat") * share * share).alias("flow"),
-        )
-
-    def step(acc: Column, m: Column) -> Column:
-        def after(x: Column) -> Column:
-            t, s = x["t"], x["s"]
-            rec = t["flow"] * (1 - p.f)
-            bfw = (s["bfw"] * decay + (one - decay) * rec) * flag(s["sat"] > p.bfw_lim)
-            balance = s["smc"] + m["net"] - t["srn"] - t["flow"] - t["eta"]
-            return F.struct(t.alias("t"), s.alias("s"), rec.alias("rec"), bfw.alias("bfw"), balance.alias("balance"))
-
-        def close(y: Column) -> Column:
-            t, s = y["t"], y["s"]
-            part = y["balance"] * flag(y["balance"] > 0) * m["land"]
-            inside = part + tsat * (one - m["land"])
-            smc = F.when(inside < tsat, inside).when(inside >= tsat, tsat)
-            sat = s["sat"] + y["rec"] - y["bfw"]
-            lfw = t["flow"] * p.f
-            out = F.struct(m["step"].alias("step"), m["itp"].alias("itp"), t["eta"].alias("eta"), t["srn"].alias("srn"), lfw.alias("lfw"), y["rec"].alias("rec"), y["bfw"].alias("bfw"), smc.alias("smc"), sat.alias("sat"), (t["srn"] + lfw + y["bfw"]).alias("rnf"))
-            return F.struct(F.struct(smc.alias("smc"), sat.alias("sat"), y["bfw"].alias("bfw")).alias("state"), out.alias("out"))
-
-        new = _let(_let(F.struct(terms(acc["state"], m).alias("t"), acc["state"].alias("s")), after), close)
-        return _let(new, lambda z: F.struct(z["state"].alias("state"), F.concat(acc["out"], F.array(z["out"])).alias("out")))
-
-    outs = "array<struct<step:int,itp:double,eta:double,srn:double,lfw:double,rec:double,bfw:double,smc:double,sat:double,rnf:double>>"
-    zero = F.struct(start.cast(STATE).alias("state"), F.array().cast(outs).alias("out"))
-    folded = cells.select("cell_id", F.aggregate("months", zero, step, lambda acc: acc["out"]).alias("out"))
-    return folded.select("cell_id", F.inline("out"))
-
-
-def last_state(outputs: DataFrame) -> DataFrame:
-    """The state at the end of the last month of each cell: (cell_id, smc, sat, bfw)."""
-    return outputs.groupBy("cell_id").agg(F.max_by(F.struct("smc", "sat", "bfw"), "step").alias("s")).select("cell_id", "s.*")
+        cells = cells.join(state.select(*by, "cell_id", "smc", "sat", "bfw"), [*by, "cell_id"], "left")
+    cells = cells.withColumns({"dry": F.nullif(ln(F.col("fc") - F.col("wp") + 1), F.lit(0.0)), "tsat": F.nullif("tsat", F.lit(0.0))})
+    out = (*TERMS, *(["flow"] if smooth else []))
+    keys, numbers = [*by, "cell_id"], (*static, *start, "dry")
+    same = {k: float(v) for k, v in fixed.items() if k not in static}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = {k: batch.column(k).to_numpy(zero_copy_only=False).astype(np.float64) for k in numbers}
+            own |= {k: np.full(batch.num_rows, v) for k, v in same.items()}
+            with np.errstate(invalid="ignore", divide="ignore"):
+                for at, step, m in _blocks(batch):
+                    got = fold_months(m, {k: v[at] for k, v in own.items()}, smooth)
+                    times = pa.array(np.repeat(at, step.shape[1]))
+                    columns = [batch.column(k).take(times) for k in keys] + [pa.array(step.ravel().astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns + [pa.array(v := got[k].ravel(), mask=np.isnan(v)) for k in out], names=[*keys, "step", *out])
+
+    kinds = ", ".join(f"{k} {t}" for k, t in cells.select(*keys).dtypes)
+    return cells.mapInArrow(run, f"{kinds}, step int, " + ", ".join(f"{k} double" for k in out))
+
+
+def last_state(outputs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The state at the end of the last month of each cell: (*by, cell_id, smc, sat, bfw)."""
+    return outputs.groupBy(*by, "cell_id").agg(F.max_by(F.struct("smc", "sat", "bfw"), "step").alias("s")).select(*by, "cell_id", "s.*")

@@ -1,21 +1,108 @@
-"""Drainage networks: an edge table (cell_id, down_id), NULL for a pit."""
+"""Drainage networks: an edge table (cell_id, down_id), NULL for a pit.
+
+Cells fall into blocks of consecutive ids. Inside a block water is followed at once, in memory; what leaves a block
+goes on over the network of the cells at which blocks are entered, which is much smaller and is solved by pointer
+doubling. So the months of a cell are shuffled a fixed number of times, however long the rivers are.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Cells of a block: bounds what a task holds at once.
+BLOCK = 4096
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder that all executors share; set only where the session has none, as in tests."""
+    """Cuts the lineage in the folder that all executors share. Where the session has none, a local master gets one of its own, as in tests; a cluster gets an error."""
     spark = df.sparkSession
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rainfold-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+def block_of(c: str) -> Column:
+    return F.floor(F.col(c) / BLOCK)
+
+
+class Local:
+    """The network inside a block: ids in order, the place of the cell below each one or -1, and where each one's water leaves."""
+
+    def __init__(self, cell: np.ndarray, down: np.ndarray, cut: np.ndarray | None = None):
+        """down: ids, -1 for pits; cut: cells at which the way ends, such as gauges."""
+        order = np.argsort(cell)
+        self.cell, self.down_id = cell[order], down[order]
+        place = np.searchsorted(self.cell, self.down_id)
+        inside = (place < len(cell)) & (self.down_id >= 0)
+        inside[inside] = self.cell[place[inside]] == self.down_id[inside]
+        self.below = np.where(inside, place, -1)
+        self.cut = np.zeros(len(cell), bool) if cut is None else cut[order]
+        self.way = np.where(self.cut, -1, self.below)
+        self.levels = []
+        todo = np.bincount(self.way[self.way >= 0], minlength=len(cell))
+        front, seen = np.flatnonzero(todo == 0), 0
+        while len(front):
+            seen += len(front)
+            front = front[np.argsort(self.way[front], kind="stable")]
+            self.levels.append(front)
+            to = self.way[front]
+            to, times = np.unique(to[to >= 0], return_counts=True)
+            todo[to] -= times
+            front = to[todo[to] == 0]
+        if seen < len(cell):
+            raise ValueError("the network has a cycle")
+
+    def add_up(self, values: np.ndarray) -> None:
+        """Adds to each row all rows above it."""
+        for front in self.levels:
+            to = self.way[front]
+            front, to = front[to >= 0], to[to >= 0]
+            if len(to):
+                first = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+                values[to[first]] += np.add.reduceat(values[front], first, axis=0)
+
+    def sinks(self) -> np.ndarray:
+        """Where each cell's water goes first: the cell itself if it is cut, a cut cell below, or the first cell of another block; -1 for a pit."""
+        out = np.where(self.cut, self.cell, np.where(self.below < 0, self.down_id, -1))
+        for front in reversed(self.levels):
+            on = front[self.way[front] >= 0]
+            out[on] = out[self.way[on]]
+        return out
+
+    def onward(self, sinks: np.ndarray) -> np.ndarray:
+        """As sinks, but from behind a cut cell."""
+        after = np.where(self.below >= 0, sinks[self.below], self.down_id)
+        return np.where(self.cut, after, sinks)
+
+
+def _ids(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).fill_null(-1).to_numpy().astype(np.int64)
+
+
+def exits(drain: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
+    """(cell_id, sink, onward) of every cell, -1 for none: where its water first leaves its block or meets a cell of ``cuts`` (cell_id), itself included, and where it goes from there."""
+    marked = drain.select("cell_id", "down_id", F.lit(False).alias("cut")) if cuts is None else drain.join(cuts.select("cell_id").distinct().withColumn("cut", F.lit(True)), "cell_id", "left").select("cell_id", "down_id", F.coalesce("cut", F.lit(False)).alias("cut"))
+
+    def run(table: pa.Table) -> pa.Table:
+        net = Local(_ids(table, "cell_id"), _ids(table, "down_id"), table.column("cut").to_numpy())
+        sinks = net.sinks()
+        return pa.table({"cell_id": net.cell, "sink": sinks, "onward": net.onward(sinks)})
+
+    return marked.groupBy(block_of("cell_id").alias("block")).applyInArrow(run, "cell_id long, sink long, onward long")
+
+
+def _entries(drain: DataFrame) -> DataFrame:
+    """Cells that water of another block enters."""
+    return drain.where(block_of("cell_id") != block_of("down_id")).select(F.col("down_id").alias("cell_id")).distinct()
+
+
 def jump_table(drain: DataFrame, rounds: int = 40) -> list[DataFrame]:
     """Where each cell's water is after 1, 2, 4, ... steps: (cell_id, to), without the cells that have left the table.
 
@@ -33,37 +120,114 @@ def jump_table(drain: DataFrame, rounds: int = 40) -> list[DataFrame]:
     raise ValueError("the network has a cycle")
 
 
-def accumulate(drain: DataFrame, flux: DataFrame, value: str = "value", by: tuple[str, ...] = ("step",), jumps: list[DataFrame] | None = None) -> DataFrame:
-    """(cell_id, *by, value): own flux and that of all cells upstream, by pointer doubling.
-
-    In round k each cell adds what the cells 2**k steps above hold, so the rounds are the logarithm of the
-    longest path. Sums are combined before the shuffle, so confluences don't skew. A
-    NULL flux makes all cells below it NULL. ``jumps`` from ``jump_table`` can be handed in again.
-    """
-    keys = ["cell_id", *by]
-    now = flux.select(*keys, F.coalesce(value, F.lit(0.0)).alias("v"), F.col(value).isNull().cast("int").alias("holes"))
-    for jump in jump_table(drain) if jumps is None else jumps:
-        moved = now.join(jump, "cell_id").select(F.col("to").alias("cell_id"), *by, "v", "holes")
+def _doubled(drain: DataFrame, flux: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, v, holes) added up along ``drain`` by pointer doubling: in round k each node adds what the nodes 2**k steps above hold."""
+    now = flux
+    for jump in jump_table(drain):
+        moved = now.join(jump, "cell_id").select(F.col("to").alias("cell_id"), *keys[1:], "v", "holes")
         now = checkpointed(now.unionByName(moved).groupBy(*keys).agg(F.sum("v").alias("v"), F.sum("holes").alias("holes")))
-    return now.select(*keys, F.when(F.col("holes") == 0, F.col("v")).alias(value))
+    return now
 
 
-def gauge_catchments(drain: DataFrame, gauges: DataFrame, jumps: list[DataFrame] | None = None) -> DataFrame:
-    """(cell_id, station_id) for each cell and every gauge that its water passes, its own cell's included.
+def _added_up(drain: DataFrame, flux: DataFrame, by: tuple[str, ...], leaving: bool, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(cell_id, *by, v, holes) added up inside each block: of all cells, or with ``leaving`` what enters other blocks, by the cell where it does.
 
-    The set of (cell, gauge) pairs doubles its reach each round.
+    With ``carry`` only the rows with ``own`` come out, with these columns.
     """
-    reach = gauges.select("cell_id", "station_id")
-    for jump in jump_table(drain) if jumps is None else jumps:
-        above = jump.join(reach.select(F.col("cell_id").alias("to"), "station_id"), "to").select("cell_id", "station_id")
-        reach = checkpointed(reach.union(above).distinct())
-    return reach
-
-
-def accumulate_at_gauges(catchments: DataFrame, flux: DataFrame, value: str = "value") -> DataFrame:
-    """(station_id, step, value): flux of each gauge's catchment; one join and one aggregation, when station series are all that is wanted."""
-    met = flux.join(catchments, "cell_id").groupBy("station_id", "step").agg(F.sum(value).alias("v"), F.count_if(F.col(value).isNull()).alias("holes"))
-    return met.select("station_id", "step", F.when(F.col("holes") == 0, F.col("v")).alias(value))
+    kinds = ", ".join(f"{k} {t}" for k, t in flux.select("cell_id", *by, *carry).dtypes)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        net = Local(_ids(left, "cell_id"), _ids(left, "down_id"))
+        sets = right.select(list(by)).group_by(list(by)).aggregate([]) if by else None
+        m = sets.num_rows if by else 1
+        column = np.zeros(right.num_rows, np.int64)
+        if by:
+            codes = right.select(list(by)).append_column("at", pa.array(np.arange(right.num_rows))).join(sets.append_column("set", pa.array(np.arange(m))), keys=list(by), join_type="inner")
+            column[codes.column("at").to_numpy()] = codes.column("set").to_numpy()
+        cell = _ids(right, "cell_id")
+        row = np.minimum(np.searchsorted(net.cell, cell), max(0, len(net.cell) - 1))
+        known = (net.cell[row] == cell) if len(net.cell) else np.zeros(len(cell), bool)  # what has no edge row stays as it is
+        acc = np.zeros((len(net.cell), m, 3))
+        flat = row[known] * m + column[known]
+        for k, v in enumerate((right.column("v").to_numpy()[known], right.column("holes").to_numpy()[known], np.ones(int(known.sum())))):
+            acc[:, :, k] = np.bincount(flat, v, len(net.cell) * m).reshape(len(net.cell), m)
+        net.add_up(acc)
+        if carry:
+            own = known & right.column("own").to_numpy()
+            got = acc.reshape(-1, 3)[(row * m + column)[own]]
+            kept = right.filter(pa.array(own)).select(["cell_id", *by, *carry])
+            return kept.append_column("v", pa.array(got[:, 0])).append_column("holes", pa.array(got[:, 1].astype(np.int64)))
+        if leaving:
+            at = np.flatnonzero((net.below < 0) & (net.down_id >= 0))
+            ids, place = np.unique(net.down_id[at], return_inverse=True)
+            total = np.zeros((len(ids), m, 3))
+            np.add.at(total, place, acc[at])
+        else:
+            ids, total = net.cell, acc
+        i, j = np.nonzero(total[:, :, 2])
+        out = {"cell_id": ids[i]} | {k: sets.column(k).take(pa.array(j)) for k in by} | {"v": total[i, j, 0], "holes": total[i, j, 1].astype(np.int64)}
+        return pa.table(out)
+
+    sides = (drain.select("cell_id", "down_id"), flux)
+    left, right = (x.groupBy(block_of("cell_id").alias("block")) for x in sides)
+    return left.cogroup(right).applyInArrow(run, f"{kinds}, v double, holes long")
+
+
+def accumulate(drain: DataFrame, flux: DataFrame, value: str = "value", by: tuple[str, ...] = ("step",), carry: tuple[str, ...] = ()) -> DataFrame:
+    """(cell_id, *by, *carry, value): own flux and that of all cells upstream. Every cell has a row in ``drain``.
+
+    ``carry``: columns of ``flux``, which then has one row a cell and ``by``, to hand on.
+
+    First each block adds up what leaves it, then the network of entered cells adds that up by pointer doubling, and last
+    each block adds up its own cells with what enters. A NULL flux makes all cells below it NULL.
+    """
+    keys = ["cell_id", *by]
+    numbers = (F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("v"), F.col(value).isNull().cast("long").alias("holes"))
+    own = flux.select(*keys, *numbers)
+    ways = exits(drain).join(_entries(drain), "cell_id", "left_semi").select("cell_id", F.when(F.col("sink") >= 0, F.col("sink")).alias("down_id"))
+    entering = _added_up(drain, own, by, leaving=True).groupBy(*keys).agg(F.sum("v").alias("v"), F.sum("holes").alias("holes"))
+    inflow = _doubled(ways, checkpointed(entering), keys)
+    if carry:
+        both = flux.select(*keys, *carry, *numbers, F.lit(True).alias("own")).unionByName(inflow.withColumn("own", F.lit(False)), allowMissingColumns=True)
+    else:
+        both = own.unionByName(inflow)
+    out = _added_up(drain, both, by, leaving=False, carry=carry)
+    return out.select(*keys, *carry, F.when(F.col("holes") == 0, F.col("v")).alias(value))
+
+
+def gauge_catchments(drain: DataFrame, gauges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Catchments without repetition: (cell_id, gauge), the first gauge cell that each cell's water passes, its own included, and the tree (cell_id, down_id) of gauge cells.
+
+    A gauge's whole catchment is its own cells and those of the gauges above it in the tree. Cells whose water passes no gauge have no row.
+    """
+    ways = checkpointed(exits(drain, gauges))
+    at = gauges.select("cell_id").distinct().withColumn("gauge", F.lit(True))
+    nodes = ways.join(_entries(drain).union(at.select("cell_id")).distinct(), "cell_id", "left_semi").join(at, "cell_id", "left")
+    # each node's first gauge: gauges end the way, all others jump on, twice as far each round
+    now = checkpointed(nodes.select("cell_id", F.when(F.col("gauge"), F.col("cell_id")).when(F.col("sink") >= 0, F.col("sink")).alias("to"), F.coalesce("gauge", F.lit(False)).alias("done")))
+    for _ in range(40):
+        if now.where(~F.col("done") & F.col("to").isNotNull()).isEmpty():
+            break
+        onward = now.select(F.col("cell_id").alias("to"), F.col("to").alias("next"), F.col("done").alias("there"))
+        ahead = now.where(~F.col("done") & F.col("to").isNotNull()).join(onward, "to", "left")
+        now = checkpointed(now.where(F.col("done") | F.col("to").isNull()).unionByName(ahead.select("cell_id", F.col("next").alias("to"), F.coalesce("there", F.lit(False)).alias("done"))))
+    else:
+        raise ValueError("the network has a cycle")
+    first = now.where("done").select(F.col("cell_id").alias("sink"), F.col("to").alias("gauge"))
+    cells = ways.join(first, "sink").select("cell_id", "gauge")
+    tree = ways.join(at, "cell_id", "left_semi").select("cell_id", F.col("onward").alias("sink")).join(first, "sink", "left").select("cell_id", F.col("gauge").alias("down_id"))
+    return cells, tree
+
+
+def accumulate_at_gauges(drain: DataFrame, gauges: DataFrame, flux: DataFrame, value: str = "value", by: tuple[str, ...] = ("step",)) -> DataFrame:
+    """(station_id, *by, value): flux of each gauge's whole catchment, when station series are all that is wanted.
+
+    One aggregation by first gauge, then sums along the tree of gauges (cell_id, station_id). NULL flux makes all gauges below it NULL.
+    """
+    cells, tree = gauge_catchments(drain, gauges)
+    own = flux.join(cells, "cell_id").groupBy(F.col("gauge").alias("cell_id"), *by).agg(F.sum(F.col(value).cast("double")).alias("v"), F.count_if(F.col(value).isNull()).alias("holes"))
+    total = _doubled(tree, checkpointed(own.withColumn("v", F.coalesce("v", F.lit(0.0)))), ["cell_id", *by])
+    return total.join(gauges.select("cell_id", "station_id"), "cell_id").select("station_id", *by, F.when(F.col("holes") == 0, F.col("v")).alias(value))
 
 
 def recession_smooth(df: DataFrame, x: float, value: str = "value", key: str = "cell_id", out: str = "smooth") -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,23 +51,57 @@ def drain_edges(cells: DataFrame, ldd: str = "ldd") -> DataFrame:
     return to.join(there, ["row", "col"], "left").select("cell_id", "down_id")
 
 
-def fill_depressions(cells: DataFrame, value: str = "dem", rounds: int = 10_000) -> DataFrame:
+def _flooded(z: np.ndarray, w: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The lowest surface over a tile: w is known where it is finite. place: a grid of indices, -1 where no cell is, with a ring around."""
+    width, out = place.shape[1], np.full(len(z), np.inf)
+    at = np.zeros(len(z), np.int64)
+    flat = place.ravel()
+    at[flat[flat >= 0]] = np.flatnonzero(flat >= 0)
+    steps = [-width - 1, -width, -width + 1, -1, 1, width - 1, width, width + 1]
+    heap = [(float(w[k]), int(k)) for k in np.flatnonzero(np.isfinite(w))]
+    heapq.heapify(heap)
+    while heap:
+        level, k = heapq.heappop(heap)
+        if level >= out[k]:
+            continue
+        out[k] = level
+        for step in steps:
+            n = flat[at[k] + step]
+            if n >= 0 and out[n] == np.inf and not z[n] != z[n]:
+                heapq.heappush(heap, (max(float(z[n]), level), int(n)))
+    return out
+
+
+TILE = 64
+
+
+def fill_depressions(cells: DataFrame, value: str = "dem", rounds: int = 1000) -> DataFrame:
     """(cell_id, filled): the lowest surface not below the ground from which every cell reaches the edge without a rise.
 
-    Planchon and Darboux (2001): cells on the edge keep their height, others start at
-    infinity and sink to max(own height, lowest neighbour) until nothing changes. A round moves one cell far,
-    so basins with long flats are better given a drain map.
+    Edge cells, which lack a neighbour, keep their height. Tiles of 64 x 64 cells are flooded from their lowest known heights (Barnes, Lehman and
+    Mulla 2014) together with the ring of cells around them; rounds go on until no height sinks any more. So
+    the rounds are as many as tiles that the lowest ways out cross, not as cells. A NULL height stays NULL and lets nothing through.
     """
-    near = checkpointed(neighbours(cells, value).select("cell_id", "neighbour_id"))
-    inner = near.groupBy("cell_id").count().where("count = 8").select("cell_id", F.lit(True).alias("inner"))
-    start = cells.select("cell_id", F.col(value).alias("z")).join(inner, "cell_id", "left")
-    now = checkpointed(start.select("cell_id", "z", F.when(F.col("inner"), F.lit(float("inf"))).otherwise(F.col("z")).alias("w")))
+    near = neighbours(cells, value).groupBy("cell_id").count().where("count = 8").select("cell_id", F.lit(True).alias("inner"))
+    start = cells.select("cell_id", "row", "col", F.col(value).cast("double").alias("z")).join(near, "cell_id", "left")
+    edge = F.col("inner").isNull() & F.col("z").isNotNull()
+    now = checkpointed(start.select("cell_id", "row", "col", "z", edge.alias("edge"), F.when(edge, F.col("z")).otherwise(F.lit(float("inf"))).alias("w")))
+    around = F.array_distinct(F.array(*[F.struct(F.floor((F.col("row") + dr) / TILE).alias("i"), F.floor((F.col("col") + dc) / TILE).alias("j")) for dr in (-1, 0, 1) for dc in (-1, 0, 1)]))
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        i, j = (k.as_py() for k in key)
+        row, col, z, w, edge = (table.column(c).to_numpy() for c in ("row", "col", "z", "w", "edge"))
+        own = (row // TILE == i) & (col // TILE == j)
+        place = np.full((TILE + 4, TILE + 4), -1, np.int64)
+        place[row - i * TILE + 2, col - j * TILE + 2] = np.arange(len(row))
+        filled = _flooded(z, np.where(own & ~edge, np.inf, w), place)
+        sunk = np.where(np.isnan(z), w, filled)
+        return table.append_column("sunk", pa.array(sunk)).filter(pa.array(own)).select(["cell_id", "row", "col", "z", "edge", "w", "sunk"])
+
     for _ in range(rounds):
-        low = near.join(now.select(F.col("cell_id").alias("neighbour_id"), "w"), "neighbour_id").groupBy("cell_id").agg(F.min("w").alias("low"))
-        sunk = now.join(low, "cell_id", "left").select("cell_id", "z", "w", F.when(F.col("w") > F.col("z"), F.least("w", F.greatest("z", "low"))).otherwise(F.col("w")).alias("new"))
-        sunk = checkpointed(sunk)
-        changed = sunk.where("new < w").isEmpty()
-        now = sunk.select("cell_id", "z", F.col("new").alias("w"))
-        if changed:
-            return now.select("cell_id", F.col("w").alias("filled"))
+        tiles = now.withColumn("t", F.explode(around)).select("*", "t.i", "t.j").drop("t")
+        sunk = checkpointed(tiles.groupBy("i", "j").applyInArrow(run, "cell_id long, row int, col int, z double, edge boolean, w double, sunk double"))
+        now = sunk.select("cell_id", "row", "col", "z", "edge", F.col("sunk").alias("w"))
+        if sunk.where("sunk < w").isEmpty():
+            return now.select("cell_id", F.when(F.col("z").isNotNull(), F.col("w")).alias("filled"))
     raise RuntimeError(f"depressions are not filled after {rounds} rounds")

@@ -77,6 +77,43 @@ class Parameters:
         return self
 
 
+@dataclass(frozen=True)
+class Outputs:
+    """Which variables a run writes."""
+
+    itp: bool = True
+    bfw: bool = True
+    srn: bool = True
+    eta: bool = True
+    lfw: bool = True
+    rec: bool = True
+    smc: bool = True
+    rnf: bool = True
+    arn: bool = True
+
+    def enabled(self) -> tuple[str, ...]:
+        return tuple(k for k, v in asdict(self).items() if v)
+
+    def any(self) -> bool:
+        return bool(self.enabled())
+
+    def all(self) -> bool:
+        return all(asdict(self).values())
+
+
+@dataclass(frozen=True)
+class ParameterColumns:
+    """Parameters that each row has in columns of these names, as after a sweep; what ``fixed`` has is the same for all rows."""
+
+    fixed: Parameters
+    columns: tuple[str, ...]
+
+    def __getattr__(self, name: str):
+        if name in ("fixed", "columns") or name.startswith("_"):
+            raise AttributeError(name)
+        return name if name in self.columns else getattr(self.fixed, name)
+
+
 def valid_parameters(df: DataFrame) -> DataFrame:
     """Adds ``problems`` (array of texts) and ``valid`` to a table of parameter sets.
 

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import soil
-from ..operators.balance import state_free, water_balance, with_landuse, with_soil
-from ..operators.network import accumulate, checkpointed, recession_smooth
+from ..operators.balance import TERMS, state_free, water_balance, with_landuse, with_soil
+from ..operators.calendar import clip_period
+from ..operators.network import accumulate, checkpointed
+from ..operators.series import align_series, carry_forward, missing_steps
 from ..operators.small import small
-from ..operators.terrain import slope
-from ..params import Parameters
+from ..operators.stations import sample_stations
+from ..operators.terrain import drain_direction, drain_edges, fill_depressions, slope
+from ..params import Outputs, Parameters
+from ..sources.tables import write_series, write_station_csv
 
 
 def cell_months(cells: DataFrame, forcing: DataFrame, soil_attr: DataFrame, landuse_attr: DataFrame, months: DataFrame) -> DataFrame:
@@ -32,12 +35,54 @@ def run_basin(cells: DataFrame, forcing: DataFrame, soil_attr: DataFrame, landus
     """(cell_id, step, itp, bfw, srn, eta, lfw, rec, smc, sat, rnf, arn).
 
     ``arn`` is the accumulated discharge [m3/s] after recession. Recession and accumulation are linear and start from 0, so each cell is
-    smoothed in the order of its months first, then all months are accumulated together.
+    smoothed in the order of its months first, in the same pass as its balance, then all months are accumulated together.
     """
     p.checked()
     rows = state_free(cell_months(cells, forcing, soil_attr, landuse_attr, months), p)
-    outputs = checkpointed(water_balance(rows, p, state))  # read twice: folded once
-    days = small(months.select("step", "days_in_month"))
-    flow = outputs.join(days, "step").select("cell_id", "step", soil.discharge_m3s("rnf", p.area, F.col("days_in_month").cast("double")).alias("value"))
-    smooth = recession_smooth(flow, p.x).select("cell_id", "step", F.col("smooth").alias("arn"))
-    return outputs.join(accumulate(drain, smooth, "arn"), ["cell_id", "step"])
+    outputs = checkpointed(water_balance(rows, p, state, smooth=True))  # read twice: folded once
+    return accumulate(drain, outputs, "flow", carry=TERMS).withColumnRenamed("flow", "arn")
+
+
+def complete_forcing(series: DataFrame, first: int, last: int) -> DataFrame:
+    """Wide forcing of the steps first..last from long series (series, step, cell_id, value).
+
+    A month without a map of NDVI or land use has the last one before it, not before ``first``. A month
+    without rain, evapotranspiration or pan coefficient is a ValueError.
+    """
+    inside = clip_period(series, first, last)
+    steps = inside.select("series", "step").distinct()
+    for name in ("precipitation", "etp", "kp"):
+        lost = [r.step for r in missing_steps(steps.where(F.col("series") == name).select("step"), first, last).orderBy("step").limit(20).collect()]
+        if lost:
+            raise ValueError(f"no map of {name} for steps {lost}")
+    carried = [carry_forward(inside.where(F.col("series") == n), first, last).select("series", "step", "cell_id", "value") for n in ("ndvi", "landuse")]
+    return align_series(inside.where(~F.col("series").isin("ndvi", "landuse")).union(carried[0]).union(carried[1]))
+
+
+def drainage(cells: DataFrame) -> DataFrame:
+    """(cell_id, down_id) from the given directions ``ldd``, or, where there are none, from the heights after filling all pits."""
+    if "ldd" in cells.columns and not cells.where("ldd is not null").isEmpty():
+        return drain_edges(cells)
+    filled = cells.join(fill_depressions(cells), "cell_id")
+    return drain_edges(filled.drop("ldd").join(drain_direction(filled, value="filled"), "cell_id"))
+
+
+def run(cells: DataFrame, series: DataFrame, soil_attr: DataFrame, landuse_attr: DataFrame, months: DataFrame, p: Parameters, first: int, last: int, selection: Outputs | None = None, path: str | None = None, station_ids: list[int] | None = None) -> DataFrame:
+    """A run from maps to outputs: (cell_id, step, the enabled variables).
+
+    Missing months are completed, directions taken or derived, and with ``path`` the enabled maps are written there,
+    with ``station_ids`` also the stations' tables. Nothing enabled is a ValueError.
+    """
+    selection = selection or Outputs()
+    if not selection.any():
+        raise ValueError("no output variable is enabled")
+    forcing = complete_forcing(series, first, last)
+    out = run_basin(with_slope(cells, p.grid), forcing, soil_attr, landuse_attr, clip_period(months, first, last), checkpointed(drainage(cells)), p)
+    out = out.select("cell_id", "step", *selection.enabled())
+    if path:
+        out = checkpointed(out)
+        write_series(out, f"{path}/maps", selection.enabled())
+        if station_ids is not None:
+            at = cells.where("station_id is not null").select("cell_id", "station_id")
+            write_station_csv(sample_stations(out, at, selection.enabled()), station_ids, f"{path}/stations")
+    return out

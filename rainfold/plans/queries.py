@@ -48,7 +48,7 @@ def _free(spark, sf_dir):
 
 def _drain(spark, sf_dir):
     cells = testgrid.cells(spark, sf_dir)
-    return terrain.drain_edges(cells.join(terrain.drain_direction(cells), "cell_id"))
+    return network.checkpointed(terrain.drain_edges(cells.join(terrain.drain_direction(cells), "cell_id")))  # read several times
 
 
 def _outputs(spark, sf_dir):
@@ -155,9 +155,8 @@ def flow_accumulation(spark, sf_dir):
     "cells", "below", "forcing",
 )
 def gauge_flow(spark, sf_dir):
-    pairs = network.gauge_catchments(_drain(spark, sf_dir), stations.stations_of(testgrid.cells(spark, sf_dir)))
     flux = testgrid.forcing(spark, sf_dir).select("cell_id", "step", F.col("precipitation").alias("value"))
-    return network.accumulate_at_gauges(pairs, flux).select("station_id", "step", _r(F.col("value")).alias("value"))
+    return network.accumulate_at_gauges(_drain(spark, sf_dir), stations.stations_of(testgrid.cells(spark, sf_dir)), flux).select("station_id", "step", _r(F.col("value")).alias("value"))
 
 
 @query("SELECT cell_id, step, round(q, 8) AS smooth FROM smooth WHERE step > 0", "smooth")
