@@ -103,15 +103,14 @@ def _entries(drain: DataFrame) -> DataFrame:
     return drain.where(block_of("cell_id") != block_of("down_id")).select(F.col("down_id").alias("cell_id")).distinct()
 
 
-def jump_table(drain: DataFrame, rounds: int = 40) -> list[DataFrame]:
+def jump_table(drain: DataFrame) -> list[DataFrame]:
     """Where each cell's water is after 1, 2, 4, ... steps: (cell_id, to), without the cells that have left the table.
 
-    It depends on the network alone, so one table serves all months. The number of rounds is the
-    logarithm of the longest path.
+    The number of rounds is the logarithm of the longest path; more than the number of cells allows mean a cycle, a ValueError.
     """
     now = checkpointed(drain.where("down_id is not null").select("cell_id", F.col("down_id").alias("to")))
     tables = []
-    for _ in range(rounds):
+    for _ in range(now.count().bit_length() + 2):
         if now.isEmpty():
             return tables
         tables.append(now)
@@ -205,7 +204,7 @@ def gauge_catchments(drain: DataFrame, gauges: DataFrame) -> tuple[DataFrame, Da
     nodes = ways.join(_entries(drain).union(at.select("cell_id")).distinct(), "cell_id", "left_semi").join(at, "cell_id", "left")
     # each node's first gauge: gauges end the way, all others jump on, twice as far each round
     now = checkpointed(nodes.select("cell_id", F.when(F.col("gauge"), F.col("cell_id")).when(F.col("sink") >= 0, F.col("sink")).alias("to"), F.coalesce("gauge", F.lit(False)).alias("done")))
-    for _ in range(40):
+    for _ in range(now.count().bit_length() + 2):
         if now.where(~F.col("done") & F.col("to").isNotNull()).isEmpty():
             break
         onward = now.select(F.col("cell_id").alias("to"), F.col("to").alias("next"), F.col("done").alias("there"))

@@ -2,10 +2,52 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import replace
+
 from . import testgrid as g
 
 P = g.PARAMS
 
+def _balance(P, s: str = "", forcing: str = "forcing") -> dict[str, tuple[str, str]]:
+    """The parts free, fold and balance for a set of parameters, with a suffix."""
+    return {
+    f"free{s}": (
+        f"cells {forcing} soil_attr landuse_attr months slope",
+        f"""SELECT *, weighted * (precipitation / days) / (weighted * (precipitation / days) - {P.rcd} * weighted + {P.rcd}) AS runoff_coef FROM (
+            SELECT *,
+                a_v * precipitation * (1 - exp(-(({P.alpha} * lai * (1 - 1 / (1 + precipitation * (1 - exp(-0.463 * lai)) / ({P.alpha} * lai)))) * days / (precipitation + 1e-5)))) AS itp,
+                (ndvi > 1.1 * ndvi_min)::INT * (kc_min + (kc_max - kc_min) * (ndvi - ndvi_min) / (ndvi_max - ndvi_min)) + (ndvi < 1.1 * ndvi_min)::INT * kc_min AS kc,
+                CASE WHEN a_o = 1 AND etp / kp > precipitation THEN precipitation ELSE etp / kp END AS et_o,
+                {P.i_imp} * (precipitation <> 0)::INT AS et_i,
+                (1 - a_o - a_i) * ({P.w_1} * 0.02 / manning + {P.w_2} * (wp / mass) / (1 - wp / mass) + {P.w_3} * slope / (10 + slope)) + (a_o + a_i) * 0.09 * exp(2.4 * (a_o + a_i)) AS weighted
+            FROM (
+                SELECT *, {P.lai_max} * log10(1 - fpar) / log10(1 - {P.fpar_max}::DOUBLE) AS lai FROM (
+                    SELECT *, least({P.fpar_max}::DOUBLE, {P.fpar_min} + ((1 + ndvi) / (1 - ndvi) - (1 + ndvi_min) / (1 - ndvi_min)) * ({P.fpar_max} - {P.fpar_min}) / ((1 + ndvi_max) / (1 - ndvi_max) - (1 + ndvi_min) / (1 - ndvi_min))) AS fpar,
+                        bulk_density * rootzone_depth * 10 AS mass, t_sat * bulk_density * rootzone_depth * 10 AS tsat, t_wp * bulk_density * rootzone_depth * 10 AS wp, t_fcap * bulk_density * rootzone_depth * 10 AS fc
+                    FROM {forcing} JOIN cells USING (cell_id) JOIN soil_attr USING (soil) JOIN landuse_attr USING (landuse) JOIN months USING (step) JOIN slope USING (cell_id))))""",
+    ),
+    f"fold{s}": (
+        f"free{s}",
+        f"""SELECT cell_id, 0 AS step, 0.0::DOUBLE AS itp, 0.0::DOUBLE AS eta, 0.0::DOUBLE AS srn, 0.0::DOUBLE AS lfw, 0.0::DOUBLE AS rec, {P.bfw_ini}::DOUBLE AS bfw, tsat * {P.t_ini} AS smc, {P.s_sat_ini}::DOUBLE AS sat FROM free{s} WHERE step = 1
+        UNION ALL
+        SELECT cell_id, step, itp, eta, srn, lfw, rec, bfw,
+            CASE WHEN a_o = 1 THEN tsat WHEN before + precipitation - itp - srn - lfw - rec - eta <= 0 THEN 0 WHEN before + precipitation - itp - srn - lfw - rec - eta >= tsat THEN tsat ELSE before + precipitation - itp - srn - lfw - rec - eta END AS smc,
+            held + rec - bfw AS sat
+        FROM (
+            SELECT *, (base * exp(-{P.alpha_gw}::DOUBLE) + (1 - exp(-{P.alpha_gw}::DOUBLE)) * rec) * (held > {P.bfw_lim})::INT AS bfw FROM (
+                SELECT f.*, p.smc AS before, p.sat AS held, p.bfw AS base,
+                    a_i * et_i + a_o * et_o + etp * (a_v * kc + a_s * kc_min) * ln(CASE WHEN p.smc > wp THEN p.smc - wp ELSE 0 END + 1) / ln(fc - wp + 1) AS eta,
+                    CASE WHEN a_o = 1 THEN greatest(precipitation - et_o, 0) * CASE WHEN p.smc = tsat THEN 1 ELSE 2 END
+                        WHEN p.smc = tsat THEN precipitation - f.itp ELSE runoff_coef * pow(p.smc / mass / tsat, {P.beta}) * (precipitation - f.itp) END AS srn,
+                    {P.f} * k_sat * (p.smc / tsat) * (p.smc / tsat) AS lfw,
+                    (1 - {P.f}) * k_sat * (p.smc / tsat) * (p.smc / tsat) AS rec
+                FROM fold{s} p JOIN free{s} f ON f.cell_id = p.cell_id AND f.step = p.step + 1))""",
+    ),
+        f"balance{s}": (f"fold{s}", f"SELECT *, srn + lfw + bfw AS rnf FROM fold{s} WHERE step > 0"),
+    }
+
+
 #: Named parts, each with those it reads.
 PARTS = {
     "cells": ("", g.CELLS.format(orders="orders")),
@@ -16,9 +58,9 @@ PARTS = {
     "months": ("", g.MONTHS_SQL),
     "nb": (
         "cells",
-        """SELECT a.cell_id, o.code, b.cell_id AS neighbour_id, a.dem AS value, b.dem AS neighbour_value
-        FROM cells a CROSS JOIN (VALUES (7, -1, -1), (8, -1, 0), (9, -1, 1), (4, 0, -1), (6, 0, 1), (1, 1, -1), (2, 1, 0), (3, 1, 1)) AS o(code, dr, dc)
-        JOIN cells b ON b.r = a.r + o.dr AND b.c = a.c + o.dc""",
+        """SELECT a.cell_id, a.code, b.cell_id AS neighbour_id, a.dem AS value, b.dem AS neighbour_value
+        FROM (SELECT cell_id, dem, code, r + dr AS r, c + dc AS c FROM cells CROSS JOIN (VALUES (7, -1, -1), (8, -1, 0), (9, -1, 1), (4, 0, -1), (6, 0, 1), (1, 1, -1), (2, 1, 0), (3, 1, 1)) AS o(code, dr, dc)) a
+        JOIN cells b ON b.r = a.r AND b.c = a.c""",
     ),
     "slope": (
         "cells nb",
@@ -35,41 +77,13 @@ PARTS = {
                 SELECT cell_id, code, (value - neighbour_value) / CASE WHEN code IN (7, 9, 1, 3) THEN sqrt(2) ELSE 1 END AS fall FROM nb)
             WHERE fall > 0) t ON t.cell_id = cells.cell_id AND k = 1""",
     ),
-    "drain": ("ldd nb", "SELECT ldd.cell_id, nb.neighbour_id AS down_id FROM ldd LEFT JOIN nb ON nb.cell_id = ldd.cell_id AND nb.code = ldd.ldd"),
-    "below": ("drain cells", "SELECT cell_id, cell_id AS at FROM cells UNION ALL SELECT b.cell_id, d.down_id FROM below b JOIN drain d ON d.cell_id = b.at WHERE d.down_id IS NOT NULL"),
-    "free": (
-        "cells forcing soil_attr landuse_attr months slope",
-        f"""SELECT *, weighted * (precipitation / days) / (weighted * (precipitation / days) - {P.rcd} * weighted + {P.rcd}) AS runoff_coef FROM (
-            SELECT *,
-                a_v * precipitation * (1 - exp(-(({P.alpha} * lai * (1 - 1 / (1 + precipitation * (1 - exp(-0.463 * lai)) / ({P.alpha} * lai)))) * days / (precipitation + 1e-5)))) AS itp,
-                (ndvi > 1.1 * ndvi_min)::INT * (kc_min + (kc_max - kc_min) * (ndvi - ndvi_min) / (ndvi_max - ndvi_min)) + (ndvi < 1.1 * ndvi_min)::INT * kc_min AS kc,
-                CASE WHEN a_o = 1 AND etp / kp > precipitation THEN precipitation ELSE etp / kp END AS et_o,
-                {P.i_imp} * (precipitation <> 0)::INT AS et_i,
-                (1 - a_o - a_i) * ({P.w_1} * 0.02 / manning + {P.w_2} * (wp / mass) / (1 - wp / mass) + {P.w_3} * slope / (10 + slope)) + (a_o + a_i) * 0.09 * exp(2.4 * (a_o + a_i)) AS weighted
-            FROM (
-                SELECT *, {P.lai_max} * log10(1 - fpar) / log10(1 - {P.fpar_max}::DOUBLE) AS lai FROM (
-                    SELECT *, least({P.fpar_max}::DOUBLE, {P.fpar_min} + ((1 + ndvi) / (1 - ndvi) - (1 + ndvi_min) / (1 - ndvi_min)) * ({P.fpar_max} - {P.fpar_min}) / ((1 + ndvi_max) / (1 - ndvi_max) - (1 + ndvi_min) / (1 - ndvi_min))) AS fpar,
-                        bulk_density * rootzone_depth * 10 AS mass, t_sat * bulk_density * rootzone_depth * 10 AS tsat, t_wp * bulk_density * rootzone_depth * 10 AS wp, t_fcap * bulk_density * rootzone_depth * 10 AS fc
-                    FROM forcing JOIN cells USING (cell_id) JOIN soil_attr USING (soil) JOIN landuse_attr USING (landuse) JOIN months USING (step) JOIN slope USING (cell_id))))""",
+    "drain": (
+        "ldd cells",
+        """SELECT f.cell_id, t.cell_id AS down_id FROM (
+            SELECT cell_id, r + CASE WHEN ldd IN (7, 8, 9) THEN -1 WHEN ldd IN (1, 2, 3) THEN 1 ELSE 0 END AS r, c + CASE WHEN ldd IN (7, 4, 1) THEN -1 WHEN ldd IN (9, 6, 3) THEN 1 ELSE 0 END AS c, ldd FROM ldd JOIN cells USING (cell_id)) f
+        LEFT JOIN cells t ON t.r = f.r AND t.c = f.c AND f.ldd <> 5""",
     ),
-    "fold": (
-        "free",
-        f"""SELECT cell_id, 0 AS step, 0.0::DOUBLE AS itp, 0.0::DOUBLE AS eta, 0.0::DOUBLE AS srn, 0.0::DOUBLE AS lfw, 0.0::DOUBLE AS rec, {P.bfw_ini}::DOUBLE AS bfw, tsat * {P.t_ini} AS smc, {P.s_sat_ini}::DOUBLE AS sat FROM free WHERE step = 1
-        UNION ALL
-        SELECT cell_id, step, itp, eta, srn, lfw, rec, bfw,
-            CASE WHEN a_o = 1 THEN tsat WHEN before + precipitation - itp - srn - lfw - rec - eta <= 0 THEN 0 WHEN before + precipitation - itp - srn - lfw - rec - eta >= tsat THEN tsat ELSE before + precipitation - itp - srn - lfw - rec - eta END AS smc,
-            held + rec - bfw AS sat
-        FROM (
-            SELECT *, (base * exp(-{P.alpha_gw}::DOUBLE) + (1 - exp(-{P.alpha_gw}::DOUBLE)) * rec) * (held > {P.bfw_lim})::INT AS bfw FROM (
-                SELECT f.*, p.smc AS before, p.sat AS held, p.bfw AS base,
-                    a_i * et_i + a_o * et_o + etp * (a_v * kc + a_s * kc_min) * ln(CASE WHEN p.smc > wp THEN p.smc - wp ELSE 0 END + 1) / ln(fc - wp + 1) AS eta,
-                    CASE WHEN a_o = 1 THEN greatest(precipitation - et_o, 0) * CASE WHEN p.smc = tsat THEN 1 ELSE 2 END
-                        WHEN p.smc = tsat THEN precipitation - f.itp ELSE runoff_coef * pow(p.smc / mass / tsat, {P.beta}) * (precipitation - f.itp) END AS srn,
-                    {P.f} * k_sat * (p.smc / tsat) * (p.smc / tsat) AS lfw,
-                    (1 - {P.f}) * k_sat * (p.smc / tsat) * (p.smc / tsat) AS rec
-                FROM fold p JOIN free f ON f.cell_id = p.cell_id AND f.step = p.step + 1))""",
-    ),
-    "balance": ("fold", "SELECT *, srn + lfw + bfw AS rnf FROM fold WHERE step > 0"),
+    "below": ("drain cells", "SELECT cell_id, cell_id AS at FROM cells UNION ALL SELECT b.cell_id, d.down_id FROM below b JOIN drain d ON d.cell_id = b.at WHERE d.down_id IS NOT NULL"),
     "flow": ("balance months", f"SELECT cell_id, step, rnf * {P.area} * 0.001 / (days_in_month * 86400) AS q FROM balance JOIN months USING (step)"),
     "smooth": (
         "flow cells",
@@ -84,6 +98,35 @@ PARTS = {
 }
 
 
+#: Parameter sets of the sweep.
+SETS = [{"beta": 0.5, "f": 0.5}, {"beta": 0.9, "f": 0.3}, {"beta": 0.2, "f": 0.8}]
+
+PARTS |= _balance(P)
+for _k, _set in enumerate(SETS, 1):
+    PARTS |= _balance(replace(P, **_set), f"_{_k}")
+#: Forcing with months that lack a map of NDVI (5, 6) or land use (3).
+PARTS["gaps"] = (
+    "forcing",
+    """SELECT f.cell_id, f.step, f.precipitation, f.etp, f.kp, n.ndvi, u.landuse FROM forcing f
+    JOIN forcing n ON n.cell_id = f.cell_id AND n.step = CASE WHEN f.step IN (5, 6) THEN 4 ELSE f.step END
+    JOIN forcing u ON u.cell_id = f.cell_id AND u.step = CASE WHEN f.step = 3 THEN 2 ELSE f.step END""",
+)
+PARTS |= _balance(P, "_gaps", "gaps")
+#: Semivariogram by planar lags, and stations at places of their own.
+PARTS["lags"] = (
+    "obs",
+    """SELECT step, lag, avg(d) AS distance, avg(g) AS gamma, count(*) AS n FROM (
+        SELECT step, d, g, least(greatest(ceil(d / max(d) OVER (PARTITION BY step) * 25)::INT, 1), 25) AS lag FROM (
+            SELECT a.step, sqrt((a.lon - b.lon) ** 2 + (a.lat - b.lat) ** 2) AS d, (a.value - b.value) ** 2 / 2 AS g FROM obs a JOIN obs b ON a.step = b.step AND a.station_id < b.station_id)) GROUP BY step, lag""",
+)
+PARTS["spots"] = ("obs", "SELECT station_id, step, value::DOUBLE AS value FROM obs")
+
+
+def _stored(name: str) -> str:
+    """Parts that don't refer to themselves are worked out once."""
+    return "" if re.search(rf"(FROM|JOIN) {name}\b", PARTS[name][1]) else "MATERIALIZED "
+
+
 def sql(select: str, *parts: str) -> str:
     """The query with the parts that it reads, in order."""
     order: list[str] = []
@@ -98,4 +141,4 @@ def sql(select: str, *parts: str) -> str:
         need(part)
     if not order:
         return select
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({PARTS[n][1]})" for n in order) + "\n" + select
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS {_stored(n)}({PARTS[n][1]})" for n in order) + "\n" + select

@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import evapo, soil, vegetation
+from ..functions import runoff
 from ..operators import balance, calibrate, interpolate, lookup, network, quality, series, stations, terrain
-from ..operators.calendar import clip_period
-from ..params import valid_parameters
+from ..operators.balance import TERMS
+from ..operators.calendar import calendar, clip_period, with_rainy_days
+from ..params import Outputs, ParameterColumns, valid_parameters
 from ..sources.tables import layer_name
 from . import basin, testgrid
+from .oracle import SETS as PARAM_SETS
 from .oracle import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,9 +59,6 @@ def _outputs(spark, sf_dir):
     return basin.run_basin(cells, testgrid.forcing(spark, sf_dir), testgrid.soil_attr(spark), testgrid.landuse_attr(spark), testgrid.months(spark), _drain(spark, sf_dir), P)
 
 
-TERMS = ("itp", "eta", "srn", "lfw", "rec", "bfw", "smc", "sat", "rnf")
-
-
 @query(f"SELECT step, {', '.join(f'round(avg({c}), 6) AS {c}' for c in TERMS)}, count(*) AS n FROM balance GROUP BY step", "balance")
 def water_balance(spark, sf_dir):
     out = balance.water_balance(_free(spark, sf_dir), P)
@@ -79,6 +79,24 @@ def water_balance_restart(spark, sf_dir):
     return out.groupBy("step").agg(*[_r(F.avg(c), 6).alias(c) for c in TERMS], F.count("*").alias("n"))
 
 
+STATEFUL = ("eta", "srn", "lfw", "rec", "bfw", "smc", "sat")
+
+
+@query(f"SELECT cell_id, step, {', '.join(f'round({c}, 3) AS {c}' for c in STATEFUL)} FROM balance WHERE step > 1", "balance")
+def monthly_terms(spark, sf_dir):
+    """Each month once more, from the state that the fold left the month before, by the published functions."""
+    free = network.checkpointed(_free(spark, sf_dir))
+    state = balance.water_balance(free, P).select("cell_id", (F.col("step") + 1).alias("step"), F.col("smc").alias("s"), F.col("sat").alias("g"), F.col("bfw").alias("b"))
+    rows = free.join(state, ["cell_id", "step"])
+    ks = evapo.water_stress("s", "wp", "fc")
+    rows = rows.withColumn("eta", evapo.total_et("a_v", evapo.et_vegetated("etp", "kc", ks), "a_i", "et_i", "a_o", "et_o", "a_s", evapo.et_bare_soil("etp", "kc_min", ks)))
+    ch = runoff.soil_moisture_coef("s", "bulk_density", "rootzone_depth", "tsat", P.beta)
+    rows = rows.withColumns({"srn": runoff.surface_runoff("runoff_coef", ch, "precipitation", "itp", "a_o", "et_o", "s", "tsat"), "lfw": soil.lateral_flow(P.f, "k_sat", "s", "tsat"), "rec": soil.recharge(P.f, "k_sat", "s", "tsat")})
+    rows = rows.withColumn("bfw", soil.baseflow("b", P.alpha_gw, "rec", "g", P.bfw_lim))
+    rows = rows.withColumns({"smc": soil.soil_moisture("s", "precipitation", "itp", "srn", "lfw", "rec", "eta", "a_o", "tsat"), "sat": soil.saturated_storage("g", "rec", "bfw")})
+    return rows.select("cell_id", "step", *[_r(F.col(c), 3).alias(c) for c in STATEFUL])
+
+
 FREE = ("fpar", "lai", "itp", "kc", "et_o", "et_i", "runoff_coef")
 
 
@@ -137,7 +155,18 @@ def drain_edges(spark, sf_dir):
     return _drain(spark, sf_dir)
 
 
-@query()
+@query(
+    """SELECT cell_id, round(h, 6) AS filled FROM (
+        WITH RECURSIVE ground AS MATERIALIZED (SELECT cell_id, r, c, CASE WHEN cell_id % 37 = 3 THEN dem - 5 ELSE dem END AS z FROM cells),
+        near AS MATERIALIZED (SELECT n.cell_id, n.neighbour_id, g.z FROM nb n JOIN ground g ON g.cell_id = n.neighbour_id),
+        water(cell_id, h) USING KEY (cell_id) AS (
+            SELECT cell_id, z FROM ground WHERE cell_id NOT IN (SELECT cell_id FROM nb GROUP BY cell_id HAVING count(*) = 8)
+            UNION
+            SELECT n.neighbour_id, min(greatest(n.z, w.h)) AS h FROM water w JOIN near n ON n.cell_id = w.cell_id LEFT JOIN recurring.water k ON k.cell_id = n.neighbour_id
+            WHERE k.h IS NULL OR greatest(n.z, w.h) < k.h GROUP BY n.neighbour_id)
+        SELECT cell_id, h FROM water)""",
+    "cells", "nb",
+)
 def fill_depressions(spark, sf_dir):
     cells = testgrid.cells(spark, sf_dir)
     pitted = cells.withColumn("dem", F.when(F.col("cell_id") % 37 == 3, F.col("dem") - 5).otherwise(F.col("dem")))
@@ -171,25 +200,30 @@ def run_basin(spark, sf_dir):
     return _outputs(spark, sf_dir).select("cell_id", "step", _r(F.col("rnf")).alias("rnf"), _r(F.col("arn")).alias("arn"))
 
 
-@query(
-    "SELECT v.variable, step, station_id, round(CASE v.variable WHEN 'rnf' THEN rnf WHEN 'arn' THEN arn ELSE smc END, 3) AS value"
-    " FROM balance JOIN arn USING (cell_id, step) JOIN cells USING (cell_id) CROSS JOIN (VALUES ('rnf'), ('arn'), ('smc')) AS v(variable) WHERE station_id IS NOT NULL",
-    "balance", "arn", "cells",
-)
-def station_series(spark, sf_dir):
+STATION_SQL = """SELECT v.variable, step, station_id, round(CASE v.variable WHEN 'itp' THEN itp WHEN 'bfw' THEN bfw WHEN 'srn' THEN srn WHEN 'eta' THEN eta WHEN 'lfw' THEN lfw WHEN 'rec' THEN rec WHEN 'smc' THEN smc WHEN 'rnf' THEN rnf WHEN 'arn' THEN arn END, 3) AS value
+    FROM balance JOIN arn USING (cell_id, step) JOIN cells USING (cell_id) CROSS JOIN (VALUES ('itp'), ('bfw'), ('srn'), ('eta'), ('lfw'), ('rec'), ('smc'), ('rnf'), ('arn')) AS v(variable) WHERE station_id IS NOT NULL"""
+
+
+def _samples(spark, sf_dir):
     at = stations.stations_of(testgrid.cells(spark, sf_dir))
-    return stations.sample_stations(_outputs(spark, sf_dir), at, ("rnf", "arn", "smc")).withColumn("value", _r(F.col("value"), 3))
+    return stations.sample_stations(_outputs(spark, sf_dir), at).withColumn("value", _r(F.col("value"), 3))
 
 
-@query(
-    'SELECT \'smc\' AS variable, step, round(max(smc) FILTER (station_id = 5), 3) AS "5", round(max(smc) FILTER (station_id = 502), 3) AS "502", round(max(smc) FILTER (station_id = 999), 3) AS "999"'
-    " FROM balance JOIN cells USING (cell_id) GROUP BY step",
-    "balance", "cells",
-)
+def _station_ids(spark, sf_dir) -> list[int]:
+    return [r.station_id for r in stations.station_ids(testgrid.cells(spark, sf_dir)).collect()]
+
+
+@query(STATION_SQL, "balance", "arn", "cells")
+def station_series(spark, sf_dir):
+    return _samples(spark, sf_dir)
+
+
+@query(STATION_SQL, "balance", "arn", "cells")
 def station_report(spark, sf_dir):
-    out = balance.water_balance(_free(spark, sf_dir), P)
-    long = stations.sample_stations(out, stations.stations_of(testgrid.cells(spark, sf_dir)), ("smc",)).withColumn("value", _r(F.col("value"), 3))
-    return stations.station_report(long, [999, 5, 502])
+    """All stations side by side, and back to rows for the comparison."""
+    wide = stations.station_report(_samples(spark, sf_dir), _station_ids(spark, sf_dir))
+    long = wide.unpivot(["variable", "step"], [c for c in wide.columns if c not in ("variable", "step")], "station_id", "value")
+    return long.select("variable", "step", F.col("station_id").cast("int").alias("station_id"), "value")
 
 
 @query("SELECT DISTINCT station_id FROM cells WHERE station_id IS NOT NULL", "cells")
@@ -215,11 +249,12 @@ BROKEN = "CASE WHEN series = 'kp' AND step = 3 AND cell_id = 7 THEN 1.5 WHEN ser
     f"""SELECT layer, step, band, CASE WHEN outside THEN 'FORBID_OUT_OF_RANGE' WHEN nodata THEN 'FORBID_NO_DATA' WHEN zeroes AND layer = 'landuse' THEN 'FORBID_ALL_ZEROES' END AS violation FROM (
         SELECT series AS layer, step, 1 AS band,
             bool_or(coalesce(value < CASE series WHEN 'ndvi' THEN -1 ELSE 0 END OR (series IN ('kp', 'ndvi') AND value > 1), false)) AS outside, bool_or(value IS NULL) AS nodata, bool_and(coalesce(abs(value) <= 1e-8, false)) AS zeroes
-        FROM (SELECT series, step, {BROKEN} AS value FROM long) GROUP BY series, step)""",
-    "long",
-)
+        FROM (SELECT series, step, {BROKEN} AS value FROM long) GROUP BY series, step)
+    UNION ALL SELECT 'samples', 0, 1, CASE WHEN bool_and(soil > 0) THEN 'FORBID_ALL_ONES' END FROM cells""",
+    "long", "cells",
+)
 def validate_layers(spark, sf_dir):
-    long = testgrid.series(testgrid.forcing(spark, sf_dir))
+    long = testgrid.series(testgrid.forcing(spark, sf_dir)).union(testgrid.cells(spark, sf_dir).select(F.lit("samples"), F.lit(0), "cell_id", (F.col("soil") > 0).cast("double")))
     layers = long.select(F.col("series").alias("layer"), "step", F.lit(1).alias("band"), F.expr(BROKEN).alias("value"))
     return quality.validate_layers(layers)
 
@@ -267,9 +302,9 @@ def dense_round_trip(spark, sf_dir):
     return series.dense_to_cells(dense, 100)
 
 
-@query("SELECT cell_id, step, CASE WHEN cell_id % 13 = 0 THEN -9999.0 ELSE ndvi END AS stored, CASE WHEN cell_id % 13 = 0 THEN NULL ELSE ndvi END AS value, (ndvi * 10 - 0.5 * (ndvi * 10 < 0)::INT)::INT * 0 + trunc(ndvi * 10)::INT AS nominal, ndvi * 10 <> 0 AS flag FROM forcing WHERE step = 1", "forcing")
+@query("SELECT cell_id, step, CASE WHEN cell_id % 13 = 0 THEN -9999.0 ELSE ndvi END AS stored, CASE WHEN cell_id % 13 = 0 THEN NULL ELSE ndvi END AS value, (ndvi * 10 - 0.5 * (ndvi * 10 < 0)::INT)::INT * 0 + trunc(ndvi * 10)::INT AS nominal, ndvi * 10 <> 0 AS flag FROM forcing", "forcing")
 def nodata_and_scales(spark, sf_dir):
-    rows = testgrid.forcing(spark, sf_dir).where("step = 1")
+    rows = testgrid.forcing(spark, sf_dir)
     gone = F.when(F.col("cell_id") % 13 != 0, F.col("ndvi"))
     kept = series.fill_nodata(gone, -9999.0)
     return rows.select(
@@ -300,10 +335,36 @@ def assign_steps(spark, sf_dir):
     return series.assign_steps(maps, "first")
 
 
-@query("SELECT cell_id, step, v.variable, CASE v.variable WHEN 'itp' THEN round(itp, 4) ELSE round(rec, 4) END AS value FROM balance CROSS JOIN (VALUES ('itp'), ('rec')) AS v(variable) WHERE step <= 2", "balance")
+@query("SELECT variable, step, count(*) AS n, round(sum(value), 3) AS total FROM (SELECT step, v.variable, CASE v.variable WHEN 'itp' THEN itp WHEN 'rec' THEN rec WHEN 'srn' THEN srn ELSE smc END AS value FROM balance CROSS JOIN (VALUES ('itp'), ('rec'), ('srn'), ('smc')) AS v(variable)) GROUP BY variable, step", "balance")
 def stacked_outputs(spark, sf_dir):
-    out = balance.water_balance(_free(spark, sf_dir), P).where("step <= 2").select("cell_id", "step", _r(F.col("itp")).alias("itp"), _r(F.col("rec")).alias("rec"))
-    return stations.stack(out, ("itp", "rec"))
+    chosen = Outputs(bfw=False, eta=False, lfw=False, rnf=False, arn=False)
+    long = stations.stack(balance.water_balance(_free(spark, sf_dir), P), chosen.enabled())
+    return long.groupBy("variable", "step").agg(F.count("*").alias("n"), _r(F.sum("value"), 3).alias("total"))
+
+
+@query(
+    "SELECT cell_id, step, round(smc, 3) AS smc, round(rnf, 3) AS rnf FROM balance_gaps", "balance_gaps",
+)
+def run_with_gaps(spark, sf_dir):
+    """A whole run from maps: months without NDVI or land use take the last map; directions are given."""
+    maps = testgrid.series(testgrid.forcing(spark, sf_dir)).where("not (series = 'ndvi' and step in (5, 6)) and not (series = 'landuse' and step = 3)")
+    cells = testgrid.cells(spark, sf_dir)
+    cells = cells.join(terrain.drain_direction(cells), "cell_id")
+    out = basin.run(cells, maps, testgrid.soil_attr(spark), testgrid.landuse_attr(spark), testgrid.months(spark), P, 1, 12, Outputs(itp=False, bfw=False, srn=False, eta=False, lfw=False, rec=False))
+    return out.select("cell_id", "step", _r(F.col("smc"), 3).alias("smc"), _r(F.col("rnf"), 3).alias("rnf"))
+
+
+@query(
+    "SELECT step, strftime(DATE '2019-03-01' + to_months(step - 1), '%Y-%m-%d') AS month_start, month(DATE '2019-03-01' + to_months(step - 1))::INT AS month, day(last_day(DATE '2019-03-01' + to_months(step - 1)))::INT AS days_in_month, days"
+    " FROM (SELECT DISTINCT step FROM forcing) JOIN (SELECT step AS m, days FROM months) ON m = month(DATE '2019-03-01' + to_months(step - 1))",
+    "forcing", "months",
+)
+def calendar_months(spark, sf_dir):
+    from datetime import date
+
+    days = with_rainy_days(calendar(spark, date(2019, 3, 1), date(2020, 2, 1)), testgrid.months(spark).select("month", "days"))
+    seen = testgrid.forcing(spark, sf_dir).select("step").distinct()
+    return days.join(seen, "step").select("step", F.col("month_start").cast("string").alias("month_start"), "month", "days_in_month", "days")
 
 
 SETS = "CAST(o_custkey % 30 AS DOUBLE) / 20"
@@ -317,30 +378,39 @@ def valid_parameter_sets(spark, sf_dir):
     return valid_parameters(sets).select("o_orderkey", "valid", F.size("problems").alias("n_problems"))
 
 
-OBSERVED = "precipitation * 0.8 + etp * 0.1"
+_SWEPT = " UNION ALL ".join(f"SELECT {k} AS param_id, b.cell_id, b.step, o.rnf * (1 + 0.02 * (b.step % 5)) AS o, b.rnf AS s FROM balance_{k} b JOIN balance o USING (cell_id, step)" for k in range(1, len(PARAM_SETS) + 1))
+_FIT_SQL = f"""SELECT param_id, count(*) AS n, round(sqrt(avg((s - o) ** 2)), 6) AS rmse, round(1 - sum((s - o) ** 2) / (var_pop(o) * count(*)), 6) AS nse, round(corr(o, s), 6) AS r,
+        round(avg(s - o), 6) AS mean_error, round(avg(s - o) / avg(o), 6) AS relative_bias FROM ({_SWEPT}) JOIN cells USING (cell_id) WHERE station_id IS NOT NULL GROUP BY param_id"""
+_FIT_PARTS = ("balance", "cells", *(f"balance_{k}" for k in range(1, len(PARAM_SETS) + 1)))
 
 
-@query(
-    f"""SELECT param_id, count(*) AS n, round(sqrt(avg((s - o) ** 2)), 6) AS rmse, round(1 - sum((s - o) ** 2) / (var_pop(o) * count(*)), 6) AS nse, round(corr(o, s), 6) AS r,
-        round(avg(s - o), 6) AS mean_error, round(avg(s - o) / avg(o), 6) AS relative_bias
-    FROM (SELECT p.param_id, {OBSERVED} AS o, precipitation * p.k AS s FROM forcing CROSS JOIN (VALUES (1, 0.5::DOUBLE), (2, 0.8::DOUBLE), (3, 0.9::DOUBLE)) AS p(param_id, k)) GROUP BY param_id""",
-    "forcing",
-)
+def _swept(spark, sf_dir):
+    """The model with each parameter set: (param_id, cell_id, step, terms)."""
+    rows = calibrate.sweep(_months(spark, sf_dir), PARAM_SETS)
+    p = ParameterColumns(P, tuple(PARAM_SETS[0]))
+    return balance.water_balance(balance.state_free(rows, p), p, by=("param_id",))
+
+
+@query(" UNION ALL ".join(f"SELECT {k} AS param_id, step, {', '.join(f'round(avg({c}), 6) AS {c}' for c in TERMS)} FROM balance_{k} GROUP BY step" for k in range(1, len(PARAM_SETS) + 1)), *_FIT_PARTS[2:])
+def swept_balance(spark, sf_dir):
+    return _swept(spark, sf_dir).groupBy("param_id", "step").agg(*[_r(F.avg(c), 6).alias(c) for c in TERMS])
+
+
+@query(_FIT_SQL, *_FIT_PARTS)
 def sweep_fit(spark, sf_dir):
     return _fits(spark, sf_dir)
 
 
 def _fits(spark, sf_dir):
-    rows = calibrate.sweep(testgrid.forcing(spark, sf_dir), [{"k": 0.5}, {"k": 0.8}, {"k": 0.9}]).select("param_id", F.expr(OBSERVED).alias("observed"), (F.col("precipitation") * F.col("k")).alias("simulated"))
+    """How well each set's runoff at the stations fits records, here those of the default parameters with a known error."""
+    at = stations.stations_of(testgrid.cells(spark, sf_dir))
+    record = balance.water_balance(_free(spark, sf_dir), P).join(at, "cell_id").select("cell_id", "step", (F.col("rnf") * (1 + 0.02 * (F.col("step") % 5))).alias("observed"))
+    rows = _swept(spark, sf_dir).withColumnRenamed("rnf", "simulated").join(record, ["cell_id", "step"])
     fits = calibrate.goodness_of_fit(rows, ("param_id",))
     return fits.select("param_id", "n", *[_r(F.col(c), 6).alias(c) for c in ("rmse", "nse", "r", "mean_error", "relative_bias")])
 
 
-@query(
-    f"""SELECT param_id, round(1 - sum((s - o) ** 2) / (var_pop(o) * count(*)), 6) AS nse
-    FROM (SELECT p.param_id, {OBSERVED} AS o, precipitation * p.k AS s FROM forcing CROSS JOIN (VALUES (1, 0.5::DOUBLE), (2, 0.8::DOUBLE), (3, 0.9::DOUBLE)) AS p(param_id, k)) GROUP BY param_id ORDER BY nse DESC LIMIT 2""",
-    "forcing",
-)
+@query(f"SELECT param_id, nse FROM ({_FIT_SQL}) ORDER BY nse DESC LIMIT 2", *_FIT_PARTS)
 def best_parameter_sets(spark, sf_dir):
     return calibrate.rank_parameter_sets(_fits(spark, sf_dir), 2).select("param_id", "nse")
 
@@ -362,12 +432,55 @@ def semivariogram(spark, sf_dir):
     return out.select("step", "lag", _r(F.col("distance"), 6).alias("distance"), _r(F.col("gamma")).alias("gamma"), "n")
 
 
+@query(
+    """SELECT step, round(span, 6) AS span, round(sill, 2) AS sill, round(nugget, 2) AS nugget FROM (
+        SELECT *, row_number() OVER (PARTITION BY step ORDER BY round((gg - sill * bg - nugget * g) / gg, 8), k) AS place FROM (
+            SELECT step, k, span, bg, g, gg, CASE WHEN s0 >= 0 AND n0 >= 0 THEN s0 WHEN bg >= 0 THEN bg / bb ELSE 0 END AS sill, CASE WHEN s0 >= 0 AND n0 >= 0 THEN n0 WHEN bg >= 0 THEN 0 ELSE g / w END AS nugget FROM (
+                SELECT *, CASE WHEN bb * w - b * b > 1e-9 * bb * w THEN (bg * w - b * g) / (bb * w - b * b) ELSE g / w / 2 END AS s0, CASE WHEN bb * w - b * b > 1e-9 * bb * w THEN (bb * g - b * bg) / (bb * w - b * b) ELSE g / w / 2 END AS n0 FROM (
+                    SELECT step, k, span, sum(n * base * base) AS bb, sum(n * base) AS b, sum(n) AS w, sum(n * base * gamma) AS bg, sum(n * gamma) AS g, sum(n * gamma * gamma) AS gg FROM (
+                        SELECT *, 1.5 * least(distance / span, 1) - 0.5 * least(distance / span, 1) ** 3 AS base FROM (
+                            SELECT v.*, s.k, (0.05 + (1.5 - 0.05) / 59 * s.k) * max(distance) OVER (PARTITION BY step, s.k) AS span FROM lags v CROSS JOIN (SELECT range AS k FROM range(60)) s)) GROUP BY step, k, span))))
+    WHERE place = 1""",
+    "lags",
+)
+def variogram_model(spark, sf_dir):
+    """The spherical model of each month by planar distances."""
+    out = interpolate.solve_kriging(testgrid.station_obs(spark, sf_dir), geographic=False)
+    return out.select("step", _r(F.col("span"), 6).alias("span"), _r(F.col("sill"), 2).alias("sill"), _r(F.col("nugget"), 2).alias("nugget"))
+
+
+@query("SELECT station_id AS cell_id, step, round(value, 3) AS value FROM spots UNION ALL SELECT station_id, 0, 7.0 FROM spots WHERE step = 1", "spots")
+def krige_at_stations(spark, sf_dir):
+    """Without a nugget kriging gives each station its own record, and a constant field everywhere; stations lie at places of their own."""
+    spots = _spots(spark, sf_dir)
+    obs = spots.union(spots.where("step = 1").withColumns({"step": F.lit(0), "value": F.lit(7.0)}))
+    cells = spots.where("step = 1").select(F.col("station_id").alias("cell_id"), "lon", "lat")
+    return interpolate.krige(obs, cells, nugget=0.0).select("cell_id", "step", _r(F.col("value"), 3).alias("value"))
+
+
+def _spots(spark, sf_dir):
+    return testgrid.station_obs(spark, sf_dir).select("station_id", (F.col("station_id") % 40).cast("double").alias("lon"), (F.floor(F.col("station_id") / 40) % 60).cast("double").alias("lat"), "step", F.col("value").cast("double").alias("value"))
+
+
 @query()
 def krige(spark, sf_dir):
     cells = testgrid.cells(spark, sf_dir).select("cell_id", (F.col("col") / 10).alias("lon"), (F.col("row") / 40).alias("lat"))
     return interpolate.krige(testgrid.station_obs(spark, sf_dir), cells)
 
 
+@query(
+    """SELECT step, lag, round(avg(d), 6) AS distance, round(avg(g), 4) AS gamma, count(*) AS n FROM (
+        SELECT step, d, g, least(greatest(ceil(d / max(d) OVER (PARTITION BY step) * 25)::INT, 1), 25) AS lag FROM (
+            SELECT a.step, degrees(2 * asin(least(1.0, sqrt(sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2)))) AS d, (a.value - b.value) ** 2 / 2 AS g
+            FROM obs a JOIN obs b ON a.step = b.step AND a.station_id < b.station_id)) GROUP BY step, lag""",
+    "obs",
+)
+def semivariogram_geographic(spark, sf_dir):
+    # the places of the stations are exact degrees, so lags at a bin's very edge are counted alike only up to rounding
+    out = interpolate.semivariogram(testgrid.station_obs(spark, sf_dir))
+    return out.select("step", "lag", _r(F.col("distance"), 6).alias("distance"), _r(F.col("gamma")).alias("gamma"), "n")
+
+
 @query("SELECT landuse, abs(a_i + a_o + a_s + a_v - 1) > 1e-9 AS bad_shares, kc_max <= kc_min AS bad_crop_coef FROM landuse_attr WHERE (abs(a_i + a_o + a_s + a_v - 1) > 1e-9 OR kc_max <= kc_min) AND landuse IN (SELECT landuse FROM forcing)", "landuse_attr", "forcing")
 def landuse_table_check(spark, sf_dir):
     used = testgrid.landuse_attr(spark).join(testgrid.forcing(spark, sf_dir).select("landuse").distinct(), "landuse", "left_semi")

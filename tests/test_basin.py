@@ -1,6 +1,8 @@
 """The fold, networks, series, calendar, parameters and files on small tables."""
 
+import heapq
 import math
+import random
 from dataclasses import replace
 from datetime import date
 
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rainfold.operators import calendar, calibrate, interpolate, lookup, network, quality, series, stations, terrain
 from rainfold.operators.balance import last_state, state_free, water_balance
-from rainfold.params import Parameters, valid_parameters
+from rainfold.params import Outputs, ParameterColumns, Parameters, valid_parameters
 from rainfold.plans import basin, testgrid
 from rainfold.sources import tables
 
@@ -100,12 +102,94 @@ def test_accumulation(spark):
     holed = flux.withColumn("value", F.when(F.col("cell_id") != 5, F.col("value")))
     got = {r.cell_id: r.value for r in network.accumulate(drain, holed).collect()}
     assert got == {0: 1, 1: 3, 2: None, 3: None, 4: None, 5: None, 6: 7}
-    pairs = network.gauge_catchments(drain, spark.createDataFrame([(2, 20), (3, 30), (6, 60)], "cell_id long, station_id int"))
-    assert {(r.cell_id, r.station_id) for r in pairs.collect()} == {(c, 20) for c in (0, 1, 2, 4, 5)} | {(c, 30) for c in (0, 1, 2, 3, 4, 5)} | {(6, 60)}
-    at = {r.station_id: r.value for r in network.accumulate_at_gauges(pairs, flux).collect()}
+    gauges = spark.createDataFrame([(2, 20), (3, 30), (6, 60)], "cell_id long, station_id int")
+    cells, tree = network.gauge_catchments(drain, gauges)
+    assert {(r.cell_id, r.gauge) for r in cells.collect()} == {(c, 2) for c in (0, 1, 2, 4, 5)} | {(3, 3), (6, 6)}
+    assert {(r.cell_id, r.down_id) for r in tree.collect()} == {(2, 3), (3, None), (6, None)}
+    at = {r.station_id: r.value for r in network.accumulate_at_gauges(drain, gauges, flux).collect()}
     assert at == {20: 17, 30: 21, 60: 7}
     with pytest.raises(ValueError, match="cycle"):
-        network.jump_table(spark.createDataFrame([(0, 1), (1, 0)], "cell_id long, down_id long"), rounds=5)
+        network.jump_table(spark.createDataFrame([(0, 1), (1, 0)], "cell_id long, down_id long"))
+
+
+def test_accumulation_over_blocks(spark, monkeypatch):
+    """A random forest whose rivers cross small blocks again and again, against a walk down from each cell."""
+    monkeypatch.setattr(network, "BLOCK", 16)
+    r = random.Random(3)
+    ids = list(range(300))
+    r.shuffle(ids)
+    down = {c: (ids[r.randrange(max(0, k - 6), k)] if k and r.random() > 0.02 else None) for k, c in enumerate(ids)}
+    flux = {(c, s): (None if (c, s) == (ids[250], 2) else float(r.randrange(9))) for c in ids for s in (1, 2)}
+    drain = spark.createDataFrame(list(down.items()), "cell_id long, down_id long")
+    gauge = {c: k for k, c in enumerate(r.sample(ids, 12))}
+    want, holes = {}, set()
+    for (c, s), v in flux.items():
+        at = c
+        while at is not None:
+            want[at, s] = want.get((at, s), 0.0) + (v or 0.0)
+            holes |= {(at, s)} if v is None else set()
+            at = down[at]
+    want = {k: None if k in holes else v for k, v in want.items()}
+    df = spark.createDataFrame([(c, s, v, c * 10) for (c, s), v in flux.items()], "cell_id long, step int, value double, other long")
+    assert {(x.cell_id, x.step): x.value for x in network.accumulate(drain, df).collect()} == want
+    carried = network.accumulate(drain, df, carry=("other",)).collect()
+    assert {(x.cell_id, x.step): x.value for x in carried} == want and all(x.other == 10 * x.cell_id for x in carried)
+    gauges = spark.createDataFrame(list(gauge.items()), "cell_id long, station_id int")
+    assert {(x.station_id, x.step): x.value for x in network.accumulate_at_gauges(drain, gauges, df).collect()} == {(k, s): want[c, s] for c, k in gauge.items() for s in (1, 2)}
+    assert network.accumulate(drain, df.where("false")).count() == 0
+    loop = spark.createDataFrame([(1, 20), (20, 40), (40, 1)], "cell_id long, down_id long")
+    with pytest.raises(Exception, match="cycle"):
+        network.accumulate(loop, df.where("cell_id < 5")).collect()
+
+
+def test_depressions_over_tiles(spark):
+    """A rough surface of several tiles against one flood over all of it."""
+    r = random.Random(5)
+    rows, cols = 70, 140
+    z = {(i, j): round(r.random() * 50, 2) for i in range(rows) for j in range(cols)}
+    out = {}
+    heap = [(v, k) for k, v in z.items() if k[0] in (0, rows - 1) or k[1] in (0, cols - 1)]
+    heapq.heapify(heap)
+    while heap:
+        level, (i, j) = heapq.heappop(heap)
+        if (i, j) not in out:
+            out[i, j] = level
+            for n in ((i + a, j + b) for a in (-1, 0, 1) for b in (-1, 0, 1)):
+                if n in z and n not in out:
+                    heapq.heappush(heap, (max(level, z[n]), n))
+    cells = spark.createDataFrame([(i * cols + j, i, j, v) for (i, j), v in z.items()], "cell_id long, row int, col int, dem double")
+    assert {x.cell_id: x.filled for x in terrain.fill_depressions(cells).collect()} == {i * cols + j: v for (i, j), v in out.items()}
+
+
+def test_parameter_sets_are_runs_of_their_own(spark, sf_dir):
+    cells = testgrid.cells(spark, sf_dir).where("cell_id < 40").withColumn("slope", F.lit(0.1))
+    months = basin.cell_months(cells, testgrid.forcing(spark, sf_dir), testgrid.soil_attr(spark), testgrid.landuse_attr(spark), testgrid.months(spark))
+    sets = [{"beta": 0.4, "alpha": 2.0, "f": 0.2, "t_ini": 0.5}, {"beta": 0.7, "alpha": 5.0, "f": 0.9, "t_ini": 1.0}]
+    p = ParameterColumns(testgrid.PARAMS, tuple(sets[0]))
+    swept = {(r.param_id, r.cell_id, r.step): r for r in water_balance(state_free(calibrate.sweep(months, sets), p), p, by=("param_id",)).collect()}
+    for k, s in enumerate(sets, 1):
+        own = replace(testgrid.PARAMS, **s)
+        for r in water_balance(state_free(months, own), own).collect():
+            assert all(swept[k, r.cell_id, r.step][c] == pytest.approx(r[c], rel=1e-12) for c in ("smc", "rnf", "itp", "sat"))
+    assert len(swept) == 2 * 40 * 12
+
+
+def test_run_completes_and_checks_its_maps(spark, sf_dir, tmp_path):
+    cells = testgrid.cells(spark, sf_dir).where("cell_id < 60")
+    maps = testgrid.series(testgrid.forcing(spark, sf_dir).where("cell_id < 60"))
+    with pytest.raises(ValueError, match=r"no map of kp for steps \[2\]"):
+        basin.complete_forcing(maps.where("not (series = 'kp' and step = 2)"), 1, 3)
+    tables_ = (testgrid.soil_attr(spark), testgrid.landuse_attr(spark), testgrid.months(spark))
+    with pytest.raises(ValueError, match="no output"):
+        basin.run(cells, maps, *tables_, testgrid.PARAMS, 1, 3, Outputs(*[False] * 9))
+    chosen = Outputs(itp=False, bfw=False, srn=False, eta=False, lfw=False, rec=False, smc=False)
+    assert chosen.any() and not chosen.all() and Outputs().all() and chosen.enabled() == ("rnf", "arn")
+    out = basin.run(cells, maps, *tables_, testgrid.PARAMS, 2, 4, chosen, str(tmp_path / "out"), [5])
+    assert out.columns == ["cell_id", "step", "rnf", "arn"] and {r.step for r in out.select("step").distinct().collect()} == {2, 3, 4}
+    assert spark.read.parquet(str(tmp_path / "out/maps")).count() == 2 * 3 * 60 and (tmp_path / "out/stations/variable=arn").exists()
+    given = cells.withColumn("ldd", F.lit(6))
+    edges = {r.cell_id: r.down_id for r in basin.drainage(given).collect()}
+    assert edges[0] == 1 and edges[59] is None
 
 
 def test_smoothing_and_accumulation_commute(spark):

@@ -1,5 +1,7 @@
 """Single terms on hand-computed values, and their domains."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,44 +12,52 @@ def value(spark, c):
     return spark.range(1).select(c.alias("v")).first()["v"]
 
 
+def _held_back():
+    leaf = math.log(2) / 0.463  # so that half of the light gets through
+    most = 2.0 * leaf
+    daily = most * (1 - 1 / (1 + 80.0 * 0.5 / most))
+    return 0.5 * 80.0 * (1 - math.exp(-daily * 10.0 / (80.0 + 1e-5)))
+
+
 def cases():
     return [
-        (vegetation.simple_ratio(0.555), 3.49438202),
-        (vegetation.crop_coef(0.555, 0.111, 0.777, 0.466, 0.933), 0.77733333),
+        (vegetation.simple_ratio(0.6), 4.0),
+        (vegetation.crop_coef(0.3, 0.1, 0.9, 0.2, 1.0), 0.4),
         (vegetation.effective_crop_coef(0.5, 0.1, 0.9, 0.2, 1.0), 0.6),
         (vegetation.effective_crop_coef(0.105, 0.1, 0.9, 0.2, 1.0), 0.2),
         (vegetation.effective_crop_coef(F.lit(1.1) * 0.1, 0.1, 0.9, 0.2, 1.0), 0.0),
-        (vegetation.fpar(0.555, 0.999, 1.0, 0.75, 1.5), 0.703),
-        (vegetation.leaf_area_index(0.7, 0.9, 1.0), 0.52287875),
-        (vegetation.interception(10.0, 12.0, 125.93, 15.0, 0.255), 32.0905724),
-        (vegetation.interception(10.0, 12.0, 0.0, 15.0, 0.255), 0.0),
-        (evapo.water_stress(2.0, 1.0, 3.0), 0.63092975),
-        (evapo.water_stress(1.0, 2.0, 3.0), 0.0),
-        (evapo.et_vegetated(1.0, 1.0, 1.0), 1.0),
-        (evapo.pan_coefficient(1.0, 1.0, 1.0), 0.486124),
-        (evapo.et_open_water(4.0, 2.0, 1.0, 1.0), 1.0),
-        (evapo.et_open_water(2.0, 2.0, 2.0, 0.111), 1.0),
-        (evapo.et_open_water(2.0, 2.0, 2.0, 1.0), 1.0),
-        (evapo.et_open_water(4.0, 2.0, 1.0, 0.111), 2.0),
-        (evapo.et_bare_soil(1.0, 1.0, 1.0), 1.0),
-        (evapo.et_bare_soil(1.0, 1.0, 0.0), 0.0),
-        (evapo.et_bare_soil(1.0, 1.0, -1.0), -1.0),
+        (vegetation.fpar(0.1, 0.9, 2.0, 1.0, 5.0), 0.3),
+        (vegetation.fpar(0.1, 0.9, 9.0, 1.0, 5.0), 0.9),
+        (vegetation.leaf_area_index(0.75, 0.9375, 3.0), 1.5),
+        (vegetation.interception(2.0, math.log(2) / 0.463, 80.0, 10.0, 0.5), _held_back()),
+        (vegetation.interception(2.0, 3.0, 0.0, 10.0, 0.5), 0.0),
+        (evapo.water_stress(5.0, 2.0, 9.0), 2 / 3),
+        (evapo.water_stress(1.5, 2.0, 9.0), 0.0),
+        (evapo.et_vegetated(50.0, 0.8, 0.5), 20.0),
+        (evapo.pan_coefficient(math.e, 10.0, 60.0), 0.77224),
+        (evapo.et_open_water(6.0, 3.0, 1.5, 1.0), 1.5),
+        (evapo.et_open_water(3.0, 1.5, 2.5, 0.4), 2.0),
+        (evapo.et_open_water(3.0, 1.5, 2.5, 1.0), 2.0),
+        (evapo.et_open_water(6.0, 3.0, 1.5, 0.4), 2.0),
+        (evapo.et_bare_soil(40.0, 0.5, 0.25), 5.0),
+        (evapo.et_bare_soil(40.0, 0.5, 0.0), 0.0),
+        (evapo.et_bare_soil(40.0, 0.5, -0.5), -10.0),
         (evapo.et_impervious(2.5, 3.0), 2.5),
         (evapo.et_impervious(2.5, 0.0), 0.0),
         (evapo.total_et(0.1, 1.0, 0.2, 2.0, 0.3, 3.0, 0.4, 4.0), 3.0),
-        (runoff.soil_moisture_coef(1.0, 1.0, 1.0, 1.0, 1.0), 0.1),
-        (runoff.permeable_runoff_coef(1.0, 1.0, 1.0, 1.0, 1.0, 0.333, 0.333, 0.334), 0.07402364),
-        (runoff.impervious_share(0.555, 0.255), 0.81),
-        (runoff.impervious_runoff_coef(1.0), 0.99208574),
-        (runoff.weighted_runoff_coef(1.0, 1.0, 1.0), 1.0),
-        (runoff.actual_runoff_coef(1.0, 1.0, 1.0), 1.0),
-        (soil.lateral_flow(1.0, 1.0, 1.0, 1.0), 1.0),
-        (soil.lateral_flow(0.5, 1.0, 1.0, 1.0), 0.5),
-        (soil.recharge(0.5, 1.0, 1.0, 1.0), 0.5),
-        (soil.baseflow(1.0, 1.0, 1.0, 2.0, 1.0), 1.0),
-        (soil.baseflow(1.0, 1.0, 1.0, 1.0, 1.0), 0.0),
-        (soil.saturated_storage(1.0, 1.0, 1.0), 1.0),
-        (soil.soil_capacity(0.42, 1.54, 50.0), 323.4),
+        (runoff.soil_moisture_coef(180.0, 1.5, 40.0, 1.2, 2.0), 0.0625),
+        (runoff.permeable_runoff_coef(120.0, 1.5, 40.0, 10.0, 0.04, 0.2, 0.4, 0.4), 0.2 * 0.5 + 0.4 * 0.25 + 0.4 * 0.5),
+        (runoff.impervious_share(0.25, 0.5), 0.75),
+        (runoff.impervious_runoff_coef(0.5), 0.29881052),
+        (runoff.weighted_runoff_coef(0.25, 0.4, 0.8), 0.5),
+        (runoff.actual_runoff_coef(0.5, 8.0, 4.0), 2 / 3),
+        (soil.lateral_flow(0.4, 2.0, 150.0, 300.0), 0.2),
+        (soil.lateral_flow(0.5, 2.0, 300.0, 300.0), 1.0),
+        (soil.recharge(0.4, 2.0, 150.0, 300.0), 0.3),
+        (soil.baseflow(4.0, math.log(2), 2.0, 6.0, 5.0), 3.0),
+        (soil.baseflow(4.0, math.log(2), 2.0, 5.0, 5.0), 0.0),
+        (soil.saturated_storage(7.0, 3.0, 2.5), 7.5),
+        (soil.soil_capacity(0.4, 1.5, 50.0), 300.0),
         (soil.discharge_m3s(86.4, 1e6, 1.0), 1.0),
     ]
 

@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from rainfold.plans import files  # noqa: F401
 from rainfold.plans.queries import ORACLE, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
