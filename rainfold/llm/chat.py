@@ -1,4 +1,4 @@
-"""Chat formatting: a state machine checks the order of turns, a declarative template gives text and loss mask."""
+"""Chat formatting: a state machine over roles walks the turns and emits segments with loss flags, by a declarative template."""
 
 from __future__ import annotations
 
@@ -25,10 +25,24 @@ class Template:
     moves: dict[str, tuple[str, ...]] = field(default_factory=lambda: {"": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)})
     ends: tuple[str, ...] = ("assistant",)
 
+    def __post_init__(self):
+        """ValueError for marks by which texts could not be told apart again."""
+        for text in (self.colon, self.tail):
+            if not text or any(text.startswith(text[k:]) for k in range(1, len(text))):
+                raise ValueError(f"{text!r} is empty or ends as it begins")
+        for core in [*self.escapes][1:]:
+            if "\\" in core or core[0] in "bhec":
+                raise ValueError(f"{core!r} could arise from escapes")
+
     @property
     def escapes(self) -> dict[str, str]:
-        """Code behind a backslash of each string that texts may not show; the backslash comes first."""
-        return {"\\": "b", "###": "h", "</turn>": "e", ":\n": "c"}
+        """Code behind a backslash of each string that texts may not show, from the template's own marks; the backslash comes first."""
+        core = lambda x: x.strip() if len(x.strip()) > 1 else x
+        out = {"\\": "b"}
+        for text, code in ((self.mark, "h"), (self.tail, "e"), (self.colon, "c")):
+            if text:
+                out.setdefault(core(text), code)
+        return out
 
 
 def escaped(c: Column, template: Template) -> Column:
@@ -47,11 +61,13 @@ def unescaped(c: Column, template: Template) -> Column:
 def format_chats(df: DataFrame, template: Template | None = None, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row for each conversation: conv, n_turns, segments, formatted, loss_spans, state, valid.
 
-    ``segments``: array<struct<text, loss>>, whose texts joined are ``formatted``;
-    ``loss_spans``: array<struct<start, end>> in code points, end exclusive. Turns are in the
-    order of ``turn``, ties by role and text, nulls first; a null text is empty, a
+    The machine starts in state "", takes the role of each turn and goes on as ``moves`` allow; after a turn out of order it
+    stays in "!". ``segments``: array<struct<text, loss, state>> that it emits, three a turn, with the state that it then is in; their texts joined are ``formatted``;
+    ``loss_spans``: array<struct<start, end>> in code points, end exclusive. ``state`` is the last one and ``valid`` whether a
+    conversation may stop there. Turns out of order are written like others. Turns are in the
+    order of ``turn``, ties by role and text, nulls first; repeated rows are turns each; a null text is empty, a
     null role is written as an empty name and is never valid. Rows with a null
-    conversation id make one conversation. A conversation, like a document, is one row.
+    conversation id make one conversation. Texts of any length are taken whole. Other columns aren't read. A conversation, like a document, is one row.
     """
     t = template or Template()
     say = F.coalesce(F.col(text), F.lit(""))
@@ -62,15 +78,11 @@ def format_chats(df: DataFrame, template: Template | None = None, conv: str = "c
     chats = turns.groupBy("conv").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     moves = F.create_map(*[F.lit(x) for a, bs in t.moves.items() for b in bs for x in (f"{a}>{b}", b)])
     step = lambda s, x: F.when(s == "!", s).otherwise(F.coalesce(F.try_element_at(moves, F.concat(s, F.lit(">"), x["role"])), F.lit("!")))
-    segments = F.flatten(
-        F.transform(
-            "turns",
-            lambda x: F.array(
-                F.struct(F.concat(F.lit(t.mark), x["title"], F.lit(t.colon)).alias("text"), F.lit(False).alias("loss")),
-                F.struct(escaped(x["text"], t).alias("text"), x["loss"].alias("loss")),
-                F.struct(F.lit(t.tail).alias("text"), F.lit(False).alias("loss")),
-            ),
-        )
+    walked = F.aggregate("turns", F.array(F.lit("")), lambda seen, x: F.concat(seen, F.array(step(F.element_at(seen, -1), x))))
+    emit = lambda x, s: F.array(
+        F.struct(F.concat(F.lit(t.mark), x["title"], F.lit(t.colon)).alias("text"), F.lit(False).alias("loss"), s.alias("state")),
+        F.struct(escaped(x["text"], t).alias("text"), x["loss"].alias("loss"), s.alias("state")),
+        F.struct(F.lit(t.tail).alias("text"), F.lit(False).alias("loss"), s.alias("state")),
     )
     spans = F.aggregate(
         "segments",
@@ -82,9 +94,11 @@ def format_chats(df: DataFrame, template: Template | None = None, conv: str = "c
         lambda a: a["spans"],
     )
     return (
-        chats.select("conv", F.size("turns").cast("long").alias("n_turns"), segments.alias("segments"), F.aggregate("turns", F.lit(""), step).alias("state"))
+        chats.withColumn("states", walked)
+        .select("conv", F.size("turns").cast("long").alias("n_turns"), F.flatten(F.zip_with("turns", F.slice("states", F.lit(2), F.size("turns")), emit)).alias("segments"))
         .withColumn("formatted", F.array_join(F.col("segments.text"), ""))
         .withColumn("loss_spans", spans)
+        .withColumn("state", F.element_at("segments", -1)["state"])
         .withColumn("valid", F.col("state").isin(*t.ends))
         .select(F.col("conv").alias(conv), "n_turns", "segments", "formatted", "loss_spans", "state", "valid")
     )

@@ -96,6 +96,8 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "state",
+        "valid",
     )
 
 
@@ -136,8 +138,12 @@ ORACLE = {
             coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
             sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
             sum(length('### ' || role || ':' || chr(10) || '</turn>' || chr(10))
-                + length(replace(replace(replace(replace(text, '\', '\b'), '###', '\h'), '</turn>', '\e'), ':' || chr(10), '\c')))::bigint as formatted_chars
-        from c group by conv_id
+                + length(replace(replace(replace(replace(text, '\', '\b'), '###', '\h'), '</turn>', '\e'), ':' || chr(10), '\c')))::bigint as formatted_chars,
+            case when bool_and(moved) then arg_max(role, place) else '!' end as state, bool_and(moved) and arg_max(role, place) = 'assistant' as valid
+        from (
+            select *, coalesce(lag(role) over w, '') || '>' || role in ('>system', '>user', 'system>user', 'user>assistant', 'assistant>user') as moved, row_number() over w as place
+            from c window w as (partition by conv_id order by turn, role, text)
+        ) group by conv_id
     """,
     "op2_urls": r"""
         with recursive rules(rule_host, rule_path, allow) as (values ('net', '/', false), ('example.net', '/en/', true), ('example.com', '/de/', false), ('org', '/fr/', true)),

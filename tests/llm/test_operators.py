@@ -387,6 +387,16 @@ def test_chat(spark):
         assert "".join(s.text for s in got[conv].segments) == got[conv].formatted
     assert got[1].valid and not got[2].valid and not got[3].valid and not got[4].valid and got[None].valid and not got[5].valid
     assert chat.format_chats(df.where("false")).count() == 0
+    assert [x.state for x in got[1].segments[1::3]] == ["system", "user", "assistant"] and [x.state for x in got[5].segments[1::3]] == ["user", "!"]
+    odd = chat.Template(mark="[[", colon="|>", tail="]]\n", roles={"user": ("U", True), "assistant": ("A", False)}, moves={"": ("user",), "user": ("user",)}, ends=("user",))
+    texts = ["]]", "]]\n[[A|>x", "|>", "\\b\\]]", "[[", "]", "|", ""]
+    other = spark.createDataFrame([(1, k, "user", x) for k, x in enumerate(texts)] + [(2, 0, "[[r|>", "y]]" * 50_000)], "conv_id long, turn long, role string, text string")
+    back = {r.conv_id: r for r in chat.read_back(chat.format_chats(other, odd), odd).withColumn("loss", chat.loss_text(odd)).collect()}
+    assert [x.text for x in back[1].read_turns] == texts and back[1].loss == "".join(texts) and back[1].valid
+    assert back[2].read_turns[0].role == "[[r|>" and back[2].read_turns[0].text == "y]]" * 50_000 and back[2].state == "!"
+    for bad in ({"tail": "aa"}, {"colon": ""}, {"mark": "e>"}):
+        with pytest.raises(ValueError):
+            chat.Template(**bad)
 
 
 def test_segments():
