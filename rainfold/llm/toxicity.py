@@ -5,6 +5,9 @@ informative Dirichlet prior (Monroe et al. 2008). A linear scan finds all maxima
 scoring segments of a text (Ruzzo and Tompa 1999); extreme-value statistics
 (Karlin and Altschul 1990) tell how surprising a segment's score is in a text of
 that length, and the sum over the significant ones is the text's evidence.
+
+Four fifths of the labelled texts give the log-odds. On the clean ones of the rest the two constants of the
+extreme-value law are estimated, and on all of the rest the evidence is calibrated to a probability.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +29,13 @@ MARKS = ".,;:!?\"'()[]{}<>«»¿¡-_*#$%&|".encode()
 
 @dataclass(frozen=True)
 class Model:
-    """scores: of tokens that differ between the classes; rest: of all others. decay and scale: of the extreme-value law; bias and slope: of the calibration."""
+    """scores: of tokens that differ between the classes; rest: of all others. decay and scale: of the extreme-value law; level: expected chance segments that a significant one has at most; bias and slope: of the calibration."""
 
     scores: dict[bytes, float]
     rest: float
     decay: float
     scale: float
+    level: float = 0.05
     bias: float = 0.0
     slope: float = 1.0
 
@@ -66,7 +70,7 @@ def segments(scored: list[tuple[int, float]], rest: float, n: int) -> list[tuple
 
 
 def evidence(text: str | None, model: Model) -> tuple[float, list[tuple[int, int, float]]]:
-    """Sum over the significant segments of -ln(E), and those segments. E: how many as good ones a clean text of this length has."""
+    """Sum over the significant segments of ln(level / E), and those segments. E: how many as good ones a clean text of this length has by chance."""
     words = tokens(text)
     get = model.scores.get
     scored = [(k, s) for k, w in enumerate(words) if (s := get(w)) is not None]
@@ -74,7 +78,7 @@ def evidence(text: str | None, model: Model) -> tuple[float, list[tuple[int, int
         return 0.0, []
     out, total = [], 0.0
     for a, b, s in segments(scored, model.rest, len(words)):
-        bits = model.decay * s - math.log(model.scale * len(words))
+        bits = model.decay * s - math.log(model.scale * len(words)) + math.log(model.level)
         if bits > 0:
             out.append((a, b, s))
             total += bits
@@ -92,16 +96,19 @@ def labelled(df: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
     return df.select(key, text).join(F.broadcast(sample), key).select(label, text)
 
 
-def fit(df: DataFrame, label: str = "label", text: str = "text", max_terms: int = 20_000, least_z: float = 3.0, prior: float = 0.05) -> Model:
+def fit(df: DataFrame, label: str = "label", text: str = "text", least_z: float = 3.0, prior: float = 0.05, level: float = 0.05, thin: float = 0.2) -> Model:
     """The model of labelled rows (label 0 or 1; rows with another label or a null are left out).
 
-    The texts of each class that hold a token are counted over all labelled rows on the
+    The texts of each class that hold a token are counted over four fifths of the labelled texts, by their hash, on the
     executors (so one text that repeats a word isn't many witnesses). A token's prior is
-    ``prior`` times its count in both classes. Of the tokens that differ between the classes by ``least_z`` standard errors, the ``max_terms``
-    strongest come to the driver; that is the bound on the model. Without rows of both
+    ``prior`` times its count in both classes. The tokens that differ between the classes by ``least_z`` standard errors
+    come to the driver; their number is bounded by the labelled rows. All other tokens share the score that
+    makes the expected value of exp(score) 1 over clean tokens, but at most -``thin``, so that a passage has at least
+    ``thin`` of evidence a word. Without rows of both
     classes nothing is ever toxic.
     """
     rows = df.where(F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("y"), F.col(text).alias("t"))
+    learn = F.pmod(F.xxhash64(F.coalesce("t", F.lit(""))), F.lit(5)) != 0
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = (Counter(), Counter())
@@ -119,7 +126,7 @@ def fit(df: DataFrame, label: str = "label", text: str = "text", max_terms: int
                 both[1].clear()
         yield flush()
 
-    counts = rows.mapInArrow(counted, "w binary, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counts = rows.where(learn).mapInArrow(counted, "w binary, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     sums = counts.agg(F.sum("n0"), F.sum("n1")).first()
     n0, n1 = (x or 0 for x in sums)
     if not n0 or not n1:
@@ -128,29 +135,41 @@ def fit(df: DataFrame, label: str = "label", text: str = "text", max_terms: int
     odds = lambda c, n: F.log((F.col(c) + alpha) / (n + mass - F.col(c) - alpha))
     delta = odds("n1", n1) - odds("n0", n0)
     z = delta / F.sqrt(1 / (F.col("n1") + alpha) + 1 / (F.col("n0") + alpha))
-    strong = counts.select("w", delta.alias("d"), z.alias("z"), ((F.col("n0") + alpha) / (n0 + mass)).alias("p")).where(F.abs("z") >= least_z).orderBy(F.desc(F.abs("z")), "w").limit(max_terms).collect()
+    strong = counts.select("w", delta.alias("d"), z.alias("z"), ((F.col("n0") + alpha) / (n0 + mass)).alias("p")).where(F.abs("z") >= least_z).collect()
     scores = {bytes(r["w"]): float(np.clip(r["d"], -4, 6)) for r in strong}
-    shares = [(scores[bytes(r["w"])], r["p"]) for r in strong]
-    rest = -0.05
-    # the decay of the law: sum of p * exp(decay * s) = 1 over the scores of clean tokens
-    left = 1 - sum(p for _, p in shares)
-    total = lambda x: left * math.exp(x * rest) + sum(p * math.exp(x * s) for s, p in shares) - 1
-    low, high = 1e-6, 1.0
-    while total(high) < 0 and high < 64:
-        high *= 2
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if total(mid) < 0 else (low, mid)
-    base = Model(scores, rest, low, max(1e-9, sum(p for s, p in shares if s > 0) + 1e-4))
+    told = sum(r["p"] * math.exp(scores[bytes(r["w"])]) for r in strong)
+    left = 1 - sum(r["p"] for r in strong)
+    rest = min(-thin, math.log(max(1 - told, 0.5) / max(left, 1e-9)))
+    plain = Model(scores, rest, 1.0, 1.0, level)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "t"):
+            out, n = [], 0
+            for t in batch.column("t").to_pylist():
+                n += len(ws := tokens(t))
+                scored = [(k, scores[w]) for k, w in enumerate(ws) if w in scores]
+                out += [s for *_, s in segments(scored, rest, len(ws)) if s >= LEAST]
+            yield pa.record_batch([pa.array([n], pa.int64()), pa.array([len(out)], pa.int64()), pa.array([sum(out) - LEAST * len(out)], pa.float64())], names=["tokens", "segments", "beyond"])
+
+    # above LEAST the scores of chance segments fall off exponentially: the mean excess gives the decay, their number the scale
+    chance = rows.where(~learn & (F.col("y") == 0)).mapInArrow(found, "tokens long, segments long, beyond double").agg(F.sum("tokens"), F.sum("segments"), F.sum("beyond")).first()
+    total, many, beyond = (x or 0 for x in chance)
+    decay = min(1.0, (many + 1) / (beyond + 1))  # as if one more segment had the decay 1 of log-likelihood ratios
+    scale = (many + 1) / max(total, 1) * math.exp(decay * LEAST)
+    base = replace(plain, decay=decay, scale=scale)
 
     def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t"):
-            got = [round(4 * min(50.0, evidence(t, base)[0])) for t in batch.column("t").to_pylist()]
+            got = [round(8 * math.log1p(evidence(t, base)[0])) for t in batch.column("t").to_pylist()]
             yield pa.record_batch([batch.column("y"), pa.array(got, pa.int32())], names=["y", "e"])
 
-    bins = rows.mapInArrow(rated, "y int, e int").groupBy("y", "e").count().collect()  # at most 2 x 201 rows
-    bias, slope = _logistic([(r["e"] / 4, r["y"], r["count"]) for r in bins])
-    return Model(base.scores, rest, base.decay, base.scale, bias, slope)
+    bins = rows.where(~learn).mapInArrow(rated, "y int, e int").groupBy("y", "e").count().collect()  # steps of an eighth of ln(1 + evidence)
+    bias, slope = _logistic([(math.expm1(r["e"] / 8), r["y"], r["count"]) for r in bins]) if bins else (0.0, 1.0)
+    return replace(base, bias=bias, slope=slope)
+
+
+#: Score from which segments tell the extreme-value law.
+LEAST = 1.0
 
 
 def _logistic(rows: list[tuple[float, int, int]]) -> tuple[float, float]:

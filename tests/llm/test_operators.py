@@ -412,8 +412,23 @@ def test_segments():
             i, j = best[3], best[4]
             return [*maximal(a, i), (i, j, best[0]), *maximal(j, b)]
 
-        assert sum(x for *_, x in got) == pytest.approx(sum(x for *_, x in maximal(0, len(s))))
-        assert max((x for *_, x in got), default=0) == pytest.approx(max((x for *_, x in maximal(0, len(s))), default=0))
+        assert [x for *_, x in got] == pytest.approx([x for *_, x in maximal(0, len(s))])
+        for a, b, x in got:  # maximal: no proper part is better, and no other segment overlaps
+            assert x == pytest.approx(sum(s[a:b])) and s[a] > 0 and s[b - 1] > 0
+            assert all(sum(s[a:k]) > 0 and sum(s[k:b]) > 0 for k in range(a + 1, b))
+        assert all(a2 >= b1 for (_, b1, _), (a2, _, _) in zip(got, got[1:]))
+
+
+def test_extreme_value_law(spark):
+    """Decay and scale come from chance segments of clean texts that made no lexicon; the evidence follows from them."""
+    model = toxicity.Model({b"bad": 2.0}, -0.5, 0.8, 0.01, level=0.05)
+    found, parts = toxicity.evidence("ok bad bad bad ok " + "ok " * 95, model)
+    assert parts == [(1, 4, 6.0)] and found == pytest.approx(0.8 * 6 - math.log(0.01 * 100) + math.log(0.05))
+    assert toxicity.evidence("ok bad ok", model)[0] == 0.0 or toxicity.evidence("ok bad ok", model)[1]
+    r = random.Random(1)
+    rows = [(k, " ".join("slur" if r.random() < (0.1 if k % 4 == 0 else 0.002) else f"w{r.randrange(400)}" for _ in range(60)), int(k % 4 == 0)) for k in range(800)]
+    got = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, label int"))
+    assert got.scores[b"slur"] > 0 > got.rest and 0 < got.decay <= 1 and got.scale > 0 and got.slope > 0
 
 
 def test_toxicity(spark, none):
