@@ -44,7 +44,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: i
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        values = batch.column(column)
+        sizes = pc.fill_null(pc.binary_length(values) if not pa.types.is_list(values.type) else pc.multiply(pc.list_value_length(values), 4), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes)
         at = 0
         while at < batch.num_rows:
@@ -64,6 +65,25 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def mapped(df: DataFrame, source: str, made: dict[str, str], make) -> DataFrame:
+    """The columns of ``df`` that don't have one of the new names (``made``: name and type) in either case, then the new ones.
+
+    ``make``: from an Arrow array of ``source`` to the new arrays, called in the tasks. Column names are free: maps see places instead.
+    """
+    lowered = {c.lower() for c in made}
+    keep = [c for c in df.columns if c.lower() not in lowered]
+    inner = df.select(*[F.col(quoted(c)).alias(f"_{k}") for k, c in enumerate(keep)], F.col(quoted(source)).alias("_source"))
+    names = [f"_{k}" for k in range(len(keep))]
+    new = [f"_new{k}" for k in range(len(made))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_source"):
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), *make(batch.column("_source"))], names=[*names, *new])
+
+    schema = inner.drop("_source").select("*", *[F.lit(None).cast(t).alias(n) for n, t in zip(new, made.values(), strict=True)]).schema
+    return inner.mapInArrow(run, schema).toDF(*keep, *made)
+
+
 #: Rows of ids or verdicts that may be broadcast, counted before: a few MB.
 FEW = 200_000
 

@@ -2,11 +2,11 @@
 
 P(w | previous) = P(class of w | class of the previous token) * P(w | class of w).
 
-Every word has a class: the most frequent words are units of their own, all others
-are units by their ending, so the units, the classes and their counts have a fixed
-size while the vocabulary grows. The exchange moves units between classes as long as the
-likelihood of the class bigrams rises; each round the executors sum the bigram counts by
-unit and class, and half of the units take their best class at once.
+Every word has a class, by exchange in two steps. First the most frequent words and, for all others, their
+endings are units that move between classes as long as the likelihood of the class bigrams
+rises; the executors sum their bigrams by unit and class. Then every word of the lexicon is a unit that
+starts in its ending's class: the executors hold the lexicon's bigrams, dealt by word, and find the best class of each word
+from its own neighbours; only class by class counts come together. Words rarer than the lexicon's keep the class of their ending.
 """
 
 from __future__ import annotations
@@ -26,13 +26,15 @@ from .common import dropped, numbered, slices, stored
 
 @dataclass(frozen=True)
 class Sizes:
-    """heads: words that are units; endings: units of all other words; classes; lexicon: counts that each task has, those of rarer words are joined."""
+    """heads, endings: units of the first exchange; lexicon: words that are units of the second one and whose counts each task has, those of rarer words are joined; refine: its rounds."""
 
     heads: int = 1000
     endings: int = 512
     classes: int = 48
     lexicon: int = 60_000
     rounds: int = 12
+    refine: int = 4
+    buckets: int = 256
     added: float = 0.5
     backed: float = 20.0
 
@@ -50,20 +52,25 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def _ending(w: bytes, sizes: Sizes) -> int:
+    return zlib.crc32(w[-3:]) % sizes.endings
+
+
 class _Units(dict):
-    """Unit of a word; what isn't a head is found by its last three bytes."""
+    """Place of a word in the lexicon; for all others behind it that of their ending, and last the end of a text."""
 
-    def __init__(self, heads: list[bytes], sizes: Sizes):
-        super().__init__({w: k for k, w in enumerate(heads)})
-        self.sizes, self.fixed = sizes, len(heads)
-        self.heads = dict(self)
+    def __init__(self, lexicon: list[bytes], sizes: Sizes):
+        super().__init__({w: k for k, w in enumerate(lexicon)})
+        self.sizes, self.first, self.end = sizes, len(lexicon), len(lexicon) + sizes.endings
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-            self.update(self.heads)
-        unit = self[w] = self.sizes.heads + zlib.crc32(w[-3:]) % self.sizes.endings
-        return unit
+        return self.first + _ending(w, self.sizes)
+
+
+def coarse_units(lexicon: list[bytes], sizes: Sizes) -> np.ndarray:
+    """The unit of the first exchange of each unit of the second one."""
+    own = [k if k < sizes.heads else sizes.heads + _ending(w, sizes) for k, w in enumerate(lexicon)]
+    return np.array([*own, *range(sizes.heads, sizes.heads + sizes.endings), sizes.end], np.int64)
 
 
 def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
@@ -86,25 +93,76 @@ def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(text).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _bigrams(df: DataFrame, heads, sizes: Sizes, text: str) -> DataFrame:
-    """(u, v, n): how often unit v follows unit u; ends stand between the texts."""
+BIGRAMS = "bucket int, keys binary, counts binary"
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
+
+
+def word_bigrams(df: DataFrame, lexicon, sizes: Sizes, text: str) -> DataFrame:
+    """(bucket, keys, counts): how often units follow each other, each pair once for either unit, dealt by that unit.
+
+    A key is (2 * unit + side) * units + other, side 0 if the other one follows. Tasks add up what they read, then the buckets' parts are added up.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, total = _Units(heads.value, sizes), np.zeros(0, np.int64)
-        keys = np.zeros(0, np.int64)
+        units = _Units(lexicon.value, sizes)
+        n = units.end + 1
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def flush() -> pa.RecordBatch:
+            a, b = keys // n, keys % n
+            both, times = np.concatenate([2 * a * n + b, (2 * b + 1) * n + a]), np.concatenate([counts, counts])
+            bucket = np.concatenate([a, b]) % sizes.buckets
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(sizes.buckets + 1))
+            both, times = both[order], times[order]
+            parts = [(k, both[i:j].tobytes(), times[i:j].tobytes()) for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
+            return pa.record_batch([pa.array([p[0] for p in parts], pa.int32()), *(pa.array([p[k] for p in parts], pa.binary()) for k in (1, 2))], names=["bucket", "keys", "counts"])
+
         for batch in slices(batches, text):
-            flat: list[int] = [sizes.end]
+            flat: list[int] = [units.end]
             for t in batch.column(text).to_pylist():
                 flat.extend(map(units.__getitem__, words(t)))
-                flat.append(sizes.end)
+                flat.append(units.end)
             a = np.array(flat, np.int64)
-            k, n = np.unique(a[:-1] * sizes.units + a[1:], return_counts=True)
-            both = np.concatenate([keys, k])
-            keys, inverse = np.unique(both, return_inverse=True)
-            total = np.bincount(inverse, np.concatenate([total, n]), len(keys)).astype(np.int64)
-        yield pa.record_batch([pa.array(keys // sizes.units, pa.int32()), pa.array(keys % sizes.units, pa.int32()), pa.array(total, pa.int64())], names=["u", "v", "n"])
+            new = a[:-1] * n + a[1:]
+            keys, counts = _summed(np.concatenate([keys, new]), np.concatenate([counts, np.ones(len(new), np.int64)]))
+            if len(keys) > 2_000_000:
+                yield flush()
+                keys, counts = keys[:0], counts[:0]
+        yield flush()
+
+    def add(table: pa.Table) -> pa.Table:
+        keys, counts = _summed(*(np.concatenate([np.frombuffer(x, np.int64) for x in table.column(c).to_pylist()]) for c in ("keys", "counts")))
+        return pa.table({"bucket": table.column("bucket").slice(0, 1), "keys": [keys.tobytes()], "counts": [counts.tobytes()]}, schema=pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
+
+    return df.select(text).mapInArrow(run, BIGRAMS).groupBy("bucket").applyInArrow(add, BIGRAMS)
+
+
+def _rows(batch: pa.RecordBatch, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(unit, side, other, count) of each bucket, by unit."""
+    for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+        k = np.frombuffer(keys, np.int64)
+        yield k // n // 2, k // n % 2, k % n, np.frombuffer(counts, np.int64)
+
 
-    return df.select(text).mapInArrow(run, "u int, v int, n long").groupBy("u", "v").agg(F.sum("n").alias("n"))
+def coarse_bigrams(bigrams: DataFrame, coarse, sizes: Sizes) -> DataFrame:
+    """(u, v, n) by the units of the first exchange."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = coarse.value
+        for batch in batches:
+            for unit, side, other, count in _rows(batch, len(of)):
+                on = side == 0
+                keys, n = _summed(of[unit[on]] * sizes.units + of[other[on]], count[on])
+                yield pa.record_batch([pa.array(keys // sizes.units, pa.int32()), pa.array(keys % sizes.units, pa.int32()), pa.array(n, pa.int64())], names=["u", "v", "n"])
+
+    return bigrams.mapInArrow(run, "u int, v int, n long").groupBy("u", "v").agg(F.sum("n").alias("n"))
 
 
 def _flog(x: np.ndarray) -> np.ndarray:
@@ -128,12 +186,84 @@ def best_class(n: np.ndarray, a: int, right: np.ndarray, left: np.ndarray, own:
     cols = _flog(m + le[:, None]) - base
     d = np.diag(m)
     gain = rows.sum(1) - np.diag(rows) + cols.sum(0) - np.diag(cols) + _flog(d + r + le + own) - np.diag(base)
-    out, into = m.sum(1), m.sum(0)
+    out, into = m.sum(1) + le, m.sum(0) + r  # pairs with the other classes stand in their sums, wherever the unit goes
     gain -= _flog(out + r.sum() + own) - _flog(out) + _flog(into + le.sum() + own) - _flog(into)
     best = int(np.argmax(gain[:free]))
     return best if gain[best] > gain[a] + 1e-9 else a
 
 
+def best_classes(n: np.ndarray, a: np.ndarray, right: np.ndarray, left: np.ndarray, own: np.ndarray, free: int) -> np.ndarray:
+    """best_class for many units at once, each as if it alone moved."""
+    many, k = right.shape
+    at = np.arange(many)
+    r, le = right.copy(), left.copy()
+    r[at, a] -= own
+    le[at, a] -= own
+    m = np.repeat(n[None], many, 0)
+    m[at, a] -= r
+    m[at, :, a] -= le
+    m[at, a, a] -= own
+    np.maximum(m, 0, out=m)
+    base = _flog(m)
+    rows, cols = _flog(m + r[:, None, :]) - base, _flog(m + le[:, :, None]) - base
+    d = np.arange(k)
+    inner = m[:, d, d]
+    gain = rows.sum(2) - rows[:, d, d] + cols.sum(1) - cols[:, d, d] + _flog(inner + r + le + own[:, None]) - base[:, d, d]
+    out, into, o = m.sum(2) + le, m.sum(1) + r, own[:, None]
+    gain -= _flog(out + r.sum(1)[:, None] + o) - _flog(out) + _flog(into + le.sum(1)[:, None] + o) - _flog(into)
+    best = gain[:, :free].argmax(1)
+    return np.where(gain[at, best] > gain[at, a] + 1e-9, best, a)
+
+
+def refine(bigrams: DataFrame, classes: np.ndarray, sizes: Sizes) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each unit of the lexicon, bigrams by class). A round moves half of the units; the best round counts."""
+    spark, k, n_units = bigrams.sparkSession, sizes.classes + 1, len(classes)
+
+    def together(classes) -> np.ndarray:
+        known = spark.sparkContext.broadcast(classes)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            c, total = known.value, np.zeros(k * k)
+            for batch in batches:
+                for unit, side, other, count in _rows(batch, n_units):
+                    on = side == 0
+                    total += np.bincount(c[unit[on]] * k + c[other[on]], count[on], k * k)
+            yield pa.record_batch([pa.array(np.arange(k * k), pa.int32()), pa.array(total)], names=["cell", "n"])
+
+        out = np.zeros(k * k)
+        for row in bigrams.mapInArrow(run, "cell int, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+            out[row["cell"]] = row["n"]
+        return out.reshape(k, k)
+
+    n = together(classes)
+    best, best_n, top = classes, n, likelihood(n)
+    for turn in range(sizes.refine):
+        state = spark.sparkContext.broadcast((classes, n))
+
+        def run(batches: Iterator[pa.RecordBatch], turn=turn, state=state) -> Iterator[pa.RecordBatch]:
+            c, now = state.value
+            for batch in batches:
+                for unit, side, other, count in _rows(batch, n_units):
+                    ids, place = np.unique(unit, return_inverse=True)
+                    of = place * k + c[other]
+                    right, left = (np.bincount(of[side == x], count[side == x], len(ids) * k).reshape(-1, k) for x in (0, 1))
+                    own = np.bincount(place[(unit == other) & (side == 0)], count[(unit == other) & (side == 0)], len(ids))
+                    # one half by turns; the end keeps its class
+                    todo = np.flatnonzero(((ids * 2654435761 >> 7) % 2 == turn % 2) & (ids < n_units - 1))
+                    for i in range(0, len(todo), 64):
+                        t = todo[i : i + 64]
+                        to = best_classes(now, c[ids[t]], right[t], left[t], own[t], sizes.classes)
+                        yield pa.record_batch([pa.array(ids[t], pa.int32()), pa.array(to, pa.int32())], names=["unit", "k"])
+
+        moved = bigrams.mapInArrow(run, "unit int, k int").toArrow()
+        classes = classes.copy()
+        classes[moved.column("unit").to_numpy()] = moved.column("k").to_numpy()
+        n = together(classes)
+        if (now := likelihood(n)) > top:
+            best, best_n, top = classes, n, now
+    return best, best_n
+
+
 def likelihood(n: np.ndarray) -> float:
     return float(_flog(n.astype(np.float64)).sum() - _flog(n.sum(1).astype(np.float64)).sum() - _flog(n.sum(0).astype(np.float64)).sum())
 
@@ -184,12 +314,25 @@ def exchange(bigrams: DataFrame, sizes: Sizes) -> tuple[np.ndarray, np.ndarray]:
     return best, best_n
 
 
+def probabilities(n: np.ndarray, kinds: np.ndarray, s: Sizes) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of the class transitions, and of what the counts of a class's words, plus ``added``, are divided by.
+
+    Transitions are smoothed by the share of each class; a class has its ``kinds`` of words and one unseen word. The last class is the end alone.
+    """
+    into, out = n.sum(0), n.sum(1)
+    prior = (into + 1) / (into.sum() + len(into))
+    move = np.log10((n + s.backed * prior) / (out + s.backed)[:, None])
+    inner = np.log10(into + s.added * (kinds + 1))
+    inner[s.classes] = 0.0
+    return move, inner
+
+
 def score(df: DataFrame, train: DataFrame, text: str = "text", key: str = "doc_id", sizes: Sizes | None = None) -> DataFrame:
     """One row for each row of ``df``: _rf_row (its number in this scan), key, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
 
     Tokens are the words, A-Z in lower case, then one end. base_score is that of add-one unigrams,
     score that of the class bigrams; both are learnt from all texts of ``train``. Null and empty texts
-    are an end alone. Equal rows are scored each. Words beyond the lexicon meet their counts in a join,
+    are an end alone. Equal rows are scored each, texts of any length whole; other columns aren't read. Words beyond the lexicon meet their counts in a join,
     so every count is exact.
     """
     s = sizes or Sizes()
@@ -208,13 +351,17 @@ def score(df: DataFrame, train: DataFrame, text: str = "text", key: str = "doc_i
             break
     frequent = counts.where(F.col("c") >= least).orderBy(F.desc("c"), "word").toArrow()
     lexicon = list(zip(frequent.column("word").to_pylist(), frequent.column("c").to_pylist(), strict=True))
-    heads = spark.sparkContext.broadcast([w for w, _ in lexicon[: s.heads]])
-    bigrams = stored(_bigrams(train, heads, s, text))
-    classes, n = exchange(bigrams, s)
-    dropped(bigrams)
+    names = [w for w, _ in lexicon]
+    shared = spark.sparkContext.broadcast(names)
+    coarse = coarse_units(names, s)
+    bigrams = stored(word_bigrams(train, shared, s, text))
+    by_ending = stored(coarse_bigrams(bigrams, spark.sparkContext.broadcast(coarse), s))
+    first, _ = exchange(by_ending, s)
+    classes, n = refine(bigrams, first[coarse], s)
+    dropped(bigrams, by_ending)
 
     def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, found = _Units(heads.value, s), Counter()
+        units, found = _Units(shared.value, s), Counter()
         for batch in batches:
             found.update(classes[units[w]] for w in batch.column("word").to_pylist())
         yield pa.record_batch([pa.array([int(c) for c in found], pa.int32()), pa.array(list(found.values()), pa.int64())], names=["k", "n"])
@@ -222,11 +369,7 @@ def score(df: DataFrame, train: DataFrame, text: str = "text", key: str = "doc_i
     kinds_of = np.zeros(s.classes + 1)
     for r in counts.select("word").mapInArrow(by_class, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
         kinds_of[r["k"]] = r["n"]
-    into, out = n.sum(0), n.sum(1)
-    prior = (into + 1) / (into.sum() + len(into))
-    move = np.log10((n + s.backed * prior) / (out + s.backed)[:, None])
-    inner = np.log10(into + s.added * (kinds_of + 1))
-    inner[s.classes] = 0.0
+    move, inner = probabilities(n, kinds_of, s)
     base_of = np.log10(total + distinct + 1)
     model = spark.sparkContext.broadcast((lexicon, classes, move, inner))
 
@@ -234,7 +377,7 @@ def score(df: DataFrame, train: DataFrame, text: str = "text", key: str = "doc_i
         lexicon, classes, move, inner = model.value
         known = {w: k for k, (w, _) in enumerate(lexicon)}
         c = np.array([x for _, x in lexicon], np.float64)
-        class_of = np.array([classes[u] for u in map(_Units([w for w, _ in lexicon[: s.heads]], s).__getitem__, (w for w, _ in lexicon))], np.int64)
+        class_of = classes[: len(lexicon)]
         plain, inside = np.log10(c + 1), np.log10(c + s.added)
         end, get = s.classes, known.get
         end_base = np.log10(texts + 1)
@@ -251,7 +394,7 @@ def score(df: DataFrame, train: DataFrame, text: str = "text", key: str = "doc_i
                     ks[1:-1][at >= 0] = class_of[head]
                     if len(tail):
                         odd = [ws[k] for k in tail]
-                        ks[1:-1][tail] = [classes[s.heads + zlib.crc32(w[-3:]) % s.endings] for w in odd]
+                        ks[1:-1][tail] = [classes[len(lexicon) + _ending(w, s)] for w in odd]
                         rare.extend((w, row, m) for w, m in Counter(odd).items())
                 model_sum = move[ks[:-1], ks[1:]].sum() + inside[head].sum() - inner[ks[1:]].sum()
                 base_sum = plain[head].sum() + end_base - (len(ws) + 1) * base_of

@@ -16,14 +16,12 @@ from __future__ import annotations
 
 import codecs
 import re
-from collections.abc import Iterator
 from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import quoted, slices
+from .common import mapped
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -263,33 +261,23 @@ def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids",
     """
     with open(model_path, "rb") as f:
         model = df.sparkSession.sparkContext.broadcast(f.read())
-    new = [ids] + ([decoded] if decoded else [])
-    lowered = [c.lower() for c in new]
-    keep = [c for c in df.columns if c.lower() not in lowered]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(texts: pa.Array) -> list[pa.Array]:
         table = prefix_table(model.value)
-        for batch in slices(batches, text):
-            got = [table.encode(x, end) for x in batch.column(text).to_pylist()]
-            out = [batch.column(c) for c in keep] + [pa.array(got, pa.list_(pa.int32()))]
-            if decoded:
-                out.append(pa.array([table.decode(x) for x in got], pa.string()))
-            yield pa.RecordBatch.from_arrays(out, names=[*keep, *new])
+        got = [table.encode(x, end) for x in texts.to_pylist()]
+        back = [pa.array([table.decode(x) for x in got], pa.string())] if decoded else []
+        return [pa.array(got, pa.list_(pa.int32())), *back]
 
-    kinds = [F.lit(None).cast("array<int>").alias(ids), *([F.lit(None).cast("string").alias(decoded)] if decoded else [])]
-    return df.mapInArrow(run, df.select(*[F.col(quoted(c)) for c in keep], *kinds).schema)
+    return mapped(df, text, {ids: "array<int>"} | ({decoded: "string"} if decoded else {}), make)
 
 
 def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """Adds the text of each array of ids; null ids give a null text."""
     with open(model_path, "rb") as f:
         model = df.sparkSession.sparkContext.broadcast(f.read())
-    keep = [c for c in df.columns if c.lower() != text.lower()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(lists: pa.Array) -> list[pa.Array]:
         table = prefix_table(model.value)
-        for batch in batches:
-            out = [None if x is None else table.decode(x) for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(out, pa.string())], names=[*keep, text])
+        return [pa.array([None if x is None else table.decode(x) for x in lists.to_pylist()], pa.string())]
 
-    return df.mapInArrow(run, df.select(*[F.col(quoted(c)) for c in keep], F.lit(None).cast("string").alias(text)).schema)
+    return mapped(df, ids, {text: "string"}, make)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, slices
+from .common import mapped, slices
 
 MARKS = ".,;:!?\"'()[]{}<>«»¿¡-_*#$%&|".encode()
 
@@ -192,19 +192,13 @@ def score(df: DataFrame, model: Model, text: str = "text", passages: bool = Fals
     a text without evidence. Columns of these names, in either case, are replaced. The model, of bounded size, is broadcast.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
-    new = ["score", *(["passages"] if passages else [])]
-    keep = [c for c in df.columns if c.lower() not in new]
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(texts: pa.Array) -> list[pa.Array]:
         m = shared.value
-        for batch in slices(batches, text):
-            found = [evidence(t, m) for t in batch.column(text).to_pylist()]
-            rated = [1 / (1 + math.exp(-(m.bias + m.slope * math.log1p(e)))) if m.scores else 0.0 for e, _ in found]
-            out = [batch.column(c) for c in keep] + [pa.array(rated, pa.float64())]
-            if passages:
-                out.append(pa.array([[{"start": a, "end": b, "score": s} for a, b, s in x] for _, x in found], span))
-            yield pa.RecordBatch.from_arrays(out, names=[*keep, *new])
-
-    kinds = [F.lit(0.0).alias("score"), *([F.lit(None).cast("array<struct<start:int,end:int,score:double>>").alias("passages")] if passages else [])]
-    return df.mapInArrow(run, df.select(*[F.col(quoted(c)) for c in keep], *kinds).schema)
+        found = [evidence(t, m) for t in texts.to_pylist()]
+        rated = [1 / (1 + math.exp(-(m.bias + m.slope * math.log1p(e)))) if m.scores else 0.0 for e, _ in found]
+        told = [pa.array([[{"start": a, "end": b, "score": s} for a, b, s in x] for _, x in found], span)] if passages else []
+        return [pa.array(rated, pa.float64()), *told]
+
+    return mapped(df, text, {"score": "double"} | ({"passages": "array<struct<start:int,end:int,score:double>>"} if passages else {}), make)

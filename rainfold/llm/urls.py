@@ -69,7 +69,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, links: DataFrame | None = No
     crawl's redirects). A group with a member that a rule allows is allowed, even
     if another member is blocked; else a blocked member blocks it; else it is
     allowed. Targets count as members whether or not they are pages. Null urls and urls
-    without :// have no host and no group and are allowed.
+    without :// have no host and no group and are allowed. Repeated rows are judged each; of equally long rules the
+    allowing one wins; html of any length is searched whole; other columns aren't read.
     """
     parsed = pages.select(F.col(page).alias("page"), F.col(url).alias("url"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
     if links is None:

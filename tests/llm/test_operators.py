@@ -119,6 +119,10 @@ def test_urls(spark):
     fewer = {r.page_id: r.verdict for r in urls.filter_urls(pages.where("page_id != 5"), rules).collect()}
     assert [fewer[k] for k in (1, 2, 3, 4)] == ["block"] * 4  # the block reaches aliases of aliases
     assert urls.filter_urls(pages.where("false"), rules).count() == 0
+    long = [(1, "http://q.test/1", "x" * 500_000 + html.format("http://bad.net/x"), None)] * 3 + [(2, "http://tie.test/a", None, None), (None, None, None, None)]
+    tied = rules.union(spark.createDataFrame([("tie.test", "/a", False), ("tie.test", "/a", True)], rules.schema))
+    got = sorted((r.page_id or 0, r.verdict) for r in urls.filter_urls(spark.createDataFrame(long, pages.schema), tied).collect())
+    assert got == [(0, "allow"), (1, "block"), (1, "block"), (1, "block"), (2, "allow")]
 
 
 def test_components(spark):
@@ -219,6 +223,18 @@ def test_pii_terms(spark, docs, none):
     assert got.where("doc_id = 1").first().text is None
 
 
+def test_pii_is_linear_and_looks_far_left(spark):
+    """No cut of the words to the left, and long lines of digits or entities cost no more than their sum."""
+    import time
+
+    text = "secretname " + "x" * 330 + " ann@example.org z"
+    assert next(iter(pii.around(text, pii.find(text), 8)))[1] == ["secretname", "x" * 330, "z"]
+    began = time.process_time()
+    for hard in ("1" * 300_000 + ".1.1.", "a@b.cc," * 40_000, "1.1.1.1." * 40_000, "+1" * 100_000):
+        list(pii.around(hard, pii.find(hard), 8))
+    assert time.process_time() - began < 20
+
+
 def test_pii_terms_of_unique_entities(spark, tmp_path):
     """The query and the pipeline judge an entity that occurs once, too."""
     import corpus_pipeline
@@ -312,7 +328,7 @@ def test_language_model(spark, docs, none):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert rows7
     train = df.where("doc_id % 3 != 1")
-    sizes = language_model.Sizes(heads=10, endings=8, classes=4, lexicon=20, rounds=4)
+    sizes = language_model.Sizes(heads=10, endings=8, classes=4, lexicon=20, rounds=4, buckets=4)
     got = language_model.score(df, train, sizes=sizes).collect()
     texts = [t for d, t in rows if d is not None and d % 3 != 1]
     count = Counter(w for t in texts for w in (t or "").split())
@@ -326,25 +342,71 @@ def test_language_model(spark, docs, none):
     for r in got:
         assert (r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) in by[r.doc_id] and r.score < 0
     assert language_model.score(none, none, sizes=sizes).count() == 0
+    assert language_model.score(docs, docs, sizes=sizes).count() == docs.count()  # clashing names, long texts, nulls, repeated rows
     assert language_model.score(df.limit(3), none, sizes=sizes).count() == 3
 
 
+def test_exchange_moves_are_best():
+    """One unit at a time and many at once, against the likelihood of each class that it could move to."""
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    pairs = r.integers(0, 40, (12, 12))
+    of = r.integers(0, 4, 12)
+    n = np.zeros((4, 4))
+    np.add.at(n, (of[:, None], of[None, :]), pairs)
+    right, left = np.zeros((12, 4)), np.zeros((12, 4))
+    for u in range(12):
+        np.add.at(right[u], of, pairs[u])
+        np.add.at(left[u], of, pairs[:, u])
+    own = np.diag(pairs).astype(float)
+    many = language_model.best_classes(n, of, right, left, own, 4)
+    for u in range(12):
+        moved = []
+        for to in range(4):
+            c = of.copy()
+            c[u] = to
+            m = np.zeros((4, 4))
+            np.add.at(m, (c[:, None], c[None, :]), pairs)
+            moved.append(language_model.likelihood(m))
+        assert moved[many[u]] == pytest.approx(max(moved)) and language_model.best_class(n, of[u], right[u], left[u], own[u], 4) == many[u]
+
+
 def test_language_model_is_a_distribution(spark):
-    """The probabilities of all next tokens sum to one, one unseen word for each class included."""
+    """Transitions sum to one, and so do the words of a class with one unseen word; scores of whole texts follow from both, word by word."""
     import numpy as np
 
-    n = np.array([[3.0, 1.0], [2.0, 5.0]])
-    right, left = np.array([1.0, 2.0]), np.array([2.0, 1.0])
-    best = language_model.best_class(n, 0, right, left, 0.0, 2)
-    moved = {}
-    for to in (0, 1):
-        m = n.copy()
-        m[0] -= right
-        m[:, 0] -= left
-        m[to] += right
-        m[:, to] += left
-        moved[to] = language_model.likelihood(m) if (m >= 0).all() else -1e9
-    assert moved[best] >= max(moved.values()) - 1e-9
+    r = random.Random(12)
+    texts = [" ".join(r.choice("the a cat dog runs sleeps".split()) for _ in range(r.randrange(1, 9))) for _ in range(80)]
+    sizes = language_model.Sizes(heads=3, endings=4, classes=3, lexicon=6, rounds=4, refine=3, buckets=4)
+    seen: list = []
+    real = language_model.probabilities
+    language_model.probabilities = lambda *a: seen.append(a) or real(*a)
+    real_refine, found = language_model.refine, []
+    language_model.refine = lambda *a: found.append(real_refine(*a)) or found[-1]
+    try:
+        asked = [*texts[:20], "cat cat", "the", "", "zzz the", "dog zzz zzz"]
+        train = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {x.doc_id: x.score for x in language_model.score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), train, sizes=sizes).collect()}
+    finally:
+        language_model.probabilities, language_model.refine = real, real_refine
+    n, kinds, _ = seen[0]
+    move, inner = real(n, kinds, sizes)
+    assert np.allclose((10**move).sum(1), 1)
+    count = Counter(w for t in texts for w in t.split())
+    lexicon = sorted(count, key=lambda w: (-count[w], w.encode()))
+    classes = found[0][0]
+    of = {w: classes[k] for k, w in enumerate(lexicon)}
+    for k in range(sizes.classes):
+        own = [w for w in lexicon if of[w] == k]
+        assert kinds[k] == len(own) and sum(count[w] + sizes.added for w in own) + sizes.added == pytest.approx(10 ** inner[k])
+    for d, t in enumerate(asked):
+        at, total = sizes.classes, 0.0
+        for w in t.split():
+            k = of[w] if w in of else classes[len(lexicon) + language_model._ending(w.encode(), sizes)]
+            total += move[at, k] + math.log10(count[w] + sizes.added) - inner[k]
+            at = k
+        assert got[d] == pytest.approx(total + move[at, sizes.classes])
 
 
 def test_exact_dedup(spark, docs, none):
