@@ -1,4 +1,8 @@
-"""A corpus pipeline of five stages over ``documents``; each stage is written as Parquet and read again by the next."""
+"""A corpus pipeline of five stages over ``documents``; each stage is written as Parquet and read again by the next.
+
+Null and empty texts fail the quality rules. Equal rows and near copies leave one row each. Columns beside those of
+``documents`` are handed on, whatever their names, by all stages but the last. An empty table gives empty tables.
+"""
 
 from __future__ import annotations
 
@@ -48,7 +52,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: SQL can't express the outlier test or the packing; tests hold each stage against a brute-force version.
+#: SQL can't express the outlier test or the packing; tests hold the stages against brute-force versions on a small table.
 ORACLE_SQL = None
 
 
