@@ -25,13 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import FEW, dropped, held, known_again, numbered, quoted, slices, stored, text_hash
+from .common import FEW, dropped, held, known_again, numbered, quoted, slices, stored, text_hash, word_codes
 from .components import connected_components
 
 SIZE = 5
@@ -39,6 +38,8 @@ SIZE = 5
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k words."""
+    if len(h) < k:
+        return np.zeros(0, np.int64)
     out = np.full(max(0, len(h) - k + 1), k, np.uint64)
     for j in range(k):
         out = out * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - k + 1 + j]
@@ -50,14 +51,9 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     """Of each text the sorted distinct hashes (int64) of its 5-word shingles, A-Z in lower case; of fewer words the whole sequence."""
-    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
-    known = words.flatten().dictionary_encode()
-    names = known.dictionary.to_pylist()
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in names), np.uint64, len(names))
-    real, place = np.fromiter((w != "" for w in names), bool, len(names)), known.indices.to_numpy()
-    before = np.concatenate([[0], np.cumsum(real[place])])
-    ends = before[words.offsets.to_numpy() - words.offsets[0].as_py()]
-    h = hashes[place[real[place]]]
+    place, names, upto = word_codes(texts)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))[place]
+    ends = np.concatenate([[0], upto])
     runs = _mixed(h, SIZE)
     return [np.unique(runs[a : b - SIZE + 1] if b - a >= SIZE else _mixed(h[a:b], b - a)) if b > a else np.zeros(0, np.int64) for a, b in zip(ends, ends[1:], strict=False)]
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, numbered, slices, stored
+from .common import dropped, numbered, slices, stored, word_codes
 
 
 @dataclass(frozen=True)
@@ -48,10 +48,6 @@ class Sizes:
         return self.heads + self.endings + 1
 
 
-def words(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
-
-
 def _ending(w: bytes, sizes: Sizes) -> int:
     return zlib.crc32(w[-3:]) % sizes.endings
 
@@ -84,7 +80,7 @@ def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
 
         for batch in slices(batches, text):
             for t in batch.column(text).to_pylist():
-                found.update(words(t))
+                found.update((t or "").encode().lower().split())
             if len(found) > 500_000:
                 yield flush()
                 found.clear()
@@ -112,30 +108,32 @@ def word_bigrams(df: DataFrame, lexicon, sizes: Sizes, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = _Units(lexicon.value, sizes)
         n = units.end + 1
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-        def flush() -> pa.RecordBatch:
-            a, b = keys // n, keys % n
-            both, times = np.concatenate([2 * a * n + b, (2 * b + 1) * n + a]), np.concatenate([counts, counts])
-            bucket = np.concatenate([a, b]) % sizes.buckets
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(sizes.buckets + 1))
-            both, times = both[order], times[order]
-            parts = [(k, both[i:j].tobytes(), times[i:j].tobytes()) for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
-            return pa.record_batch([pa.array([p[0] for p in parts], pa.int32()), *(pa.array([p[k] for p in parts], pa.binary()) for k in (1, 2))], names=["bucket", "keys", "counts"])
-
-        for batch in slices(batches, text):
-            flat: list[int] = [units.end]
-            for t in batch.column(text).to_pylist():
-                flat.extend(map(units.__getitem__, words(t)))
-                flat.append(units.end)
-            a = np.array(flat, np.int64)
-            new = a[:-1] * n + a[1:]
-            keys, counts = _summed(np.concatenate([keys, new]), np.concatenate([counts, np.ones(len(new), np.int64)]))
-            if len(keys) > 2_000_000:
-                yield flush()
-                keys, counts = keys[:0], counts[:0]
-        yield flush()
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            keys, counts = _summed(*(np.concatenate([x[k] for x in kept]) for k in (0, 1)))
+            kept.clear()
+            for unit, of, side, other in ((keys // n, counts, 0, keys % n), (keys % n, counts, 1, keys // n)):
+                order = np.argsort(unit % sizes.buckets, kind="stable")
+                cuts = np.searchsorted((unit % sizes.buckets)[order], np.arange(sizes.buckets + 1))
+                both, of = ((2 * unit + side) * n + other)[order], of[order]
+                for part in range(0, sizes.buckets, 32):
+                    ks = [k for k in range(part, min(part + 32, sizes.buckets)) if cuts[k + 1] > cuts[k]]
+                    blobs = [pa.array([x[cuts[k] : cuts[k + 1]].tobytes() for k in ks], pa.binary()) for x in (both, of)]
+                    yield pa.record_batch([pa.array(ks, pa.int32()), *blobs], names=["bucket", "keys", "counts"])
+
+        for batch in slices(batches, text, 1_000_000):
+            place, names, upto = word_codes(batch.column(text))
+            at = np.fromiter(map(units.__getitem__, names), np.int64, len(names))
+            a = np.full(len(place) + len(upto) + 1, units.end, np.int64)  # ends stand before, between and behind the texts
+            a[np.arange(len(place)) + np.repeat(np.arange(len(upto)), np.diff(upto, prepend=0)) + 1] = at[place]
+            kept.append(np.unique(a[:-1] * n + a[1:], return_counts=True))
+            if sum(len(x) for x, _ in kept) > 1_500_000:
+                kept[:] = [_summed(*(np.concatenate([x[k] for x in kept]) for k in (0, 1)))]
+                if len(kept[0][0]) > 750_000:
+                    yield from flush()
+        if kept:
+            yield from flush()
 
     def add(table: pa.Table) -> pa.Table:
         keys, counts = _summed(*(np.concatenate([np.frombuffer(x, np.int64) for x in table.column(c).to_pylist()]) for c in ("keys", "counts")))
@@ -381,26 +379,38 @@ def score(df: DataFrame, train: DataFrame, text: str = "text", key: str = "doc_i
         plain, inside = np.log10(c + 1), np.log10(c + s.added)
         end, get = s.classes, known.get
         end_base = np.log10(texts + 1)
-        for batch in slices(batches, "_text"):
-            docs, rare = [], []
-            for row, doc, t in zip(*(batch.column(x).to_pylist() for x in ("_rf_row", "doc", "_text")), strict=True):
-                ws = words(t)
-                at = np.array([get(w, -1) for w in ws], np.int64)
-                tail = np.flatnonzero(at < 0)
-                ks = np.empty(len(ws) + 2, np.int64)
-                ks[0] = ks[-1] = end
-                head = at[at >= 0]
-                if len(ws):
-                    ks[1:-1][at >= 0] = class_of[head]
-                    if len(tail):
-                        odd = [ws[k] for k in tail]
-                        ks[1:-1][tail] = [classes[len(lexicon) + _ending(w, s)] for w in odd]
-                        rare.extend((w, row, m) for w, m in Counter(odd).items())
-                model_sum = move[ks[:-1], ks[1:]].sum() + inside[head].sum() - inner[ks[1:]].sum()
-                base_sum = plain[head].sum() + end_base - (len(ws) + 1) * base_of
-                docs.append((b" %d" % row, row, doc, 0, len(ws) + 1, len(head) + (1 if texts else 0), float(base_sum), float(model_sum)))
-            docs.extend((w, row, None, m, 0, 0, 0.0, 0.0) for w, row, m in rare)
-            yield pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*docs, strict=True), KINDS, strict=True)], names=NAMES)
+        for batch in slices(batches, "_text", 1_000_000):
+            place, raw, upto = word_codes(batch.column("_text"))
+            texts_here = len(upto)
+            size = np.diff(upto, prepend=0)
+            doc_of = np.repeat(np.arange(texts_here), size)
+            found = np.fromiter((get(w, -1) for w in raw), np.int64, len(raw))
+            kind = np.fromiter((class_of[k] if k >= 0 else classes[len(lexicon) + _ending(w, s)] for k, w in zip(found, raw, strict=True)), np.int64, len(raw))
+            word = found[place]
+            head = word >= 0
+            # ends before and behind each text: transitions are those of neighbours inside a text, and the two at its ends
+            ks = np.full(len(place) + 2 * texts_here, end, np.int64)
+            ks[np.arange(len(place)) + 2 * doc_of + 1] = kind[place]
+            close = upto + 2 * np.arange(1, texts_here + 1)
+            inner_of = np.ones(len(ks), bool)
+            inner_of[close - 1] = False  # what follows the end of a text is another text
+            step = move[ks[:-1], ks[1:]] - inner[ks[1:]] if len(ks) else np.zeros(0)
+            owner = np.repeat(np.arange(texts_here), size + 2)
+            sums = np.bincount(owner[:-1][inner_of[:-1]], step[inner_of[:-1]], texts_here) if len(ks) else np.zeros(texts_here)
+            at = doc_of[head]
+            sums = sums + np.bincount(at, inside[word[head]], texts_here)
+            base = np.bincount(at, plain[word[head]], texts_here) + end_base - (size + 1) * base_of
+            known_here = np.bincount(at, minlength=texts_here) + (1 if texts else 0)
+            rare, times = np.unique(doc_of[~head] * max(1, len(raw)) + place[~head], return_counts=True)
+            row = batch.column("_rf_row")
+            none = pa.nulls(len(rare), pa.int64())
+            zero = np.zeros(len(rare))
+            marks = pa.array([b" %d" % r for r in row.to_pylist()], pa.binary())
+            first = [marks, row, batch.column("doc"), pa.array(np.zeros(texts_here, np.int32)), pa.array(size + 1, pa.int64()), pa.array(known_here, pa.int64()), pa.array(base), pa.array(sums)]
+            yield pa.RecordBatch.from_arrays(first, names=NAMES)
+            if len(rare):
+                own = pa.array(rare // len(raw))
+                yield pa.RecordBatch.from_arrays([pa.array([raw[k] for k in (rare % len(raw)).tolist()], pa.binary()), row.take(own), none, pa.array(times, pa.int32()), *(pa.array(zero.astype(np.int64)) for _ in (0, 1)), pa.array(zero), pa.array(zero)], names=NAMES)
 
     parts = rows.mapInArrow(run, "word binary, _rf_row long, doc long, tf int, n long, known long, base double, score double")
     rest = counts.where(F.col("c") < least)
@@ -417,4 +427,3 @@ def score(df: DataFrame, train: DataFrame, text: str = "text", key: str = "doc_i
 
 
 NAMES = ["word", "_rf_row", "doc", "tf", "n", "known", "base", "score"]
-KINDS = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]

@@ -301,6 +301,16 @@ def _brute_components(rows):
     return sorted((d is None, d, len(s), least[c]) for (d, _), s, c in zip(rows, sets, comp, strict=True))
 
 
+def test_shingles_of_few_words():
+    """A batch may hold fewer words than a shingle, or none."""
+    import pyarrow as pa
+
+    for texts in (["a b"], [None, "", "x"], [], ["a b c d", "A  B\nc D "]):
+        sets = jaccard.shingle_sets(pa.array(texts, pa.string()))
+        assert [len(s) for s in sets] == [int(bool(t)) for t in texts]
+    assert (sets[0] == sets[1]).all()
+
+
 def test_jaccard(spark, docs, none):
     r = random.Random(9)
     common = words(77, 60, 10_000).split()
