@@ -132,10 +132,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, files: int | None = None) -> DataFrame:
-    """Writes the rows to the shared folder and reads them again: this cuts the lineage and survives lost executors. ``files``: at most so many."""
+    """Writes the rows to the shared folder and reads them again: this cuts the lineage and survives lost executors. ``files``: at most so many.
+
+    The file system deletes the table when the application ends, if ``dropped`` hasn't deleted it before.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/rainfold-{uuid.uuid4().hex}"
     (df if files is None else df.coalesce(files)).write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out.rainfold_path = path
     return out
@@ -150,6 +155,21 @@ def dropped(*frames: DataFrame) -> None:
 
 
 def held(df: DataFrame) -> DataFrame:
-    """A checkpoint for small results: they no longer need the tables that they come from, and Spark deletes it when nothing refers to it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """A stored table for results: they no longer need the tables that they come from, and go when the application ends."""
+    return stored(df)
+
+
+def looked_up(rows: DataFrame, table: DataFrame, on: str, weight: str) -> DataFrame:
+    """Left join of ``rows`` with a stored table by ``on``; ``weight`` of the table says how many rows ask for an entry.
+
+    Entries that a ten-thousandth of all rows ask for (at most 10 000 then) are broadcast, so no key's rows meet in one task; the
+    others are joined by shuffle. A null finds nothing.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) >= max(1000, total // 10_000)
+    heavy = table.where(hot).drop(weight)
+    light = table.where(~hot).drop(weight)
+    if heavy.isEmpty():
+        return rows.join(light, on, "left")
+    cold = rows.join(F.broadcast(heavy.select(on)), on, "left_anti").join(light, on, "left")
+    return rows.join(F.broadcast(heavy), on).unionByName(cold)
