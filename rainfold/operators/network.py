@@ -1,8 +1,9 @@
 """Drainage networks: an edge table (cell_id, down_id), NULL for a pit.
 
-Cells fall into blocks of consecutive ids. Inside a block water is followed at once, in memory; what leaves a block
-goes on over the network of the cells at which blocks are entered, which is much smaller and is solved by pointer
-doubling. So the months of a cell are shuffled a fixed number of times, however long the rivers are.
+Cells fall into blocks: squares of 64 x 64 cells where rows and columns are known, else runs of consecutive ids. Inside a block water is followed at
+once, in memory. What leaves a block goes on over the network of the cells at which blocks are entered, which is much smaller, and
+in which 8 x 8 blocks are one block; and so on, until one block is left. Then totals come down the same
+levels. So the months of a cell, one array a cell, are read twice, however long the rivers are.
 """
 
 from __future__ import annotations
@@ -12,24 +13,35 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Cells of a block: bounds what a task holds at once.
+from .storage import bucketed, checkpointed, dropped
+
+#: Cells of a block where only ids are known, and rows and columns of a square block: they bound what a task holds at once.
 BLOCK = 4096
+TILE = 64
+#: Rows and columns of blocks that are one block on the next level, and nodes of a network that one task solves.
+UP = 8
+TOP = 50_000
+#: Bits of a block's second coordinate.
+BITS = 31
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder that all executors share. Where the session has none, a local master gets one of its own, as in tests; a cluster gets an error."""
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        import tempfile
+def block_of(c: str) -> Column:
+    return F.floor(F.col(c) / BLOCK)
 
-        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rainfold-checkpoint-"))
-    return df.checkpoint(eager=True)
 
+def square(row: Column, col: Column) -> Column:
+    """The square block of a cell; rows and columns from 0."""
+    return F.shiftleft(F.floor(row / TILE), BITS) + F.floor(col / TILE)
 
-def block_of(c: str) -> Column:
-    return F.floor(F.col(c) / BLOCK)
+
+def with_blocks(drain: DataFrame) -> DataFrame:
+    """(cell_id, down_id, block, down_block, entered): ``drain`` with the blocks of both cells, by squares if it has them from ``drain_edges``, and whether water of another block enters the cell."""
+    if "down_block" not in drain.columns:
+        drain = drain.select("cell_id", "down_id", *[F.shiftleft(block_of(c), BITS).alias(k) for c, k in (("cell_id", "block"), ("down_id", "down_block"))])
+    if "entered" in drain.columns:
+        return drain
+    into = drain.where("block != down_block").select(F.col("down_id").alias("cell_id"), F.lit(True).alias("entered")).distinct()
+    return drain.select("cell_id", "down_id", "block", "down_block").join(into, "cell_id", "left").withColumn("entered", F.coalesce("entered", F.lit(False)))
 
 
 class Local:
@@ -128,70 +140,148 @@ def _doubled(drain: DataFrame, flux: DataFrame, keys: list[str]) -> DataFrame:
     return now
 
 
-def _added_up(drain: DataFrame, flux: DataFrame, by: tuple[str, ...], leaving: bool, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(cell_id, *by, v, holes) added up inside each block: of all cells, or with ``leaving`` what enters other blocks, by the cell where it does.
+def _matrix(table: pa.Table, size: int) -> np.ndarray:
+    """A row of ``size`` numbers for each row of the table: its array v, or v at the places ``at``; NULL is NaN, no array is zeros."""
+    out = np.zeros((table.num_rows, size))
+    v = table.column("v").combine_chunks()
+    lengths = np.diff(v.offsets.to_numpy())
+    row = np.repeat(np.arange(table.num_rows), lengths)
+    if "at" in table.column_names:
+        at = table.column("at").combine_chunks().flatten().to_numpy()
+    else:
+        at = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    np.add.at(out, (row, at), v.flatten().to_numpy(zero_copy_only=False))
+    return out
+
+
+def _flows(table: pa.Table, size: int, more: pa.Table | None = None) -> tuple[Local, np.ndarray, pa.Table]:
+    """The network of the rows with an edge, all flows in it added up, and these rows in its order. more: (cell_id, v), further flows into cells."""
+    edges = table.filter(table.column("edge")) if "edge" in table.column_names else table
+    edges = edges.take(pa.array(np.argsort(_ids(edges, "cell_id"), kind="stable")))
+    net = Local(_ids(edges, "cell_id"), _ids(edges, "down_id"))
+    acc = np.zeros((len(net.cell), size))
+    for rows in (table, more):
+        if rows is not None and rows.num_rows and len(net.cell):
+            cell = _ids(rows, "cell_id")
+            place = np.minimum(np.searchsorted(net.cell, cell), len(net.cell) - 1)
+            known = net.cell[place] == cell
+            np.add.at(acc, place[known], _matrix(rows, size)[known])
+    net.add_up(acc)
+    return net, acc, edges
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    flat = values.ravel()
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(flat, mask=np.isnan(flat)))
+
+
+def _leaving(table: pa.Table, size: int, by: tuple[str, ...]) -> pa.Table:
+    """What leaves a block, by the cell that it enters, and where the water of the block's own entered cells leaves it."""
+    net, acc, edges = _flows(table, size)
+    down_block, entered = _ids(edges, "down_block"), edges.column("entered").to_numpy(zero_copy_only=False).astype(bool)
+    out = np.flatnonzero((net.below < 0) & (net.down_id >= 0))
+    target, first, place = np.unique(net.down_id[out], return_index=True, return_inverse=True)
+    total = np.zeros((len(target), size))
+    np.add.at(total, place, acc[out])
+    leave = np.arange(len(net.cell))
+    for front in reversed(net.levels):
+        on = front[net.way[front] >= 0]
+        leave[on] = leave[net.way[on]]
+    own = np.flatnonzero(entered)
+    ends = leave[own]
+    none = np.full(len(target), -1)
+    columns = {
+        "cell_id": np.concatenate([target, net.cell[own]]), "block": np.concatenate([down_block[out][first], _ids(edges, "block")[own]]),
+        "down_id": np.concatenate([none, net.down_id[ends]]), "down_block": np.concatenate([none, np.where(net.down_id[ends] >= 0, down_block[ends], -1)]),
+        "edge": np.arange(len(target) + len(own)) >= len(target),
+    }
+    made = {k: table.column(k).take(pa.array(np.zeros(len(target) + len(own), np.int64))) for k in by}
+    return pa.table(made | {k: pa.array(v) for k, v in columns.items()} | {"v": _lists(np.concatenate([total, np.zeros((len(own), size))]))})
+
+
+def _kinds(df: DataFrame, names: list[str] | tuple[str, ...]) -> str:
+    return ", ".join(f"{k} {t}" for k, t in df.select(*names).dtypes)
+
+
+def _totals(net: DataFrame, size: int, by: tuple[str, ...], hand_on: tuple[str, ...]) -> DataFrame:
+    """(*by, cell_id, *hand_on, v): all flows into each cell of ``net`` and its own. ``net``: a stored table (*by, block, cell_id, down_id, down_block, entered, v, perhaps edge and at)."""
+    needed = [c for c in (*by, "block", "cell_id", "down_id", "down_block", "entered", "edge", "at", "v") if c in net.columns]
+    keys = ["block", *by]
+    up = checkpointed(net.select(*needed).groupBy(*keys).applyInArrow(lambda t: _leaving(t, size, by), "".join(f"{k} {t}, " for k, t in net.select(*by).dtypes) + "cell_id long, block long, down_id long, down_block long, edge boolean, v array<double>"))
+    n = up.count()
+    if n > TOP:
+        shift = UP.bit_length() - 1
+        higher = lambda c: F.shiftleft(F.shiftright(c, BITS + shift), BITS) + F.shiftright(F.col(c).bitwiseAND((1 << BITS) - 1), shift)
+        nodes = up.select(*by, F.col("block").alias("home"), higher("block").alias("block"), "cell_id", "down_id", F.when(F.col("down_id") >= 0, higher("down_block")).otherwise(-1).alias("down_block"), "edge", "v")
+        into = nodes.where("edge and down_id >= 0 and block != down_block").select(*by, F.col("down_id").alias("cell_id"), F.lit(True).alias("entered")).distinct()
+        nodes = checkpointed(nodes.join(into, [*by, "cell_id"], "left").withColumn("entered", F.coalesce("entered", F.lit(False))))
+        inflow = checkpointed(_totals(nodes, size, by, ("home",)).select(*by, F.col("home").alias("block"), "cell_id", "v"))
+        dropped(nodes, up)
+    else:  # one block, or one for each parameter set
+        inflow = up.withColumn("_one", F.lit(0)).groupBy("_one", *by).applyInArrow(lambda t: _solved(t, size, by), "".join(f"{k} {t}, " for k, t in net.select(*by).dtypes) + "block long, cell_id long, v array<double>")
+    columns = list(dict.fromkeys([*by, "cell_id", *hand_on]))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return left.select(columns).append_column("v", pa.array([], pa.list_(pa.float64())))
+        _, acc, edges = _flows(left, size, right)
+        return edges.select(columns).append_column("v", _lists(acc))
+
+    left = net.select(*dict.fromkeys([*needed, *hand_on]))
+    return left.groupBy(*keys).cogroup(inflow.groupBy(*keys)).applyInArrow(run, f"{_kinds(net, columns)}, v array<double>")
+
+
+def _solved(table: pa.Table, size: int, by: tuple[str, ...]) -> pa.Table:
+    """The flows of a network that is one block: (*by, block, cell_id, v)."""
+    _, acc, edges = _flows(table, size)
+    return edges.select([*by, "block", "cell_id"]).append_column("v", _lists(acc))
+
 
-    With ``carry`` only the rows with ``own`` come out, with these columns.
+def accumulate_packed(net: DataFrame, size: int, by: tuple[str, ...] = (), hand_on: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, cell_id, *hand_on, v): the arrays ``v`` of ``size`` numbers, own and of all cells upstream added up. ``net``: a stored table with the columns of ``with_blocks`` and v.
+
+    Where ``net`` has buckets by block, its rows aren't shuffled. A NULL makes its place NULL in all cells below.
     """
-    kinds = ", ".join(f"{k} {t}" for k, t in flux.select("cell_id", *by, *carry).dtypes)
+    return _totals(net, size, by, hand_on)
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        net = Local(_ids(left, "cell_id"), _ids(left, "down_id"))
-        sets = right.select(list(by)).group_by(list(by)).aggregate([]) if by else None
-        m = sets.num_rows if by else 1
-        column = np.zeros(right.num_rows, np.int64)
-        if by:
-            codes = right.select(list(by)).append_column("at", pa.array(np.arange(right.num_rows))).join(sets.append_column("set", pa.array(np.arange(m))), keys=list(by), join_type="inner")
-            column[codes.column("at").to_numpy()] = codes.column("set").to_numpy()
-        cell = _ids(right, "cell_id")
-        row = np.minimum(np.searchsorted(net.cell, cell), max(0, len(net.cell) - 1))
-        known = (net.cell[row] == cell) if len(net.cell) else np.zeros(len(cell), bool)  # what has no edge row stays as it is
-        acc = np.zeros((len(net.cell), m, 3))
-        flat = row[known] * m + column[known]
-        for k, v in enumerate((right.column("v").to_numpy()[known], right.column("holes").to_numpy()[known], np.ones(int(known.sum())))):
-            acc[:, :, k] = np.bincount(flat, v, len(net.cell) * m).reshape(len(net.cell), m)
-        net.add_up(acc)
-        if carry:
-            own = known & right.column("own").to_numpy()
-            got = acc.reshape(-1, 3)[(row * m + column)[own]]
-            kept = right.filter(pa.array(own)).select(["cell_id", *by, *carry])
-            return kept.append_column("v", pa.array(got[:, 0])).append_column("holes", pa.array(got[:, 1].astype(np.int64)))
-        if leaving:
-            at = np.flatnonzero((net.below < 0) & (net.down_id >= 0))
-            ids, place = np.unique(net.down_id[at], return_inverse=True)
-            total = np.zeros((len(ids), m, 3))
-            np.add.at(total, place, acc[at])
-        else:
-            ids, total = net.cell, acc
-        i, j = np.nonzero(total[:, :, 2])
-        out = {"cell_id": ids[i]} | {k: sets.column(k).take(pa.array(j)) for k in by} | {"v": total[i, j, 0], "holes": total[i, j, 1].astype(np.int64)}
-        return pa.table(out)
-
-    sides = (drain.select("cell_id", "down_id"), flux)
-    left, right = (x.groupBy(block_of("cell_id").alias("block")) for x in sides)
-    return left.cogroup(right).applyInArrow(run, f"{kinds}, v double, holes long")
-
-
-def accumulate(drain: DataFrame, flux: DataFrame, value: str = "value", by: tuple[str, ...] = ("step",), carry: tuple[str, ...] = ()) -> DataFrame:
-    """(cell_id, *by, *carry, value): own flux and that of all cells upstream. Every cell has a row in ``drain``.
-
-    ``carry``: columns of ``flux``, which then has one row a cell and ``by``, to hand on.
-
-    First each block adds up what leaves it, then the network of entered cells adds that up by pointer doubling, and last
-    each block adds up its own cells with what enters. A NULL flux makes all cells below it NULL.
+
+NETWORK = ("block", "down_id", "down_block", "entered")
+
+
+def _packed(rows: DataFrame, size: int) -> DataFrame:
+    """One row a cell with all its numbers as an array, from rows (cell_id, the columns of NETWORK, _place, v), grouped by block where they lie."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, first, row = np.unique(_ids(table, "cell_id"), return_index=True, return_inverse=True)
+        acc = np.zeros((len(ids), size))
+        np.add.at(acc, (row, table.column("_place").to_numpy()), table.column("v").to_numpy())
+        return table.select(["cell_id", *NETWORK]).take(pa.array(first)).append_column("v", _lists(acc))
+
+    return rows.groupBy("block").applyInArrow(run, f"{_kinds(rows, ['cell_id', *NETWORK])}, v array<double>")
+
+
+def accumulate(drain: DataFrame | None, flux: DataFrame, value: str = "value", by: tuple[str, ...] = ("step",), carry: tuple[str, ...] = ()) -> DataFrame:
+    """(cell_id, *by, *carry, value): own flux and that of all cells upstream, for every cell of ``drain`` and every ``by`` that occurs.
+
+    ``drain`` may be None if ``flux`` has the columns of ``with_blocks`` itself, as a stored basin has: it isn't shuffled then.
+    ``carry``: columns of ``flux``, which then has one row a cell and ``by``, to hand on; only its rows come out then.
+    Months are few, so the cells' fluxes become one array a cell. A NULL flux makes all cells below it NULL; a missing row adds nothing. Flux of
+    cells without a row in ``drain`` doesn't come out.
     """
-    keys = ["cell_id", *by]
-    numbers = (F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("v"), F.col(value).isNull().cast("long").alias("holes"))
-    own = flux.select(*keys, *numbers)
-    ways = exits(drain).join(_entries(drain), "cell_id", "left_semi").select("cell_id", F.when(F.col("sink") >= 0, F.col("sink")).alias("down_id"))
-    entering = _added_up(drain, own, by, leaving=True).groupBy(*keys).agg(F.sum("v").alias("v"), F.sum("holes").alias("holes"))
-    inflow = _doubled(ways, checkpointed(entering), keys)
-    if carry:
-        both = flux.select(*keys, *carry, *numbers, F.lit(True).alias("own")).unionByName(inflow.withColumn("own", F.lit(False)), allowMissingColumns=True)
+    spark = flux.sparkSession
+    found = flux.select(*by).distinct().orderBy(*by).collect() if by else [()]  # months and parameter sets
+    places = spark.createDataFrame([(k, *r) for k, r in enumerate(found)], f"_place int, {_kinds(flux, by)}" if by else "_place int")
+    numbers = flux.select("cell_id", *by, *(NETWORK if drain is None else ()), F.coalesce(F.col(value).cast("double"), F.lit(float("nan"))).alias("v"))
+    numbered = numbers.join(F.broadcast(places), list(by)) if by else numbers.withColumn("_place", F.lit(0))
+    if drain is None:
+        net = bucketed(_packed(numbered.drop(*by), len(found)), "block", placed=True)
     else:
-        both = own.unionByName(inflow)
-    out = _added_up(drain, both, by, leaving=False, carry=carry)
-    return out.select(*keys, *carry, F.when(F.col("holes") == 0, F.col("v")).alias(value))
+        cells = numbered.groupBy("cell_id").agg(F.collect_list("_place").alias("at"), F.collect_list("v").alias("v"))
+        none = (F.coalesce("at", F.array().cast("array<int>")).alias("at"), F.coalesce("v", F.array().cast("array<double>")).alias("v"))
+        net = bucketed(with_blocks(drain).join(cells, "cell_id", "left").select("cell_id", *NETWORK, *none), "block")
+    out = accumulate_packed(net, len(found)).select("cell_id", F.posexplode("v").alias("_place", value))
+    out = (out.join(F.broadcast(places), "_place") if by else out).select("cell_id", *by, value)
+    return out.join(flux.select("cell_id", *by, *carry), ["cell_id", *by]).select("cell_id", *by, *carry, value) if carry else out
 
 
 def gauge_catchments(drain: DataFrame, gauges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -230,14 +320,25 @@ def accumulate_at_gauges(drain: DataFrame, gauges: DataFrame, flux: DataFrame, v
 
 
 def recession_smooth(df: DataFrame, x: float, value: str = "value", key: str = "cell_id", out: str = "smooth") -> DataFrame:
-    """q_t = x * q_(t-1) + (1 - x) * value_t for each key in order of step, from 0. NULL makes the rest of the key NULL."""
-    packed = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("step", F.col(value).alias("v")))).alias("s"))
-    kind = "struct<q:double,out:array<struct<step:int,v:double,q:double>>>"
-    zero = F.struct(F.lit(0.0).alias("q"), F.array().cast("array<struct<step:int,v:double,q:double>>").alias("out")).cast(kind)
-
-    def step(acc, m):
-        q = x * acc["q"] + (1 - x) * m["v"]
-        return F.struct(q.alias("q"), F.concat(acc["out"], F.array(F.struct(m["step"].cast("int").alias("step"), m["v"].alias("v"), q.alias("q")))).alias("out"))
+    """q_t = x * q_(t-1) + (1 - x) * value_t for each key in order of step, from 0. NULL makes the rest of the key NULL.
 
-    folded = packed.select(key, F.inline(F.aggregate("s", zero, step, lambda a: a["out"])))
-    return folded.select(key, "step", F.col("v").alias(value), F.col("q").alias(out))
+    One array of months a key; all keys of a batch are smoothed together, month by month, so the work is linear in the months.
+    """
+    packed = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("step").cast("int").alias("step"), F.col(value).cast("double").alias("v")))).alias("s"))
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("s")
+            flat, offsets = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            v = flat.field("v").to_numpy(zero_copy_only=False)
+            q, sizes = np.full(len(v), np.nan), np.diff(offsets)
+            now = np.zeros(len(sizes))
+            for t in range(int(sizes.max(initial=0))):
+                on = np.flatnonzero(sizes > t)
+                now[on] = q[offsets[on] + t] = x * now[on] + (1 - x) * v[offsets[on] + t]
+            rows = pa.StructArray.from_arrays([flat.field("step"), flat.field("v"), pa.array(q, mask=np.isnan(q))], ["step", "v", "q"])
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)], names=["k", "s"])
+
+    kind = dict(df.dtypes)[key]
+    folded = packed.select(F.col(key).alias("k"), "s").mapInArrow(run, f"k {kind}, s array<struct<step:int,v:double,q:double>>")
+    return folded.select(F.col("k").alias(key), F.inline("s")).select(key, "step", F.col("v").alias(value), F.col("q").alias(out))

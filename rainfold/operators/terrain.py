@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .network import checkpointed
+from .network import square
+from .storage import checkpointed
 
 #: Keypad code of each neighbour: row and column offset (fixed values; row 0 is the north edge).
 OFFSETS = {7: (-1, -1), 8: (-1, 0), 9: (-1, 1), 4: (0, -1), 6: (0, 1), 1: (1, -1), 2: (1, 0), 3: (1, 1)}
@@ -44,11 +45,11 @@ def drain_direction(cells: DataFrame, cell_size: float = 1.0, value: str = "dem"
 
 
 def drain_edges(cells: DataFrame, ldd: str = "ldd") -> DataFrame:
-    """(cell_id, down_id): where each cell drains; NULL for pits and for directions out of the table."""
+    """(cell_id, down_id, block, down_block): where each cell drains, NULL for pits and for directions out of the table, and the square blocks of both."""
     pick = lambda k: F.coalesce(*[F.when(F.col(ldd) == code, F.lit(move[k])) for code, move in OFFSETS.items()])
-    to = cells.select("cell_id", (F.col("row") + pick(0)).alias("row"), (F.col("col") + pick(1)).alias("col"))
-    there = cells.select("row", "col", F.col("cell_id").alias("down_id"))
-    return to.join(there, ["row", "col"], "left").select("cell_id", "down_id")
+    to = cells.select("cell_id", square(F.col("row"), F.col("col")).alias("block"), (F.col("row") + pick(0)).alias("row"), (F.col("col") + pick(1)).alias("col"))
+    there = cells.select("row", "col", F.col("cell_id").alias("down_id"), square(F.col("row"), F.col("col")).alias("down_block"))
+    return to.join(there, ["row", "col"], "left").select("cell_id", "down_id", "block", "down_block")
 
 
 def _flooded(z: np.ndarray, w: np.ndarray, place: np.ndarray) -> np.ndarray:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.balance import TERMS, state_free, water_balance, with_landuse, with_soil
+from ..operators.balance import TERMS, fold_basin, state_free, water_balance, with_landuse, with_soil
 from ..operators.calendar import clip_period
-from ..operators.network import accumulate, checkpointed
+from ..operators.network import NETWORK, accumulate_packed, square, with_blocks
 from ..operators.series import align_series, carry_forward, missing_steps
 from ..operators.small import small
+from ..operators.storage import bucketed, checkpointed
 from ..operators.stations import sample_stations
 from ..operators.terrain import drain_direction, drain_edges, fill_depressions, slope
 from ..params import Outputs, Parameters
@@ -31,16 +32,61 @@ def with_slope(cells: DataFrame, cell_size: float) -> DataFrame:
     return cells.join(slope(cells, cell_size), "cell_id")
 
 
-def run_basin(cells: DataFrame, forcing: DataFrame, soil_attr: DataFrame, landuse_attr: DataFrame, months: DataFrame, drain: DataFrame, p: Parameters, state: DataFrame | None = None) -> DataFrame:
-    """(cell_id, step, itp, bfw, srn, eta, lfw, rec, smc, sat, rnf, arn).
+def store_basin(cells: DataFrame, forcing: DataFrame, drain: DataFrame | None = None, buckets: int | None = None, path: str | None = None) -> DataFrame:
+    """Cells (with slope), their forcing and their network side by side, a row a cell and month, in buckets by block of cells.
+
+    This is the one shuffle of a basin: runs, restarts, sweeps and sums along the network read the table where it lies. What a cell's months
+    share is repeated, which takes no room in sorted columns. With ``path`` the table stays (``storage.opened`` reads it again by block), else it goes with the session.
+    """
+    if "block" in cells.columns:
+        cells = cells.drop(*NETWORK)
+    if drain is not None:
+        cells = cells.join(with_blocks(drain), "cell_id")
+    elif "row" in cells.columns:
+        cells = cells.withColumn("block", square(F.col("row"), F.col("col")))
+    else:
+        cells = with_blocks(cells.withColumn("down_id", F.lit(None).cast("long"))).select("cell_id", "block").join(cells, "cell_id")
+    return bucketed(forcing.join(cells, "cell_id"), "block", buckets, ("block", "cell_id", "step"), path=path)
+
+
+def stored_months(stored: DataFrame, soil_attr: DataFrame, landuse_attr: DataFrame, months: DataFrame) -> DataFrame:
+    """As ``cell_months``, of a basin from ``store_basin``: broadcasts of class tables only, no shuffle."""
+    return with_landuse(with_soil(stored, soil_attr), landuse_attr).join(small(months.select("step", "days", "days_in_month")), "step")
+
+
+def routed(folded: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, cell_id, step, itp, eta, srn, lfw, rec, bfw, smc, sat, rnf, arn) from the packed fold of a basin with smoothed flow, each parameter set for itself.
 
     ``arn`` is the accumulated discharge [m3/s] after recession. Recession and accumulation are linear and start from 0, so each cell is
-    smoothed in the order of its months first, in the same pass as its balance, then all months are accumulated together.
+    smoothed in the order of its months first, in the same pass as its balance, then all months are accumulated together, as one array a cell.
+    """
+    spark = folded.sparkSession
+    net = bucketed(folded.withColumnRenamed("flow", "v"), "block", int(spark.conf.get("spark.sql.shuffle.partitions")), placed=True)
+    size = net.agg(F.max(F.size("v"))).first()[0] or 0
+    full = accumulate_packed(net, size, by, ("step", *TERMS))
+    return full.select(*by, "cell_id", F.inline(F.arrays_zip("step", *TERMS, F.col("v").alias("arn"))))
+
+
+def run_stored(stored: DataFrame, soil_attr: DataFrame, landuse_attr: DataFrame, months: DataFrame, p: Parameters | list[Parameters], state: DataFrame | None = None, key: str = "param_id") -> DataFrame:
+    """A run over a basin from ``store_basin``, with all terms and ``arn`` (see ``routed``). A list of parameters gives a run for each, numbered from 1 in ``key``; so the discharge of each set at gauges can be compared with records.
+
+    ``state``: the end of an earlier run with one set.
     """
-    p.checked()
-    rows = state_free(cell_months(cells, forcing, soil_attr, landuse_attr, months), p)
-    outputs = checkpointed(water_balance(rows, p, state, smooth=True))  # read twice: folded once
-    return accumulate(drain, outputs, "flow", carry=TERMS).withColumnRenamed("flow", "arn")
+    sets = p if isinstance(p, list) else [p]
+    for x in sets:
+        x.checked()
+    if state is None:
+        many = isinstance(p, list)
+        return routed(fold_basin(stored, soil_attr, landuse_attr, months, sets, key if many else None, True, NETWORK, True), (key,) if many else ())
+    if isinstance(p, list):
+        raise ValueError("a state belongs to one parameter set")
+    rows = state_free(stored_months(stored, soil_attr, landuse_attr, months), p)
+    return routed(water_balance(rows, p, state, smooth=True, hand_on=NETWORK, packed=True))
+
+
+def run_basin(cells: DataFrame, forcing: DataFrame, soil_attr: DataFrame, landuse_attr: DataFrame, months: DataFrame, drain: DataFrame, p: Parameters | list[Parameters], state: DataFrame | None = None) -> DataFrame:
+    """(cell_id, step, itp, eta, srn, lfw, rec, bfw, smc, sat, rnf, arn) of cells and forcing; see ``run_stored``. For several runs store the basin once."""
+    return run_stored(store_basin(cells, forcing, drain), soil_attr, landuse_attr, months, p, state)
 
 
 def complete_forcing(series: DataFrame, first: int, last: int) -> DataFrame:

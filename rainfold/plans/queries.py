@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,8 @@ from ..functions import runoff
 from ..operators import balance, calibrate, interpolate, lookup, network, quality, series, stations, terrain
 from ..operators.balance import TERMS
 from ..operators.calendar import calendar, clip_period, with_rainy_days
-from ..params import Outputs, ParameterColumns, valid_parameters
+from ..operators.storage import checkpointed
+from ..params import Outputs, valid_parameters
 from ..sources.tables import layer_name
 from . import basin, testgrid
 from .oracle import SETS as PARAM_SETS
@@ -41,8 +43,7 @@ def _r(c, digits: int = 4):
 
 
 def _months(spark, sf_dir):
-    cells = basin.with_slope(testgrid.cells(spark, sf_dir), P.grid)
-    return basin.cell_months(cells, testgrid.forcing(spark, sf_dir), testgrid.soil_attr(spark), testgrid.landuse_attr(spark), testgrid.months(spark))
+    return basin.stored_months(testgrid.stored(spark, sf_dir), testgrid.soil_attr(spark), testgrid.landuse_attr(spark), testgrid.months(spark))
 
 
 def _free(spark, sf_dir):
@@ -50,18 +51,21 @@ def _free(spark, sf_dir):
 
 
 def _drain(spark, sf_dir):
-    cells = testgrid.cells(spark, sf_dir)
-    return network.checkpointed(terrain.drain_edges(cells.join(terrain.drain_direction(cells), "cell_id")))  # read several times
+    """The network of the stored basin; every cell has a first month."""
+    return testgrid.stored(spark, sf_dir).where("step = 1").select("cell_id", *network.NETWORK)
+
+
+def _classes(spark):
+    return testgrid.soil_attr(spark), testgrid.landuse_attr(spark), testgrid.months(spark)
 
 
 def _outputs(spark, sf_dir):
-    cells = basin.with_slope(testgrid.cells(spark, sf_dir), P.grid)
-    return basin.run_basin(cells, testgrid.forcing(spark, sf_dir), testgrid.soil_attr(spark), testgrid.landuse_attr(spark), testgrid.months(spark), _drain(spark, sf_dir), P)
+    return basin.run_stored(testgrid.stored(spark, sf_dir), *_classes(spark), P)
 
 
 @query(f"SELECT step, {', '.join(f'round(avg({c}), 6) AS {c}' for c in TERMS)}, count(*) AS n FROM balance GROUP BY step", "balance")
 def water_balance(spark, sf_dir):
-    out = balance.water_balance(_free(spark, sf_dir), P)
+    out = balance.fold_basin(testgrid.stored(spark, sf_dir), *_classes(spark), [P])
     return out.groupBy("step").agg(*[_r(F.avg(c), 6).alias(c) for c in TERMS], F.count("*").alias("n"))
 
 
@@ -85,7 +89,7 @@ STATEFUL = ("eta", "srn", "lfw", "rec", "bfw", "smc", "sat")
 @query(f"SELECT cell_id, step, {', '.join(f'round({c}, 3) AS {c}' for c in STATEFUL)} FROM balance WHERE step > 1", "balance")
 def monthly_terms(spark, sf_dir):
     """Each month once more, from the state that the fold left the month before, by the published functions."""
-    free = network.checkpointed(_free(spark, sf_dir))
+    free = checkpointed(_free(spark, sf_dir))
     state = balance.water_balance(free, P).select("cell_id", (F.col("step") + 1).alias("step"), F.col("smc").alias("s"), F.col("sat").alias("g"), F.col("bfw").alias("b"))
     rows = free.join(state, ["cell_id", "step"])
     ks = evapo.water_stress("s", "wp", "fc")
@@ -152,7 +156,8 @@ def drain_direction(spark, sf_dir):
 
 @query("SELECT cell_id, down_id FROM drain", "drain")
 def drain_edges(spark, sf_dir):
-    return _drain(spark, sf_dir)
+    cells = testgrid.cells(spark, sf_dir)
+    return terrain.drain_edges(cells.join(terrain.drain_direction(cells), "cell_id")).select("cell_id", "down_id")
 
 
 @query(
@@ -175,8 +180,8 @@ def fill_depressions(spark, sf_dir):
 
 @query("SELECT b.at AS cell_id, f.step, round(sum(f.precipitation), 4) AS value FROM below b JOIN forcing f ON f.cell_id = b.cell_id GROUP BY b.at, f.step", "below", "forcing")
 def flow_accumulation(spark, sf_dir):
-    flux = testgrid.forcing(spark, sf_dir).select("cell_id", "step", F.col("precipitation").alias("value"))
-    return network.accumulate(_drain(spark, sf_dir), flux).select("cell_id", "step", _r(F.col("value")).alias("value"))
+    flux = testgrid.stored(spark, sf_dir).select("cell_id", "step", *network.NETWORK, F.col("precipitation").alias("value"))
+    return network.accumulate(None, flux).select("cell_id", "step", _r(F.col("value")).alias("value"))
 
 
 @query(
@@ -184,7 +189,7 @@ def flow_accumulation(spark, sf_dir):
     "cells", "below", "forcing",
 )
 def gauge_flow(spark, sf_dir):
-    flux = testgrid.forcing(spark, sf_dir).select("cell_id", "step", F.col("precipitation").alias("value"))
+    flux = testgrid.stored(spark, sf_dir).select("cell_id", "step", F.col("precipitation").alias("value"))
     return network.accumulate_at_gauges(_drain(spark, sf_dir), stations.stations_of(testgrid.cells(spark, sf_dir)), flux).select("station_id", "step", _r(F.col("value")).alias("value"))
 
 
@@ -386,9 +391,7 @@ _FIT_PARTS = ("balance", "cells", *(f"balance_{k}" for k in range(1, len(PARAM_S
 
 def _swept(spark, sf_dir):
     """The model with each parameter set: (param_id, cell_id, step, terms)."""
-    rows = calibrate.sweep(_months(spark, sf_dir), PARAM_SETS)
-    p = ParameterColumns(P, tuple(PARAM_SETS[0]))
-    return balance.water_balance(balance.state_free(rows, p), p, by=("param_id",))
+    return balance.fold_basin(testgrid.stored(spark, sf_dir), *_classes(spark), [replace(P, **x) for x in PARAM_SETS], "param_id")
 
 
 @query(" UNION ALL ".join(f"SELECT {k} AS param_id, step, {', '.join(f'round(avg({c}), 6) AS {c}' for c in TERMS)} FROM balance_{k} GROUP BY step" for k in range(1, len(PARAM_SETS) + 1)), *_FIT_PARTS[2:])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import terrain
+from ..operators.storage import checkpointed
 from ..params import Parameters
 
 PARAMS = Parameters()
@@ -110,6 +112,22 @@ def forcing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(FORCING, **_tables(spark, sf_dir, "orders", "lineitem"))
 
 
+#: Basins stored in this process, by application and folder.
+STORED: dict[tuple[str, str], DataFrame] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The basin with slope, network and forcing in buckets by block; derived from the order tables once a session, as a user stores a basin once and runs it often."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in STORED:
+        from .basin import store_basin, with_slope
+
+        ground = checkpointed(cells(spark, sf_dir))
+        edges = terrain.drain_edges(ground.join(terrain.drain_direction(ground), "cell_id"))
+        STORED[key] = store_basin(with_slope(ground, PARAMS.grid), forcing(spark, sf_dir), checkpointed(edges))
+    return STORED[key]
+
+
 def station_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(STATION_OBS, **_tables(spark, sf_dir, "lineitem"))
 

@@ -134,6 +134,10 @@ def test_accumulation_over_blocks(spark, monkeypatch):
     assert {(x.cell_id, x.step): x.value for x in network.accumulate(drain, df).collect()} == want
     carried = network.accumulate(drain, df, carry=("other",)).collect()
     assert {(x.cell_id, x.step): x.value for x in carried} == want and all(x.other == 10 * x.cell_id for x in carried)
+    with monkeypatch.context() as m:  # three levels of blocks of two
+        m.setattr(network, "TOP", 5)
+        m.setattr(network, "UP", 2)
+        assert {(x.cell_id, x.step): x.value for x in network.accumulate(drain, df).collect()} == want
     gauges = spark.createDataFrame(list(gauge.items()), "cell_id long, station_id int")
     assert {(x.station_id, x.step): x.value for x in network.accumulate_at_gauges(drain, gauges, df).collect()} == {(k, s): want[c, s] for c, k in gauge.items() for s in (1, 2)}
     assert network.accumulate(drain, df.where("false")).count() == 0
