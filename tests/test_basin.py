@@ -9,8 +9,8 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from rainfold.operators import calendar, calibrate, interpolate, lookup, network, quality, series, stations, terrain
-from rainfold.operators.balance import last_state, state_free, water_balance
+from rainfold.operators import calendar, calibrate, interpolate, lookup, network, quality, series, stations, storage, terrain
+from rainfold.operators.balance import fold_basin, last_state, state_free, water_balance
 from rainfold.params import Outputs, ParameterColumns, Parameters, valid_parameters
 from rainfold.plans import basin, testgrid
 from rainfold.sources import tables
@@ -162,7 +162,80 @@ def test_depressions_over_tiles(spark):
                 if n in z and n not in out:
                     heapq.heappush(heap, (max(level, z[n]), n))
     cells = spark.createDataFrame([(i * cols + j, i, j, v) for (i, j), v in z.items()], "cell_id long, row int, col int, dem double")
-    assert {x.cell_id: x.filled for x in terrain.fill_depressions(cells).collect()} == {i * cols + j: v for (i, j), v in out.items()}
+    want = {i * cols + j: v for (i, j), v in out.items()}
+    assert {x.cell_id: x.filled for x in terrain.fill_depressions(cells).collect()} == want
+    assert {x.cell_id: x.filled for x in terrain.fill_depressions(cells, tile=16, up=2, top=100).collect()} == want  # levels of groups
+
+
+def test_depressions_of_a_winding_valley(spark):
+    """One ditch through fifty tiles, dug into high ground with an unknown cell and a pit, has its only way out at its end."""
+    side, cells = 64 * 7 + 2, {}
+    for i in range(0, side, 64):
+        for j in range(1, side - 1):
+            cells[i + 1, j] = 5.0 + (i * side + (j if i % 128 == 0 else side - j)) * -1e-5
+        end = side - 2 if i % 128 == 0 else 1
+        for k in range(i + 1, min(i + 65, side - 1)):
+            cells[k, end] = 5.0 - (i + 1) * side * 1e-5
+    rows = [(i * side + j, i, j, cells.get((i, j), 30.0)) for i in range(side) for j in range(side)]
+    rows[3 * side + 3] = (3 * side + 3, 3, 3, None)
+    rows[200 * side + 200] = (200 * side + 200, 200, 200, 2.0)
+    z = {(i, j): v for _, i, j, v in rows}
+    out, heap = {}, [(v, k) for k, v in z.items() if k[0] in (0, side - 1) or k[1] in (0, side - 1)]
+    heapq.heapify(heap)
+    while heap:
+        level, (i, j) = heapq.heappop(heap)
+        if (i, j) not in out:
+            out[i, j] = level
+            for n in ((i + a, j + b) for a in (-1, 0, 1) for b in (-1, 0, 1)):
+                if z.get(n) is not None and n not in out:
+                    heapq.heappush(heap, (max(level, z[n]), n))
+    df = spark.createDataFrame(rows, "cell_id long, row int, col int, dem double")
+    got = {x.cell_id: x.filled for x in terrain.fill_depressions(df).collect()}
+    assert len(got) == side * side and got[3 * side + 3] is None
+    assert all(got[i * side + j] == v for (i, j), v in out.items())
+
+
+def shuffles(df):
+    """Exchanges that move rows, in the plan that runs."""
+    df.write.format("noop").mode("overwrite").save()
+    text = df._jdf.queryExecution().executedPlan().toString()
+    text = text.split("== Initial Plan ==")[0]
+    return [line for line in text.splitlines() if "Exchange" in line and "Broadcast" not in line and "Reused" not in line]
+
+
+def test_a_stored_basin_is_not_shuffled(spark, sf_dir):
+    stored = testgrid.stored(spark, sf_dir)
+    classes = (testgrid.soil_attr(spark), testgrid.landuse_attr(spark), testgrid.months(spark))
+    one = fold_basin(stored, *classes, [testgrid.PARAMS])
+    many = fold_basin(stored, *classes, [replace(testgrid.PARAMS, beta=0.3 + k / 100) for k in range(30)], "param_id")
+    columns = water_balance(state_free(basin.stored_months(stored, *classes), testgrid.PARAMS), testgrid.PARAMS)
+    assert shuffles(one) == [] and shuffles(many) == [] and shuffles(columns) == []
+    assert many.count() == 30 * one.count()
+    by_columns = {(r.cell_id, r.step): r for r in columns.where("cell_id < 100").collect()}
+    for r in one.where("cell_id < 100").collect():
+        assert all(r[c] == pytest.approx(by_columns[r.cell_id, r.step][c], rel=1e-9, abs=1e-9) for c in ("itp", "eta", "srn", "lfw", "rec", "bfw", "smc", "sat", "rnf"))
+
+
+def test_runs_of_parameter_sets_are_routed(spark, sf_dir):
+    """The discharge of each set equals that of a run with it alone, also from a state."""
+    stored = testgrid.stored(spark, sf_dir)
+    classes = (testgrid.soil_attr(spark), testgrid.landuse_attr(spark), testgrid.months(spark))
+    sets = [testgrid.PARAMS, replace(testgrid.PARAMS, beta=0.8, x=0.2, t_ini=0.6)]
+    many = {(r.param_id, r.cell_id, r.step): r.arn for r in basin.run_stored(stored, *classes, sets).collect()}
+    for k, p in enumerate(sets, 1):
+        one = {(r.cell_id, r.step): r.arn for r in basin.run_stored(stored, *classes, p).collect()}
+        assert len(one) * 2 == len(many) and all(many[k, *key] == pytest.approx(v, rel=1e-12) for key, v in one.items())
+    with pytest.raises(ValueError, match="one parameter set"):
+        basin.run_stored(stored, *classes, sets, stored)
+    with pytest.raises(ValueError, match="need a key"):
+        fold_basin(stored, *classes, sets)
+
+
+def test_basins_stay_where_a_path_is_given(spark, sf_dir, tmp_path):
+    cells = testgrid.cells(spark, sf_dir).where("cell_id < 200").withColumn("slope", F.lit(0.1))
+    kept = basin.store_basin(cells, testgrid.forcing(spark, sf_dir), buckets=3, path=str(tmp_path / "basin"))
+    again = storage.opened(spark, str(tmp_path / "basin"), "block", 3)
+    assert again.count() == kept.count() == 200 * 12 and shuffles(again.groupBy("block").count()) == []
 
 
 def test_parameter_sets_are_runs_of_their_own(spark, sf_dir):
