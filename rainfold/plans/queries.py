@@ -471,6 +471,13 @@ def krige(spark, sf_dir):
     return interpolate.krige(testgrid.station_obs(spark, sf_dir), cells)
 
 
+@query()
+def krige_nearest(spark, sf_dir):
+    """Each cell from its eight nearest stations."""
+    cells = testgrid.cells(spark, sf_dir).select("cell_id", (F.col("col") / 10).alias("lon"), (F.col("row") / 40).alias("lat"))
+    return interpolate.krige(testgrid.station_obs(spark, sf_dir), cells, nearest=8)
+
+
 @query(
     """SELECT step, lag, round(avg(d), 6) AS distance, round(avg(g), 4) AS gamma, count(*) AS n FROM (
         SELECT step, d, g, least(greatest(ceil(d / max(d) OVER (PARTITION BY step) * 25)::INT, 1), 25) AS lag FROM (

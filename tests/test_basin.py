@@ -6,6 +6,7 @@ import random
 from dataclasses import replace
 from datetime import date
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -352,6 +353,49 @@ def test_kriging(spark):
         interpolate.krige(obs.where("station_id < 2"), at)
 
 
+def test_kriging_from_the_nearest_stations(spark):
+    """From all stations it is global kriging; from some it is a system of the nearest ones for each cell, solved one by one."""
+    r = random.Random(8)
+    rows = [(k, r.random() * 4, r.random() * 3, s, round(r.random() * 9, 3) if (k + s) % 7 else None) for k in range(40) for s in (1, 2)]
+    obs = spark.createDataFrame(rows, "station_id long, lon double, lat double, step int, value double")
+    spots = {k: (x, y) for k, x, y, _, _ in rows}
+    obs = spark.createDataFrame([(k, *spots[k], s, v) for k, _, _, s, v in rows], obs.schema)
+    places = [(c, r.random() * 4 - 0.2, r.random() * 3) for c in range(60)]
+    cells = spark.createDataFrame(places, "cell_id long, lon double, lat double")
+    for geographic in (False, True):
+        whole = {(x.cell_id, x.step): x.value for x in interpolate.krige(obs, cells, geographic=geographic).collect()}
+        same = {(x.cell_id, x.step): x.value for x in interpolate.krige(obs, cells, geographic=geographic, nearest=1000).collect()}
+        assert len(whole) == 120 and same == {k: pytest.approx(v, abs=1e-8) for k, v in whole.items()}
+    models = {x.step: x for x in interpolate.variogram_models(obs, geographic=False).collect()}
+    some = {(x.cell_id, x.step): x.value for x in interpolate.krige_nearest(obs, cells, 6, geographic=False, tile=0.7).collect()}
+    for c, x, y in places:
+        for step in (1, 2):
+            near = sorted((math.dist((x, y), spots[k]), k, v) for k, _, _, s, v in rows if s == step and v is not None)[:6]
+            gamma = lambda d, m=models[step]: 0.0 if d == 0 else m.nugget + m.sill * (1.5 * min(d / m.span, 1) - 0.5 * min(d / m.span, 1) ** 3)
+            m = np.array([[gamma(math.dist(spots[a], spots[b])) for _, b, _ in near] + [1.0] for _, a, _ in near] + [[1.0] * 6 + [0.0]])
+            weight = np.linalg.solve(m, [gamma(d) for d, _, _ in near] + [1.0])
+            assert some[c, step] == pytest.approx(max(0.0, sum(w * v for w, (_, _, v) in zip(weight, near, strict=False))), abs=1e-7)
+    with pytest.raises(ValueError, match="fewer than 3"):
+        interpolate.krige(obs.where("station_id < 2"), cells, nearest=5)
+
+
+def test_semivariogram_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(interpolate, "BLOCK", 7)
+    r = random.Random(2)
+    rows = [(k, float(r.randrange(9)), r.random(), s, r.random() if r.random() > 0.2 else None) for k in range(30) for s in (1, 2, 3)]
+    spots = {k: (x, y) for k, x, y, _, _ in rows}
+    obs = spark.createDataFrame([(k, *spots[k], s, v) for k, _, _, s, v in rows], "station_id long, lon double, lat double, step int, value double")
+    got = {(x.step, x.lag): (x.distance, x.gamma, x.n) for x in interpolate.semivariogram(obs, 5, geographic=False).collect()}
+    want = {}
+    for step in (1, 2, 3):
+        here = [(k, v) for k, _, _, s, v in rows if s == step and v is not None]
+        pairs = [(math.dist(spots[a], spots[b]), (v - w) ** 2 / 2) for i, (a, v) in enumerate(here) for b, w in here[i + 1 :]]
+        most = max(d for d, _ in pairs)
+        for d, g in pairs:
+            want.setdefault((step, min(5, max(1, math.ceil(d / most * 5)))), []).append((d, g))
+    assert got == {k: (pytest.approx(sum(d for d, _ in x) / len(x)), pytest.approx(sum(g for _, g in x) / len(x)), len(x)) for k, x in want.items()}
+
+
 def test_fit(spark):
     df = spark.createDataFrame([("a", 1.0, 1.0), ("a", 2.0, 2.5), ("a", 4.0, 3.5), ("a", None, 1.0), ("b", 1.0, 3.0), ("b", 1.0, 1.0)], "k string, observed double, simulated double")
     got = {r.k: r for r in calibrate.goodness_of_fit(df, ("k",)).collect()}
