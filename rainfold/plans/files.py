@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lookup, stations
-from ..operators.balance import water_balance
-from ..schema import CELLS, SERIES
+from ..operators.calendar import clip_period
+from ..operators.storage import new_path
+from ..schema import CELLS, OUTPUTS, SERIES
 from ..sources import tables
 from . import testgrid
-from .queries import P, STATION_SQL, _free, _r, _samples, _station_ids, query
+from .queries import STATION_SQL, _outputs, _r, _samples, _station_ids, query
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
+    """A folder that goes when the application ends; results read it until then."""
+    return new_path(spark, "files")
 
 
 ATTRIBUTES = ("manning", "a_v", "a_o", "a_s", "a_i", "kc_min", "kc_max")
@@ -52,12 +52,34 @@ def series_files(spark, sf_dir):
     return tables.read_series(spark, folder).groupBy("series", "step").agg(F.count("*").alias("n"), _r(F.sum("value")).alias("total"))
 
 
-@query("SELECT v.variable, step, count(*) AS n, round(avg(CASE v.variable WHEN 'smc' THEN smc ELSE rnf END::FLOAT::DOUBLE), 4) AS mean FROM balance CROSS JOIN (VALUES ('smc'), ('rnf')) AS v(variable) GROUP BY v.variable, step", "balance")
+@query(
+    "SELECT v.variable, step, count(*) AS n, round(avg(CASE v.variable " + " ".join(f"WHEN '{v}' THEN {v}" for v in OUTPUTS) + f" END::FLOAT::DOUBLE), 3) AS mean FROM balance JOIN arn USING (cell_id, step) CROSS JOIN (VALUES {', '.join(f"('{v}')" for v in OUTPUTS)}) AS v(variable) GROUP BY v.variable, step",
+    "balance", "arn",
+)
 def map_files(spark, sf_dir):
-    """The enabled variables as float maps by variable and step."""
+    """All nine variables as float maps by variable and step, a map in several files."""
+    folder = _folder(spark)
+    tables.write_series(_outputs(spark, sf_dir), folder)
+    return spark.read.parquet(folder).groupBy("variable", "step").agg(F.count("*").alias("n"), _r(F.avg(F.col("value").cast("double")), 3).alias("mean"))
+
+
+@query("SELECT series, step, count(*) AS n, round(sum(value), 4) AS total FROM long WHERE series IN ('precipitation', 'ndvi') AND step BETWEEN 3 AND 9 GROUP BY series, step", "long")
+def map_series_by_name(spark, sf_dir):
+    """Monthly maps in files named prefix and step (8.3), found by their names; only those of the window are read."""
+    folder, maps = _folder(spark), testgrid.series(testgrid.forcing(spark, sf_dir))
+    prefixes = {"precipitation": "prec", "ndvi": "NDVI"}
+    for name, prefix in prefixes.items():
+        tables.write_named_maps(maps.where(F.col("series") == name).select("step", "cell_id", "value"), f"{folder}/{name}", prefix)
+    read = [tables.read_named_maps(spark, f"{folder}/{name}", prefix.swapcase(), 3, 9).withColumn("series", F.lit(name)) for name, prefix in prefixes.items()]
+    return read[0].unionByName(read[1]).groupBy("series", "step").agg(F.count("*").alias("n"), _r(F.sum("value")).alias("total"))
+
+
+@query("SELECT series, step, count(*) AS n, round(sum(value), 4) AS total FROM long WHERE step BETWEEN 4 AND 6 GROUP BY series, step", "long")
+def partitioned_series(spark, sf_dir):
+    """A series table by series and step, of which a window reads its own folders only."""
     folder = _folder(spark)
-    tables.write_series(water_balance(_free(spark, sf_dir), P), folder, ("smc", "rnf"))
-    return spark.read.parquet(folder).groupBy("variable", "step").agg(F.count("*").alias("n"), _r(F.avg(F.col("value").cast("double"))).alias("mean"))
+    tables.write_partitioned_series(testgrid.series(testgrid.forcing(spark, sf_dir)), folder)
+    return clip_period(tables.read_series(spark, folder), 4, 6).groupBy("series", "step").agg(F.count("*").alias("n"), _r(F.sum("value")).alias("total"))
 
 
 @query(STATION_SQL, "balance", "arn", "cells")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ def read_lookup(spark: SparkSession, path: str, kind: str = "int") -> DataFrame:
     return lines.select(parts[0].cast(kind).alias("code"), parts[1].cast("double").alias("value"))
 
 
-def _read(spark: SparkSession, path: str, schema: str, kind: str) -> DataFrame:
+def _read(spark: SparkSession, path: str | list[str], schema: str, kind: str) -> DataFrame:
     reader = spark.read.schema(schema)
     return reader.csv(path, header=True) if kind == "csv" else reader.format(kind).load(path)
 
@@ -49,10 +51,55 @@ def layer_name(prefix: str, step: Column, style: str = "tif") -> Column:
     return F.concat(F.lit(prefix), F.substring(digits, 1, 8 - len(prefix)), F.lit("."), F.substring(digits, 9 - len(prefix), 3))
 
 
-def write_series(outputs: DataFrame, path: str, variables: tuple[str, ...] = OUTPUTS, mode: str = "error") -> None:
-    """The enabled variables as float maps, a folder a variable and step."""
+def write_series(outputs: DataFrame, path: str, variables: tuple[str, ...] = OUTPUTS, mode: str = "error", parts: int | None = None) -> None:
+    """The enabled variables as float maps, a folder a variable and step.
+
+    Rows are dealt out by ranges of variable, step and cell, so a large map is written by several tasks to several files, and a task's maps are few. ``parts``: the number of ranges.
+    """
     long = stack(outputs, variables).withColumn("value", F.col("value").cast("float"))
-    long.repartition("variable", "step").write.mode(mode).partitionBy("variable", "step").parquet(path)
+    n = parts or int(outputs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    long.repartitionByRange(n, "variable", "step", "cell_id").write.mode(mode).partitionBy("variable", "step").parquet(path)
+
+
+def write_partitioned_series(series: DataFrame, path: str, mode: str = "error") -> None:
+    """Long series (series, step, cell_id, value), a folder a series and step, so that a window of steps reads its own folders only."""
+    n = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    series.repartitionByRange(n, "series", "step", "cell_id").write.mode(mode).partitionBy("series", "step").parquet(path)
+
+
+def write_named_maps(maps: DataFrame, path: str, prefix: str) -> None:
+    """Maps (step, cell_id, value) under ``path``, each a folder named by prefix and step in style 8.3."""
+    named = maps.withColumn("_name", layer_name(prefix, F.col("step"), "8.3"))
+    n = int(maps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named.select("cell_id", "value", "_name").repartitionByRange(n, "_name", "cell_id").write.partitionBy("_name").parquet(f"{path}/_parts")
+    spark = maps.sparkSession
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in fs.listStatus(at(f"{path}/_parts")):  # a folder a month
+        name = f.getPath().getName()
+        if name.startswith("_name="):
+            fs.rename(f.getPath(), at(f"{path}/{name[6:]}"))
+    fs.delete(at(f"{path}/_parts"), True)
+
+
+def read_named_maps(spark: SparkSession, path: str, prefix: str, first: int | None = None, last: int | None = None, schema: str = "cell_id long, value double", kind: str = "parquet") -> DataFrame:
+    """(step, cell_id, value) of the maps under ``path`` whose file or folder name is the prefix, digits up to 8 characters, a dot and 3 digits; case doesn't count.
+
+    The step is read from the name. Only names of first..last are listed for reading, so a window opens its own maps alone. A folder of maps has a name a month, so names are listed by the driver.
+    ValueError for a prefix of 8 characters or more, or where no map of the window is there.
+    """
+    if len(prefix) >= 8:
+        raise ValueError("a prefix has fewer than 8 characters")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName() for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)]
+    pattern = re.compile(rf"{re.escape(prefix)}([0-9]{{{8 - len(prefix)}}})\.([0-9]{{3}})", re.IGNORECASE)
+    found = {n: int("".join(m.groups())) for n in names if (m := pattern.fullmatch(n))}
+    wanted = sorted(n for n, k in found.items() if (first is None or k >= first) and (last is None or k <= last))
+    if not wanted:
+        raise ValueError(f"no file of series {prefix}")
+    rows = _read(spark, [f"{path}/{n}" for n in wanted], schema, kind).withColumn("_path", F.col("_metadata.file_path"))
+    digits = F.regexp_extract("_path", rf"(?i)/{re.escape(prefix)}([0-9]{{{8 - len(prefix)}}}\.[0-9]{{3}})(/[^/]*)?$", 1)
+    return rows.select(F.replace(digits, F.lit("."), F.lit("")).cast("int").alias("step"), *[c for c in rows.columns if c != "_path"])
 
 
 def write_station_csv(samples: DataFrame, ids: list[int], path: str, mode: str = "error") -> None:

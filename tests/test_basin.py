@@ -340,6 +340,25 @@ def test_files(spark, tmp_path):
     assert lines == ["0;3;7", "1;3.0;2.0"]
 
 
+def test_windows_read_their_own_maps(spark, tmp_path):
+    rows = [("p", s, c, float(c + s)) for s in range(1, 7) for c in range(50)]
+    df = spark.createDataFrame(rows, "series string, step int, cell_id long, value double")
+    tables.write_partitioned_series(df, str(tmp_path / "series"))
+    window = calendar.clip_period(tables.read_series(spark, str(tmp_path / "series")), 2, 3)
+    plan = window._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "step" in plan.split("PartitionFilters: [")[1].split("]")[0] and window.count() == 100
+    tables.write_named_maps(df.select("step", "cell_id", "value"), str(tmp_path / "maps"), "Rain")
+    read = tables.read_named_maps(spark, str(tmp_path / "maps"), "rAIN", 4, 5)
+    assert sorted((r.step, r.cell_id, r.value) for r in read.collect()) == [(s, c, v) for _, s, c, v in rows if s in (4, 5)] and len(read.inputFiles()) < 2 * 6
+    assert {f.split("/")[-2] for f in read.inputFiles()} == {"Rain0000.004", "Rain0000.005"}
+    for bad in ({"prefix": "toolongname"}, {"prefix": "kc"}, {"prefix": "rain", "first": 9}):
+        with pytest.raises(ValueError):
+            tables.read_named_maps(spark, str(tmp_path / "maps"), **bad)
+    outputs = spark.range(4000).select(F.col("id").alias("cell_id"), F.lit(1).alias("step"), F.lit(0.5).alias("itp"), F.lit(1.5).alias("arn"))
+    tables.write_series(outputs, str(tmp_path / "large"), ("itp", "arn"), parts=8)
+    assert all(len(list((tmp_path / f"large/variable={v}/step=1").glob("*.parquet"))) > 1 for v in ("itp", "arn"))
+
+
 def test_kriging(spark):
     rows = [(k, float(k % 4), float(k // 4), s, float((k * 7 + s) % 5 + 1) if s < 3 else 4.0) for k in range(12) for s in (1, 2, 3)]
     obs = spark.createDataFrame(rows, "station_id long, lon double, lat double, step int, value double")
