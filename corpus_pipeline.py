@@ -6,12 +6,10 @@ Null and empty texts fail the quality rules. Equal rows and near copies leave on
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rainfold.llm.common import shared_folder
+from rainfold.llm.common import dropped, stored
 from rainfold.llm.dedup import drop_copies
 from rainfold.llm.jaccard import drop_near_copies
 from rainfold.llm.packing import pack
@@ -57,11 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; the last one's rows."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    """All stages on ``documents``; the last one's rows. A stage's table goes when the next one is written, the last one's when the application ends."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir))
+        if before is not None:
+            dropped(before)
+        before = docs
     return docs
