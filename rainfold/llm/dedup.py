@@ -184,7 +184,7 @@ def exact_groups(df: DataFrame, text: str = "text", key: str = "doc_id", fit: in
     smallest, and keep_id is then null. Other columns are not read. ``fit`` bounds the
     bytes of contents that a task holds at once; a group's size doesn't matter, since
     equal contents are one table row. A single text larger than that is held whole. The result
-    is checkpointed; texts are written nowhere but in the shuffle.
+    is a stored table; texts are written nowhere but in the shuffle.
     """
     return _judged(df, text, key, fit).select(F.col("_key").alias(key), F.col("best").alias("keep_id"), F.col("n").alias("group_size"), "kept", "text_sha256")
 

@@ -286,7 +286,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", fact
     Null keys don't count as smallest; a component of null keys has null. Null and wordless texts have
     no shingles and no links. Rows with equal sets are one class, equal rows too.
     The first row of a component (smallest key, then the order of reading) stands for it. Other columns aren't read. Sets are of 64-bit
-    hashes. ``factor``: what candidates may cost, in shingles of the prefix. The result is checkpointed; all tables
+    hashes. ``factor``: what candidates may cost, in shingles of the prefix. The result is a stored table; all tables
     made on the way are deleted.
     """
     out = _judged(df, text, key, factor)

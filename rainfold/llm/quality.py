@@ -267,7 +267,7 @@ def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
     base_failed: fewer than 20 words, or more than 30 % of the words in 8-word
     windows that the text repeats. The estimate is made from all rows that the base passes. A null or empty text has no words
     and fails the base. Equal rows are judged each. Other columns are not read. ``options``: those of ``robust_outliers``.
-    The result, which holds no texts, is checkpointed.
+    The result, which holds no texts, is a stored table.
     """
     out = _judged(df, text, lang, source, key, **options)
     return out.select(F.col("_key").alias(key), *STATS, "base_failed", "d2", "outlier", "kept")

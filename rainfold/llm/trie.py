@@ -138,7 +138,7 @@ def prefix_trie(packed: DataFrame, height: int = 32) -> DataFrame:
     A node's members are the conversations that begin with it, turnless ones being members of the root alone; conv_id is
     the smallest of them. saved_tokens: over the subtree, the words of each node's last turn times the members beyond the first.
     ends_sha256: hash of the ids of the members that end there. A node is a leaf if all of its members
-    end there. No conversations give no nodes. ``height``: of a band. The result is checkpointed.
+    end there. No conversations give no nodes. ``height``: of a band. The result is a stored table.
     """
     packed = stored(packed)
     paths = _paths(packed, height)

@@ -222,7 +222,7 @@ def near_vectors(df: DataFrame, threshold: float = 0.93, vector: str = "embeddin
     Two rows are linked if their labels are equal and not null, their vectors have one length and their cosine reaches ``threshold`` (above 0). A
     null, empty or zero vector and one with a null or a number that isn't finite links with nothing, nor does a row without key: its component is its own key, so null.
     n_links counts rows, equal ones too. Rows with one key are one node of the components. Other columns are not read.
-    Equal vectors of a label are compared once. The result is checkpointed.
+    Equal vectors of a label are compared once. The result is a stored table.
     """
     v, inside = F.col("vec"), F.col("label").isNotNull() & F.col("id").isNotNull()
     rows = df.select(F.col(quoted(key)).cast("long").alias("id"), F.col(quoted(label)).alias("label"), F.col(quoted(vector)).alias("vec"))
