@@ -63,6 +63,13 @@ def opened(spark: SparkSession, path: str, key: str, buckets: int) -> DataFrame:
     return spark.table(name)
 
 
+def there(frame: DataFrame) -> bool:
+    """Whether a stored table's files are still there."""
+    spark = frame.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(frame.rainfold_path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def dropped(*frames: DataFrame) -> None:
     """Deletes tables that nothing needs any more."""
     for frame in frames:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import terrain
-from ..operators.storage import checkpointed
+from ..operators.storage import checkpointed, there
 from ..params import Parameters
 
 PARAMS = Parameters()
@@ -119,7 +119,7 @@ STORED: dict[tuple[str, str], DataFrame] = {}
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The basin with slope, network and forcing in buckets by block; derived from the order tables once a session, as a user stores a basin once and runs it often."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in STORED:
+    if key not in STORED or not there(STORED[key]):
         from .basin import store_basin, with_slope
 
         ground = checkpointed(cells(spark, sf_dir))
