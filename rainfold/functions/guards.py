@@ -23,7 +23,7 @@ def flag(condition: Column) -> Column:
 
 def ratio(a: Column, b: Column, strict: bool = False, name: str = "a divisor") -> Column:
     if strict:
-        return F.when(b == 0, F.raise_error(F.lit(f"{name} is 0")).cast("double")).otherwise(F.try_divide(a, b))
+        return F.when((b == 0) & a.isNotNull(), F.raise_error(F.lit(f"{name} is 0")).cast("double")).otherwise(F.try_divide(a, b))
     return F.try_divide(a, b)
 
 

@@ -119,6 +119,40 @@ PARTS["lags"] = (
         SELECT step, d, g, least(greatest(ceil(d / max(d) OVER (PARTITION BY step) * 25)::INT, 1), 25) AS lag FROM (
             SELECT a.step, sqrt((a.lon - b.lon) ** 2 + (a.lat - b.lat) ** 2) AS d, (a.value - b.value) ** 2 / 2 AS g FROM obs a JOIN obs b ON a.step = b.step AND a.station_id < b.station_id)) GROUP BY step, lag""",
 )
+#: The same along great circles, and the spherical model fitted to it; kriging by an elimination with pivots, one column a turn.
+GREAT_CIRCLE = "degrees(2 * asin(least(1.0, sqrt(sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2))))"
+PARTS["lags_geo"] = ("obs", PARTS["lags"][1].replace("sqrt((a.lon - b.lon) ** 2 + (a.lat - b.lat) ** 2)", GREAT_CIRCLE))
+MODEL = """SELECT step, span, sill, nugget FROM (
+        SELECT *, row_number() OVER (PARTITION BY step ORDER BY round((gg - sill * bg - nugget * g) / gg, 8), k) AS place FROM (
+            SELECT step, k, span, bg, g, gg, CASE WHEN s0 >= 0 AND n0 >= 0 THEN s0 WHEN bg >= 0 THEN bg / bb ELSE 0 END AS sill, CASE WHEN s0 >= 0 AND n0 >= 0 THEN n0 WHEN bg >= 0 THEN 0 ELSE g / w END AS nugget FROM (
+                SELECT *, CASE WHEN bb * w - b * b > 1e-9 * bb * w THEN (bg * w - b * g) / (bb * w - b * b) ELSE g / w / 2 END AS s0, CASE WHEN bb * w - b * b > 1e-9 * bb * w THEN (bb * g - b * bg) / (bb * w - b * b) ELSE g / w / 2 END AS n0 FROM (
+                    SELECT step, k, span, sum(n * base * base) AS bb, sum(n * base) AS b, sum(n) AS w, sum(n * base * gamma) AS bg, sum(n * gamma) AS g, sum(n * gamma * gamma) AS gg FROM (
+                        SELECT *, 1.5 * least(distance / span, 1) - 0.5 * least(distance / span, 1) ** 3 AS base FROM (
+                            SELECT v.*, s.k, (0.05 + (1.5 - 0.05) / 59 * s.k) * max(distance) OVER (PARTITION BY step, s.k) AS span FROM {lags} v CROSS JOIN (SELECT range AS k FROM range(60)) s)) GROUP BY step, k, span))))
+    WHERE place = 1"""
+PARTS["model"] = ("lags", MODEL.format(lags="lags"))
+PARTS["model_geo"] = ("lags_geo", MODEL.format(lags="lags_geo"))
+GAMMA = "CASE WHEN d > 0 THEN nugget + sill * (1.5 * least(d / span, 1) - 0.5 * least(d / span, 1) ** 3) ELSE 0 END"
+PARTS["placed"] = ("obs", "SELECT *, row_number() OVER (PARTITION BY step ORDER BY station_id) AS i, count(*) OVER (PARTITION BY step) AS m FROM obs")
+#: Rows of the bordered systems: gammas, a one, the value; at last a row of ones, a zero and a zero.
+PARTS["systems"] = (
+    "placed model_geo",
+    f"""SELECT step, i, list_concat(list({GAMMA} ORDER BY j), [1.0::DOUBLE, any_value(value)::DOUBLE]) AS x FROM (
+        SELECT a.step, a.i, b.i AS j, a.value, {GREAT_CIRCLE} AS d, span, sill, nugget FROM placed a JOIN placed b ON a.step = b.step JOIN model_geo t ON t.step = a.step) GROUP BY step, i
+    UNION ALL SELECT step, m + 1, list_concat(list(1.0::DOUBLE ORDER BY i), [0.0::DOUBLE, 0.0::DOUBLE]) FROM placed GROUP BY step, m""",
+)
+PARTS["solved"] = (
+    "systems",
+    """SELECT step, 0 AS turn, i, 0 AS done, x FROM systems
+    UNION ALL
+    SELECT step, turn + 1, i, CASE WHEN i = chosen THEN turn + 1 ELSE done END,
+        CASE WHEN i = chosen THEN list_transform(x, lambda v: v / head[turn + 1]) ELSE list_transform(list_zip(x, head), lambda v: v[1] - x[turn + 1] / head[turn + 1] * v[2]) END
+    FROM (
+        SELECT *, arg_max(i, CASE WHEN done = 0 THEN abs(x[turn + 1]) ELSE -1 END) OVER w AS chosen, arg_max(x, CASE WHEN done = 0 THEN abs(x[turn + 1]) ELSE -1 END) OVER w AS head, count(*) OVER w AS size
+        FROM solved WINDOW w AS (PARTITION BY step))
+    WHERE turn < size""",
+)
+PARTS["duals"] = ("solved", "SELECT step, done AS i, x[len(x)] AS dual FROM solved WHERE turn = len(x) - 1")
 PARTS["spots"] = ("obs", "SELECT station_id, step, value::DOUBLE AS value FROM obs")
 
 

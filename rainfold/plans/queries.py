@@ -17,8 +17,8 @@ from ..operators.storage import checkpointed
 from ..params import Outputs, valid_parameters
 from ..sources.tables import layer_name
 from . import basin, testgrid
+from .oracle import GAMMA, GREAT_CIRCLE, PARTS, sql
 from .oracle import SETS as PARAM_SETS
-from .oracle import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -435,17 +435,7 @@ def semivariogram(spark, sf_dir):
     return out.select("step", "lag", _r(F.col("distance"), 6).alias("distance"), _r(F.col("gamma")).alias("gamma"), "n")
 
 
-@query(
-    """SELECT step, round(span, 6) AS span, round(sill, 2) AS sill, round(nugget, 2) AS nugget FROM (
-        SELECT *, row_number() OVER (PARTITION BY step ORDER BY round((gg - sill * bg - nugget * g) / gg, 8), k) AS place FROM (
-            SELECT step, k, span, bg, g, gg, CASE WHEN s0 >= 0 AND n0 >= 0 THEN s0 WHEN bg >= 0 THEN bg / bb ELSE 0 END AS sill, CASE WHEN s0 >= 0 AND n0 >= 0 THEN n0 WHEN bg >= 0 THEN 0 ELSE g / w END AS nugget FROM (
-                SELECT *, CASE WHEN bb * w - b * b > 1e-9 * bb * w THEN (bg * w - b * g) / (bb * w - b * b) ELSE g / w / 2 END AS s0, CASE WHEN bb * w - b * b > 1e-9 * bb * w THEN (bb * g - b * bg) / (bb * w - b * b) ELSE g / w / 2 END AS n0 FROM (
-                    SELECT step, k, span, sum(n * base * base) AS bb, sum(n * base) AS b, sum(n) AS w, sum(n * base * gamma) AS bg, sum(n * gamma) AS g, sum(n * gamma * gamma) AS gg FROM (
-                        SELECT *, 1.5 * least(distance / span, 1) - 0.5 * least(distance / span, 1) ** 3 AS base FROM (
-                            SELECT v.*, s.k, (0.05 + (1.5 - 0.05) / 59 * s.k) * max(distance) OVER (PARTITION BY step, s.k) AS span FROM lags v CROSS JOIN (SELECT range AS k FROM range(60)) s)) GROUP BY step, k, span))))
-    WHERE place = 1""",
-    "lags",
-)
+@query("SELECT step, round(span, 6) AS span, round(sill, 2) AS sill, round(nugget, 2) AS nugget FROM model", "model")
 def variogram_model(spark, sf_dir):
     """The spherical model of each month by planar distances."""
     out = interpolate.solve_kriging(testgrid.station_obs(spark, sf_dir), geographic=False)
@@ -465,10 +455,17 @@ def _spots(spark, sf_dir):
     return testgrid.station_obs(spark, sf_dir).select("station_id", (F.col("station_id") % 40).cast("double").alias("lon"), (F.floor(F.col("station_id") / 40) % 60).cast("double").alias("lat"), "step", F.col("value").cast("double").alias("value"))
 
 
-@query()
+@query(
+    f"""SELECT cell_id, step, round(greatest(z, 0), 3) AS value FROM (
+        SELECT cell_id, step, sum({GAMMA} * dual) + any_value(mean) AS z FROM (
+            SELECT a.cell_id, b.step, {GREAT_CIRCLE} AS d, t.span, t.sill, t.nugget, u.dual, v.dual AS mean
+            FROM (SELECT cell_id, c / 10 AS lon, r / 40 AS lat FROM cells) a CROSS JOIN placed b JOIN model_geo t ON t.step = b.step
+            JOIN duals u ON u.step = b.step AND u.i = b.i JOIN duals v ON v.step = b.step AND v.i = b.m + 1) GROUP BY cell_id, step)""",
+    "cells", "placed", "model_geo", "duals",
+)
 def krige(spark, sf_dir):
     cells = testgrid.cells(spark, sf_dir).select("cell_id", (F.col("col") / 10).alias("lon"), (F.col("row") / 40).alias("lat"))
-    return interpolate.krige(testgrid.station_obs(spark, sf_dir), cells)
+    return interpolate.krige(testgrid.station_obs(spark, sf_dir), cells).select("cell_id", "step", _r(F.col("value"), 3).alias("value"))
 
 
 @query()
@@ -506,6 +503,76 @@ def input_report(spark, sf_dir):
     return quality.input_report(testgrid.cells(spark, sf_dir), testgrid.forcing(spark, sf_dir), testgrid.soil_attr(spark), testgrid.landuse_attr(spark), P)
 
 
+#: Faults planted in a basin: (column, value, where).
+FAULTS = (
+    ("precipitation", "-precipitation - 1", "step = 3 AND cell_id % 7 = 1"),
+    ("kp", "CAST(NULL AS DOUBLE)", "step = 5 AND cell_id % 64 = 1"),
+    ("ndvi", "CAST(1.5 AS DOUBLE)", "step = 2 AND cell_id % 7 = 2"),
+    ("ndvi_max", "CAST(NULL AS DOUBLE)", "cell_id % 7 = 3"),
+    ("landuse", "99", "step = 6 AND cell_id % 7 = 4"),
+)
+
+
+def _faulty(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: F.expr(f"CASE WHEN {where} THEN {value} ELSE {c} END") for c, value, where in FAULTS})
+
+
+PARTS["faulty"] = (
+    "forcing cells",
+    "SELECT * REPLACE (" + ", ".join(f"CASE WHEN {where} THEN {value} ELSE {c} END AS {c}" for c, value, where in FAULTS) + ") FROM forcing JOIN cells USING (cell_id)",
+)
+_LIMITS = [(layer, *quality.RULES[layer], "0" if layer in quality.STATIC else "step") for layer in (*quality.STATIC, *quality.MOVING)]
+
+
+@query(
+    f"""SELECT 'map rule' AS description, rule AS reason, layer || ' step ' || step::VARCHAR AS file, true AS blocking FROM (
+        SELECT layer, step, CASE WHEN bool_or(v < lo OR v > hi) THEN 'FORBID_OUT_OF_RANGE' WHEN no AND bool_or(v IS NULL) THEN 'FORBID_NO_DATA'
+            WHEN zeroes AND bool_and(coalesce(abs(v) <= 1e-8, false)) THEN 'FORBID_ALL_ZEROES' WHEN ones AND bool_and(coalesce(abs(v - 1) <= 1e-8 + 1e-5, false)) THEN 'FORBID_ALL_ONES' END AS rule
+        FROM ({" UNION ALL ".join(f"SELECT '{x}' AS layer, {step} AS step, {x}::DOUBLE AS v, '{lo}'::DOUBLE AS lo, '{hi}'::DOUBLE AS hi, {no} AS no, {zeroes} AS zeroes, {ones} AS ones FROM faulty" for x, lo, hi, no, zeroes, ones, step in _LIMITS)})
+        GROUP BY layer, step, no, zeroes, ones) WHERE rule IS NOT NULL
+    UNION ALL SELECT DISTINCT 'class without a row', soil::VARCHAR, 'soil', true FROM faulty WHERE soil NOT IN (SELECT soil FROM soil_attr)
+    UNION ALL SELECT DISTINCT 'class without a row', landuse::VARCHAR, 'landuse', true FROM faulty WHERE landuse NOT IN (SELECT landuse FROM landuse_attr)
+    UNION ALL SELECT 'class table rule', concat_ws(', ', CASE WHEN shares THEN 'shares' END, CASE WHEN crops THEN 'crop coefficients' END), 'landuse ' || landuse::VARCHAR, false
+        FROM (SELECT landuse, abs(a_i + a_o + a_s + a_v - 1) > 1e-9 AS shares, kc_max <= kc_min AS crops FROM landuse_attr) WHERE shares OR crops""",
+    "faulty", "soil_attr", "landuse_attr",
+)
+def run_report(spark, sf_dir):
+    """What a run's own scan of a faulty basin tells of it."""
+    soil_attr, landuse_attr, months = _classes(spark)
+    seen, watch = quality.watched(_faulty(testgrid.stored(spark, sf_dir)), soil_attr, landuse_attr)
+    basin.run_stored(seen, soil_attr, landuse_attr, months, P)
+    return quality.watched_report(spark, watch, landuse_attr, P)
+
+
+#: Rows at which strict formulas raise: NDVI 1 makes the ratio and the log of the leaf area fail.
+@query(
+    """SELECT cell_id, step, term FROM (SELECT *, CASE WHEN cell_id % 16 = 1 THEN 1.0 ELSE ndvi END AS n, CASE WHEN cell_id % 32 = 2 THEN ndvi_min ELSE ndvi_max END AS most, CASE WHEN cell_id % 64 = 3 THEN 0.0 WHEN cell_id % 64 = 4 THEN NULL ELSE kp END AS k,
+            CASE WHEN step = 7 THEN 0.0 ELSE 5.0 END AS wet, CASE WHEN soil = 3 THEN 0.0 ELSE 1.5 END AS density, CASE WHEN soil = 4 THEN 2.0 ELSE -1.0 END AS dry FROM forcing JOIN cells USING (cell_id)) t
+        CROSS JOIN (VALUES ('simple_ratio'), ('crop_coef'), ('open_water'), ('rain_per_rainy_day'), ('soil_moisture_coef'), ('water_stress')) AS terms(term)
+    WHERE CASE term WHEN 'simple_ratio' THEN n = 1 WHEN 'crop_coef' THEN most = ndvi_min WHEN 'open_water' THEN k = 0 WHEN 'rain_per_rainy_day' THEN wet = 0 WHEN 'soil_moisture_coef' THEN density = 0 ELSE dry >= 1 END""",
+    "forcing", "cells",
+)
+def strict_errors(spark, sf_dir):
+    """Each row and term at which ``strict`` raises, over a basin with planted values; where kp is NULL nothing raises."""
+    at = lambda where, value, other: F.when(F.expr(where), F.lit(value)).otherwise(F.col(other) if isinstance(other, str) else F.lit(other))
+    rows = testgrid.stored(spark, sf_dir).select(
+        "cell_id", "step", "precipitation", "etp", "ndvi_min",
+        at("cell_id % 16 = 1", 1.0, "ndvi").alias("n"),
+        F.when(F.expr("cell_id % 32 = 2"), F.col("ndvi_min")).otherwise(F.col("ndvi_max")).alias("most"),
+        F.when(F.expr("cell_id % 64 = 4"), None).otherwise(at("cell_id % 64 = 3", 0.0, "kp")).alias("k"),
+        at("step = 7", 0.0, 5.0).alias("wet"), at("soil = 3", 0.0, 1.5).alias("density"), at("soil = 4", 2.0, -1.0).alias("dry"),
+    )
+    terms = {
+        "simple_ratio": (vegetation.simple_ratio("n"), ("n",)),
+        "crop_coef": (vegetation.crop_coef(0.5, "ndvi_min", "most", 0.4, 0.9), ("ndvi_min", "most")),
+        "open_water": (evapo.et_open_water("etp", "k", "precipitation", 1.0), ("etp", "k", "precipitation")),
+        "rain_per_rainy_day": (runoff.rain_per_rainy_day("precipitation", "wet"), ("precipitation", "wet")),
+        "soil_moisture_coef": (runoff.soil_moisture_coef(1.0, "density", 1.0, 1.0, 1.0), ("density",)),
+        "water_stress": (evapo.water_stress(1.0, "dry", 1.0), ("dry",)),
+    }
+    return quality.domain_errors(rows, terms, ("cell_id", "step"))
+
+
 @query(
     "SELECT step, round(avg(a_v), 6) AS a_v, round(avg(simple), 6) AS simple FROM (SELECT step, a_v, (1 + ndvi) / (1 - ndvi) AS simple FROM forcing JOIN landuse_attr USING (landuse)) GROUP BY step",
     "forcing", "landuse_attr",

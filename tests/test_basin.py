@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rainfold.functions import runoff, vegetation
 from rainfold.operators import calendar, calibrate, interpolate, lookup, network, quality, series, stations, storage, terrain
 from rainfold.operators.balance import fold_basin, last_state, state_free, water_balance
 from rainfold.params import Outputs, ParameterColumns, Parameters, valid_parameters
@@ -420,3 +421,51 @@ def test_fit(spark):
     got = {r.k: r for r in calibrate.goodness_of_fit(df, ("k",)).collect()}
     assert got["a"].n == 3 and got["a"].rmse == pytest.approx(math.sqrt(0.5 / 3)) and got["a"].mean_error == pytest.approx(0)
     assert got["a"].nse == pytest.approx(1 - 0.5 / (14 / 3)) and got["b"].nse is None
+
+
+def test_report_of_a_run_is_that_of_its_inputs(spark):
+    cells = spark.createDataFrame([(k, 100.0 + k, 1 + k % 2, 0.1, None if k == 3 else 0.8, 1.0) for k in range(6)], "cell_id long, dem double, soil int, ndvi_min double, ndvi_max double, slope double")
+    forcing = spark.createDataFrame(
+        [(k, s, -1.0 if (k, s) == (2, 2) else 50.0, 40.0, None if s == 3 else 0.7, 1.5 if s == 1 else 0.4, 0 if s == 2 else 77) for k in range(6) for s in (1, 2, 3)],
+        "cell_id long, step int, precipitation double, etp double, kp double, ndvi double, landuse int",
+    )
+    args = (testgrid.soil_attr(spark), testgrid.landuse_attr(spark))
+    kept = basin.store_basin(cells, forcing)
+    seen, watch = quality.watched(kept, *args)
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("watched"))
+    spark.sparkContext.setJobGroup("watched", "")
+    plan = fold_basin(seen, *args, testgrid.months(spark), [testgrid.PARAMS])
+    before = jobs()
+    plan.write.format("noop").mode("overwrite").save()
+    ran = jobs() - before
+    got = {tuple(r) for r in quality.watched_report(spark, watch, args[1], testgrid.PARAMS).collect()}
+    plain = fold_basin(kept, *args, testgrid.months(spark), [testgrid.PARAMS])
+    before = jobs()
+    plain.write.format("noop").mode("overwrite").save()
+    assert ran == jobs() - before  # watching adds no job
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {tuple(r) for r in quality.input_report(cells, forcing, *args, testgrid.PARAMS).collect()}
+    assert {("map rule", "FORBID_OUT_OF_RANGE", "ndvi step 1", True), ("map rule", "FORBID_NO_DATA", "kp step 3", True), ("map rule", "FORBID_ALL_ZEROES", "landuse step 2", True), ("class without a row", "77", "landuse", True), ("map rule", "FORBID_NO_DATA", "ndvi_max step 0", True)} <= got
+
+
+def test_an_empty_basin_breaks_no_rule(spark):
+    kind = "block int, cell_id long, step int, dem double, soil int, ndvi_min double, ndvi_max double, precipitation double, etp double, kp double, ndvi double, landuse int"
+    seen, watch = quality.watched(spark.createDataFrame([], kind), testgrid.soil_attr(spark), testgrid.landuse_attr(spark))
+    assert seen.collect() == []
+    assert {r.description for r in quality.watched_report(spark, watch, testgrid.landuse_attr(spark), testgrid.PARAMS, ()).collect()} <= {"class table rule", "output"}
+
+
+def test_domain_errors_are_where_strict_raises(spark):
+    values = [(k, n, p, d) for k, (n, p, d) in enumerate([(1.0, 5.0, 2.0), (0.5, 5.0, 0.0), (None, 5.0, 2.0), (1.0, None, 0.0), (0.2, 0.0, 3.0)])]
+    rows = spark.createDataFrame(values, "k int, n double, p double, d double")
+    terms = lambda strict: {"ratio": (vegetation.simple_ratio("n", strict), ("n",)), "rain": (runoff.rain_per_rainy_day("p", "d", strict), ("p", "d"))}
+    got = {(r.k, r.term) for r in quality.domain_errors(rows, terms(False), ("k",)).collect()}
+    raised = set()
+    for k, *_ in values:
+        for name, (c, _) in terms(True).items():
+            try:
+                rows.where(f"k = {k}").select(c).collect()
+            except Exception as e:  # noqa: BLE001
+                assert "is 0" in str(e)
+                raised.add((k, name))
+    assert got == raised == {(0, "ratio"), (3, "ratio"), (1, "rain")}  # where an operand is NULL nothing raises
