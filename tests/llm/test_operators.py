@@ -223,6 +223,71 @@ def test_pii_terms(spark, docs, none):
     assert got.where("doc_id = 1").first().text is None
 
 
+def _brute_terms(rows, width, alpha, support):
+    """{doc: {term: kind it is generalised to, or None}} by plain counting."""
+    import re
+    from math import log2
+
+    near, df = [], {}
+    for doc, text in rows:
+        for w in {x.strip(pii.EDGES).lower() for x in text.split()}:
+            df.setdefault(w, set()).add(doc)
+        spans = pii.find(text)
+        free = [(m.start(), m.end(), "" if any(a < m.end() and m.start() < b for _, a, b in spans) else m[0].strip(pii.EDGES).lower()) for m in re.finditer(pii.WORD, text)]
+        for kind, a, b in spans:
+            left, right = [w for _, e, w in free if e <= a][-width:], [w for s, _, w in free if s >= b][:width]
+            words_ = tuple(w for w in left + right if w)
+            value = f"{kind}:{text[a:b].lower()}"
+            near += [(doc, e, words_) for e in (value, *pii.levels(value))]
+    n, out = len(rows), {}
+    for e in {e for _, e, _ in near}:
+        docs = {d for d, x, _ in near if x == e}
+        p = len(docs) / n
+        for t in {w for _, x, ws in near if x == e for w in ws}:
+            firsts = {}  # of a document its first surroundings that hold the term
+            for d, x, ws in near:
+                if x == e and t in ws:
+                    firsts.setdefault(d, ws)
+            k = pii.PRIOR if "/" in e.split(":")[0] else 0.0
+            share = (len(firsts) + k * p) / (len(df[t]) + k)
+            if p < 1 and len(set(firsts.values())) >= support and log2(share / p) >= alpha * -log2(p) - 1e-12:
+                for d in firsts:
+                    level = e.split(":")[0]
+                    kind = level.split("/")[0] if "/" in level else None
+                    old = out.setdefault(d, {})
+                    order = lambda x: -1 if x is None else pii.KINDS.index(x)
+                    old[t] = kind if t not in old else min(old[t], kind, key=order)
+    return out
+
+
+@pytest.mark.parametrize("support", [1, 2])
+def test_pii_terms_by_counting(spark, support):
+    """PMI at values and levels against plain counting: domains, networks and issuers recur, most values don't."""
+    r = random.Random(11)
+    firms = ["alpha.example.org", "beta.example.org", "gamma.test"]
+    rows = []
+    for k in range(120):
+        bits = [f"w{r.randrange(40)}" for _ in range(r.randrange(4, 30))]
+        for _ in range(r.choice([0, 0, 1, 1, 2])):
+            f = r.randrange(3)
+            word, mark = r.choice([(f"Firm{f}", f"u{r.randrange(50)}@{firms[f]}"), (f"net{f},", f"10.{f}.{r.randrange(3)}.{r.randrange(90)}"), (f"rare{r.randrange(60)}", f"+{1 + f} 555 {r.randrange(100, 999)} {r.randrange(1000, 9999)}")])
+            bits[r.randrange(len(bits)) : 0] = [word, mark]
+        rows.append((k, " ".join(bits)))
+    want = _brute_terms(rows, 8, 0.9, support)
+    assert {x for d in want.values() for x in d.values()} >= ({None, "email"} if support == 1 else {"email"})
+    for got in pii.protect(spark.createDataFrame(rows, "doc_id long, text string"), support=support).collect():
+        text = rows[got.doc_id][1]
+        assert {text[s.start : s.end].lower() for s in got.spans if s.kind == "term"} == set(want.get(got.doc_id, {})), got
+        for kind in {x for x in want.get(got.doc_id, {}).values() if x}:
+            assert f"<{kind.upper()} TERM>" in got.clean
+
+
+def test_pii_levels():
+    assert pii.levels("email:a@x.y.example.org") == ["email/domain:x.y.example.org", "email/domain:example.org"] and pii.levels("email:a@b.cc") == ["email/domain:b.cc"]
+    assert pii.levels("ip:010.2.3.4") == ["ip/24:10.2.3", "ip/16:10.2"] and pii.levels("card:4111 1111-11111111") == ["card/issuer:411111"]
+    assert pii.levels("phone:+44 20 1234 5678") == ["phone/code:44"] and pii.levels("phone:+12025550123") == ["phone/code:120"]
+
+
 def test_pii_is_linear_and_looks_far_left(spark):
     """No cut of the words to the left, and long lines of digits or entities cost no more than their sum."""
     import time
