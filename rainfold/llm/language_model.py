@@ -2,34 +2,35 @@
 
 P(w | previous) = P(class of w | class of the previous token) * P(w | class of w).
 
-Every word has a class, by exchange in two steps. First the most frequent words and, for all others, their
-endings are units that move between classes as long as the likelihood of the class bigrams
-rises; the executors sum their bigrams by unit and class. Then every word of the lexicon is a unit that
-starts in its ending's class: the executors hold the lexicon's bigrams, dealt by word, and find the best class of each word
-from its own neighbours; only class by class counts come together. Words rarer than the lexicon's keep the class of their ending.
+Every word that occurs in training has a class of its own choice, by exchange in three steps. First the
+most frequent words (``heads``) move one after the other between classes as long as the likelihood of the class bigrams rises; the
+executors sum their bigrams, a matrix of fixed size is all that the driver sees. Then every word of the lexicon moves: the executors hold the
+lexicon's bigrams, dealt by word, and find the best class of each word from its own neighbours; only class by class counts come together. Then
+each rarer word, however many there are, takes the best class for its own neighbours in a grouped aggregation by word. Until a word has moved it
+stands in a provisional class that all such words share and that no word keeps.
+A word that training doesn't hold has the class that holds most of the words seen once.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, numbered, slices, stored, word_codes
+from .common import dropped, held, numbered, slices, stored, word_codes
 
 
 @dataclass(frozen=True)
 class Sizes:
-    """heads, endings: units of the first exchange; lexicon: words that are units of the second one and whose counts each task has, those of rarer words are joined; refine: its rounds."""
+    """heads: words of the first exchange; lexicon: words whose classes and counts each task has (those of rarer words are joined); rounds: of the first exchange at most; refine: rounds over the lexicon, two at least."""
 
     heads: int = 1000
-    endings: int = 512
     classes: int = 48
     lexicon: int = 60_000
     rounds: int = 12
@@ -40,33 +41,18 @@ class Sizes:
 
     @property
     def end(self) -> int:
-        """The unit of the end of a text; it also stands before the first word."""
-        return self.heads + self.endings
+        """The class of the end of a text, which also stands before the first word."""
+        return self.classes
 
     @property
-    def units(self) -> int:
-        return self.heads + self.endings + 1
+    def open(self) -> int:
+        """The provisional class."""
+        return self.classes + 1
 
 
-def _ending(w: bytes, sizes: Sizes) -> int:
-    return zlib.crc32(w[-3:]) % sizes.endings
-
-
-class _Units(dict):
-    """Place of a word in the lexicon; for all others behind it that of their ending, and last the end of a text."""
-
-    def __init__(self, lexicon: list[bytes], sizes: Sizes):
-        super().__init__({w: k for k, w in enumerate(lexicon)})
-        self.sizes, self.first, self.end = sizes, len(lexicon), len(lexicon) + sizes.endings
-
-    def __missing__(self, w: bytes) -> int:
-        return self.first + _ending(w, self.sizes)
-
-
-def coarse_units(lexicon: list[bytes], sizes: Sizes) -> np.ndarray:
-    """The unit of the first exchange of each unit of the second one."""
-    own = [k if k < sizes.heads else sizes.heads + _ending(w, sizes) for k, w in enumerate(lexicon)]
-    return np.array([*own, *range(sizes.heads, sizes.heads + sizes.endings), sizes.end], np.int64)
+def coarse_units(many: int, sizes: Sizes) -> np.ndarray:
+    """The unit of the first exchange of each unit of the second one: the heads, then all other words as one, then the end."""
+    return np.concatenate([np.minimum(np.arange(many + 1), min(sizes.heads, many)), [min(sizes.heads, many) + 1]])
 
 
 def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
@@ -90,6 +76,7 @@ def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 BIGRAMS = "bucket int, keys binary, counts binary"
+RARE = "word binary, before int, after int, at long"
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,35 +86,47 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
 
 
-def word_bigrams(df: DataFrame, lexicon, sizes: Sizes, text: str) -> DataFrame:
-    """(bucket, keys, counts): how often units follow each other, each pair once for either unit, dealt by that unit.
+def observed(df: DataFrame, lexicon, sizes: Sizes, text: str) -> DataFrame:
+    """A scan's rows of two kinds, stored: bigrams (bucket, keys, counts) and occurrences of words beyond the lexicon (word, before, after, at).
 
-    A key is (2 * unit + side) * units + other, side 0 if the other one follows. Tasks add up what they read, then the buckets' parts are added up.
+    Units are the words of the lexicon, one for all others, and the end. A key is (2 * unit + side) * units + other, side 0 if the other one
+    follows; each pair stands once for either unit, dealt by that unit, and tasks add up what they read. before and after
+    are the units beside an occurrence; ``at`` numbers it, so that of two such words in a row the second one's number is one more.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = _Units(lexicon.value, sizes)
-        n = units.end + 1
+        known = {w: k for k, w in enumerate(lexicon.value)}
+        other = len(known)
+        end, n, get = other + 1, other + 2, known.get
+        at = TaskContext.get().partitionId() << 40
         kept: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             keys, counts = _summed(*(np.concatenate([x[k] for x in kept]) for k in (0, 1)))
             kept.clear()
-            for unit, of, side, other in ((keys // n, counts, 0, keys % n), (keys % n, counts, 1, keys // n)):
+            for unit, of, side, beside in ((keys // n, counts, 0, keys % n), (keys % n, counts, 1, keys // n)):
                 order = np.argsort(unit % sizes.buckets, kind="stable")
                 cuts = np.searchsorted((unit % sizes.buckets)[order], np.arange(sizes.buckets + 1))
-                both, of = ((2 * unit + side) * n + other)[order], of[order]
+                both, of = ((2 * unit + side) * n + beside)[order], of[order]
                 for part in range(0, sizes.buckets, 32):
                     ks = [k for k in range(part, min(part + 32, sizes.buckets)) if cuts[k + 1] > cuts[k]]
                     blobs = [pa.array([x[cuts[k] : cuts[k + 1]].tobytes() for k in ks], pa.binary()) for x in (both, of)]
-                    yield pa.record_batch([pa.array(ks, pa.int32()), *blobs], names=["bucket", "keys", "counts"])
+                    empty = [pa.nulls(len(ks), t) for t in (pa.binary(), pa.int32(), pa.int32(), pa.int64())]
+                    yield pa.record_batch([pa.array(ks, pa.int32()), *blobs, *empty], names=["bucket", "keys", "counts", "word", "before", "after", "at"])
 
         for batch in slices(batches, text, 1_000_000):
             place, names, upto = word_codes(batch.column(text))
-            at = np.fromiter(map(units.__getitem__, names), np.int64, len(names))
-            a = np.full(len(place) + len(upto) + 1, units.end, np.int64)  # ends stand before, between and behind the texts
-            a[np.arange(len(place)) + np.repeat(np.arange(len(upto)), np.diff(upto, prepend=0)) + 1] = at[place]
+            units = np.fromiter((get(w, other) for w in names), np.int64, len(names))
+            a = np.full(len(place) + len(upto) + 1, end, np.int64)  # ends stand before, between and behind the texts
+            where = np.arange(len(place)) + np.repeat(np.arange(len(upto)), np.diff(upto, prepend=0)) + 1
+            a[where] = units[place]
             kept.append(np.unique(a[:-1] * n + a[1:], return_counts=True))
+            rare = np.flatnonzero(a[where] == other)
+            p = where[rare]
+            words = pa.DictionaryArray.from_arrays(pa.array(place[rare], pa.int32()), pa.array(names, pa.binary())).cast(pa.binary())
+            empty = [pa.nulls(len(rare), t) for t in (pa.int32(), pa.binary(), pa.binary())]
+            yield pa.record_batch([*empty, words, pa.array(a[p - 1], pa.int32()), pa.array(a[p + 1], pa.int32()), pa.array(at + p)], names=["bucket", "keys", "counts", "word", "before", "after", "at"])
+            at += len(a) + 1
             if sum(len(x) for x, _ in kept) > 1_500_000:
                 kept[:] = [_summed(*(np.concatenate([x[k] for x in kept]) for k in (0, 1)))]
                 if len(kept[0][0]) > 750_000:
@@ -135,11 +134,17 @@ def word_bigrams(df: DataFrame, lexicon, sizes: Sizes, text: str) -> DataFrame:
         if kept:
             yield from flush()
 
+    return stored(df.select(text).mapInArrow(run, f"{BIGRAMS}, {RARE}"))
+
+
+def word_bigrams(seen: DataFrame) -> DataFrame:
+    """(bucket, keys, counts): the bigrams of ``observed``, each bucket's parts added up."""
+
     def add(table: pa.Table) -> pa.Table:
         keys, counts = _summed(*(np.concatenate([np.frombuffer(x, np.int64) for x in table.column(c).to_pylist()]) for c in ("keys", "counts")))
         return pa.table({"bucket": table.column("bucket").slice(0, 1), "keys": [keys.tobytes()], "counts": [counts.tobytes()]}, schema=pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
 
-    return df.select(text).mapInArrow(run, BIGRAMS).groupBy("bucket").applyInArrow(add, BIGRAMS)
+    return seen.where("bucket is not null").select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(add, BIGRAMS)
 
 
 def _rows(batch: pa.RecordBatch, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -149,18 +154,23 @@ def _rows(batch: pa.RecordBatch, n: int) -> Iterator[tuple[np.ndarray, np.ndarra
         yield k // n // 2, k // n % 2, k % n, np.frombuffer(counts, np.int64)
 
 
-def coarse_bigrams(bigrams: DataFrame, coarse, sizes: Sizes) -> DataFrame:
-    """(u, v, n) by the units of the first exchange."""
+def coarse_bigrams(bigrams: DataFrame, coarse: np.ndarray) -> np.ndarray:
+    """How often the units of the first exchange follow each other, as a matrix whose size only the heads fix."""
+    known = bigrams.sparkSession.sparkContext.broadcast(coarse)
+    units = int(coarse[-1]) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = coarse.value
+        of = known.value
         for batch in batches:
             for unit, side, other, count in _rows(batch, len(of)):
                 on = side == 0
-                keys, n = _summed(of[unit[on]] * sizes.units + of[other[on]], count[on])
-                yield pa.record_batch([pa.array(keys // sizes.units, pa.int32()), pa.array(keys % sizes.units, pa.int32()), pa.array(n, pa.int64())], names=["u", "v", "n"])
+                keys, n = _summed(of[unit[on]] * units + of[other[on]], count[on])
+                yield pa.record_batch([pa.array(keys), pa.array(n, pa.int64())], names=["cell", "n"])
 
-    return bigrams.mapInArrow(run, "u int, v int, n long").groupBy("u", "v").agg(F.sum("n").alias("n"))
+    got = bigrams.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(units * units)
+    out[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    return out.reshape(units, units)
 
 
 def _flog(x: np.ndarray) -> np.ndarray:
@@ -191,7 +201,7 @@ def best_class(n: np.ndarray, a: int, right: np.ndarray, left: np.ndarray, own:
 
 
 def best_classes(n: np.ndarray, a: np.ndarray, right: np.ndarray, left: np.ndarray, own: np.ndarray, free: int) -> np.ndarray:
-    """best_class for many units at once, each as if it alone moved."""
+    """best_class for many units at once, each as if it alone moved. Units of a class that isn't free leave it in any case."""
     many, k = right.shape
     at = np.arange(many)
     r, le = right.copy(), left.copy()
@@ -210,12 +220,12 @@ def best_classes(n: np.ndarray, a: np.ndarray, right: np.ndarray, left: np.ndarr
     out, into, o = m.sum(2) + le, m.sum(1) + r, own[:, None]
     gain -= _flog(out + r.sum(1)[:, None] + o) - _flog(out) + _flog(into + le.sum(1)[:, None] + o) - _flog(into)
     best = gain[:, :free].argmax(1)
-    return np.where(gain[at, best] > gain[at, a] + 1e-9, best, a)
+    return np.where((gain[at, best] > gain[at, a] + 1e-9) | (a >= free), best, a)
 
 
 def refine(bigrams: DataFrame, classes: np.ndarray, sizes: Sizes) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each unit of the lexicon, bigrams by class). A round moves half of the units; the best round counts."""
-    spark, k, n_units = bigrams.sparkSession, sizes.classes + 1, len(classes)
+    """(class of each unit of the lexicon, bigrams by class). A round moves half of the units at once against the same counts; of the rounds from the second on the best one counts."""
+    spark, k, n_units = bigrams.sparkSession, sizes.classes + 2, len(classes)
 
     def together(classes) -> np.ndarray:
         known = spark.sparkContext.broadcast(classes)
@@ -234,8 +244,8 @@ def refine(bigrams: DataFrame, classes: np.ndarray, sizes: Sizes) -> tuple[np.nd
         return out.reshape(k, k)
 
     n = together(classes)
-    best, best_n, top = classes, n, likelihood(n)
-    for turn in range(sizes.refine):
+    best, best_n, top = classes, n, -np.inf
+    for turn in range(max(2, sizes.refine)):
         state = spark.sparkContext.broadcast((classes, n))
 
         def run(batches: Iterator[pa.RecordBatch], turn=turn, state=state) -> Iterator[pa.RecordBatch]:
@@ -246,8 +256,8 @@ def refine(bigrams: DataFrame, classes: np.ndarray, sizes: Sizes) -> tuple[np.nd
                     of = place * k + c[other]
                     right, left = (np.bincount(of[side == x], count[side == x], len(ids) * k).reshape(-1, k) for x in (0, 1))
                     own = np.bincount(place[(unit == other) & (side == 0)], count[(unit == other) & (side == 0)], len(ids))
-                    # one half by turns; the end keeps its class
-                    todo = np.flatnonzero(((ids * 2654435761 >> 7) % 2 == turn % 2) & (ids < n_units - 1))
+                    # one half by turns; the end and what stands for all rarer words keep their classes
+                    todo = np.flatnonzero(((ids * 2654435761 >> 7) % 2 == turn % 2) & (ids < n_units - 2))
                     for i in range(0, len(todo), 64):
                         t = todo[i : i + 64]
                         to = best_classes(now, c[ids[t]], right[t], left[t], own[t], sizes.classes)
@@ -257,7 +267,7 @@ def refine(bigrams: DataFrame, classes: np.ndarray, sizes: Sizes) -> tuple[np.nd
         classes = classes.copy()
         classes[moved.column("unit").to_numpy()] = moved.column("k").to_numpy()
         n = together(classes)
-        if (now := likelihood(n)) > top:
+        if turn and (now := likelihood(n)) > top:
             best, best_n, top = classes, n, now
     return best, best_n
 
@@ -266,164 +276,280 @@ def likelihood(n: np.ndarray) -> float:
     return float(_flog(n.astype(np.float64)).sum() - _flog(n.sum(1).astype(np.float64)).sum() - _flog(n.sum(0).astype(np.float64)).sum())
 
 
-def exchange(bigrams: DataFrame, sizes: Sizes) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each unit, bigrams by class). The driver gets units x classes numbers a round, whatever the corpus."""
-    spark, k = bigrams.sparkSession, sizes.classes + 1
-    classes = np.arange(sizes.units) % sizes.classes
-    classes[sizes.end] = sizes.classes  # the end has a class of its own
-    own = np.zeros(sizes.units)
-    for row in bigrams.where("u = v").collect():
-        own[row["u"]] = row["n"]
-    best, best_n, top = classes.copy(), None, -np.inf
-    for turn in range(sizes.rounds + 1):
-        of = spark.createDataFrame([(int(u), int(c)) for u, c in enumerate(classes)], "w int, k int")
-        right, left = np.zeros((sizes.units, k)), np.zeros((sizes.units, k))
-        summed = bigrams.join(F.broadcast(of), F.col("v") == F.col("w")).groupBy(F.lit(0).alias("side"), F.col("u").alias("unit"), "k").agg(F.sum("n").alias("n"))
-        summed = summed.union(bigrams.join(F.broadcast(of), F.col("u") == F.col("w")).groupBy(F.lit(1).alias("side"), F.col("v").alias("unit"), "k").agg(F.sum("n").alias("n")))
-        for row in summed.collect():
-            (left if row["side"] else right)[row["unit"], row["k"]] = row["n"]
-        n = np.zeros((k, k))
-        np.add.at(n, classes, right)
-        now = likelihood(n)
-        if now > top:
-            best, best_n, top = classes.copy(), n, now
-        if turn == sizes.rounds:
-            break
-        moved = classes.copy()
-        for u in range(sizes.units - 1):
-            if (u * 2654435761 >> 7) % 2 == turn % 2 and right[u].sum() + left[u].sum():
-                a = classes[u]
-                to = best_class(n, a, right[u], left[u], own[u], sizes.classes)
-                if to != a:  # what moved before in this round is already in n
-                    r, le = right[u].copy(), left[u].copy()
-                    r[a] -= own[u]
-                    le[a] -= own[u]
-                    n[a] -= r
-                    n[:, a] -= le
-                    n[a, a] -= own[u]
-                    n[to] += r
-                    n[:, to] += le
-                    n[to, to] += own[u]
-                    np.maximum(n, 0, out=n)
-                    moved[u] = to
-        if (moved == classes).all() and turn:
+def exchange(pairs: np.ndarray, sizes: Sizes) -> np.ndarray:
+    """The class of each unit of the first exchange, from a matrix of how often they follow each other.
+
+    Units move one after the other, each to its best class with all counts up to date, until none moves. The last two units keep their classes: all other words, and the end.
+    """
+    units, k = len(pairs), sizes.classes + 2
+    classes = np.arange(units) % sizes.classes
+    classes[-2:] = sizes.open, sizes.end
+    of = np.eye(k)[classes]
+    right, left = pairs @ of, pairs.T @ of
+    n = of.T @ right
+    for _ in range(sizes.rounds):
+        still = True
+        for u in range(units - 2):
+            a, own = classes[u], pairs[u, u]
+            to = best_class(n, a, right[u], left[u], own, sizes.classes)
+            if to == a:
+                continue
+            r, le = right[u].copy(), left[u].copy()
+            r[a] -= own
+            le[a] -= own
+            n[a] -= r
+            n[:, a] -= le
+            n[a, a] -= own
+            n[to] += r
+            n[:, to] += le
+            n[to, to] += own
+            for beside, count in ((right, pairs[:, u]), (left, pairs[u])):
+                beside[:, a] -= count
+                beside[:, to] += count
+            classes[u], still = to, False
+        if still:
             break
-        classes = moved
-    return best, best_n
+    return classes
+
+
+def joined_classes(n: np.ndarray, right: tuple, left: tuple, many: int, free: int) -> np.ndarray:
+    """For each of ``many`` words the class, of the first ``free`` ones, in which its bigrams make the likelihood of all class bigrams, ``n`` and its own, highest.
+
+    right, left: (word, class of the token behind or before it, count) as arrays, by word. Of equal classes the first one is taken.
+    """
+    k, d = len(n), np.diag(n)
+    gain, dense = np.zeros((many, k)), []
+    for m, (word, beside, count) in ((n, right), (n.T, left)):
+        for i in range(0, len(word), 8192):
+            w, cells, c = word[i : i + 8192], m[:, beside[i : i + 8192]].T, count[i : i + 8192, None]
+            first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+            gain[w[first]] += np.add.reduceat(_flog(cells + c) - _flog(cells), first)
+        dense.append(np.bincount(word * k + beside, count, many * k).reshape(many, k))
+    r, le = dense
+    gain += np.where((r > 0) & (le > 0), _flog(d + r + le) - _flog(d + r) - _flog(d + le) + _flog(d), 0)  # both are in the class itself
+    for total, beside, own in ((n.sum(1), le, r), (n.sum(0), r, le)):
+        gain -= _flog(total + beside + own.sum(1)[:, None]) - _flog(total + beside)
+    return gain[:, :free].argmax(1)
+
+
+def rare_classes(seen: DataFrame, classes: np.ndarray, n: np.ndarray, sizes: Sizes) -> DataFrame:
+    """(word, k, c), stored: class and count of each word beyond the lexicon; rows without a word are bigrams of such words with all others, k being before * (classes + 1) + after.
+
+    A word takes the class that is best for its own neighbours that have classes. A word that only ever stands beside other such words takes the
+    class that is best for the neighbours of all of them together. Neighbours are counted by class before they
+    meet, so a word's row is never longer than the square of the number of classes.
+    """
+    spark, k, m = seen.sparkSession, sizes.classes + 2, sizes.classes + 1
+    at = np.arange(m)
+    around = [(np.zeros(m, np.int64), at, x / max(1.0, x.sum())) for x in (n[sizes.open, :m], n[:m, sizes.open])]
+    usual = int(joined_classes(n[:m, :m], *around, 1, sizes.classes)[0])
+    known = spark.sparkContext.broadcast((classes, n[:m, :m].copy()))
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = known.value[0]
+        for batch in batches:
+            cell = of[batch.column("before").to_numpy()] * k + of[batch.column("after").to_numpy()]
+            yield pa.record_batch([batch.column("word"), pa.array(cell, pa.int32())], names=["word", "cell"])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = known.value[1], np.zeros((m, m))
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2048):
+                part = batch.slice(i, 2048)
+                many, cells = part.num_rows, part.column("cells")
+                flat = cells.flatten()
+                cell, count = (flat.field(x).to_numpy(zero_copy_only=False).astype(t) for x, t in (("cell", np.int64), ("n", np.float64)))
+                row = np.repeat(np.arange(many), np.diff(cells.offsets.to_numpy()))
+                sides = []
+                for of in (cell % k, cell // k):
+                    has = of < m
+                    sides.append((row[has], of[has], count[has]))
+                to = joined_classes(now, *sides, many, sizes.classes)
+                alone = np.ones(many, bool)
+                for w, _, _ in sides:
+                    alone[w] = False
+                to[alone] = usual
+                for turned, (w, of, c) in zip((total, total.T), sides, strict=True):
+                    np.add.at(turned, (to[w], of), c)
+                yield pa.record_batch([part.column("word"), pa.array(to, pa.int32()), part.column("c")], names=["word", "k", "c"])
+        yield pa.record_batch([pa.nulls(m * m, pa.binary()), pa.array(np.arange(m * m), pa.int32()), pa.array(total.ravel().astype(np.int64))], names=["word", "k", "c"])
+
+    rare = seen.where("word is not null").select("word", "before", "after").mapInArrow(beside, "word binary, cell int")
+    cells = rare.repartition("word").groupBy("word", "cell").agg(F.count("*").alias("n"))
+    of_word = cells.groupBy("word").agg(F.collect_list(F.struct("cell", "n")).alias("cells"), F.sum("n").alias("c"))
+    return stored(of_word.mapInArrow(choose, "word binary, k int, c long"))
+
+
+def _in_a_row(met: DataFrame, *more: Column) -> DataFrame:
+    """For each occurrence (at, k, joins: the word before is beyond the lexicon, too) a row for the pair that it begins, with ``more``, and one for the pair that it ends: pair, kl, kr."""
+    begins = F.struct(F.col("at").alias("pair"), F.col("k").alias("kl"), F.lit(None).cast("int").alias("kr"), *more)
+    names = [f for f in met.select(F.struct(*more).alias("s")).schema["s"].dataType.fields] if more else []
+    ends = F.struct((F.col("at") - 1).alias("pair"), F.lit(None).cast("int").alias("kl"), F.col("k").alias("kr"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in names])
+    return F.explode(F.when(F.col("joins"), F.array(begins, ends)).otherwise(F.array(begins)))
+
+
+def _literal(values: np.ndarray) -> Column:
+    """A constant array of doubles."""
+    return F.split(F.lit(",".join(map(repr, values.ravel().tolist()))), ",").cast("array<double>")
 
 
 def probabilities(n: np.ndarray, kinds: np.ndarray, s: Sizes) -> tuple[np.ndarray, np.ndarray]:
     """log10 of the class transitions, and of what the counts of a class's words, plus ``added``, are divided by.
 
-    Transitions are smoothed by the share of each class; a class has its ``kinds`` of words and one unseen word. The last class is the end alone.
+    Transitions are smoothed by the share of each class; ``kinds``: the words of each class, of one class with an unseen word. The last class is the end alone.
     """
     into, out = n.sum(0), n.sum(1)
     prior = (into + 1) / (into.sum() + len(into))
     move = np.log10((n + s.backed * prior) / (out + s.backed)[:, None])
-    inner = np.log10(into + s.added * (kinds + 1))
-    inner[s.classes] = 0.0
+    inner = np.log10(np.maximum(into + s.added * kinds, 1e-300))
+    inner[s.end] = 0.0
     return move, inner
 
 
-def score(df: DataFrame, train: DataFrame, text: str = "text", key: str = "doc_id", sizes: Sizes | None = None) -> DataFrame:
-    """One row for each row of ``df``: _rf_row (its number in this scan), key, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
-
-    Tokens are the words, A-Z in lower case, then one end. base_score is that of add-one unigrams,
-    score that of the class bigrams; both are learnt from all texts of ``train``. Null and empty texts
-    are an end alone. Equal rows are scored each, texts of any length whole; other columns aren't read. Words beyond the lexicon meet their counts in a join,
-    so every count is exact.
-    """
+@dataclass(frozen=True)
+class Model:
+    """words, counts, classes: of the lexicon; rare: the stored table of all other words (word, k, c); n: bigrams by class; kinds: words of each class, with the unseen one, whose class is ``unseen``."""
+
+    words: list[bytes]
+    counts: np.ndarray
+    classes: np.ndarray
+    rare: DataFrame
+    n: np.ndarray
+    kinds: np.ndarray
+    unseen: int
+    tokens: int
+    distinct: int
+    texts: int
+
+
+def learn(train: DataFrame, text: str = "text", sizes: Sizes | None = None) -> Model:
+    """Counts and classes of all words of all texts of ``train``; null texts count as empty. The caller drops ``rare``; all other tables made on the way are deleted."""
     s = sizes or Sizes()
-    spark = df.sparkSession
-    rows = numbered(df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("_text")), "_rf_row")
+    spark = train.sparkSession
     counts = stored(word_counts(train, text))
     kinds, running = counts.agg(F.count("*"), F.sum("c")).first()
     texts = train.count()
-    total, distinct = (running or 0) + texts, kinds + (1 if texts else 0)
     # words that occur at least ``least`` times are the lexicon; there are as many counts as there are kinds of frequency
     least, room = 1, s.lexicon
-    for r in counts.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).limit(s.lexicon).collect():
+    for r in counts.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).limit(s.lexicon + 1).collect():
         room -= r["n"]
         if room < 0:
             least = r["c"] + 1
             break
     frequent = counts.where(F.col("c") >= least).orderBy(F.desc("c"), "word").toArrow()
-    lexicon = list(zip(frequent.column("word").to_pylist(), frequent.column("c").to_pylist(), strict=True))
-    names = [w for w, _ in lexicon]
-    shared = spark.sparkContext.broadcast(names)
-    coarse = coarse_units(names, s)
-    bigrams = stored(word_bigrams(train, shared, s, text))
-    by_ending = stored(coarse_bigrams(bigrams, spark.sparkContext.broadcast(coarse), s))
-    first, _ = exchange(by_ending, s)
-    classes, n = refine(bigrams, first[coarse], s)
-    dropped(bigrams, by_ending)
-
-    def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, found = _Units(shared.value, s), Counter()
-        for batch in batches:
-            found.update(classes[units[w]] for w in batch.column("word").to_pylist())
-        yield pa.record_batch([pa.array([int(c) for c in found], pa.int32()), pa.array(list(found.values()), pa.int64())], names=["k", "n"])
+    names, of_name = frequent.column("word").to_pylist(), frequent.column("c").to_numpy()
+    many = len(names)
+    seen = observed(train, spark.sparkContext.broadcast(names), s, text)
+    bigrams = stored(word_bigrams(seen))
+    coarse = coarse_units(many, s)
+    classes, n = refine(bigrams, exchange(coarse_bigrams(bigrams, coarse), s)[coarse], s)
+    rare = rare_classes(seen, classes, n, s)
+    k = s.classes + 1
+    total = n[:k, :k].copy()
+    words = rare.where("word is not null")
+    for r in rare.where("word is null").groupBy("k").agg(F.sum("c").alias("c")).collect():
+        total[r["k"] // k, r["k"] % k] += r["c"]
+    # pairs of rare words
+    joins = F.col("before") == many
+    met = seen.where("word is not null").where(joins | (F.col("after") == many)).select("word", "at", joins.alias("joins")).join(words.select("word", "k"), "word")
+    ends = met.select(_in_a_row(met).alias("p")).select("p.*").groupBy("pair").agg(F.max("kl").alias("kl"), F.max("kr").alias("kr"))
+    for r in ends.where("kl is not null and kr is not null").groupBy("kl", "kr").count().collect():
+        total[r["kl"], r["kr"]] += r["count"]
+    own, once = np.bincount(classes[:many], minlength=k).astype(float), np.bincount(classes[:many][of_name == 1], minlength=k)
+    for r in words.groupBy("k").agg(F.count("*").alias("n"), F.count_if(F.col("c") == 1).alias("once")).collect():
+        own[r["k"]] += r["n"]
+        once[r["k"]] += r["once"]
+    unseen = int(np.argmax(once[: s.classes]))
+    own[unseen] += 1
+    dropped(counts, seen, bigrams)
+    return Model(names, of_name, classes, rare, total, own, unseen, (running or 0) + texts, kinds + (1 if texts else 0), texts)
 
-    kinds_of = np.zeros(s.classes + 1)
-    for r in counts.select("word").mapInArrow(by_class, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
-        kinds_of[r["k"]] = r["n"]
-    move, inner = probabilities(n, kinds_of, s)
-    base_of = np.log10(total + distinct + 1)
-    model = spark.sparkContext.broadcast((lexicon, classes, move, inner))
+
+def score(df: DataFrame, train: DataFrame, text: str = "text", key: str = "doc_id", sizes: Sizes | None = None) -> DataFrame:
+    """One row for each row of ``df``, a stored table: _rf_row (its number in this scan), key, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
+
+    Tokens are the words, A-Z in lower case, then one end. base_score is that of add-one unigrams,
+    score that of the class bigrams; both are learnt from all texts of ``train``. Null and empty texts
+    are an end alone. Equal rows are scored each, texts of any length whole; other columns aren't read. Words beyond the lexicon meet their counts and classes in a join,
+    so every count and every class is that word's own.
+    """
+    s = sizes or Sizes()
+    known = learn(train, text, s)
+    rows = numbered(df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("_text")), "_rf_row")
+    move, inner = probabilities(known.n, known.kinds, s)
+    base_of, texts, m = np.log10(known.tokens + known.distinct + 1), known.texts, s.classes + 1
+    model = df.sparkSession.sparkContext.broadcast((known.words, known.counts, known.classes[: len(known.words)], move, inner))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, classes, move, inner = model.value
-        known = {w: k for k, (w, _) in enumerate(lexicon)}
-        c = np.array([x for _, x in lexicon], np.float64)
-        class_of = classes[: len(lexicon)]
-        plain, inside = np.log10(c + 1), np.log10(c + s.added)
-        end, get = s.classes, known.get
-        end_base = np.log10(texts + 1)
+        words, c, class_of, move, inner = model.value
+        get = {w: k for k, w in enumerate(words)}.get
+        plain, inside = np.log10(c + 1.0), np.log10(c + s.added)
+        end, other, end_base = s.end, len(words), np.log10(texts + 1)
+        kind_of = np.append(class_of, s.open)
+        wide = np.zeros((m + 1, m + 1))  # steps from and to rare words are taken after the join
+        wide[:m, :m] = move - inner
         for batch in slices(batches, "_text", 1_000_000):
             place, raw, upto = word_codes(batch.column("_text"))
-            texts_here = len(upto)
+            many = len(upto)
             size = np.diff(upto, prepend=0)
-            doc_of = np.repeat(np.arange(texts_here), size)
-            found = np.fromiter((get(w, -1) for w in raw), np.int64, len(raw))
-            kind = np.fromiter((class_of[k] if k >= 0 else classes[len(lexicon) + _ending(w, s)] for k, w in zip(found, raw, strict=True)), np.int64, len(raw))
-            word = found[place]
-            head = word >= 0
-            # ends before and behind each text: transitions are those of neighbours inside a text, and the two at its ends
-            ks = np.full(len(place) + 2 * texts_here, end, np.int64)
-            ks[np.arange(len(place)) + 2 * doc_of + 1] = kind[place]
-            close = upto + 2 * np.arange(1, texts_here + 1)
-            inner_of = np.ones(len(ks), bool)
-            inner_of[close - 1] = False  # what follows the end of a text is another text
-            step = move[ks[:-1], ks[1:]] - inner[ks[1:]] if len(ks) else np.zeros(0)
-            owner = np.repeat(np.arange(texts_here), size + 2)
-            sums = np.bincount(owner[:-1][inner_of[:-1]], step[inner_of[:-1]], texts_here) if len(ks) else np.zeros(texts_here)
+            doc_of = np.repeat(np.arange(many), size)
+            word = np.fromiter((get(w, other) for w in raw), np.int64, len(raw))[place]
+            # ends before and behind each text
+            ks = np.full(len(place) + 2 * many, end, np.int64)
+            where = np.arange(len(place)) + 2 * doc_of + 1
+            ks[where] = kind_of[word]
+            step = wide[ks[:-1], ks[1:]]
+            step[upto[:-1] + 2 * np.arange(1, many) - 1] = 0.0  # what follows the end of a text is another text
+            head = word < other
             at = doc_of[head]
-            sums = sums + np.bincount(at, inside[word[head]], texts_here)
-            base = np.bincount(at, plain[word[head]], texts_here) + end_base - (size + 1) * base_of
-            known_here = np.bincount(at, minlength=texts_here) + (1 if texts else 0)
-            rare, times = np.unique(doc_of[~head] * max(1, len(raw)) + place[~head], return_counts=True)
+            sums = np.bincount(np.repeat(np.arange(many), size + 2)[:-1], step, many) + np.bincount(at, inside[word[head]], many)
+            base = np.bincount(at, plain[word[head]], many) + end_base - (size + 1) * base_of
+            known_here = np.bincount(at, minlength=many) + (1 if texts else 0)
             row = batch.column("_rf_row")
-            none = pa.nulls(len(rare), pa.int64())
-            zero = np.zeros(len(rare))
             marks = pa.array([b" %d" % r for r in row.to_pylist()], pa.binary())
-            first = [marks, row, batch.column("doc"), pa.array(np.zeros(texts_here, np.int32)), pa.array(size + 1, pa.int64()), pa.array(known_here, pa.int64()), pa.array(base), pa.array(sums)]
-            yield pa.RecordBatch.from_arrays(first, names=NAMES)
+            none = [pa.nulls(many, t) for t in (pa.int64(), pa.int32(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([marks, row, *none, batch.column("doc"), pa.array(size + 1, pa.int64()), pa.array(known_here, pa.int64()), pa.array(base), pa.array(sums)], names=NAMES)
+            rare = np.flatnonzero(~head)
             if len(rare):
-                own = pa.array(rare // len(raw))
-                yield pa.RecordBatch.from_arrays([pa.array([raw[k] for k in (rare % len(raw)).tolist()], pa.binary()), row.take(own), none, pa.array(times, pa.int32()), *(pa.array(zero.astype(np.int64)) for _ in (0, 1)), pa.array(zero), pa.array(zero)], names=NAMES)
-
-    parts = rows.mapInArrow(run, "word binary, _rf_row long, doc long, tf int, n long, known long, base double, score double")
-    rest = counts.where(F.col("c") < least)
-    met = parts.join(rest, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    tf = F.col("tf").cast("long")
-    return met.groupBy("_rf_row").agg(
-        F.max("doc").alias(key),
-        F.sum("n").alias("n_tokens"),
-        F.sum(F.col("known") + F.when(F.col("c") > 0, tf).otherwise(0)).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        F.sum(F.col("base") + tf * F.log10(F.col("c") + 1.0)).alias("base_score"),
-        F.sum(F.col("score") + tf * F.log10(F.col("c") + F.lit(s.added))).alias("score"),
+                p = where[rare]
+                named = pa.DictionaryArray.from_arrays(pa.array(place[rare], pa.int32()), pa.array(raw, pa.binary())).cast(pa.binary())
+                none = [pa.nulls(len(rare), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                yield pa.RecordBatch.from_arrays([named, row.take(pa.array(doc_of[rare])), pa.array(p), pa.array(ks[p - 1], pa.int32()), pa.array(ks[p + 1], pa.int32()), *none], names=NAMES)
+
+    parts = rows.mapInArrow(run, "word binary, _rf_row long, at long, before int, after int, doc long, n long, known long, base double, score double")
+    met = parts.join(known.rare.where("word is not null"), "word", "left")
+    rare, k = F.col("at").isNotNull(), F.coalesce("k", F.lit(known.unseen))
+    steps, sizes_of = _literal(move), _literal(inner)
+    went = lambda a, b: F.when((a < m) & (b < m), F.get(steps, a * m + b)).otherwise(0.0)
+    c = F.coalesce("c", F.lit(0))
+    met = met.select(
+        "_rf_row",
+        "at",
+        F.when(rare, k).alias("k"),
+        F.coalesce(rare & (F.col("before") == s.open), F.lit(False)).alias("joins"),
+        "doc",
+        "n",
+        F.when(rare, (c > 0).cast("long")).otherwise(F.col("known")).alias("known"),
+        F.when(rare, F.log10(c + 1.0)).otherwise(F.col("base")).alias("base"),
+        F.when(rare, F.log10(c + F.lit(s.added)) - F.get(sizes_of, k) + went(F.col("before"), k) + went(k, F.col("after")) - F.when(F.col("after") < m, F.get(sizes_of, F.col("after"))).otherwise(0.0)).otherwise(F.col("score")).alias("score"),
+    )
+    more = [F.col(x) for x in ("doc", "n", "known", "base", "score")]
+    pairs = met.select("_rf_row", _in_a_row(met, *more).alias("p")).select("_rf_row", "p.*").repartition("_rf_row")
+    sums = [F.max("doc").alias("doc"), *[F.sum(x).alias(x) for x in ("n", "known", "base", "score")]]
+    of_pair = pairs.groupBy("_rf_row", "pair").agg(F.max("kl").alias("kl"), F.max("kr").alias("kr"), *sums)
+    step = F.when(F.col("kl").isNotNull() & F.col("kr").isNotNull(), F.get(steps, F.col("kl") * m + F.col("kr"))).otherwise(0.0)
+    out = held(
+        of_pair.groupBy("_rf_row").agg(
+            F.max("doc").alias(key),
+            F.sum("n").alias("n_tokens"),
+            F.sum("known").alias("n_known"),
+            F.lit(known.tokens).cast("long").alias("train_tokens"),
+            F.sum("base").alias("base_score"),
+            F.sum(F.coalesce("score", F.lit(0.0)) + step).alias("score"),
+        )
     )
+    dropped(known.rare)
+    return out
 
 
-NAMES = ["word", "_rf_row", "doc", "tf", "n", "known", "base", "score"]
+NAMES = ["word", "_rf_row", "at", "before", "after", "doc", "n", "known", "base", "score"]

@@ -403,7 +403,7 @@ def test_language_model(spark, docs, none):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert rows7
     train = df.where("doc_id % 3 != 1")
-    sizes = language_model.Sizes(heads=10, endings=8, classes=4, lexicon=20, rounds=4, buckets=4)
+    sizes = language_model.Sizes(heads=10, classes=4, lexicon=20, rounds=4, buckets=4)
     got = language_model.score(df, train, sizes=sizes).collect()
     texts = [t for d, t in rows if d is not None and d % 3 != 1]
     count = Counter(w for t in texts for w in (t or "").split())
@@ -447,41 +447,102 @@ def test_exchange_moves_are_best():
         assert moved[many[u]] == pytest.approx(max(moved)) and language_model.best_class(n, of[u], right[u], left[u], own[u], 4) == many[u]
 
 
-def test_language_model_is_a_distribution(spark):
-    """Transitions sum to one, and so do the words of a class with one unseen word; scores of whole texts follow from both, word by word."""
+def _class_pairs(texts, of, k, end):
+    import numpy as np
+
+    n = np.zeros((k, k))
+    for t in texts:
+        at = end
+        for w in [*t.split(), None]:
+            to = end if w is None else of[w]
+            n[at, to] += 1
+            at = to
+    return n
+
+
+def test_exchange_against_plain_exchange():
+    """The same classes as moving one unit after the other with the whole likelihood reckoned anew for each class."""
+    import numpy as np
+
+    r = np.random.default_rng(8)
+    pairs = r.poisson(r.gamma(0.4, 6, (14, 14))).astype(float)
+    sizes = language_model.Sizes(heads=12, classes=3, rounds=20)
+
+    def total(of):
+        n = np.zeros((5, 5))
+        np.add.at(n, (of[:, None], of[None, :]), pairs)
+        return language_model.likelihood(n)
+
+    of = np.arange(14) % 3
+    of[-2:] = 4, 3
+    for _ in range(20):
+        old = of.copy()
+        for u in range(12):
+            tried = []
+            for to in range(3):
+                other = of.copy()
+                other[u] = to
+                tried.append(total(other))
+            if max(tried) > tried[of[u]] + 1e-7:
+                of[u] = int(np.argmax(tried))
+        if (old == of).all():
+            break
+    assert language_model.exchange(pairs, sizes).tolist() == of.tolist()
+
+
+@pytest.mark.parametrize("lexicon", [6, 20])
+def test_language_model_is_a_distribution(spark, lexicon):
+    """Every word has the class that is best for its own neighbours, bigrams by class are those of plain counting, transitions and the words of a class sum to one, and scores follow word by word."""
     import numpy as np
 
     r = random.Random(12)
-    texts = [" ".join(r.choice("the a cat dog runs sleeps".split()) for _ in range(r.randrange(1, 9))) for _ in range(80)]
-    sizes = language_model.Sizes(heads=3, endings=4, classes=3, lexicon=6, rounds=4, refine=3, buckets=4)
-    seen: list = []
-    real = language_model.probabilities
-    language_model.probabilities = lambda *a: seen.append(a) or real(*a)
-    real_refine, found = language_model.refine, []
-    language_model.refine = lambda *a: found.append(real_refine(*a)) or found[-1]
+    texts = [" ".join(r.choice("the a cat dog runs sleeps".split() + [f"rare{r.randrange(12)}"]) for _ in range(r.randrange(1, 9))) for _ in range(80)]
+    sizes = language_model.Sizes(heads=3, classes=3, lexicon=lexicon, rounds=4, refine=3, buckets=4)
+    asked = [*texts[:20], "cat cat", "the", "", "zzz the", "dog zzz zzz rare1 rare2 the", "rare3"]
+    train = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    known: list = []
+    real, language_model.dropped = language_model.dropped, lambda *a: None
+    real_learn, language_model.learn = language_model.learn, lambda *a: known.append(real_learn(*a)) or known[-1]
     try:
-        asked = [*texts[:20], "cat cat", "the", "", "zzz the", "dog zzz zzz"]
-        train = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-        got = {x.doc_id: x.score for x in language_model.score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), train, sizes=sizes).collect()}
+        scored = language_model.score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), train, sizes=sizes)
+        got = {x.doc_id: x.score for x in scored.collect()}
     finally:
-        language_model.probabilities, language_model.refine = real, real_refine
-    n, kinds, _ = seen[0]
-    move, inner = real(n, kinds, sizes)
-    assert np.allclose((10**move).sum(1), 1)
+        language_model.dropped, language_model.learn = real, real_learn
+    m = known[0]
     count = Counter(w for t in texts for w in t.split())
-    lexicon = sorted(count, key=lambda w: (-count[w], w.encode()))
-    classes = found[0][0]
-    of = {w: classes[k] for k, w in enumerate(lexicon)}
-    for k in range(sizes.classes):
-        own = [w for w in lexicon if of[w] == k]
-        assert kinds[k] == len(own) and sum(count[w] + sizes.added for w in own) + sizes.added == pytest.approx(10 ** inner[k])
+    of = {w.decode(): int(c) for w, c in zip(m.words, m.classes[: len(m.words)], strict=True)}
+    rare = {x.word.decode(): x for x in m.rare.where("word is not null").collect()}
+    assert not set(of) & set(rare) and set(of) | set(rare) == set(count) and all(x.c == count[w] for w, x in rare.items())
+    assert len(rare) > 4 or lexicon == 20, (len(rare), len(of), count)
+    assert all(0 <= k < 3 for k in of.values())
+    # a rare word's class, by the whole likelihood
+    first, of_lexicon = _class_pairs(texts, {w: of.get(w, 4) for w in count}, 5, 3)[:4, :4], dict(of)
+    for w, x in rare.items():
+        beside = []
+        for t in texts:
+            line = [3, *("w" if v == w else of_lexicon.get(v, 4) for v in t.split()), 3]
+            beside += [(a, b) for a, b in zip(line, line[1:], strict=False) if ("w" in (a, b)) and 4 not in (a, b) and a != b]
+        tried = []
+        for to in range(3):
+            n = first.copy()
+            for a, b in beside:
+                n[to if a == "w" else a, to if b == "w" else b] += 1
+            tried.append(language_model.likelihood(n))
+        assert not beside or tried[x.k] == pytest.approx(max(tried), abs=1e-7)
+        of[w] = x.k
+    assert np.array_equal(m.n, _class_pairs(texts, of, 4, 3))
+    move, inner = language_model.probabilities(m.n, m.kinds, sizes)
+    assert np.allclose((10**move).sum(1), 1)
+    for k in range(3):
+        own = [w for w in count if of[w] == k]
+        assert sum(count[w] + sizes.added for w in own) + sizes.added * (k == m.unseen) == pytest.approx(10 ** inner[k] if own or k == m.unseen else 0)
     for d, t in enumerate(asked):
-        at, total = sizes.classes, 0.0
+        at, total = 3, 0.0
         for w in t.split():
-            k = of[w] if w in of else classes[len(lexicon) + language_model._ending(w.encode(), sizes)]
+            k = of.get(w, m.unseen)
             total += move[at, k] + math.log10(count[w] + sizes.added) - inner[k]
             at = k
-        assert got[d] == pytest.approx(total + move[at, sizes.classes])
+        assert got[d] == pytest.approx(total + move[at, 3])
 
 
 def test_exact_dedup(spark, docs, none):
