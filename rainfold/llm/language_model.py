@@ -2,13 +2,13 @@
 
 P(w | previous) = P(class of w | class of the previous token) * P(w | class of w).
 
-Every word that occurs in training has a class of its own choice, by exchange in three steps. First the
+Every word that occurs at least twice in training has a class of its own choice, by exchange in three steps. First the
 most frequent words (``heads``) move one after the other between classes as long as the likelihood of the class bigrams rises; the
 executors sum their bigrams, a matrix of fixed size is all that the driver sees. Then every word of the lexicon moves: the executors hold the
 lexicon's bigrams, dealt by word, and find the best class of each word from its own neighbours; only class by class counts come together. Then
 each rarer word, however many there are, takes the best class for its own neighbours in a grouped aggregation by word. Until a word has moved it
-stands in a provisional class that all such words share and that no word keeps.
-A word that training doesn't hold has the class that holds most of the words seen once.
+stands in a class that all such words share. Words seen once, which have too few neighbours to choose, stay there. That class is also that of the words that training
+doesn't hold: its transitions are those of words seen once, who leave half of their probability to all unseen words together, as one more word.
 """
 
 from __future__ import annotations
@@ -28,11 +28,12 @@ from .common import dropped, held, numbered, slices, stored, word_codes
 
 @dataclass(frozen=True)
 class Sizes:
-    """heads: words of the first exchange; lexicon: words whose classes and counts each task has (those of rarer words are joined); rounds: of the first exchange at most; refine: rounds over the lexicon, two at least."""
+    """heads: words of the first exchange; lexicon: words whose classes and counts each task has (those of rarer words are joined); chooses: occurrences from which on a word has a class of its own choice; rounds: of the first exchange at most; refine: rounds over the lexicon, two at least."""
 
     heads: int = 1000
     classes: int = 48
     lexicon: int = 60_000
+    chooses: int = 2
     rounds: int = 12
     refine: int = 4
     buckets: int = 256
@@ -46,7 +47,7 @@ class Sizes:
 
     @property
     def open(self) -> int:
-        """The provisional class."""
+        """The class of words that haven't chosen one: provisional, and for good of those seen too rarely or never."""
         return self.classes + 1
 
 
@@ -333,9 +334,9 @@ def joined_classes(n: np.ndarray, right: tuple, left: tuple, many: int, free: in
 
 
 def rare_classes(seen: DataFrame, classes: np.ndarray, n: np.ndarray, sizes: Sizes) -> DataFrame:
-    """(word, k, c), stored: class and count of each word beyond the lexicon; rows without a word are bigrams of such words with all others, k being before * (classes + 1) + after.
+    """(word, k, c), stored: class and count of each word beyond the lexicon; rows without a word are bigrams of such words with all others, k being before * (classes + 2) + after.
 
-    A word takes the class that is best for its own neighbours that have classes. A word that only ever stands beside other such words takes the
+    A word seen at least ``chooses`` times takes the class that is best for its own neighbours that have classes. A word that only ever stands beside other such words takes the
     class that is best for the neighbours of all of them together. Neighbours are counted by class before they
     meet, so a word's row is never longer than the square of the number of classes.
     """
@@ -352,7 +353,7 @@ def rare_classes(seen: DataFrame, classes: np.ndarray, n: np.ndarray, sizes: Siz
             yield pa.record_batch([batch.column("word"), pa.array(cell, pa.int32())], names=["word", "cell"])
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, total = known.value[1], np.zeros((m, m))
+        now, total = known.value[1], np.zeros((k, k))
         for batch in batches:
             for i in range(0, batch.num_rows, 2048):
                 part = batch.slice(i, 2048)
@@ -369,10 +370,11 @@ def rare_classes(seen: DataFrame, classes: np.ndarray, n: np.ndarray, sizes: Siz
                 for w, _, _ in sides:
                     alone[w] = False
                 to[alone] = usual
+                to[part.column("c").to_numpy() < sizes.chooses] = sizes.open
                 for turned, (w, of, c) in zip((total, total.T), sides, strict=True):
                     np.add.at(turned, (to[w], of), c)
                 yield pa.record_batch([part.column("word"), pa.array(to, pa.int32()), part.column("c")], names=["word", "k", "c"])
-        yield pa.record_batch([pa.nulls(m * m, pa.binary()), pa.array(np.arange(m * m), pa.int32()), pa.array(total.ravel().astype(np.int64))], names=["word", "k", "c"])
+        yield pa.record_batch([pa.nulls(k * k, pa.binary()), pa.array(np.arange(k * k), pa.int32()), pa.array(total.ravel().astype(np.int64))], names=["word", "k", "c"])
 
     rare = seen.where("word is not null").select("word", "before", "after").mapInArrow(beside, "word binary, cell int")
     cells = rare.repartition("word").groupBy("word", "cell").agg(F.count("*").alias("n"))
@@ -394,21 +396,22 @@ def _literal(values: np.ndarray) -> Column:
 
 
 def probabilities(n: np.ndarray, kinds: np.ndarray, s: Sizes) -> tuple[np.ndarray, np.ndarray]:
-    """log10 of the class transitions, and of what the counts of a class's words, plus ``added``, are divided by.
+    """log10 of the class transitions, and of what the weights of a class's words are divided by.
 
-    Transitions are smoothed by the share of each class; ``kinds``: the words of each class, of one class with an unseen word. The last class is the end alone.
+    Transitions are smoothed by the share of each class. ``kinds``: the words of each class; each weighs its count and ``added``. In the open class a word weighs half
+    of its count, and the unseen word half of them all, and one. The end is alone in its class.
     """
     into, out = n.sum(0), n.sum(1)
     prior = (into + 1) / (into.sum() + len(into))
     move = np.log10((n + s.backed * prior) / (out + s.backed)[:, None])
     inner = np.log10(np.maximum(into + s.added * kinds, 1e-300))
-    inner[s.end] = 0.0
+    inner[s.end], inner[s.open] = 0.0, np.log10(into[s.open] + 1)
     return move, inner
 
 
 @dataclass(frozen=True)
 class Model:
-    """words, counts, classes: of the lexicon; rare: the stored table of all other words (word, k, c); n: bigrams by class; kinds: words of each class, with the unseen one, whose class is ``unseen``."""
+    """words, counts, classes: of the lexicon; rare: the stored table of all other words (word, k, c); n: bigrams by class; kinds: words of each class."""
 
     words: list[bytes]
     counts: np.ndarray
@@ -416,7 +419,6 @@ class Model:
     rare: DataFrame
     n: np.ndarray
     kinds: np.ndarray
-    unseen: int
     tokens: int
     distinct: int
     texts: int
@@ -430,11 +432,11 @@ def learn(train: DataFrame, text: str = "text", sizes: Sizes | None = None) -> M
     kinds, running = counts.agg(F.count("*"), F.sum("c")).first()
     texts = train.count()
     # words that occur at least ``least`` times are the lexicon; there are as many counts as there are kinds of frequency
-    least, room = 1, s.lexicon
+    least, room = s.chooses, s.lexicon
     for r in counts.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).limit(s.lexicon + 1).collect():
         room -= r["n"]
         if room < 0:
-            least = r["c"] + 1
+            least = max(least, r["c"] + 1)
             break
     frequent = counts.where(F.col("c") >= least).orderBy(F.desc("c"), "word").toArrow()
     names, of_name = frequent.column("word").to_pylist(), frequent.column("c").to_numpy()
@@ -444,8 +446,8 @@ def learn(train: DataFrame, text: str = "text", sizes: Sizes | None = None) -> M
     coarse = coarse_units(many, s)
     classes, n = refine(bigrams, exchange(coarse_bigrams(bigrams, coarse), s)[coarse], s)
     rare = rare_classes(seen, classes, n, s)
-    k = s.classes + 1
-    total = n[:k, :k].copy()
+    k, total = s.classes + 2, n.copy()
+    total[s.open], total[:, s.open] = 0, 0  # bigrams of rare words follow with their classes
     words = rare.where("word is not null")
     for r in rare.where("word is null").groupBy("k").agg(F.sum("c").alias("c")).collect():
         total[r["k"] // k, r["k"] % k] += r["c"]
@@ -455,14 +457,11 @@ def learn(train: DataFrame, text: str = "text", sizes: Sizes | None = None) -> M
     ends = met.select(_in_a_row(met).alias("p")).select("p.*").groupBy("pair").agg(F.max("kl").alias("kl"), F.max("kr").alias("kr"))
     for r in ends.where("kl is not null and kr is not null").groupBy("kl", "kr").count().collect():
         total[r["kl"], r["kr"]] += r["count"]
-    own, once = np.bincount(classes[:many], minlength=k).astype(float), np.bincount(classes[:many][of_name == 1], minlength=k)
-    for r in words.groupBy("k").agg(F.count("*").alias("n"), F.count_if(F.col("c") == 1).alias("once")).collect():
-        own[r["k"]] += r["n"]
-        once[r["k"]] += r["once"]
-    unseen = int(np.argmax(once[: s.classes]))
-    own[unseen] += 1
+    own = np.bincount(classes[:many], minlength=k).astype(float)
+    for r in words.groupBy("k").count().collect():
+        own[r["k"]] += r["count"]
     dropped(counts, seen, bigrams)
-    return Model(names, of_name, classes, rare, total, own, unseen, (running or 0) + texts, kinds + (1 if texts else 0), texts)
+    return Model(names, of_name, classes, rare, total, own, (running or 0) + texts, kinds + (1 if texts else 0), texts)
 
 
 def score(df: DataFrame, train: DataFrame, text: str = "text", key: str = "doc_id", sizes: Sizes | None = None) -> DataFrame:
@@ -477,7 +476,7 @@ def score(df: DataFrame, train: DataFrame, text: str = "text", key: str = "doc_i
     known = learn(train, text, s)
     rows = numbered(df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("_text")), "_rf_row")
     move, inner = probabilities(known.n, known.kinds, s)
-    base_of, texts, m = np.log10(known.tokens + known.distinct + 1), known.texts, s.classes + 1
+    base_of, texts, m = np.log10(known.tokens + known.distinct + 1), known.texts, s.classes + 2
     model = df.sparkSession.sparkContext.broadcast((known.words, known.counts, known.classes[: len(known.words)], move, inner))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -485,7 +484,7 @@ def score(df: DataFrame, train: DataFrame, text: str = "text", key: str = "doc_i
         get = {w: k for k, w in enumerate(words)}.get
         plain, inside = np.log10(c + 1.0), np.log10(c + s.added)
         end, other, end_base = s.end, len(words), np.log10(texts + 1)
-        kind_of = np.append(class_of, s.open)
+        kind_of = np.append(class_of, m)
         wide = np.zeros((m + 1, m + 1))  # steps from and to rare words are taken after the join
         wide[:m, :m] = move - inner
         for batch in slices(batches, "_text", 1_000_000):
@@ -518,20 +517,21 @@ def score(df: DataFrame, train: DataFrame, text: str = "text", key: str = "doc_i
 
     parts = rows.mapInArrow(run, "word binary, _rf_row long, at long, before int, after int, doc long, n long, known long, base double, score double")
     met = parts.join(known.rare.where("word is not null"), "word", "left")
-    rare, k = F.col("at").isNotNull(), F.coalesce("k", F.lit(known.unseen))
+    rare, k = F.col("at").isNotNull(), F.coalesce("k", F.lit(s.open))
     steps, sizes_of = _literal(move), _literal(inner)
     went = lambda a, b: F.when((a < m) & (b < m), F.get(steps, a * m + b)).otherwise(0.0)
     c = F.coalesce("c", F.lit(0))
+    weight = F.when(k < s.open, c + s.added).when(c > 0, c / 2).otherwise(float(known.n[:, s.open].sum()) / 2 + 1)
     met = met.select(
         "_rf_row",
         "at",
         F.when(rare, k).alias("k"),
-        F.coalesce(rare & (F.col("before") == s.open), F.lit(False)).alias("joins"),
+        F.coalesce(rare & (F.col("before") == m), F.lit(False)).alias("joins"),
         "doc",
         "n",
         F.when(rare, (c > 0).cast("long")).otherwise(F.col("known")).alias("known"),
         F.when(rare, F.log10(c + 1.0)).otherwise(F.col("base")).alias("base"),
-        F.when(rare, F.log10(c + F.lit(s.added)) - F.get(sizes_of, k) + went(F.col("before"), k) + went(k, F.col("after")) - F.when(F.col("after") < m, F.get(sizes_of, F.col("after"))).otherwise(0.0)).otherwise(F.col("score")).alias("score"),
+        F.when(rare, F.log10(weight) - F.get(sizes_of, k) + went(F.col("before"), k) + went(k, F.col("after")) - F.when(F.col("after") < m, F.get(sizes_of, F.col("after"))).otherwise(0.0)).otherwise(F.col("score")).alias("score"),
     )
     more = [F.col(x) for x in ("doc", "n", "known", "base", "score")]
     pairs = met.select("_rf_row", _in_a_row(met, *more).alias("p")).select("_rf_row", "p.*").repartition("_rf_row")
