@@ -43,13 +43,14 @@ class ByteBPE:
 
     The split pattern never joins what stands on both sides of a blank before a word,
     so chunks between those places are independent. Each chunk is coded once and its ids
-    lie in one table; texts are lists of places in that table, which numpy gathers.
+    lie in one table; texts are lists of places in that table, which numpy gathers. Chunks stay in
+    Arrow arrays, from the split to the call that codes new ones: none becomes a Python object.
     The merges of a chunk run in tiktoken, with the ranks that the file gives; a file
     whose ids aren't in the order of its merges raises ValueError. ``memo``: chunks that the table
     holds before it is begun anew.
     """
 
-    def __init__(self, spec: str, memo: int = 300_000):
+    def __init__(self, spec: str, memo: int = 600_000):
         import json
 
         import tiktoken
@@ -67,19 +68,24 @@ class ByteBPE:
         self.feed = self.coder.encode_single_token("\n")
         self.chunks = _Chunks()
 
-    def _places(self, keys: list[str]) -> np.ndarray:
+    def _places(self, keys: pa.Array) -> np.ndarray:
         """Where the chunks lie in the table: a blank and a word, a line feed and a word, or, behind a zero character, what no blank precedes.
 
         New ones are coded in one call, each in a line of its own, which no chunk shares with another.
         """
-        at = self.chunks
-        new = [k for k in keys if k not in at]
-        if new:
-            lines = [k[1:] if k[0] in "\0\n" else " " + k for k in new]
-            ids = np.array(self.coder.encode_ordinary("".join([f"{x}\n" for x in lines])), np.uint32)
-            close = np.flatnonzero(ids == self.feed)
-            at.add(new, ids, close)
-        return np.fromiter(map(at.__getitem__, keys), np.int64, len(keys))
+        at = pc.index_in(keys, value_set=self.chunks.keys)
+        if not at.null_count:
+            return at.to_numpy()
+        unknown = pc.is_null(at)
+        new = keys.filter(unknown)
+        fed = pc.starts_with(new, "\n")
+        blank = pc.if_else(pc.or_(fed, pc.starts_with(new, "\0")), "", " ")
+        lines = pc.binary_join_element_wise(blank, pc.replace_substring_regex(new, r"^[\x00\n]", ""), "\n", "")
+        upto = np.frombuffer(lines.buffers()[1], np.int32)[lines.offset : lines.offset + len(lines) + 1]
+        ids = self.coder.encode_to_numpy(lines.buffers()[2][upto[0] : upto[-1]].to_pybytes().decode(), disallowed_special=())
+        place = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+        place[unknown.to_numpy(zero_copy_only=False)] = self.chunks.add(new, ids, np.flatnonzero(ids == self.feed), fed.to_numpy(zero_copy_only=False))
+        return place
 
     def _odd(self, text: str) -> list[int]:
         if SPECIAL in text or "\0" in text:  # the special token's string is a token by itself, wherever it stands
@@ -88,14 +94,14 @@ class ByteBPE:
 
     def encode_all(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one behind the other, each followed by ``end_id``, and where each text ends. Null counts as empty."""
-        if len(self.chunks) > self.memo:
+        if len(self.chunks.keys) > self.memo:
             self.chunks = _Chunks()
         texts = pc.fill_null(texts.cast(pa.string()), "")
         odd = pc.match_substring_regex(texts, ODD)
         plain = pc.replace_substring(pc.binary_join_element_wise("\0", pc.if_else(odd, "", texts), ""), "\n", " \n")
         words = pc.split_pattern(pc.replace_substring_regex(plain, MARK, "\\1 \0\\2\\3"), " ")
         known = words.flatten().dictionary_encode()
-        place = self._places(known.dictionary.to_pylist())[known.indices.to_numpy()]
+        place = self._places(known.dictionary)[known.indices.to_numpy()]
         upto = words.offsets.to_numpy() - words.offsets[0].as_py()
         own = [np.array(self._odd(t), np.uint32) if o else None for t, o in zip(texts.to_pylist(), odd.to_pylist(), strict=True)] if pc.any(odd).as_py() else []
         flat, start, sizes = self.chunks.ids, self.chunks.start, self.chunks.size[place]
@@ -113,22 +119,22 @@ class ByteBPE:
         return self.encode_all(pa.array([text], pa.string()), 0)[0][:-1].tolist()
 
 
-class _Chunks(dict):
-    """Place of each chunk in a table of ids; the empty text's is 0."""
+class _Chunks:
+    """The chunks of a table of ids, and where each one's ids lie; the empty text's place is 0."""
 
     def __init__(self):
-        super().__init__({"\0": 0})
+        self.keys = pa.array(["\0"], pa.string())
         self.ids, self.start, self.size = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
-    def add(self, keys: list[str], ids: np.ndarray, close: np.ndarray) -> None:
-        """Chunks whose ids end before the line feeds at ``close``; that of a key with a line feed begins with the one before it."""
+    def add(self, keys: pa.Array, ids: np.ndarray, close: np.ndarray, fed: np.ndarray) -> np.ndarray:
+        """The places of new chunks, whose ids end before the line feeds at ``close``; that of a key with a line feed (``fed``) begins with the one before it."""
         start = np.concatenate([[0], close[:-1] + 1])
-        own = np.array([k[0] == "\n" for k in keys])
-        feed = np.full(1, ids[close[0]], ids.dtype)
-        self.update(zip(keys, range(len(self), len(self) + len(keys)), strict=True))
-        self.start = np.concatenate([self.start, len(self.ids) + start + 1 - own])
-        self.size = np.concatenate([self.size, close - start + own])
-        self.ids = np.concatenate([self.ids, feed, ids])
+        place = np.arange(len(self.keys), len(self.keys) + len(keys))
+        self.keys = pa.concat_arrays([self.keys, keys])
+        self.start = np.concatenate([self.start, len(self.ids) + start + 1 - fed])
+        self.size = np.concatenate([self.size, close - start + fed])
+        self.ids = np.concatenate([self.ids, ids[close[:1]], ids])
+        return place
 
 
 _TOKENIZERS: dict[str, ByteBPE] = {}
@@ -353,7 +359,7 @@ def pack(df: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokenizer(spec.value)
-        for batch in slices(batches, "_text", 4_000_000):
+        for batch in slices(batches, "_text", 8_000_000):
             flat, ends = coder.encode_all(batch.column("_text"), end_id)
             wide = max(end_id, coder.coder.max_token_value, coder.tokenizer.get_vocab_size()) > 0xFFFF
             flat = flat.astype("<u4" if wide else "<u2")

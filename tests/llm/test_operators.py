@@ -678,6 +678,24 @@ def test_packing(spark, docs, none):
     assert packing.pack(docs, BYTES).count() >= docs.count() and packing.pack(none, BYTES).count() == 0
 
 
+def test_packing_codes_without_an_object_for_each_chunk():
+    import sys
+
+    import numpy as np
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    spec = open(BYTES, encoding="utf-8").read()
+    lib, coder = Tokenizer.from_str(spec), packing.ByteBPE(spec, memo=30_000)
+    for turn in range(3):  # the second turn meets chunks again, the third one a table begun anew
+        texts = [None, "", *(" ".join(f"wörd{turn // 2}q{i}x{k}, it's\nW{k}." for k in range(40)) for i in range(500)), "a\x00 b  c"]
+        arrow, before = pa.array(texts, pa.string()), sys.getallocatedblocks()
+        ids, ends = coder.encode_all(arrow, 1)
+        assert sys.getallocatedblocks() - before < 10_000  # over 20 000 distinct chunks
+        want = [[*lib.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+        assert ids.tolist() == [x for w in want for x in w] and ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
+
+
 def test_packing_prefers_neighbours():
     import numpy as np
 
