@@ -65,16 +65,22 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def word_codes(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """All words of some texts, A-Z in lower case: their places in a list of distinct words, that list, and how many words there are up to each text's end."""
+def word_places(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """All words of some texts, A-Z in lower case: their places among the distinct words, these, and how many words there are up to each text's end."""
     words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
     known = words.flatten().dictionary_encode()
-    names, place = known.dictionary.cast(pa.binary()).to_pylist(), known.indices.to_numpy()
-    real = np.fromiter((w != b"" for w in names), bool, len(names))[place]  # blanks at the ends of a text leave empty words
+    names, place = known.dictionary.cast(pa.binary()), known.indices.to_numpy()
+    real = pc.not_equal(names, b"").to_numpy(zero_copy_only=False)[place]  # blanks at the ends of a text leave empty words
     before = np.concatenate([[0], np.cumsum(real)])
     return place[real], names, before[words.offsets.to_numpy()[1:] - words.offsets[0].as_py()]
 
 
+def word_codes(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """word_places with the distinct words as a list."""
+    place, names, upto = word_places(texts)
+    return place, names.to_pylist(), upto
+
+
 def mapped(df: DataFrame, source: str, made: dict[str, str], make) -> DataFrame:
     """The columns of ``df`` that don't have one of the new names (``made``: name and type) in either case, then the new ones.
 

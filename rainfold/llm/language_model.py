@@ -13,17 +13,17 @@ doesn't hold: its transitions are those of words seen once, who leave half of th
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, held, numbered, slices, stored, word_codes
+from .common import dropped, held, numbered, slices, stored, word_places
 
 
 @dataclass(frozen=True)
@@ -60,18 +60,21 @@ def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """(word, c): how often each word occurs, A-Z in lower case. Tasks add up what they read before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            return pa.record_batch([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "c"])
-
-        for batch in slices(batches, text):
-            for t in batch.column(text).to_pylist():
-                found.update((t or "").encode().lower().split())
-            if len(found) > 500_000:
-                yield flush()
-                found.clear()
-        yield flush()
+        kept: list[pa.Table] = []
+
+        def summed() -> pa.Table:
+            return pa.concat_tables(kept).group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns(["word", "c"])
+
+        for batch in slices(batches, text, 4_000_000):
+            place, names, _ = word_places(batch.column(text))
+            c = np.bincount(place, minlength=len(names))
+            kept.append(pa.table({"word": names, "c": c}).filter(pa.array(c > 0)))
+            if sum(x.num_rows for x in kept) > 1_000_000:
+                kept[:] = [summed()]
+                if kept[0].num_rows > 500_000:
+                    yield from kept.pop().to_batches()
+        if kept:
+            yield from summed().to_batches()
 
     return df.select(text).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -87,6 +90,11 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
 
 
+def _units(names: pa.Array, lexicon: pa.Array) -> np.ndarray:
+    """The place of each name in the lexicon; its length for all others."""
+    return pc.fill_null(pc.index_in(names, value_set=lexicon), len(lexicon)).to_numpy().astype(np.int64)
+
+
 def observed(df: DataFrame, lexicon, sizes: Sizes, text: str) -> DataFrame:
     """A scan's rows of two kinds, stored: bigrams (bucket, keys, counts) and occurrences of words beyond the lexicon (word, before, after, at).
 
@@ -96,9 +104,9 @@ def observed(df: DataFrame, lexicon, sizes: Sizes, text: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {w: k for k, w in enumerate(lexicon.value)}
+        known = lexicon.value
         other = len(known)
-        end, n, get = other + 1, other + 2, known.get
+        end, n = other + 1, other + 2
         at = TaskContext.get().partitionId() << 40
         kept: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -116,15 +124,15 @@ def observed(df: DataFrame, lexicon, sizes: Sizes, text: str) -> DataFrame:
                     yield pa.record_batch([pa.array(ks, pa.int32()), *blobs, *empty], names=["bucket", "keys", "counts", "word", "before", "after", "at"])
 
         for batch in slices(batches, text, 1_000_000):
-            place, names, upto = word_codes(batch.column(text))
-            units = np.fromiter((get(w, other) for w in names), np.int64, len(names))
+            place, names, upto = word_places(batch.column(text))
+            units = _units(names, known)
             a = np.full(len(place) + len(upto) + 1, end, np.int64)  # ends stand before, between and behind the texts
             where = np.arange(len(place)) + np.repeat(np.arange(len(upto)), np.diff(upto, prepend=0)) + 1
             a[where] = units[place]
             kept.append(np.unique(a[:-1] * n + a[1:], return_counts=True))
             rare = np.flatnonzero(a[where] == other)
             p = where[rare]
-            words = pa.DictionaryArray.from_arrays(pa.array(place[rare], pa.int32()), pa.array(names, pa.binary())).cast(pa.binary())
+            words = names.take(pa.array(place[rare]))
             empty = [pa.nulls(len(rare), t) for t in (pa.int32(), pa.binary(), pa.binary())]
             yield pa.record_batch([*empty, words, pa.array(a[p - 1], pa.int32()), pa.array(a[p + 1], pa.int32()), pa.array(at + p)], names=["bucket", "keys", "counts", "word", "before", "after", "at"])
             at += len(a) + 1
@@ -441,7 +449,7 @@ def learn(train: DataFrame, text: str = "text", sizes: Sizes | None = None) -> M
     frequent = counts.where(F.col("c") >= least).orderBy(F.desc("c"), "word").toArrow()
     names, of_name = frequent.column("word").to_pylist(), frequent.column("c").to_numpy()
     many = len(names)
-    seen = observed(train, spark.sparkContext.broadcast(names), s, text)
+    seen = observed(train, spark.sparkContext.broadcast(pa.array(names, pa.binary())), s, text)
     bigrams = stored(word_bigrams(seen))
     coarse = coarse_units(many, s)
     classes, n = refine(bigrams, exchange(coarse_bigrams(bigrams, coarse), s)[coarse], s)
@@ -477,22 +485,21 @@ def score(df: DataFrame, train: DataFrame, text: str = "text", key: str = "doc_i
     rows = numbered(df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("_text")), "_rf_row")
     move, inner = probabilities(known.n, known.kinds, s)
     base_of, texts, m = np.log10(known.tokens + known.distinct + 1), known.texts, s.classes + 2
-    model = df.sparkSession.sparkContext.broadcast((known.words, known.counts, known.classes[: len(known.words)], move, inner))
+    model = df.sparkSession.sparkContext.broadcast((pa.array(known.words, pa.binary()), known.counts, known.classes[: len(known.words)], move, inner))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, c, class_of, move, inner = model.value
-        get = {w: k for k, w in enumerate(words)}.get
         plain, inside = np.log10(c + 1.0), np.log10(c + s.added)
         end, other, end_base = s.end, len(words), np.log10(texts + 1)
         kind_of = np.append(class_of, m)
         wide = np.zeros((m + 1, m + 1))  # steps from and to rare words are taken after the join
         wide[:m, :m] = move - inner
         for batch in slices(batches, "_text", 1_000_000):
-            place, raw, upto = word_codes(batch.column("_text"))
+            place, raw, upto = word_places(batch.column("_text"))
             many = len(upto)
             size = np.diff(upto, prepend=0)
             doc_of = np.repeat(np.arange(many), size)
-            word = np.fromiter((get(w, other) for w in raw), np.int64, len(raw))[place]
+            word = _units(raw, words)[place]
             # ends before and behind each text
             ks = np.full(len(place) + 2 * many, end, np.int64)
             where = np.arange(len(place)) + 2 * doc_of + 1
@@ -511,7 +518,7 @@ def score(df: DataFrame, train: DataFrame, text: str = "text", key: str = "doc_i
             rare = np.flatnonzero(~head)
             if len(rare):
                 p = where[rare]
-                named = pa.DictionaryArray.from_arrays(pa.array(place[rare], pa.int32()), pa.array(raw, pa.binary())).cast(pa.binary())
+                named = raw.take(pa.array(place[rare]))
                 none = [pa.nulls(len(rare), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
                 yield pa.RecordBatch.from_arrays([named, row.take(pa.array(doc_of[rare])), pa.array(p), pa.array(ks[p - 1], pa.int32()), pa.array(ks[p + 1], pa.int32()), *none], names=NAMES)
 

@@ -490,6 +490,43 @@ def test_exchange_against_plain_exchange():
     assert language_model.exchange(pairs, sizes).tolist() == of.tolist()
 
 
+def test_language_model_scans_without_an_object_for_each_word(spark, monkeypatch):
+    import sys
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    class Scan:
+        def select(self, *_):
+            return self
+
+        groupBy = agg = select
+
+        def mapInArrow(self, run, _):
+            self.run = run
+            return self
+
+    monkeypatch.setattr(language_model, "stored", lambda df: df)
+    monkeypatch.setattr(language_model, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    texts = [None, "", " \n ", *(" ".join(f"The W{i}x{k}" for k in range(40)) for i in range(1000))]
+    batches = [pa.record_batch([pa.array(texts[i : i + 100], pa.string())], names=["text"]) for i in range(0, len(texts), 100)]
+    lexicon = SimpleNamespace(value=pa.array([b"the"] + [f"w{i}x0".encode() for i in range(1000)], pa.binary()))
+
+    def made(scan):
+        before, out, most = sys.getallocatedblocks(), [], 0
+        for batch in scan.run(iter(batches)):
+            out.append(batch)
+            most = max(most, sys.getallocatedblocks() - before)
+        assert most < 15_000  # over 40 000 distinct words
+        return pa.Table.from_batches(out).to_pylist()
+
+    want = Counter(w for t in texts for w in (t or "").encode().lower().split())
+    assert Counter({r["word"]: r["c"] for r in made(language_model.word_counts(Scan()))}) == want
+    rare = [r["word"] for r in made(language_model.observed(Scan(), lexicon, language_model.Sizes(buckets=8), "text")) if r["word"]]
+    known = set(lexicon.value.to_pylist())
+    assert Counter(rare) == Counter({w: c for w, c in want.items() if w not in known})
+
+
 @pytest.mark.parametrize("lexicon", [6, 20])
 def test_language_model_is_a_distribution(spark, lexicon):
     """Every word has the class that is best for its own neighbours, bigrams by class are those of plain counting, transitions and the words of a class sum to one, and scores follow word by word."""
