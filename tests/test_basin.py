@@ -416,6 +416,35 @@ def test_semivariogram_over_blocks(spark, monkeypatch):
     assert got == {k: (pytest.approx(sum(d for d, _ in x) / len(x)), pytest.approx(sum(g for _, g in x) / len(x)), len(x)) for k, x in want.items()}
 
 
+def test_many_stations_at_few_places(spark, monkeypatch):
+    """However many stations lie at a place, only places meet, and kriging is the least-squares solution of the system of all stations."""
+    r = random.Random(5)
+    rows = [(k, float(k % 3), float(k // 3 % 4), s, float(r.randrange(50)) if r.random() > 0.1 else None) for k in range(60) for s in (1, 2)]
+    obs = spark.createDataFrame(rows, "station_id long, lon double, lat double, step int, value double")
+    seen = []
+    monkeypatch.setattr(interpolate, "checkpointed", lambda df: seen.append(storage.checkpointed(df)) or seen[-1])
+    lags = {(x.step, x.lag): (x.distance, x.gamma, x.n) for x in interpolate.semivariogram(obs, 4, geographic=False).collect()}
+    assert [x.count() for x in seen] == [12]
+    cells = spark.createDataFrame([(c, r.random() * 3, r.random() * 4) for c in range(20)], "cell_id long, lon double, lat double")
+    solved = {x.step: x for x in interpolate.solve_kriging(obs, geographic=False).collect()}
+    whole, near = ({(x.cell_id, x.step): x.value for x in interpolate.krige(obs, cells, geographic=False, nearest=n).collect()} for n in (None, 7))
+    for step in (1, 2):
+        here = [(k, x, y, v) for k, x, y, s, v in rows if s == step and v is not None]
+        pairs = [(math.dist(a[1:3], b[1:3]), (a[3] - b[3]) ** 2 / 2) for i, a in enumerate(here) for b in here[i + 1 :]]
+        most = max(d for d, _ in pairs)
+        for lag in range(1, 5):
+            own = [(d, g) for d, g in pairs if max(1, math.ceil(d / most * 4)) == lag]
+            assert lags[step, lag] == (pytest.approx(sum(d for d, _ in own) / len(own)), pytest.approx(sum(g for _, g in own) / len(own)), len(own))
+        m = solved[step]
+        gamma = lambda d, m=m: 0.0 if d == 0 else m.nugget + m.sill * (1.5 * min(d / m.span, 1) - 0.5 * min(d / m.span, 1) ** 3)
+        for c in cells.collect():
+            for got, chosen in ((whole, here), (near, sorted(here, key=lambda t, c=c: (math.dist((c.lon, c.lat), t[1:3]), t[0]))[:7])):
+                system = np.array([[gamma(math.dist(a[1:3], b[1:3])) for b in chosen] + [1.0] for a in chosen] + [[1.0] * len(chosen) + [0.0]])
+                dual = np.linalg.lstsq(system, np.array([v for *_, v in chosen] + [0.0]), rcond=1e-10)[0]
+                want = sum(gamma(math.dist((c.lon, c.lat), a[1:3])) * u for a, u in zip(chosen, dual, strict=False)) + dual[-1]
+                assert got[c.cell_id, step] == pytest.approx(max(0.0, want), abs=1e-6)
+
+
 def test_fit(spark):
     df = spark.createDataFrame([("a", 1.0, 1.0), ("a", 2.0, 2.5), ("a", 4.0, 3.5), ("a", None, 1.0), ("b", 1.0, 3.0), ("b", 1.0, 1.0)], "k string, observed double, simulated double")
     got = {r.k: r for r in calibrate.goodness_of_fit(df, ("k",)).collect()}
