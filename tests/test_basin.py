@@ -428,6 +428,9 @@ def test_many_stations_at_few_places(spark, monkeypatch):
     cells = spark.createDataFrame([(c, r.random() * 3, r.random() * 4) for c in range(20)], "cell_id long, lon double, lat double")
     solved = {x.step: x for x in interpolate.solve_kriging(obs, geographic=False).collect()}
     whole, near = ({(x.cell_id, x.step): x.value for x in interpolate.krige(obs, cells, geographic=False, nearest=n).collect()} for n in (None, 7))
+    del seen[:]
+    interpolate.krige_nearest(obs, cells, 3, geographic=False)
+    assert [x.count() for x in seen if "station_id" in x.columns][-1] < 60
     for step in (1, 2):
         here = [(k, x, y, v) for k, x, y, s, v in rows if s == step and v is not None]
         pairs = [(math.dist(a[1:3], b[1:3]), (a[3] - b[3]) ** 2 / 2) for i, a in enumerate(here) for b in here[i + 1 :]]
