@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -223,13 +223,8 @@ FORCED = ("precipitation", "etp", "kp", "ndvi", "landuse")
 FIXED = ("soil", "ndvi_min", "ndvi_max", "slope")
 
 
-def fold_basin(stored: DataFrame, soil_attr: DataFrame, landuse_attr: DataFrame, months: DataFrame, sets: list[Parameters], key: str | None = None, smooth: bool = False, hand_on: tuple[str, ...] = (), packed: bool = False) -> DataFrame:
-    """All monthly terms of a basin from ``store_basin`` for each parameter set: (key, cell_id, step, terms) as of ``water_balance``.
-
-    The rows of a block of cells come together once, where they lie, without a shuffle, and the sets are run on them one after
-    the other: what is read and moved doesn't grow with their number. ``key`` names the column of the set's number, from 1; without it there is one set.
-    A block's cells come in groups of 1024. Classes go to the tasks as arrays.
-    """
+def basin_fold(stored: DataFrame, soil_attr: DataFrame, landuse_attr: DataFrame, months: DataFrame, sets: list[Parameters], key: str | None = None, smooth: bool = False, hand_on: tuple[str, ...] = (), packed: bool = False) -> tuple[DataFrame, Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], str]:
+    """What ``fold_basin`` groups by block and _part, the function that folds such a group, and the columns that come out."""
     if key is None and len(sets) != 1:
         raise ValueError("several parameter sets need a key")
     soils, lands, dates = class_arrays(soil_attr, "soil"), class_arrays(landuse_attr, "landuse"), class_arrays(months.select("step", "days", "days_in_month"), "step")
@@ -257,7 +252,17 @@ def fold_basin(stored: DataFrame, soil_attr: DataFrame, landuse_attr: DataFrame,
 
     kind = "array<{}>" if packed else "{}"
     kinds = [*([] if key is None else [f"{key} int"]), *[f"{k} {t}" for k, t in flat.select(*keys).dtypes], f"step {kind.format('int')}", *[f"{k} {kind.format('double')}" for k in out]]
-    return flat.groupBy("block", "_part").applyInArrow(run, ", ".join(kinds))
+    return flat, run, ", ".join(kinds)
+
+def fold_basin(stored: DataFrame, soil_attr: DataFrame, landuse_attr: DataFrame, months: DataFrame, sets: list[Parameters], key: str | None = None, smooth: bool = False, hand_on: tuple[str, ...] = (), packed: bool = False) -> DataFrame:
+    """All monthly terms of a basin from ``store_basin`` for each parameter set: (key, cell_id, step, terms) as of ``water_balance``.
+
+    The rows of a block of cells come together once, where they lie, without a shuffle, and the sets are run on them one after
+    the other: what is read and moved doesn't grow with their number. ``key`` names the column of the set's number, from 1; without it there is one set.
+    A block's cells come in groups of 1024. Classes go to the tasks as arrays.
+    """
+    flat, run, kinds = basin_fold(stored, soil_attr, landuse_attr, months, sets, key, smooth, hand_on, packed)
+    return flat.groupBy("block", "_part").applyInArrow(run, kinds)
 
 
 def last_state(outputs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

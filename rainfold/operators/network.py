@@ -8,6 +8,8 @@ levels. So the months of a cell, one array a cell, are read twice, however long
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -203,11 +205,15 @@ def _kinds(df: DataFrame, names: list[str] | tuple[str, ...]) -> str:
     return ", ".join(f"{k} {t}" for k, t in df.select(*names).dtypes)
 
 
-def _totals(net: DataFrame, size: int, by: tuple[str, ...], hand_on: tuple[str, ...]) -> DataFrame:
-    """(*by, cell_id, *hand_on, v): all flows into each cell of ``net`` and its own. ``net``: a stored table (*by, block, cell_id, down_id, down_block, entered, v, perhaps edge and at)."""
-    needed = [c for c in (*by, "block", "cell_id", "down_id", "down_block", "entered", "edge", "at", "v") if c in net.columns]
+def _totals(net: DataFrame, size: int, by: tuple[str, ...], hand_on: tuple[str, ...], made: Callable[[pa.Table], pa.Table] | None = None, kinds: str = "") -> DataFrame:
+    """(*by, cell_id, *hand_on, v): all flows into each cell of ``net`` and its own. ``net``: a stored table (*by, block, cell_id, down_id, down_block, entered, v, perhaps edge and at).
+
+    With ``made`` these columns, and those to hand on, don't lie in ``net`` but are made of a block's rows in it, twice, so they are never stored. ``kinds`` are then those of cell_id and ``hand_on``.
+    """
+    needed = [c for c in (*by, "block", "cell_id", "down_id", "down_block", "entered", "edge", "at", "v") if c in net.columns] if made is None else net.columns
+    ready = made or (lambda t: t)
     keys = ["block", *by]
-    up = checkpointed(net.select(*needed).groupBy(*keys).applyInArrow(lambda t: _leaving(t, size, by), "".join(f"{k} {t}, " for k, t in net.select(*by).dtypes) + "cell_id long, block long, down_id long, down_block long, edge boolean, v array<double>"))
+    up = checkpointed(net.select(*needed).groupBy(*keys).applyInArrow(lambda t: _leaving(ready(t), size, by), "".join(f"{k} {t}, " for k, t in net.select(*by).dtypes) + "cell_id long, block long, down_id long, down_block long, edge boolean, v array<double>"))
     n = up.count()
     if n > TOP:
         shift = UP.bit_length() - 1
@@ -220,15 +226,17 @@ def _totals(net: DataFrame, size: int, by: tuple[str, ...], hand_on: tuple[str,
     else:  # one block, or one for each parameter set
         inflow = up.withColumn("_one", F.lit(0)).groupBy("_one", *by).applyInArrow(lambda t: _solved(t, size, by), "".join(f"{k} {t}, " for k, t in net.select(*by).dtypes) + "block long, cell_id long, v array<double>")
     columns = list(dict.fromkeys([*by, "cell_id", *hand_on]))
+    kinds = f"{kinds or _kinds(net, columns)}, v array<double>"
+    nothing = net.sparkSession.createDataFrame([], kinds).toArrow()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return left.select(columns).append_column("v", pa.array([], pa.list_(pa.float64())))
-        _, acc, edges = _flows(left, size, right)
+            return nothing
+        _, acc, edges = _flows(ready(left), size, right)
         return edges.select(columns).append_column("v", _lists(acc))
 
-    left = net.select(*dict.fromkeys([*needed, *hand_on]))
-    return left.groupBy(*keys).cogroup(inflow.groupBy(*keys)).applyInArrow(run, f"{_kinds(net, columns)}, v array<double>")
+    left = net.select(*dict.fromkeys([*needed, *(hand_on if made is None else ())]))
+    return left.groupBy(*keys).cogroup(inflow.groupBy(*keys)).applyInArrow(run, kinds)
 
 
 def _solved(table: pa.Table, size: int, by: tuple[str, ...]) -> pa.Table:
@@ -237,12 +245,12 @@ def _solved(table: pa.Table, size: int, by: tuple[str, ...]) -> pa.Table:
     return edges.select([*by, "block", "cell_id"]).append_column("v", _lists(acc))
 
 
-def accumulate_packed(net: DataFrame, size: int, by: tuple[str, ...] = (), hand_on: tuple[str, ...] = ()) -> DataFrame:
+def accumulate_packed(net: DataFrame, size: int, by: tuple[str, ...] = (), hand_on: tuple[str, ...] = (), made: Callable[[pa.Table], pa.Table] | None = None, kinds: str = "") -> DataFrame:
     """(*by, cell_id, *hand_on, v): the arrays ``v`` of ``size`` numbers, own and of all cells upstream added up. ``net``: a stored table with the columns of ``with_blocks`` and v.
 
-    Where ``net`` has buckets by block, its rows aren't shuffled. A NULL makes its place NULL in all cells below.
+    Where ``net`` has buckets by block, its rows aren't shuffled. A NULL makes its place NULL in all cells below. ``made``, ``kinds``: see ``_totals``.
     """
-    return _totals(net, size, by, hand_on)
+    return _totals(net, size, by, hand_on, made, kinds)
 
 
 NETWORK = ("block", "down_id", "down_block", "entered")

@@ -240,6 +240,38 @@ def test_basins_stay_where_a_path_is_given(spark, sf_dir, tmp_path):
     assert again.count() == kept.count() == 200 * 12 and shuffles(again.groupBy("block").count()) == []
 
 
+def test_a_basin_is_written_in_passes(spark, sf_dir, tmp_path):
+    """Where buckets are many, no shuffle holds the whole table; each bucket has one file, and the table is that of one pass."""
+    cells = testgrid.cells(spark, sf_dir).withColumn("slope", F.lit(0.1))
+    forcing = testgrid.forcing(spark, sf_dir, by_cell=True)
+    one, many = (basin.store_basin(cells, forcing, buckets=n, path=str(tmp_path / f"basin{n}")) for n in (3, 40))
+    assert one.exceptAll(many).isEmpty() and many.exceptAll(one).isEmpty() and one.count() == 1500 * 12
+    read = spark.read.parquet(str(tmp_path / "basin40"))
+    assert read.select("block", F.col("_metadata.file_name").alias("f")).distinct().count() == read.select("block").distinct().count()
+    before = {k: spark.conf.get(k) for k in storage.WRITING}
+    with storage.writing(spark):
+        plan = forcing.join(cells.select("cell_id"), "cell_id")._jdf.queryExecution().executedPlan().toString()
+        assert not any("step" in x.split(")")[0] for x in plan.split("hashpartitioning(")[1:])
+    assert {k: spark.conf.get(k) for k in storage.WRITING} == before
+
+
+def test_a_run_stores_no_terms(spark, sf_dir, monkeypatch):
+    """The terms of a run aren't written on the way, and a run from maps completes them in one scan."""
+    wrote = []
+    put = storage.checkpointed
+    monkeypatch.setattr(network, "checkpointed", lambda df: wrote.append(df.columns) or put(df))
+    monkeypatch.setattr(basin, "bucketed", lambda df, *a, **k: wrote.append(df.columns) or storage.bucketed(df, *a, **k))
+    stored = testgrid.stored(spark, sf_dir)
+    out = basin.run_stored(stored, testgrid.soil_attr(spark), testgrid.landuse_attr(spark), testgrid.months(spark), testgrid.PARAMS)
+    assert out.count() == 1500 * 12 and wrote and not any("itp" in c for c in wrote)
+    maps = testgrid.series(testgrid.forcing(spark, sf_dir)).where("not (series = 'ndvi' and step in (2, 3)) and cell_id < 300")
+    scans = basin.complete_forcing(maps, 1, 4)
+    assert scans._jdf.queryExecution().optimizedPlan().toString().count("Relation [l_orderkey") == 1
+    got = {(r.cell_id, r.step): r.ndvi for r in scans.collect()}
+    given = {(r.cell_id, r.step): r.ndvi for r in testgrid.forcing(spark, sf_dir).where("cell_id < 300").collect()}
+    assert len(got) == 1200 and all(v == given[c, 1 if s in (2, 3) else s] for (c, s), v in got.items())
+
+
 def test_parameter_sets_are_runs_of_their_own(spark, sf_dir):
     cells = testgrid.cells(spark, sf_dir).where("cell_id < 40").withColumn("slope", F.lit(0.1))
     months = basin.cell_months(cells, testgrid.forcing(spark, sf_dir), testgrid.soil_attr(spark), testgrid.landuse_attr(spark), testgrid.months(spark))
