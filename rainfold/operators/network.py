@@ -330,9 +330,17 @@ def accumulate_at_gauges(drain: DataFrame, gauges: DataFrame, flux: DataFrame, v
 def recession_smooth(df: DataFrame, x: float, value: str = "value", key: str = "cell_id", out: str = "smooth") -> DataFrame:
     """q_t = x * q_(t-1) + (1 - x) * value_t for each key in order of step, from 0. NULL makes the rest of the key NULL.
 
-    One array of months a key; all keys of a batch are smoothed together, month by month, so the work is linear in the months.
+    One array of months a key (rows that have it already: ``smooth_packed``).
     """
     packed = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("step").cast("int").alias("step"), F.col(value).cast("double").alias("v")))).alias("s"))
+    return smooth_packed(packed, x, value, key, out)
+
+
+def smooth_packed(packed: DataFrame, x: float, value: str = "value", key: str = "cell_id", out: str = "smooth") -> DataFrame:
+    """As ``recession_smooth``, from one row a key with its months as an array ``s`` of (step, v) in order of step, as a packed fold gives them: nothing is shuffled.
+
+    All keys of a batch are smoothed together, month by month, so the work is linear in the months.
+    """
 
     def run(batches):
         for batch in batches:
@@ -347,6 +355,6 @@ def recession_smooth(df: DataFrame, x: float, value: str = "value", key: str = "
             rows = pa.StructArray.from_arrays([flat.field("step"), flat.field("v"), pa.array(q, mask=np.isnan(q))], ["step", "v", "q"])
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)], names=["k", "s"])
 
-    kind = dict(df.dtypes)[key]
+    kind = dict(packed.dtypes)[key]
     folded = packed.select(F.col(key).alias("k"), "s").mapInArrow(run, f"k {kind}, s array<struct<step:int,v:double,q:double>>")
     return folded.select(F.col("k").alias(key), F.inline("s")).select(key, "step", F.col("v").alias(value), F.col("q").alias(out))

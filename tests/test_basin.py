@@ -15,6 +15,7 @@ from rainfold.operators import calendar, calibrate, interpolate, lookup, network
 from rainfold.operators.balance import fold_basin, last_state, state_free, water_balance
 from rainfold.params import Outputs, ParameterColumns, Parameters, valid_parameters
 from rainfold.plans import basin, testgrid
+from rainfold.plans.queries import QUERIES
 from rainfold.sources import tables
 
 
@@ -312,6 +313,20 @@ def test_smoothing_and_accumulation_commute(spark):
     assert one == {k: pytest.approx(v) for k, v in two.items()} and len(one) == 9
 
 
+def test_smoothing_packed_months_shuffles_nothing(spark, sf_dir):
+    """Runoff of a stored basin is smoothed and summed up where it lies, equal to smoothing rows."""
+    stored = testgrid.stored(spark, sf_dir)
+    smooth = QUERIES["recession_smooth"](spark, sf_dir)
+    assert not any("hashpartitioning" in x for x in shuffles(smooth))  # the calendar alone comes together
+    rows = fold_basin(stored, testgrid.soil_attr(spark), testgrid.landuse_attr(spark), testgrid.months(spark), [testgrid.PARAMS]).where("cell_id < 50").join(testgrid.months(spark), "step")
+    flow = rows.select("cell_id", "step", (F.col("rnf") * testgrid.PARAMS.area * 0.001 / (F.col("days_in_month") * 86400)).alias("value"))
+    want = {(r.cell_id, r.step): r.smooth for r in network.recession_smooth(flow, testgrid.PARAMS.x).collect()}
+    got = {(r.cell_id, r.step): r.smooth for r in smooth.where("cell_id < 50").collect()}
+    assert got == {k: pytest.approx(v, abs=1e-8) for k, v in want.items()} and len(got) == 600
+    plan = QUERIES["cell_discharge"](spark, sf_dir)._jdf.queryExecution().analyzed().toString()
+    assert "runoff_coef" not in plan  # no monthly terms as columns, which a sort by cells would carry
+
+
 def test_terrain(spark):
     grid = [[9.0, 9.0, 9.0, 9.0], [9.0, 1.0, 5.0, 9.0], [9.0, 5.0, 5.0, 6.0], [9.0, 9.0, 9.0, 9.0]]
     cells = spark.createDataFrame([(r * 4 + c, r, c, z) for r, line in enumerate(grid) for c, z in enumerate(line)], "cell_id long, row int, col int, dem double")
