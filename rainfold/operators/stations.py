@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import OUTPUTS
+from .small import small
+from .storage import checkpointed
 
 
 def stations_of(cells: DataFrame) -> DataFrame:
@@ -18,14 +20,25 @@ def station_ids(cells: DataFrame) -> DataFrame:
 
 
 def sample_stations(outputs: DataFrame, stations: DataFrame, variables: tuple[str, ...] = OUTPUTS) -> DataFrame:
-    """(variable, step, station_id, value): the outputs at the station cells, long. Stations are few beside cells; Spark broadcasts them if they are small."""
+    """(variable, step, station_id, value): the outputs at the station cells, long. Stations are few beside cells: up to a million are broadcast, so that outputs stay where they lie."""
     names = [v for v in variables if v in outputs.columns]
-    there = outputs.join(stations, "cell_id")
+    there = outputs.join(small(stations, 1_000_000), "cell_id")
     return there.select("step", "station_id", F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).alias("value")) for v in names])).alias("x")).select("x.variable", "step", "station_id", "x.value")
 
 
+def side_by_side(samples: DataFrame, ids: list[int]) -> DataFrame:
+    """(variable, step, values): a row a map with an array of the values at ``ids`` in ascending order, NULL where there is none; for any number of stations, as no plan grows with them."""
+    spark, at, samples = samples.sparkSession, sorted(ids), checkpointed(samples)
+    places = F.broadcast(spark.createDataFrame([(k,) for k in at], "station_id int"))
+    known = samples.groupBy("variable", "step", "station_id").agg(F.first("value").alias("value")).join(places, "station_id")
+    every = samples.select("variable", "step").distinct().crossJoin(places)
+    full = every.join(known, ["variable", "step", "station_id"], "left").groupBy("variable", "step")
+    rows = full.agg(F.array_sort(F.collect_list(F.struct("station_id", "value"))).alias("s"))
+    return rows.select("variable", "step", F.transform("s", lambda x: x["value"]).alias("values"))
+
+
 def station_report(samples: DataFrame, ids: list[int]) -> DataFrame:
-    """(variable, step, one column a station): ids are given, so no extra job looks for them; both are in ascending order."""
+    """(variable, step, one column a station): ids are given, so no extra job looks for them; both are in ascending order. Plans grow with the columns: thousands of stations go ``side_by_side``."""
     wide = samples.groupBy("variable", "step").pivot("station_id", sorted(ids)).agg(F.first("value"))
     return wide.orderBy("variable", "step")
 

@@ -87,9 +87,7 @@ def station_files(spark, sf_dir):
     """The stations' tables, read back from their files."""
     folder, ids = _folder(spark), _station_ids(spark, sf_dir)
     tables.write_station_csv(_samples(spark, sf_dir), ids, folder)
-    wide = spark.read.csv(folder, sep=";", header=True, schema="`0` int, " + ", ".join(f"`{k}` double" for k in sorted(ids)) + ", variable string")
-    long = wide.unpivot(["0", "variable"], [str(k) for k in ids], "station_id", "value")
-    return long.select("variable", F.col("0").alias("step"), F.col("station_id").cast("int").alias("station_id"), "value")
+    return tables.read_station_csv(spark, folder)
 
 
 @query("SELECT lon, lat, step, round(value::DOUBLE, 4) AS value FROM obs", "obs")

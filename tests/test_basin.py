@@ -388,6 +388,27 @@ def test_files(spark, tmp_path):
     assert lines == ["0;3;7", "1;3.0;2.0"]
 
 
+def test_many_stations_side_by_side(spark, tmp_path):
+    """Plans don't grow with the stations, outputs aren't shuffled to meet them, and lines of any length come back."""
+    at = spark.range(3000).select(F.col("id").alias("cell_id"), (F.col("id") * 2).cast("int").alias("station_id"))
+    outputs = spark.range(3100).crossJoin(spark.range(1, 3).toDF("step")).select(F.col("id").alias("cell_id"), F.col("step").cast("int").alias("step"), F.when(F.col("id") % 7 != 0, F.col("id") * 1.5 + F.col("step")).alias("arn"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        samples = stations.sample_stations(outputs, at)
+        assert shuffles(samples) == []
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    ids = [*range(0, 6000, 2), 6001]
+    rows = stations.side_by_side(samples.where("station_id != 4 or step = 1"), ids)
+    assert len(rows._jdf.queryExecution().optimizedPlan().toString()) < 10_000
+    got = {(r.variable, r.step): r["values"] for r in rows.collect()}
+    want = lambda k, s: None if k % 7 == 0 or k > 2999 or (k, s) == (2, 2) else k * 1.5 + s
+    assert got == {("arn", s): [want(k, s) for k in range(3001)] for s in (1, 2)}
+    tables.write_station_csv(samples, ids, str(tmp_path / "tss"))
+    back = {(r.variable, r.step, r.station_id): r.value for r in tables.read_station_csv(spark, str(tmp_path / "tss")).collect()}
+    assert len(back) == 2 * 3001 and all(v == (None if s == 6001 or s // 2 % 7 == 0 else s // 2 * 1.5 + t) for (_, t, s), v in back.items())
+
+
 def test_windows_read_their_own_maps(spark, tmp_path):
     rows = [("p", s, c, float(c + s)) for s in range(1, 7) for c in range(50)]
     df = spark.createDataFrame(rows, "series string, step int, cell_id long, value double")
